@@ -74,7 +74,7 @@ def scan_topics_regex(spark, sf):
 def scan_archive(spark, sf):
     path = new_path(spark, "written")
     kept = X.kept_records(spark, sf)
-    S.write_archive(A.with_segments(kept, X.rolled(spark, sf), flush=True), path)
+    S.write_archive(A.with_segments(kept, staged(X.rolled(spark, sf), "rolled"), flush=True), path)
     rows = S.read_archive(spark, path, X.PREFIX)
     return R.stamp_source_offset(rows).select(
         F.concat(F.lit(X.TOPIC_PREFIX), "topic").alias("topic"),
@@ -208,7 +208,7 @@ def segment_flush(spark, sf):
 def archive_write(spark, sf):
     path = new_path(spark, "written")
     kept = X.kept_records(spark, sf)
-    S.write_archive(A.with_segments(kept, X.rolled(spark, sf)), path)
+    S.write_archive(A.with_segments(kept, staged(X.rolled(spark, sf), "rolled")), path)
     return (
         S.read_archive(spark, path, X.PREFIX)
         .groupBy("path", *TP)
@@ -228,7 +228,7 @@ def committed_offsets(spark, sf):
 
 @query
 def open_segment_rows(spark, sf):
-    commits = staged(A.committed_offsets(A.segment_manifest(X.rolled(spark, sf))), "commits")
+    commits = A.committed_offsets(A.segment_manifest(X.rolled(spark, sf)))
     return A.open_rows(X.kept_records(spark, sf), commits).select(*TP, "offset", _str("value"))
 
 
@@ -243,11 +243,8 @@ def idle_partitions(spark, sf):
 def _leftovers(spark, sf):
     """Archived files taken as staged, judged at the offset in the middle of each partition."""
     rows = X.archive(spark, sf).select(*TP, F.col("file_offset").alias("first_offset"), "offset")
-    current = staged(
-        R.partition_watermarks(X.kept_records(spark, sf)).select(
-            *TP, F.expr("(start_offset + end_offset) div 2").alias("current_offset")
-        ),
-        "current",
+    current = R.partition_watermarks(X.kept_records(spark, sf)).select(
+        *TP, F.expr("(start_offset + end_offset) div 2").alias("current_offset")
     )
     return rows.select(*TP, "first_offset").distinct(), rows, current
 
@@ -729,19 +726,14 @@ def group_lag(spark, sf):
 # --- streaming -----------------------------------------------------------------------------
 
 
-def _split_log(spark, sf):
-    """The kept log as twelve files in the order a broker would have filled them."""
-    path = new_path(spark, "feed")
-    log = X.kept_records(spark, sf).drop("batch_no")
-    J.write_feed(log, path, files=12)
-    return path
-
-
 @query
 def stream_archive(spark, sf):
     """Archive a stream of files, then flush; one manifest row per segment."""
     job = J.ArchiveStream(new_path(spark, "stream"), min_size=X.ROLL_BYTES, prefix=X.PREFIX)
-    job.run(S.stream_log(spark, _split_log(spark, sf), maxFilesPerTrigger="3"))
+    feed = new_path(spark, "feed")
+    for part in J.in_order(X.kept_records(spark, sf), "timestamp", 4):
+        S.write_feed(part, feed)
+    job.run(S.stream_log(spark, feed, maxFilesPerTrigger="1"))
     job.flush(spark)
     rows = job.archive(spark)
     return (
@@ -762,13 +754,14 @@ def stream_archive(spark, sf):
 
 @query
 def stream_restart(spark, sf):
-    """The same job stopped half way and started again; every row is archived once."""
-    feed = _split_log(spark, sf)
+    """A job stopped between two parts of the log, its last micro-batch run twice, then flushed twice."""
+    feed = new_path(spark, "feed")
     job = J.ArchiveStream(new_path(spark, "stream"), min_size=X.ROLL_BYTES, prefix=X.PREFIX)
-    source = S.stream_log(spark, feed, maxFilesPerTrigger="3")
-    job.run(source, stop_after=2)
-    job.repeat_last_batch(spark)
-    job.run(source)
+    for part in J.in_order(X.kept_records(spark, sf), "timestamp", 2):
+        S.write_feed(part, feed)
+        job.run(S.stream_log(spark, feed))
+        job.repeat_last_batch(spark)
+    job.flush(spark)
     job.flush(spark)
     return job.archive(spark).select(*TP, "offset", _str("value"))
 
@@ -777,7 +770,8 @@ def stream_restart(spark, sf):
 def stream_restore(spark, sf):
     """Restore from a plan that arrives in several rounds."""
     feed = new_path(spark, "plan-feed")
-    J.write_plan_feed(X.plan(spark, sf), feed, files=4)
+    for part in J.in_order(X.plan(spark, sf), "plan_seq", 4):
+        S.write_feed(part, feed)
     job = J.RestoreStream(
         new_path(spark, "stream"), lambda files: X.archive(spark, sf), topic_prefix=X.TOPIC_PREFIX
     )

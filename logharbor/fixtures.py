@@ -1,8 +1,9 @@
 """Log, archive and group tables derived from the given ``events`` table.
 
 ``events`` becomes a log of five topics (event types) with three partitions each.
-The archive made of it has holes, overlapping copies and one late file per partition
-whose rows a restore must drop.  The stored ones (archive, plan, restored log) are
+The archive made of it has holes, copies of whole segments under later names, excerpts
+that run across segment ends, and one late file per partition whose rows a restore must
+drop.  The stored ones (archive, plan, restored log) are
 written once per session, as the jobs they stand for would write them.
 """
 
@@ -109,11 +110,13 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build() -> DataFrame:
         log = records(spark, sf_dir)
-        first = F.col("segment")
-        copies = F.when(first % 4 == 2, F.array(first, first + 7)).otherwise(F.array(first))
+        first, offset = F.col("segment"), F.col("offset")
+        copy = F.when(first % 8 == 4, first + 7)
+        excerpt = F.when(offset % 200 < 60, offset - offset % 200 + 31)
+        cut = staged(rolled(spark, sf_dir), "fx-rolled")
         segments = (
-            A.with_segments(log.where(~is_hole()), rolled(spark, sf_dir), flush=True)
-            .withColumn("file_offset", F.explode(copies))
+            A.with_segments(log.where(~is_hole()), cut, flush=True)
+            .withColumn("file_offset", F.explode(F.array_compact(F.array(first, copy, excerpt))))
             .drop("segment")
         )
         ends = staged(log.groupBy(*TP).agg((F.max("offset") + 100).alias("file_offset")), "late-names")
@@ -155,7 +158,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topic_order(spark: SparkSession, sf_dir: str, include: str = ".*", exclude: str = "") -> DataFrame:
     topics = PL.list_topics(objects(spark, sf_dir), PREFIX)
-    return staged(PL.topic_order(PL.filter_topics(topics, include, exclude)), "topic-order")
+    return PL.topic_order(PL.filter_topics(topics, include, exclude))
 
 
 def plan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from logharbor.functions import headers as H
 from logharbor.functions import paths as P
-from logharbor.schemas import IDLE_THRESHOLD_MS, POLL_RECORDS, RECORD, TP
+from logharbor.schemas import IDLE_THRESHOLD_MS, POLL_RECORDS, TP
+from logharbor.shared import staged
 
 
 def archive_rows(records: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def committed_offsets(manifest: DataFrame) -> DataFrame:
 def open_rows(rows: DataFrame, commits: DataFrame) -> DataFrame:
     """Rows not yet in a published segment: what a restart reads again."""
     return (
-        rows.join(commits, TP, "left")
+        rows.join(staged(commits, "commits"), TP, "left")
         .where(F.col("offset") >= F.coalesce(F.col("committed"), F.lit(0)))
         .drop("committed")
     )
@@ -127,7 +128,8 @@ def reconcile_segments(
     """
     if match not in ("current_offset", "first_offset"):
         raise ValueError("match must be current_offset or first_offset")
-    judged = staged_segments.join(current, TP).withColumn("_sought", F.col(match))
+    current = staged(current, "current")
+    judged = staged_segments.join(current, TP)
     segment = [*TP, "first_offset"]
     holding = (
         staged_rows.join(current, TP)
@@ -144,7 +146,7 @@ def reconcile_segments(
     return (
         judged.join(holding, segment, "left")
         .withColumn("outcome", outcome)
-        .drop("_sought", "_holds")
+        .drop("_holds")
     )
 
 
@@ -163,7 +165,3 @@ def orphan_partitions(folders: DataFrame, assigned: DataFrame) -> DataFrame:
         .join(assigned, TP, "left_anti")
         .select("topic", "partition", "folder")
     )
-
-
-def archived_columns(rows: DataFrame) -> list[str]:
-    return [f.name for f in RECORD if f.name in rows.columns]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logharbor.functions import headers as H
-from logharbor.operators.positional import BLOCK, neighbour, running_before
+from logharbor.operators.positional import BLOCK, block_start, neighbour, running_before
 from logharbor.operators.restore import source_offsets
 from logharbor.schemas import TP
 from logharbor.shared import staged
@@ -99,25 +99,67 @@ def content_digest() -> Column:
     return F.sha2(F.concat(_sized(F.col("key")), _sized(F.col("value")), _sized(stamp), headers), 256)
 
 
-def restore_content_diff(source: DataFrame, restored: DataFrame, topic_prefix: str = "") -> DataFrame:
+def _block_prints(rows: DataFrame) -> DataFrame:
+    """Row count and order-free fingerprint of each block of source offsets, built map-side."""
+    parts = [
+        F.col("source_offset"),
+        F.col("timestamp"),
+        F.col("key").isNull(),
+        F.col("key"),
+        F.col("value").isNull(),
+        F.col("value"),
+        H.as_list(H.without_stamp(F.col("headers"))),
+    ]
+    sums = []
+    for seed in (1, 2):
+        word = F.xxhash64(F.lit(seed), *parts)
+        sums += [word.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(word, 32)]
+    return rows.groupBy(*TP, "_block").agg(
+        F.struct(F.count(F.lit(1)), *[F.sum(word) for word in sums]).alias("_print")
+    )
+
+
+def restore_content_diff(
+    source: DataFrame, restored: DataFrame, topic_prefix: str = "", width: int = BLOCK
+) -> DataFrame:
     """Source offsets whose restored content differs or which exist on one side only.
 
-    Rows travel as digests, not as payloads.
+    First the two logs are compared by one fingerprint per block of offsets, so nothing
+    but these travels where they agree.  Rows of the other blocks are compared one by
+    one, by digest.
     """
+    block = block_start(F.col("source_offset"), width).alias("_block")
+    content = ["timestamp", "key", "value", "headers"]
     left = source.select(
         F.concat(F.lit(topic_prefix), "topic").alias("topic"),
         "partition",
         F.col("offset").alias("source_offset"),
-        content_digest().alias("_expected"),
+        *content,
+    ).select("*", block)
+    right = source_offsets(restored).select(*TP, "source_offset", *content).select("*", block)
+    group = [*TP, "_block"]
+    expected = _block_prints(left).withColumnRenamed("_print", "_expected")
+    actual = _block_prints(right).withColumnRenamed("_print", "_actual")
+    differing = staged(
+        expected.join(actual, group, "full_outer")
+        .where(~F.col("_expected").eqNullSafe(F.col("_actual")))
+        .select(*group),
+        "differing-blocks",
     )
-    right = source_offsets(restored).select(*TP, "source_offset", content_digest().alias("_actual"))
+
+    def digests(side: DataFrame, name: str) -> DataFrame:
+        return side.join(differing, group, "left_semi").select(
+            *TP, "source_offset", content_digest().alias(name)
+        )
+
     verdict = (
         F.when(F.col("_actual").isNull(), "missing")
         .when(F.col("_expected").isNull(), "extra")
         .when(F.col("_expected") != F.col("_actual"), "changed")
     )
     return (
-        left.join(right, [*TP, "source_offset"], "full_outer")
+        digests(left, "_expected")
+        .join(digests(right, "_actual"), [*TP, "source_offset"], "full_outer")
         .select(*TP, "source_offset", verdict.alias("verdict"))
         .where(F.col("verdict").isNotNull())
     )

@@ -35,7 +35,7 @@ def empty_partitions(starts: DataFrame, ends: DataFrame) -> DataFrame:
 
 def valid_group_offsets(offsets: DataFrame, empty: DataFrame) -> DataFrame:
     """Committed offsets that exist (>= 0) and lie in partitions that hold records."""
-    return offsets.where(F.col("offset") >= 0).join(empty, TP, "left_anti")
+    return offsets.where(F.col("offset") >= 0).join(staged(empty, "empty"), TP, "left_anti")
 
 
 def normalise_offsets(offsets: DataFrame) -> DataFrame:

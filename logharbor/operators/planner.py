@@ -103,9 +103,12 @@ def topic_order(
         F.sort_array(F.collect_list(F.struct(large.alias("large"), "include_pos", "topic"))).alias("all")
     )
     names = F.transform("all", lambda t: t["topic"])
-    return ordered.select(
-        F.posexplode(names).alias("rank", "topic"),
-        F.sha2(F.array_join(names, ","), 256).alias("topics_sha"),
+    return staged(
+        ordered.select(
+            F.posexplode(names).alias("rank", "topic"),
+            F.sha2(F.array_join(names, ","), 256).alias("topics_sha"),
+        ),
+        "topic-order",
     )
 
 

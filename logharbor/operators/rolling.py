@@ -81,10 +81,8 @@ def _chunk_steps(pdf: pd.DataFrame, min_size: int) -> pd.DataFrame:
     return out[[f.name for f in _STEPS]]
 
 
-def _thread(steps: pd.DataFrame, opened: pd.DataFrame) -> pd.DataFrame:
+def _thread(steps: pd.DataFrame) -> pd.DataFrame:
     carried, first = 0, _NONE
-    if len(opened):
-        carried, first = int(opened["open_bytes"].iloc[0]), int(opened["open_first"].iloc[0])
     rows = []
     for chunk, table in steps.sort_values(["chunk", "from_bytes"]).groupby("chunk", sort=True):
         rows.append((table["topic"].iloc[0], table["partition"].iloc[0], chunk, carried, first))
@@ -122,16 +120,13 @@ def _cut(pdf: pd.DataFrame, min_size: int) -> pd.DataFrame:
     return out
 
 
-def roll_segments(
-    batches: DataFrame, min_size: int, opened: DataFrame | None = None, chunk: int = CHUNK
-) -> DataFrame:
+def roll_segments(batches: DataFrame, min_size: int, chunk: int = CHUNK) -> DataFrame:
     """Assign every batch to a segment.
 
     ``batches`` has topic, partition, batch_no, rows, bytes, first_offset and
     last_offset, one row per poll batch, with ``batch_no`` rising along the log.
-    ``opened`` (topic, partition, open_bytes, open_first) carries segments left open
-    by an earlier run.  Adds ``segment`` (first offset of the segment) and ``closes``
-    (this batch closes it).
+    ``chunk`` is the span of batch numbers handled together.  Adds ``segment`` (first
+    offset of the segment) and ``closes`` (this batch closes it).
     """
     if min_size < 1:
         raise ValueError("min_size must be at least 1")
@@ -140,16 +135,7 @@ def roll_segments(
     steps = cut.groupBy(*TP, "chunk").applyInPandas(
         lambda pdf: _chunk_steps(pdf, min_size), schema=_STEPS
     )
-    if opened is None:
-        entries = steps.groupBy(*TP).applyInPandas(
-            lambda pdf: _thread(pdf, pdf.iloc[:0]), schema=_ENTRY
-        )
-    else:
-        entries = (
-            steps.groupBy(*TP)
-            .cogroup(opened.groupBy(*TP))
-            .applyInPandas(lambda pdf, carry: _thread(pdf, carry), schema=_ENTRY)
-        )
+    entries = steps.groupBy(*TP).applyInPandas(_thread, schema=_ENTRY)
     schema = T.StructType(
         [batches.schema[n] for n in names]
         + [T.StructField("segment", T.LongType()), T.StructField("closes", T.BooleanType())]

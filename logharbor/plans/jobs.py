@@ -62,7 +62,7 @@ def plan_restore(
     topics = PL.filter_topics(listed.select("topic").distinct(), include, exclude)
     counted = staged(PL.inventory(listed), "inventory")
     sizes = PL.topic_sizes(counted)
-    order = staged(PL.topic_order(topics, sizes, large_last, large_mb), "topic-order")
+    order = PL.topic_order(topics, sizes, large_last, large_mb)
     resume = PL.checked_resume(previous_plan, order)
     return Planned(PL.plan_records(listed, order, prefix, resume), order, counted)
 

@@ -74,6 +74,11 @@ def stream_log(
     return reader.load() if fmt == "kafka" else reader.schema(schema).load(path)
 
 
+def write_feed(part: DataFrame, path: str) -> None:
+    """Append part of a log or plan as one file, the unit ``maxFilesPerTrigger`` counts."""
+    part.coalesce(1).write.mode("append").parquet(path)
+
+
 def _segment_key(prefix: str) -> Column:
     return P.segment_path(
         prefix, F.col("p_topic"), F.col("p_partition").cast("int"), F.col("segment").cast("bigint")

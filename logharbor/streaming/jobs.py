@@ -8,7 +8,7 @@ is the same as if it had run once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from logharbor.operators import archive as A
 from logharbor.operators import restore as R
-from logharbor.operators.rolling import roll_segments
+from logharbor.operators.rolling import CHUNK, roll_segments
 from logharbor.schemas import MIN_SEGMENT_BYTES, PLAN, POLL_RECORDS, RECORD, TP
 from logharbor.shared import staged
 from logharbor.sources import storage as S
@@ -34,11 +34,11 @@ _BATCH = T.StructType(
         T.StructField("round", T.LongType()),
     ]
 )
-_ROUND = T.StructField("_round", T.LongType())
+_ROUND = T.StructField("round_no", T.LongType())
 
 
 def _folder(root: str, name: str, round_no: int) -> str:
-    return f"{root}/{name}/_round={round_no}"
+    return f"{root}/{name}/round_no={round_no}"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -53,14 +53,6 @@ def _put(df: DataFrame, root: str, name: str, round_no: int) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _rounds(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
-    """All rounds of a table."""
-    path = f"{root}/{name}"
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
-
-
 @dataclass(frozen=True)
 class ArchiveStream:
     """Endless archive job: every micro-batch rolls its polls and publishes closed segments.
@@ -78,31 +70,15 @@ class ArchiveStream:
     def archive_root(self) -> str:
         return f"{self.root}/archive"
 
-    def run(self, records: DataFrame, stop_after: int | None = None) -> None:
-        """Archive what is available; ``stop_after`` ends the run after that many micro-batches."""
-        done = 0
-
-        class _Stop(Exception):
-            pass
-
-        def handle(batch: DataFrame, round_no: int) -> None:
-            nonlocal done
-            if stop_after is not None and done >= stop_after:
-                raise _Stop("stopped on request")
-            self.archive_round(batch, round_no)
-            done += 1
-
+    def run(self, records: DataFrame) -> None:
+        """Archive all records available now, in as many micro-batches as the source cuts."""
         query = (
-            records.writeStream.foreachBatch(handle)
+            records.writeStream.foreachBatch(self.archive_round)
             .option("checkpointLocation", f"{self.root}/checkpoint")
             .trigger(availableNow=True)
             .start()
         )
-        try:
-            query.awaitTermination()
-        except Exception as exc:
-            if "stopped on request" not in str(exc):
-                raise
+        query.awaitTermination()
 
     def archive_round(self, rows: DataFrame, round_no: int) -> None:
         spark = rows.sparkSession
@@ -129,7 +105,8 @@ class ArchiveStream:
         numbered = batches.withColumn("poll", F.col("batch_no")).withColumn(
             "batch_no", F.col("first_offset")
         )
-        rolled = staged(roll_segments(numbered, self.min_size), "rolled")
+        span = CHUNK * self.poll_records
+        rolled = staged(roll_segments(numbered, self.min_size, span), "rolled")
         manifest = _put(
             A.segment_manifest(rolled, self.prefix, flush), self.root, "manifest", round_no
         )
@@ -149,19 +126,19 @@ class ArchiveStream:
         numbered = placed.select(*TP, F.col("batch_no").alias("first_offset"), "segment")
         wanted = staged(
             batches.join(numbered, [*TP, "first_offset"]).select(
-                *TP, "segment", F.col("batch_no").alias("_poll"), F.col("round").alias("_round")
+                *TP, "segment", F.col("batch_no").alias("_poll"), F.col("round").alias("round_no")
             ),
             "wanted-polls",
         )
-        first, last = wanted.agg(F.min("_round"), F.max("_round")).first()
+        first, last = wanted.agg(F.min("round_no"), F.max("round_no")).first()
         schema = T.StructType(RECORD.fields + [_ROUND])
         rows = (
             spark.read.schema(schema)
             .parquet(f"{self.root}/spool")
-            .where(F.col("_round").between(first, last))
+            .where(F.col("round_no").between(first, last))
             .withColumn("_poll", F.expr(f"offset div {int(self.poll_records)}"))
         )
-        return rows.join(wanted, [*TP, "_poll", "_round"])
+        return rows.join(wanted, [*TP, "_poll", "round_no"])
 
     def _open_batches(self, spark: SparkSession, round_no: int) -> DataFrame:
         previous = _folder(self.root, "state", round_no - 1)
@@ -170,20 +147,19 @@ class ArchiveStream:
         return spark.read.schema(_BATCH).parquet(previous)
 
     def _last_round(self, spark: SparkSession) -> int:
-        schema = T.StructType(_BATCH.fields + [_ROUND])
         folders = f"{self.root}/state"
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(folders)
         fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
         if not fs.exists(hadoop):
             return -1
         names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-        return max((int(n.split("=")[1]) for n in names if n.startswith("_round=")), default=-1)
+        return max((int(n.split("=")[1]) for n in names if n.startswith("round_no=")), default=-1)
 
     def archive(self, spark: SparkSession) -> DataFrame:
         return S.read_archive(spark, self.archive_root, self.prefix)
 
     def manifest(self, spark: SparkSession) -> DataFrame:
-        return spark.read.option("basePath", f"{self.root}/manifest").parquet(f"{self.root}/manifest").drop("_round")
+        return spark.read.option("basePath", f"{self.root}/manifest").parquet(f"{self.root}/manifest").drop("round_no")
 
     def commits(self, spark: SparkSession) -> DataFrame:
         return A.committed_offsets(self.manifest(spark))
@@ -240,7 +216,7 @@ class RestoreStream:
         return staged(R.target_progress(self.target), "target-progress")
 
     def restored(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.root}/target").drop("_round")
+        return spark.read.parquet(f"{self.root}/target").drop("round_no")
 
 
 def refuse_existing_data(target: DataFrame) -> None:
@@ -258,26 +234,14 @@ def plan_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.readStream.schema(PLAN).options(**options).parquet(path)
 
 
-def write_plan_feed(plan: DataFrame, path: str, files: int) -> None:
-    """Write a plan as files that follow plan order, for streaming it in rounds."""
-    for part in _in_order(plan, "plan_seq", files):
-        part.write.mode("append").parquet(path)
-
-
-def write_feed(log: DataFrame, path: str, files: int) -> None:
-    """Write a log as files that follow its timestamps, for streaming it in rounds."""
-    for part in _in_order(log, "timestamp", files):
-        part.write.mode("append").parquet(path)
-
-
-def _in_order(df: DataFrame, column: str, parts: int):
-    low, high = df.agg(F.min(column), F.max(column)).first()
+def in_order(df: DataFrame, column: str, parts: int) -> Iterator[DataFrame]:
+    """Cut a table into parts that follow a numeric column, to feed it to a stream in rounds."""
+    stored = staged(df, "feed")
+    low, high = stored.agg(F.min(column), F.max(column)).first()
     if low is None:
         return
     step = (high - low) // parts + 1
-    stored = staged(df, "feed")
     for i in range(parts):
-        piece = stored.where(
+        yield stored.where(
             (F.col(column) >= low + i * step) & (F.col(column) < low + (i + 1) * step)
         )
-        yield piece.coalesce(1)
