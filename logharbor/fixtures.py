@@ -3,8 +3,9 @@
 ``events`` becomes a log of five topics (event types) with three partitions each.
 The archive made of it has holes, copies of whole segments under later names, excerpts
 that run across segment ends, and one late file per partition whose rows a restore must
-drop.  The stored ones (archive, plan, restored log) are
-written once per session, as the jobs they stand for would write them.
+drop.  The stored ones (log, archive, listing,
+plan, restored log, group offsets and snapshot) are written once per session, as the
+jobs they stand for would write them.
 """
 
 from __future__ import annotations
@@ -80,17 +81,21 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive rows of the log, with the poll batch they came in."""
-    return _numbered(spark, sf_dir).select(
-        _text("user_id").alias("key"),
-        _text("props").alias("value"),
-        F.create_map(
-            F.lit("test-header"), _text("event_id"), F.lit("event-type"), _text("topic")
-        ).alias("headers"),
-        *TP,
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
-        "offset",
-        F.expr("rpt div 37").alias("batch_no"),
-    )
+
+    def build() -> DataFrame:
+        return _numbered(spark, sf_dir).select(
+            _text("user_id").alias("key"),
+            _text("props").alias("value"),
+            F.create_map(
+                F.lit("test-header"), _text("event_id"), F.lit("event-type"), _text("topic")
+            ).alias("headers"),
+            *TP,
+            F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
+            "offset",
+            F.expr("rpt div 37").alias("batch_no"),
+        )
+
+    return _store(spark, sf_dir, "log", build)
 
 
 def is_hole():
@@ -142,18 +147,21 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Object listing of the archive, with stray objects that no job wrote."""
-    strays = (
-        archive(spark, sf_dir)
-        .groupBy("topic")
-        .agg(F.count(F.lit(1)).alias("length"))
-        .select(
-            F.explode(
-                F.array(F.concat(F.lit("backup/"), "topic", F.lit(".tmp")), F.concat("topic", F.lit(".tmp")))
-            ).alias("path"),
-            "length",
+
+    def build() -> DataFrame:
+        names = F.array(
+            F.concat(F.lit("backup/"), "topic", F.lit(".tmp")), F.concat("topic", F.lit(".tmp"))
         )
-    )
-    return files(spark, sf_dir).select("path", F.col("bytes").alias("length")).unionByName(strays)
+        strays = (
+            archive(spark, sf_dir)
+            .groupBy("topic")
+            .agg(F.count(F.lit(1)).alias("length"))
+            .select(F.explode(names).alias("path"), "length")
+        )
+        listed = files(spark, sf_dir).select("path", F.col("bytes").alias("length"))
+        return listed.unionByName(strays)
+
+    return _store(spark, sf_dir, "objects", build)
 
 
 def topic_order(spark: SparkSession, sf_dir: str, include: str = ".*", exclude: str = "") -> DataFrame:
@@ -231,44 +239,48 @@ def group_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     Some stand at the tip, some beyond it, some have none (-1).  Every fourth group also
     committed to the emptied topic and to ``ghost``, which has no start offset.
     """
-    number = F.col("group_no")
-    used = (
-        spark.read.parquet(f"{sf_dir}/events.parquet")
-        .select(
-            F.expr("user_id div 3").alias("group_no"),
-            F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("partition"),
-            F.col("event_type").alias("topic"),
+
+    def build() -> DataFrame:
+        number = F.col("group_no")
+        used = (
+            spark.read.parquet(f"{sf_dir}/events.parquet")
+            .select(
+                F.expr("user_id div 3").alias("group_no"),
+                F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("partition"),
+                F.col("event_type").alias("topic"),
+            )
+            .distinct()
         )
-        .distinct()
-    )
-    bounds = staged(R.partition_watermarks(records(spark, sf_dir)), "bounds")
-    count = F.col("end_offset") - F.col("start_offset")
-    step = (number * 97 + F.col("partition") * 13) % (count + 5)
-    mine = used.join(bounds, TP).select(
-        "group_no",
-        *TP,
-        F.when(number % 11 == 10, F.lit(-1)).otherwise(F.col("start_offset") + step).cast("bigint").alias("offset"),
-    )
-    others = (
-        used.where(number % 4 == 0)
-        .select("group_no")
-        .distinct()
-        .select(
+        bounds = staged(R.partition_watermarks(records(spark, sf_dir)), "bounds")
+        count = F.col("end_offset") - F.col("start_offset")
+        step = (number * 97 + F.col("partition") * 13) % (count + 5)
+        mine = used.join(bounds, TP).select(
             "group_no",
-            F.explode(F.array(F.lit("empty"), F.lit("ghost"))).alias("topic"),
-            F.lit(0).alias("partition"),
-            F.lit(20).cast("bigint").alias("offset"),
+            *TP,
+            F.when(number % 11 == 10, F.lit(-1)).otherwise(F.col("start_offset") + step).cast("bigint").alias("offset"),
         )
-    )
-    group_id = F.concat(F.lit("group-"), number.cast("string"))
-    return mine.unionByName(others).select(
-        group_id.alias("group_id"),
-        "group_no",
-        *TP,
-        "offset",
-        F.when(number % 2 == 0, F.lit(-1)).otherwise(number).cast("int").alias("leader_epoch"),
-        F.when(number % 3 == 0, F.lit("")).otherwise(group_id).alias("metadata"),
-    )
+        others = (
+            used.where(number % 4 == 0)
+            .select("group_no")
+            .distinct()
+            .select(
+                "group_no",
+                F.explode(F.array(F.lit("empty"), F.lit("ghost"))).alias("topic"),
+                F.lit(0).alias("partition"),
+                F.lit(20).cast("bigint").alias("offset"),
+            )
+        )
+        group_id = F.concat(F.lit("group-"), number.cast("string"))
+        return mine.unionByName(others).select(
+            group_id.alias("group_id"),
+            "group_no",
+            *TP,
+            "offset",
+            F.when(number % 2 == 0, F.lit(-1)).otherwise(number).cast("int").alias("leader_epoch"),
+            F.when(number % 3 == 0, F.lit("")).otherwise(group_id).alias("metadata"),
+        )
+
+    return _store(spark, sf_dir, "group-offsets", build)
 
 
 def log_ends(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

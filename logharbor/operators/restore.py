@@ -119,19 +119,28 @@ def block_stats(archive: DataFrame, width: int = BLOCK) -> DataFrame:
     )
 
 
-def file_floors(files: DataFrame, stats: DataFrame, restored: DataFrame) -> DataFrame:
-    """Per planned file the offset its rows must exceed to be restored.
+def file_floors(
+    files: DataFrame, stats: DataFrame, progress: DataFrame | None = None, topic_prefix: str = ""
+) -> DataFrame:
+    """Per planned file the offset its rows must exceed to be restored, and where its partition goes on.
 
-    That is the greatest offset of all files before it in the plan, or of the last
+    The floor is the greatest offset of all files before it in the plan, or of the last
     restored record.  Decided on one row per file.
     """
     ends = stats.groupBy("path").agg(F.max("last").alias("file_last"))
-    known = files.join(ends, "path")
-    return (
-        running_before(known, TP, "plan_seq", "file_last", "max", "_earlier")
-        .join(restored, TP)
-        .withColumn("floor", F.greatest("_earlier", "last_source_offset"))
-        .drop("_earlier", "last_source_offset")
+    floors = running_before(files.join(ends, "path"), TP, "plan_seq", "file_last", "max", "_earlier")
+    if progress is None:
+        last, following = F.lit(-1).cast("bigint"), F.lit(0).cast("bigint")
+    else:
+        restored = staged(last_restored_offset(files, progress, topic_prefix), "restored")
+        floors = floors.join(restored, TP)
+        last, following = F.col("last_source_offset"), F.col("next_offset")
+    return floors.select(
+        "path",
+        *TP,
+        "plan_seq",
+        F.greatest("_earlier", last).alias("floor"),
+        following.alias("next_offset"),
     )
 
 
@@ -141,10 +150,10 @@ def _placed_blocks(archive: DataFrame, stats: DataFrame, floors: DataFrame, widt
     How many rows a block keeps follows from its statistics, except where the floor
     lies inside the block; only those are counted on the rows.
     """
-    blocks = staged(
-        stats.join(floors.drop("file_last"), "path").where(F.col("last") > F.col("floor")), "file-blocks"
+    blocks = staged(stats.join(floors, "path").where(F.col("last") > F.col("floor")), "file-blocks")
+    cut = staged(
+        blocks.where(F.col("first") <= F.col("floor")).select("path", "_block", "floor"), "cut-blocks"
     )
-    cut = blocks.where(F.col("first") <= F.col("floor")).select("path", "_block", "floor")
     counted = (
         archive.select("path", "offset", block_start(F.col("offset"), width).alias("_block"))
         .join(cut, ["path", "_block"])
@@ -183,10 +192,8 @@ def restore_rows(
     files = staged(planned_files(exclude_files(plan, exclude)), "files")
     archive = archive.withColumn("_block", block_start(F.col("offset"), width))
     stats = staged(block_stats(archive, width).join(files.select("path"), "path", "left_semi"), "stats")
-    restored = staged(last_restored_offset(files, progress, topic_prefix), "restored")
-    placed = staged(
-        _placed_blocks(archive, stats, file_floors(files, stats, restored), width), "placed"
-    )
+    floors = file_floors(files, stats, progress, topic_prefix)
+    placed = staged(_placed_blocks(archive, stats, floors, width), "placed")
     order = W.partitionBy("path", "_block").orderBy("offset", "timestamp", "key", "value")
     return (
         archive.join(placed, ["path", "_block"])
@@ -206,12 +213,17 @@ def restore_rows(
     )
 
 
-def skipped_rows(plan: DataFrame, archive: DataFrame, progress: DataFrame | None = None, topic_prefix: str = "", width: int = BLOCK) -> DataFrame:
+def skipped_rows(
+    plan: DataFrame,
+    archive: DataFrame,
+    progress: DataFrame | None = None,
+    topic_prefix: str = "",
+    width: int = BLOCK,
+) -> DataFrame:
     """Per planned file: rows read, restored and left out as late or repeated."""
     files = staged(planned_files(plan), "files")
     stats = staged(block_stats(archive, width).join(files.select("path"), "path", "left_semi"), "stats")
-    restored = staged(last_restored_offset(files, progress, topic_prefix), "restored")
-    floors = staged(file_floors(files, stats, restored), "floors")
+    floors = file_floors(files, stats, progress, topic_prefix)
     placed = _placed_blocks(archive, stats, floors, width)
     kept = placed.groupBy("path").agg(F.sum("kept").alias("kept"))
     return (

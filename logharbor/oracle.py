@@ -303,7 +303,7 @@ _SQL: dict[str, str] = {
         WHERE p.topic > r.topic OR (p.topic = r.topic AND p.path > r.path)""",
     "never_planned": """
         SELECT path, topic FROM plan WHERE topic IN (SELECT topic FROM earlier)
-            AND path NOT IN (SELECT path FROM earlier)""",
+            AND path NOT IN (SELECT path FROM earlier WHERE path NOT LIKE '%1.avro')""",
     "plan_progress": """
         SELECT topics_sha, topic, "partition", total_files, planned_files,
                CAST(CASE WHEN sum(total_files - planned_files) OVER (PARTITION BY topic) > 0 THEN 0 ELSE 1 END AS INTEGER) AS topic_done

@@ -3,11 +3,12 @@
 Parquet is the default.  ``avro`` and ``kafka`` go through Spark's own connectors and
 need their jars on the classpath.
 
-An archive written here has one folder per segment,
-``<root>/p_topic=<topic>/p_partition=<n>/segment=<19 digits>/``.  The folder plays the
-part of the offset-named object: it is replaced as a whole when a segment is written
-again, and its name carries the object path used in plans.  An archive of plain
-``<topic>/<partition>/<file>`` objects is read with ``layout="objects"``.
+An archive written here has a folder per topic and partition; a segment is a run of
+rows with the same ``segment`` (its first offset), not a file of its own, so file count
+and file size follow the data and not the roll size.  Its object path is kept: it is
+derived from topic, partition and segment, and the manifest lists it with its size.
+An archive of plain ``<topic>/<partition>/<file>`` objects is read with
+``read_objects`` and listed with ``list_objects``.
 """
 
 from __future__ import annotations
@@ -19,16 +20,21 @@ from pyspark.sql import types as T
 from logharbor.functions import headers as H
 from logharbor.functions import paths as P
 from logharbor.functions.text import split_and_trim
-from logharbor.schemas import GROUPS, PLAN, RECORD, TP
+from logharbor.schemas import (
+    FILE_INDEX_HEADER,
+    GROUPS,
+    PLAN,
+    RECORD,
+    TOPICS_SHA_HEADER,
+    TP,
+)
+from logharbor.shared import staged
 
 TIMESTAMP_HEADER = "logharbor.timestamp-ms"
-_FOLDERS = T.StructType(
-    [
-        T.StructField("p_topic", T.StringType()),
-        T.StructField("p_partition", T.StringType()),
-        T.StructField("segment", T.StringType()),
-    ]
-)
+SEGMENT_RUN = 1 << 20
+_SEGMENT = T.StructField("segment", T.LongType())
+_FOLDERS = [T.StructField("p_topic", T.StringType()), T.StructField("p_partition", T.StringType())]
+_FOLDER_NAMES = [f.name for f in _FOLDERS]
 
 
 def kafka_pattern(regexes: str) -> str:
@@ -79,36 +85,32 @@ def write_feed(part: DataFrame, path: str) -> None:
     part.coalesce(1).write.mode("append").parquet(path)
 
 
-def _segment_key(prefix: str) -> Column:
-    return P.segment_path(
-        prefix, F.col("p_topic"), F.col("p_partition").cast("int"), F.col("segment").cast("bigint")
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows with the folder columns of their topic and partition."""
+    return rows.withColumns(
+        {"p_topic": F.col("topic"), "p_partition": F.col("partition").cast("string")}
     )
 
 
 def write_archive(
-    rows: DataFrame, root: str, segment: str = "segment", fmt: str = "parquet", compression: str = "zstd"
+    rows: DataFrame, root: str, fmt: str = "parquet", compression: str = "zstd", run: int = SEGMENT_RUN
 ) -> None:
-    """Write rows, each with the first offset of its segment; segments written before are replaced.
+    """Write archive rows with their ``segment``; what was at ``root`` is replaced.
 
-    Rows are clustered by segment, not by partition, so a hot partition is written by
-    many tasks and every segment by one, in offset order.
+    Rows are clustered by runs of ``run`` first offsets within a partition, so a hot
+    partition is written by many tasks, a segment by one, in offset order.
     """
-    folders = ["p_topic", "p_partition", "segment"]
-    columns = [f.name for f in RECORD]
-    placed = rows.select(
-        *columns,
-        F.col("topic").alias("p_topic"),
-        F.col("partition").cast("string").alias("p_partition"),
-        F.format_string("%019d", F.col(segment)).alias("segment"),
-    )
+    order = [*_FOLDER_NAMES, "segment"]
     (
-        placed.repartition(*folders)
-        .sortWithinPartitions(*folders, "offset")
+        _placed(rows.select(*RECORD.names, "segment"))
+        .withColumn("_run", F.col("segment") - F.col("segment") % run)
+        .repartition(*_FOLDER_NAMES, "_run")
+        .drop("_run")
+        .sortWithinPartitions(*order, "offset")
         .write.format(fmt)
         .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
         .option("compression", compression)
-        .partitionBy(*folders)
+        .partitionBy(*_FOLDER_NAMES)
         .save(root)
     )
 
@@ -118,34 +120,27 @@ def read_archive(
     root: str,
     prefix: str = "",
     fmt: str = "parquet",
-    layout: str = "segments",
     files: DataFrame | None = None,
 ) -> DataFrame:
     """Archive rows with the object ``path`` of their segment.
 
-    With ``files`` (a ``path`` column) only those segments are read: the join is on the
-    folder columns, so Spark prunes the folders at run time.
+    With ``files`` (a ``path`` column) only these segments are read: the folder columns
+    are join keys, so Spark leaves out the folders of other partitions at run time.
     """
-    if layout == "objects":
-        rows = (
-            spark.read.format(fmt)
-            .schema(RECORD)
-            .option("recursiveFileLookup", "true")
-            .load(root)
-            .withColumn("path", _relative(F.col("_metadata.file_path"), root, prefix))
-        )
-        return rows if files is None else rows.join(files.select("path"), "path", "left_semi")
-    schema = T.StructType(RECORD.fields + _FOLDERS.fields)
+    schema = T.StructType([*RECORD.fields, _SEGMENT, *_FOLDERS])
     rows = spark.read.format(fmt).schema(schema).load(root)
     if files is not None:
         path = F.col("path")
         wanted = files.where(path != "").select(
             P.part_from_end(path, 3).alias("p_topic"),
             P.part_from_end(path, 2).alias("p_partition"),
-            F.format_string("%019d", P.offset_in_name(path)).alias("segment"),
+            P.offset_in_name(path).alias("segment"),
         )
-        rows = rows.join(wanted.distinct(), _FOLDERS.names)
-    return rows.withColumn("path", _segment_key(prefix)).select(*RECORD.names, "path")
+        rows = rows.join(staged(wanted.distinct(), "wanted-segments"), [*_FOLDER_NAMES, "segment"])
+    path = P.segment_path(
+        prefix, F.col("p_topic"), F.col("p_partition").cast("int"), F.col("segment")
+    )
+    return rows.withColumn("path", path).select(*RECORD.names, "path")
 
 
 def _relative(path: Column, root: str, prefix: str) -> Column:
@@ -155,31 +150,35 @@ def _relative(path: Column, root: str, prefix: str) -> Column:
     return F.concat(F.lit(P.normalize_prefix(prefix)), below)
 
 
-def list_archive(spark: SparkSession, root: str, prefix: str = "", layout: str = "segments") -> DataFrame:
-    """Objects of an archive: path and length. Names and sizes only, no content is read."""
-    found = (
-        spark.read.format("binaryFile")
+def read_objects(
+    spark: SparkSession, root: str, prefix: str = "", fmt: str = "avro", files: DataFrame | None = None
+) -> DataFrame:
+    """Rows of an archive of plain objects, with the ``path`` of their object."""
+    rows = (
+        spark.read.format(fmt)
+        .schema(RECORD)
         .option("recursiveFileLookup", "true")
         .load(root)
-        .select(_relative(F.col("path"), root, prefix).alias("path"), "length")
+        .withColumn("path", _relative(F.col("_metadata.file_path"), root, prefix))
     )
-    if layout == "objects":
-        return found
-    folder = r"p_topic=([^/]*)/p_partition=([^/]*)/segment=([0-9]+)/"
+    return rows if files is None else rows.join(staged(files.select("path"), "files"), "path", "left_semi")
+
+
+def list_objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+    """Objects below ``root``: path and length. Names and sizes only, no content is read."""
     return (
-        found.where(F.col("path").rlike(folder))
-        .select(
-            F.url_decode(F.regexp_extract("path", folder, 1)).alias("p_topic"),
-            F.regexp_extract("path", folder, 2).alias("p_partition"),
-            F.regexp_extract("path", folder, 3).alias("segment"),
-            "length",
-        )
-        .groupBy(*_FOLDERS.names)
-        .agg(F.sum("length").alias("length"))
-        .select(_segment_key(prefix).alias("path"), "length")
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .load(root)
+        .select(_relative(F.col("path"), root, prefix).alias("path"), "length")
     )
 
 
+def manifest_objects(manifest: DataFrame) -> DataFrame:
+    """The listing a planner needs, taken from a manifest instead of a file system."""
+    return manifest.select("path", F.col("bytes").alias("length"))
+
+
 def write_plan(plan: DataFrame, path: str, fmt: str = "parquet", **options: str) -> None:
     """Append plan records; records of one key stay together and in order."""
     ordered = plan.repartition("key").sortWithinPartitions("plan_seq")
@@ -193,8 +192,6 @@ def write_plan(plan: DataFrame, path: str, fmt: str = "parquet", **options: str)
 
 def plan_headers() -> Column:
     """Plan headers as Kafka carries them."""
-    from logharbor.schemas import FILE_INDEX_HEADER, TOPICS_SHA_HEADER
-
     def entry(name: str, value: Column) -> Column:
         return F.struct(F.lit(name).alias("key"), value.cast("string").cast("binary").alias("value"))
 
@@ -233,22 +230,21 @@ def write_topics(
         kafka_rows(ordered).write.format("kafka").options(**options).save()
         return
     (
-        restored.withColumns({"p_topic": F.col("topic"), "p_partition": F.col("partition").cast("string")})
-        .sortWithinPartitions("p_topic", "p_partition", "offset")
+        _placed(restored)
+        .sortWithinPartitions(*_FOLDER_NAMES, "offset")
         .write.format(fmt)
         .mode(mode)
         .option("compression", "zstd")
         .options(**options)
-        .partitionBy("p_topic", "p_partition")
+        .partitionBy(*_FOLDER_NAMES)
         .save(path)
     )
 
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:
     """A restored log as :func:`write_topics` wrote it."""
-    columns = [f for f in RECORD.fields] + [T.StructField("source_offset", T.LongType())]
-    schema = T.StructType(columns + _FOLDERS.fields[:2])
-    return spark.read.schema(schema).parquet(path).drop("p_topic", "p_partition")
+    schema = T.StructType([*RECORD.fields, T.StructField("source_offset", T.LongType()), *_FOLDERS])
+    return spark.read.schema(schema).parquet(path).drop(*_FOLDER_NAMES)
 
 
 def write_snapshot(snapshot: DataFrame, path: str, fmt: str = "parquet") -> None:

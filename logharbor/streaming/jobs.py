@@ -22,7 +22,7 @@ from logharbor.schemas import MIN_SEGMENT_BYTES, PLAN, POLL_RECORDS, RECORD, TP
 from logharbor.shared import staged
 from logharbor.sources import storage as S
 
-_BATCH = T.StructType(
+_POLL = T.StructType(
     [
         T.StructField("topic", T.StringType()),
         T.StructField("partition", T.IntegerType()),
@@ -41,9 +41,14 @@ def _folder(root: str, name: str, round_no: int) -> str:
     return f"{root}/{name}/round_no={round_no}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def _written_rounds(spark: SparkSession, root: str, name: str) -> list[int]:
+    """Numbers of the rounds a table has, ascending. Lists one folder."""
+    table = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    files = table.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(table):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(table)]
+    return sorted(int(n.removeprefix("round_no=")) for n in names if n.startswith("round_no="))
 
 
 def _put(df: DataFrame, root: str, name: str, round_no: int) -> DataFrame:
@@ -59,6 +64,8 @@ class ArchiveStream:
 
     Rows go once into a spool and once into their segment.  Between micro-batches only
     the *batch summaries* of open segments are carried (``state``), never rows.
+    Micro-batch ``b`` writes round ``2b``, a flush after it round ``2b + 1``, so neither
+    replaces what the other published.
     """
 
     root: str
@@ -66,39 +73,49 @@ class ArchiveStream:
     poll_records: int = POLL_RECORDS
     prefix: str = ""
 
-    @property
-    def archive_root(self) -> str:
-        return f"{self.root}/archive"
-
     def run(self, records: DataFrame) -> None:
         """Archive all records available now, in as many micro-batches as the source cuts."""
         query = (
-            records.writeStream.foreachBatch(self.archive_round)
+            records.writeStream.foreachBatch(self.archive_batch)
             .option("checkpointLocation", f"{self.root}/checkpoint")
             .trigger(availableNow=True)
             .start()
         )
         query.awaitTermination()
 
-    def archive_round(self, rows: DataFrame, round_no: int) -> None:
-        spark = rows.sparkSession
+    def archive_batch(self, rows: DataFrame, batch_id: int) -> None:
+        """Spool one micro-batch, roll it behind the open polls, publish the closed segments."""
+        spark, round_no = rows.sparkSession, 2 * batch_id
         spool = _put(rows.select(*RECORD.names), self.root, "spool", round_no)
         fresh = A.poll_batches(spool, self.poll_records).withColumn(
             "round", F.lit(round_no).cast("bigint")
         )
-        batches = staged(self._open_batches(spark, round_no).unionByName(fresh.select(*_BATCH.names)), "polls")
-        self._publish(spark, batches, round_no, flush=False)
+        polls = self._open_polls(spark, round_no).unionByName(fresh.select(*_POLL.names))
+        self._publish(spark, staged(polls, "polls"), round_no, flush=False)
 
     def flush(self, spark: SparkSession) -> None:
         """Publish the open segments too, whatever their size."""
-        round_no = self._last_round(spark) + 1
-        self._publish(spark, self._open_batches(spark, round_no), round_no, flush=True)
+        spooled = _written_rounds(spark, self.root, "spool")
+        if spooled:
+            round_no = spooled[-1] + 1
+            self._publish(spark, self._open_polls(spark, round_no), round_no, flush=True)
 
     def repeat_last_batch(self, spark: SparkSession) -> None:
         """Run the last micro-batch again, as a restart does when its commit got lost."""
-        round_no = self._last_round(spark)
+        round_no = _written_rounds(spark, self.root, "spool")[-1]
         rows = spark.read.schema(RECORD).parquet(_folder(self.root, "spool", round_no))
-        self.archive_round(staged(rows, "again"), round_no)
+        self.archive_batch(staged(rows, "again"), round_no // 2)
+
+    def drop_published_spool(self, spark: SparkSession) -> None:
+        """Remove spool rounds all of whose rows are published."""
+        states = _written_rounds(spark, self.root, "state")
+        if not states:
+            return
+        kept = self._open_polls(spark, states[-1] + 1).agg(F.min("round")).first()[0]
+        for round_no in _written_rounds(spark, self.root, "spool")[:-1]:
+            if kept is None or round_no < kept:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(_folder(self.root, "spool", round_no))
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     def _publish(self, spark: SparkSession, batches: DataFrame, round_no: int, flush: bool) -> None:
         # poll numbers may repeat across rounds when a poll was cut by a micro-batch
@@ -107,17 +124,18 @@ class ArchiveStream:
         )
         span = CHUNK * self.poll_records
         rolled = staged(roll_segments(numbered, self.min_size, span), "rolled")
-        manifest = _put(
-            A.segment_manifest(rolled, self.prefix, flush), self.root, "manifest", round_no
-        )
+        manifest = staged(A.segment_manifest(rolled, self.prefix, flush), "manifest")
         ended = manifest.select(*TP, F.col("first_offset").alias("segment"))
         placed = rolled.join(ended, [*TP, "segment"], "left_semi")
         held = rolled.join(ended, [*TP, "segment"], "left_anti").select(*TP, "batch_no")
         if not manifest.isEmpty():
-            rows = self._spooled(spark, batches, placed)
-            S.write_archive(rows, self.archive_root)
+            S.write_archive(
+                self._spooled(spark, batches, placed), _folder(self.root, "archive", round_no)
+            )
+        # the manifest publishes the segments, so it follows their rows
+        _put(manifest, self.root, "manifest", round_no)
         open_batches = numbered.join(held, [*TP, "batch_no"], "left_semi").select(
-            *[F.col("poll").alias("batch_no") if n == "batch_no" else F.col(n) for n in _BATCH.names]
+            *[F.col("poll").alias("batch_no") if n == "batch_no" else F.col(n) for n in _POLL.names]
         )
         _put(open_batches, self.root, "state", round_no)
 
@@ -140,23 +158,15 @@ class ArchiveStream:
         )
         return rows.join(wanted, [*TP, "_poll", "round_no"])
 
-    def _open_batches(self, spark: SparkSession, round_no: int) -> DataFrame:
-        previous = _folder(self.root, "state", round_no - 1)
-        if round_no == 0 or not _exists(spark, previous):
-            return spark.createDataFrame([], _BATCH)
-        return spark.read.schema(_BATCH).parquet(previous)
-
-    def _last_round(self, spark: SparkSession) -> int:
-        folders = f"{self.root}/state"
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(folders)
-        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return -1
-        names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-        return max((int(n.split("=")[1]) for n in names if n.startswith("round_no=")), default=-1)
+    def _open_polls(self, spark: SparkSession, round_no: int) -> DataFrame:
+        """Summaries of the polls that were unpublished before this round."""
+        earlier = [r for r in _written_rounds(spark, self.root, "state") if r < round_no]
+        if not earlier:
+            return spark.createDataFrame([], _POLL)
+        return spark.read.schema(_POLL).parquet(_folder(self.root, "state", earlier[-1]))
 
     def archive(self, spark: SparkSession) -> DataFrame:
-        return S.read_archive(spark, self.archive_root, self.prefix)
+        return S.read_archive(spark, f"{self.root}/archive", self.prefix)
 
     def manifest(self, spark: SparkSession) -> DataFrame:
         return spark.read.option("basePath", f"{self.root}/manifest").parquet(f"{self.root}/manifest").drop("round_no")
@@ -206,9 +216,9 @@ class RestoreStream:
         _put(moved, self.root, "progress", round_no)
 
     def _progress(self, spark: SparkSession, round_no: int) -> DataFrame | None:
-        previous = _folder(self.root, "progress", round_no - 1)
-        if round_no > 0 and _exists(spark, previous):
-            return spark.read.parquet(previous)
+        earlier = [r for r in _written_rounds(spark, self.root, "progress") if r < round_no]
+        if earlier:
+            return spark.read.parquet(_folder(self.root, "progress", earlier[-1]))
         if self.target is None:
             return None
         if self.fail_on_existing:
