@@ -647,16 +647,12 @@ def translate_two_rounds(spark, sf):
 @query
 def group_status(spark, sf):
     snapshot = G.filter_groups(X.snapshot(spark, sf))
-    pending = staged(_pending(spark, sf), "pending")
+    pending = _pending(spark, sf)
+    kept = G.exclude_group_topics(pending, "purch")
     selected = staged(
-        G.existing_group_topics(
-            G.exclude_group_topics(pending, "purch"), X.topics(spark, sf), X.TOPIC_PREFIX
-        ),
-        "selected",
-    )
-    translated = staged(
-        G.translate_offsets(selected, X.restored(spark, sf), X.TOPIC_PREFIX), "translated"
+        G.existing_group_topics(kept, X.topics(spark, sf), X.TOPIC_PREFIX), "selected"
     )
+    translated = G.translate_offsets(selected, X.restored(spark, sf), X.TOPIC_PREFIX)
     return G.group_status(
         snapshot, pending, selected, translated, X.committed(spark, sf), X.GROUP_PREFIX
     )

@@ -122,11 +122,11 @@ def _block_prints(rows: DataFrame) -> DataFrame:
 def restore_content_diff(
     source: DataFrame, restored: DataFrame, topic_prefix: str = "", width: int = BLOCK
 ) -> DataFrame:
-    """Source offsets whose restored content differs or which exist on one side only.
+    """Source offsets whose restored content differs or which one side has more often.
 
     First the two logs are compared by one fingerprint per block of offsets, so nothing
-    but these travels where they agree.  Rows of the other blocks are compared one by
-    one, by digest.
+    but these travels where they agree.  Rows of the other blocks are compared by the
+    digests that occur at each offset.
     """
     block = block_start(F.col("source_offset"), width).alias("_block")
     content = ["timestamp", "key", "value", "headers"]
@@ -147,22 +147,22 @@ def restore_content_diff(
         "differing-blocks",
     )
 
-    def digests(side: DataFrame, name: str) -> DataFrame:
+    def digests(side: DataFrame, weight: int) -> DataFrame:
         return side.join(differing, group, "left_semi").select(
-            *TP, "source_offset", content_digest().alias(name)
+            *TP, "source_offset", content_digest().alias("_digest"), F.lit(weight).alias("_weight")
         )
 
-    verdict = (
-        F.when(F.col("_actual").isNull(), "missing")
-        .when(F.col("_expected").isNull(), "extra")
-        .when(F.col("_expected") != F.col("_actual"), "changed")
-    )
-    return (
-        digests(left, "_expected")
-        .join(digests(right, "_actual"), [*TP, "source_offset"], "full_outer")
-        .select(*TP, "source_offset", verdict.alias("verdict"))
-        .where(F.col("verdict").isNotNull())
+    # contents that occur more often on one side; no row is paired with another
+    surplus = (
+        digests(left, 1)
+        .unionByName(digests(right, -1))
+        .groupBy(*TP, "source_offset", "_digest")
+        .agg(F.sum("_weight").alias("_surplus"))
+        .where(F.col("_surplus") != 0)
     )
+    lacks, has_more = F.max("_surplus") > 0, F.min("_surplus") < 0
+    verdict = F.when(lacks & has_more, "changed").when(lacks, "missing").otherwise("extra")
+    return surplus.groupBy(*TP, "source_offset").agg(verdict.alias("verdict"))
 
 
 def restore_order_violations(restored: DataFrame, width: int = BLOCK) -> DataFrame:

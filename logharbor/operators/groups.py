@@ -23,6 +23,9 @@ from logharbor.shared import staged
 
 ENTRY = ["group_id", "topic", "partition"]
 
+# Partitions that may be broadcast as a list; a few MB at most.
+PARTITION_LIST = 100_000
+
 
 def empty_partitions(starts: DataFrame, ends: DataFrame) -> DataFrame:
     """Partitions whose start equals their end; without a start they do not count as empty."""
@@ -156,9 +159,12 @@ def _partition_tips(blocks: DataFrame) -> DataFrame:
 
 
 def _restored_log(log: DataFrame, entries: DataFrame, topic_prefix: str) -> DataFrame:
-    """Source and target offsets of the partitions entries ask for, under source topic names."""
-    asked = staged(entries.select(*TP).distinct(), "asked-partitions")
-    return (
+    """Source and target offsets of the partitions entries ask for, under source topic names.
+
+    The partitions asked for narrow the log only while their list is short enough to be
+    broadcast; beyond that the log is not shuffled by partition just to leave some out.
+    """
+    narrow = (
         source_offsets(log)
         .where(F.col("topic").startswith(topic_prefix))
         .select(
@@ -167,8 +173,11 @@ def _restored_log(log: DataFrame, entries: DataFrame, topic_prefix: str) -> Data
             "offset",
             "source_offset",
         )
-        .join(asked, TP, "left_semi")
     )
+    asked = staged(entries.select(*TP).distinct(), "asked-partitions")
+    if asked.count() <= PARTITION_LIST:
+        return narrow.join(asked, TP, "left_semi")
+    return narrow
 
 
 def _readiness(entries: DataFrame, tips: DataFrame) -> DataFrame:
@@ -185,9 +194,7 @@ def group_readiness(
     entries: DataFrame, log: DataFrame, topic_prefix: str = "", width: int = BLOCK
 ) -> DataFrame:
     """Whether the restored log already covers each entry, and why not."""
-    tips = staged(
-        _partition_tips(_log_blocks(_restored_log(log, entries, topic_prefix), width)), "tips"
-    )
+    tips = _partition_tips(_log_blocks(_restored_log(log, entries, topic_prefix), width))
     return _readiness(entries, tips).select(
         *ENTRY, "target", "latest_offset", "latest_source", "readiness"
     )
@@ -211,8 +218,7 @@ def translate_offsets(
         raise ValueError("floor must be zero or start")
     narrow = _restored_log(log, entries, topic_prefix)
     blocks = staged(_log_blocks(narrow, width), "log-blocks")
-    tips = staged(_partition_tips(blocks), "tips")
-    judged = _readiness(entries, tips)
+    judged = _readiness(entries, _partition_tips(blocks))
     sought = judged.where(
         (F.col("readiness") == "ready") & (F.col("latest_source") > F.col("target"))
     )

@@ -107,8 +107,11 @@ def planned_files(plan: DataFrame) -> DataFrame:
     )
 
 
-def block_stats(archive: DataFrame, width: int = BLOCK) -> DataFrame:
-    """Per file and block of offsets: rows, first and last offset. Reads two narrow columns."""
+def planned_blocks(plan: DataFrame, archive: DataFrame, width: int = BLOCK) -> DataFrame:
+    """Per planned file and block of its offsets: rows, first and last offset.
+
+    Reads two narrow columns of the archive.
+    """
     return (
         archive.groupBy("path", block_start(F.col("offset"), width).alias("_block"))
         .agg(
@@ -116,41 +119,46 @@ def block_stats(archive: DataFrame, width: int = BLOCK) -> DataFrame:
             F.min("offset").alias("first"),
             F.max("offset").alias("last"),
         )
+        .join(planned_files(plan), "path")
     )
 
 
 def file_floors(
-    files: DataFrame, stats: DataFrame, progress: DataFrame | None = None, topic_prefix: str = ""
+    blocks: DataFrame, progress: DataFrame | None = None, topic_prefix: str = ""
 ) -> DataFrame:
     """Per planned file the offset its rows must exceed to be restored, and where its partition goes on.
 
     The floor is the greatest offset of all files before it in the plan, or of the last
     restored record.  Decided on one row per file.
     """
-    ends = stats.groupBy("path").agg(F.max("last").alias("file_last"))
-    floors = running_before(files.join(ends, "path"), TP, "plan_seq", "file_last", "max", "_earlier")
+    files = blocks.groupBy("path", *TP, "plan_seq").agg(F.max("last").alias("file_last"))
+    floors = running_before(files, TP, "plan_seq", "file_last", "max", "_earlier")
     if progress is None:
         last, following = F.lit(-1).cast("bigint"), F.lit(0).cast("bigint")
     else:
-        restored = staged(last_restored_offset(files, progress, topic_prefix), "restored")
+        restored = staged(last_restored_offset(blocks, progress, topic_prefix), "restored")
         floors = floors.join(restored, TP)
         last, following = F.col("last_source_offset"), F.col("next_offset")
     return floors.select(
-        "path",
-        *TP,
-        "plan_seq",
-        F.greatest("_earlier", last).alias("floor"),
-        following.alias("next_offset"),
+        "path", F.greatest("_earlier", last).alias("floor"), following.alias("next_offset")
     )
 
 
-def _placed_blocks(archive: DataFrame, stats: DataFrame, floors: DataFrame, width: int) -> DataFrame:
-    """Per file block: floor, and the target offset its first kept row gets.
+def _placed_blocks(
+    plan: DataFrame,
+    archive: DataFrame,
+    progress: DataFrame | None,
+    topic_prefix: str,
+    width: int,
+) -> tuple[DataFrame, DataFrame]:
+    """All planned blocks; and of those that keep rows the floor and the target offset of the first.
 
     How many rows a block keeps follows from its statistics, except where the floor
     lies inside the block; only those are counted on the rows.
     """
-    blocks = staged(stats.join(floors, "path").where(F.col("last") > F.col("floor")), "file-blocks")
+    planned = staged(planned_blocks(plan, archive, width), "planned-blocks")
+    floors = file_floors(planned, progress, topic_prefix)
+    blocks = staged(planned.join(floors, "path").where(F.col("last") > F.col("floor")), "kept-files")
     cut = staged(
         blocks.where(F.col("first") <= F.col("floor")).select("path", "_block", "floor"), "cut-blocks"
     )
@@ -164,14 +172,14 @@ def _placed_blocks(archive: DataFrame, stats: DataFrame, floors: DataFrame, widt
     whole = blocks.where(F.col("first") > F.col("floor")).withColumn("kept", F.col("rows"))
     parts = blocks.join(counted, ["path", "_block"]).withColumnRenamed("_counted", "kept")
     kept = staged(whole.unionByName(parts), "kept-blocks")
-    return running_before(kept, TP, "plan_seq", "kept", "sum", "_earlier", ties=["_block"]).select(
+    placed = running_before(kept, TP, "plan_seq", "kept", "sum", "_earlier", ties=["_block"]).select(
         "path",
         "_block",
-        "plan_seq",
         "floor",
         "kept",
         (F.col("next_offset") + F.coalesce("_earlier", F.lit(0))).cast("bigint").alias("_at"),
     )
+    return planned, placed
 
 
 def restore_rows(
@@ -189,11 +197,8 @@ def restore_rows(
     once, shuffled by file and offset block, which serves both the lookup of the
     floor and the numbering and keeps any file or partition spread out.
     """
-    files = staged(planned_files(exclude_files(plan, exclude)), "files")
     archive = archive.withColumn("_block", block_start(F.col("offset"), width))
-    stats = staged(block_stats(archive, width).join(files.select("path"), "path", "left_semi"), "stats")
-    floors = file_floors(files, stats, progress, topic_prefix)
-    placed = staged(_placed_blocks(archive, stats, floors, width), "placed")
+    _, placed = _placed_blocks(exclude_files(plan, exclude), archive, progress, topic_prefix, width)
     order = W.partitionBy("path", "_block").orderBy("offset", "timestamp", "key", "value")
     return (
         archive.join(placed, ["path", "_block"])
@@ -221,13 +226,10 @@ def skipped_rows(
     width: int = BLOCK,
 ) -> DataFrame:
     """Per planned file: rows read, restored and left out as late or repeated."""
-    files = staged(planned_files(plan), "files")
-    stats = staged(block_stats(archive, width).join(files.select("path"), "path", "left_semi"), "stats")
-    floors = file_floors(files, stats, progress, topic_prefix)
-    placed = _placed_blocks(archive, stats, floors, width)
+    planned, placed = _placed_blocks(plan, archive, progress, topic_prefix, width)
     kept = placed.groupBy("path").agg(F.sum("kept").alias("kept"))
     return (
-        stats.groupBy("path")
+        planned.groupBy("path")
         .agg(F.sum("rows").alias("rows"))
         .join(kept, "path", "left")
         .select(
