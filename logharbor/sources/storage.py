@@ -136,7 +136,9 @@ def read_archive(
             P.part_from_end(path, 2).alias("p_partition"),
             P.offset_in_name(path).alias("segment"),
         )
-        rows = rows.join(staged(wanted.distinct(), "wanted-segments"), [*_FOLDER_NAMES, "segment"])
+        # the filter loses nothing; Spark prunes at run time only by a side that has one
+        listed = staged(wanted.distinct(), "wanted-segments").where(F.col("segment") >= 0)
+        rows = rows.join(listed, [*_FOLDER_NAMES, "segment"])
     path = P.segment_path(
         prefix, F.col("p_topic"), F.col("p_partition").cast("int"), F.col("segment")
     )
