@@ -32,7 +32,7 @@ def has_repeats(headers: Column) -> Column:
 
 def as_list(headers: Column) -> Column:
     """Header map -> list sorted by key."""
-    return F.array_sort(F.map_entries(headers))
+    return F.sort_array(F.map_entries(headers))
 
 
 def value_of(headers: Column, name: str) -> Column:
@@ -58,15 +58,17 @@ def source_offset(headers: Column) -> Column:
 
 def stamp(headers: Column, offset: Column) -> Column:
     """Set or replace the source-offset header."""
-    others = F.map_filter(headers, lambda k, _: k != SOURCE_OFFSET_HEADER)
     return F.map_concat(
-        others,
+        without_stamp(headers),
         F.create_map(F.lit(SOURCE_OFFSET_HEADER), offset.cast("string").cast("binary")),
     )
 
 
 def without_stamp(headers: Column) -> Column:
-    return F.map_filter(headers, lambda k, _: k != SOURCE_OFFSET_HEADER)
+    return F.when(
+        F.map_contains_key(headers, SOURCE_OFFSET_HEADER),
+        F.map_filter(headers, lambda k, _: k != SOURCE_OFFSET_HEADER),
+    ).otherwise(headers)
 
 
 def byte_size(headers: Column) -> Column:

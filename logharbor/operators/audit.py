@@ -82,25 +82,11 @@ def restore_count_diff(source: DataFrame, restored: DataFrame, topic_prefix: str
     )
 
 
-def _sized(part: Column) -> Column:
-    """Bytes of a nullable part behind its length, so that parts cannot run into each other."""
-    length = F.coalesce(F.octet_length(part), F.lit(-1))
-    return F.concat(length.cast("string").cast("binary"), F.lit(b":"), F.coalesce(part, F.lit(b"")))
+def content_words() -> list[Column]:
+    """Two 64-bit words standing for source offset, time, key, value and headers of a row.
 
-
-def content_digest() -> Column:
-    """Digest of key, value, timestamp and headers (without the restore stamp) of a row."""
-    entries = F.transform(
-        H.as_list(H.without_stamp(F.col("headers"))),
-        lambda e: F.concat(_sized(e["key"].cast("binary")), _sized(e["value"])),
-    )
-    headers = F.aggregate(entries, F.lit(b""), lambda text, e: F.concat(text, e))
-    stamp = F.col("timestamp").cast("string").cast("binary")
-    return F.sha2(F.concat(_sized(F.col("key")), _sized(F.col("value")), _sized(stamp), headers), 256)
-
-
-def _block_prints(rows: DataFrame) -> DataFrame:
-    """Row count and order-free fingerprint of each block of source offsets, built map-side."""
+    The restore stamp does not count.  Nulls are told apart from empty values.
+    """
     parts = [
         F.col("source_offset"),
         F.col("timestamp"),
@@ -110,12 +96,17 @@ def _block_prints(rows: DataFrame) -> DataFrame:
         F.col("value"),
         H.as_list(H.without_stamp(F.col("headers"))),
     ]
-    sums = []
-    for seed in (1, 2):
-        word = F.xxhash64(F.lit(seed), *parts)
-        sums += [word.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(word, 32)]
-    return rows.groupBy(*TP, "_block").agg(
-        F.struct(F.count(F.lit(1)), *[F.sum(word) for word in sums]).alias("_print")
+    return [F.xxhash64(F.lit(seed), *parts) for seed in (1, 2)]
+
+
+def _block_prints(rows: DataFrame) -> DataFrame:
+    """Row count and order-free fingerprint of each block of source offsets, built map-side."""
+    words = rows.select(*TP, "_block", *[w.alias(f"_w{i}") for i, w in enumerate(content_words())])
+    halves = []
+    for name in ("_w0", "_w1"):
+        halves += [F.col(name).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(name, 32)]
+    return words.groupBy(*TP, "_block").agg(
+        F.struct(F.count(F.lit(1)), *[F.sum(half) for half in halves]).alias("_print")
     )
 
 
@@ -126,7 +117,7 @@ def restore_content_diff(
 
     First the two logs are compared by one fingerprint per block of offsets, so nothing
     but these travels where they agree.  Rows of the other blocks are compared by the
-    digests that occur at each offset.
+    128-bit digests that occur at each offset.
     """
     block = block_start(F.col("source_offset"), width).alias("_block")
     content = ["timestamp", "key", "value", "headers"]
@@ -147,16 +138,17 @@ def restore_content_diff(
         "differing-blocks",
     )
 
-    def digests(side: DataFrame, weight: int) -> DataFrame:
+    def contents(side: DataFrame, weight: int) -> DataFrame:
+        first, second = content_words()
         return side.join(differing, group, "left_semi").select(
-            *TP, "source_offset", content_digest().alias("_digest"), F.lit(weight).alias("_weight")
+            *TP, "source_offset", first.alias("_w0"), second.alias("_w1"), F.lit(weight).alias("_weight")
         )
 
     # contents that occur more often on one side; no row is paired with another
     surplus = (
-        digests(left, 1)
-        .unionByName(digests(right, -1))
-        .groupBy(*TP, "source_offset", "_digest")
+        contents(left, 1)
+        .unionByName(contents(right, -1))
+        .groupBy(*TP, "source_offset", "_w0", "_w1")
         .agg(F.sum("_weight").alias("_surplus"))
         .where(F.col("_surplus") != 0)
     )

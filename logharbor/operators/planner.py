@@ -138,6 +138,7 @@ class ResumePoint:
     """Where an earlier plan ends."""
 
     topic: str
+    rank: int
     file: str
     file_index: int
     topics_sha: str
@@ -160,10 +161,9 @@ def plan_records(
     seed = F.lit(0)
     first_seq = 0
     if resume is not None:
-        here = order.where(F.col("topic") == resume.topic).first()
         files = files.where(
-            (F.col("rank") > here["rank"])
-            | ((F.col("rank") == here["rank"]) & (F.col("path") > resume.file))
+            (F.col("rank") > resume.rank)
+            | ((F.col("rank") == resume.rank) & (F.col("path") > resume.file))
         )
         resumed_partition = resume.file.split("/")[-2]
         seed = F.when(
@@ -180,7 +180,9 @@ def plan_records(
     def before(counts: DataFrame, *keys: str):
         return F.coalesce(F.sum("_n").over(earlier(*keys)), F.lit(0))
 
-    per_partition = files.groupBy(*run, "partition").agg(F.count(F.lit(1)).alias("_n"))
+    per_partition = staged(
+        files.groupBy(*run, "partition").agg(F.count(F.lit(1)).alias("_n")), "run-counts"
+    )
     per_run = per_partition.groupBy(*run).agg(F.sum("_n").alias("_n"))
     per_topic = per_run.groupBy("rank").agg(F.sum("_n").alias("_n"))
     topics_before = W.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
@@ -256,20 +258,20 @@ def resume_point(latest: DataFrame, order: DataFrame) -> DataFrame:
 
 def checked_resume(plan: DataFrame | None, order: DataFrame) -> ResumePoint | None:
     """Resume point of an earlier plan; raises if that plan was made for other topics."""
-    if plan is None or plan.isEmpty():
-        return None
-    current = order.select("topics_sha").first()
-    if current is None:
+    if plan is None:
         return None
-    row = resume_point(latest_plan_records(plan), order).first()
+    current = order.select("topic", "rank", F.col("topics_sha").alias("current_sha"))
+    row = resume_point(latest_plan_records(plan), order).join(current, "topic").first()
     if row is None:
+        if plan.isEmpty() or order.isEmpty():
+            return None
         raise ValueError("the prior plan used a different set of topics: none of them is selected now")
-    if row["topics_sha"] != current["topics_sha"]:
+    if row["topics_sha"] != row["current_sha"]:
         raise ValueError(
             "topics SHA mismatch: the prior plan run used a different set of topics "
-            f"(recorded SHA {row['topics_sha']}, current SHA {current['topics_sha']})"
+            f"(recorded SHA {row['topics_sha']}, current SHA {row['current_sha']})"
         )
-    return ResumePoint(**row.asDict())
+    return ResumePoint(**{name: row[name] for name in ResumePoint.__dataclass_fields__})
 
 
 def never_planned(listed: DataFrame, plan: DataFrame) -> DataFrame:
