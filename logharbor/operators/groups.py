@@ -19,13 +19,10 @@ from logharbor.schemas import (
     SKIPPED,
     TP,
 )
-from logharbor.shared import staged
+from logharbor.shared import broadcastable, staged
 
 ENTRY = ["group_id", "topic", "partition"]
 
-# Partitions that may be broadcast as a list; a few MB at most.
-PARTITION_LIST = 100_000
-
 
 def empty_partitions(starts: DataFrame, ends: DataFrame) -> DataFrame:
     """Partitions whose start equals their end; without a start they do not count as empty."""
@@ -161,7 +158,7 @@ def _partition_tips(blocks: DataFrame) -> DataFrame:
 def _restored_log(log: DataFrame, entries: DataFrame, topic_prefix: str) -> DataFrame:
     """Source and target offsets of the partitions entries ask for, under source topic names.
 
-    The partitions asked for narrow the log only while their list is short enough to be
+    The partitions asked for narrow the log only while their list is small enough to be
     broadcast; beyond that the log is not shuffled by partition just to leave some out.
     """
     narrow = (
@@ -175,9 +172,7 @@ def _restored_log(log: DataFrame, entries: DataFrame, topic_prefix: str) -> Data
         )
     )
     asked = staged(entries.select(*TP).distinct(), "asked-partitions")
-    if asked.count() <= PARTITION_LIST:
-        return narrow.join(asked, TP, "left_semi")
-    return narrow
+    return narrow.join(asked, TP, "left_semi") if broadcastable(asked) else narrow
 
 
 def _readiness(entries: DataFrame, tips: DataFrame) -> DataFrame:

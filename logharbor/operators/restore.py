@@ -13,7 +13,7 @@ from logharbor.functions import paths as P
 from logharbor.functions.text import matches_any, regex_list
 from logharbor.operators.positional import BLOCK, block_start, running_before
 from logharbor.schemas import SOURCE_OFFSET_HEADER, TP
-from logharbor.shared import staged
+from logharbor.shared import staged, staged_split
 
 
 def scan_topics(records: DataFrame, include: str, exclude: str = "") -> DataFrame:
@@ -158,20 +158,23 @@ def _placed_blocks(
     """
     planned = staged(planned_blocks(plan, archive, width), "planned-blocks")
     floors = file_floors(planned, progress, topic_prefix)
-    blocks = staged(planned.join(floors, "path").where(F.col("last") > F.col("floor")), "kept-files")
-    cut = staged(
-        blocks.where(F.col("first") <= F.col("floor")).select("path", "_block", "floor"), "cut-blocks"
+    whole, cut = staged_split(
+        planned.join(floors, "path")
+        .where(F.col("last") > F.col("floor"))
+        .withColumn("cut", F.col("first") <= F.col("floor")),
+        "kept-blocks",
+        "cut",
     )
-    counted = (
-        archive.select("path", "offset", block_start(F.col("offset"), width).alias("_block"))
-        .join(cut, ["path", "_block"])
-        .where(F.col("offset") > F.col("floor"))
-        .groupBy("path", "_block")
-        .agg(F.count(F.lit(1)).alias("_counted"))
-    )
-    whole = blocks.where(F.col("first") > F.col("floor")).withColumn("kept", F.col("rows"))
-    parts = blocks.join(counted, ["path", "_block"]).withColumnRenamed("_counted", "kept")
-    kept = staged(whole.unionByName(parts), "kept-blocks")
+    kept = whole.withColumn("kept", F.col("rows"))
+    if cut is not None:
+        counted = (
+            archive.select("path", "offset", block_start(F.col("offset"), width).alias("_block"))
+            .join(cut.select("path", "_block", "floor"), ["path", "_block"])
+            .where(F.col("offset") > F.col("floor"))
+            .groupBy("path", "_block")
+            .agg(F.count(F.lit(1)).alias("kept"))
+        )
+        kept = staged(kept.unionByName(cut.join(counted, ["path", "_block"])), "counted-blocks")
     placed = running_before(kept, TP, "plan_seq", "kept", "sum", "_earlier", ties=["_block"]).select(
         "path",
         "_block",

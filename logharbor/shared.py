@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _local_folder: dict[str, str] = {}
 
@@ -34,9 +35,41 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def written_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder, none if it does not exist. Lists one folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    return [status.getPath().getName() for status in files.listStatus(folder)]
+
+
+def broadcastable(table: DataFrame) -> bool:
+    """Whether Catalyst will broadcast this staged table by its measured size."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    limit = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return size <= limit
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the written table."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_split(df: DataFrame, name: str, flag: str) -> tuple[DataFrame, DataFrame | None]:
+    """Like :func:`staged`, as two tables: rows without and rows with ``flag``; none of these, None."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.partitionBy(flag).parquet(path)
+    written = written_folders(spark, path)
+    schema = T.StructType([f for f in df.schema if f.name != flag])
+
+    def part(value: str) -> DataFrame | None:
+        folder = f"{flag}={value}"
+        return spark.read.schema(schema).parquet(f"{path}/{folder}") if folder in written else None
+
+    unflagged = part("false")
+    return spark.createDataFrame([], schema) if unflagged is None else unflagged, part("true")

@@ -19,7 +19,7 @@ from logharbor.operators import archive as A
 from logharbor.operators import restore as R
 from logharbor.operators.rolling import CHUNK, roll_segments
 from logharbor.schemas import MIN_SEGMENT_BYTES, PLAN, POLL_RECORDS, RECORD, TP
-from logharbor.shared import staged
+from logharbor.shared import staged, written_folders
 from logharbor.sources import storage as S
 
 _POLL = T.StructType(
@@ -42,12 +42,8 @@ def _folder(root: str, name: str, round_no: int) -> str:
 
 
 def _written_rounds(spark: SparkSession, root: str, name: str) -> list[int]:
-    """Numbers of the rounds a table has, ascending. Lists one folder."""
-    table = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    files = table.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(table):
-        return []
-    names = [status.getPath().getName() for status in files.listStatus(table)]
+    """Numbers of the rounds a table has, ascending."""
+    names = written_folders(spark, f"{root}/{name}")
     return sorted(int(n.removeprefix("round_no=")) for n in names if n.startswith("round_no="))
 
 

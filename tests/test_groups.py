@@ -99,7 +99,7 @@ def test_equal_to_a_literal_search(spark, width):
 
 
 def test_partition_list_beyond_its_bound(spark, monkeypatch):
-    monkeypatch.setattr(G, "PARTITION_LIST", 0)
+    monkeypatch.setattr(G, "broadcastable", lambda table: False)
     assert translated(spark, list(range(10, 110)) + [115], 50) == ("exact", 40)
 
 

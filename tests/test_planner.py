@@ -23,25 +23,17 @@ def ordered(order):
 @pytest.mark.parametrize(
     "include, exclude, names, expected",
     [
-        (".*", "", ["topic1", "topic2"], ["topic1", "topic2"]),
-        ("topic1, topic2", "", ["topic1", "topic2", "topic3"], ["topic1", "topic2"]),
-        ("topic", "", ["topic1", "other", "topic2"], ["topic1", "topic2"]),
-        (".*", "topic2", ["topic1", "topic2", "topic3"], ["topic1", "topic3"]),
-        ("^prod-.*", ".*-secret$", ["prod-app", "prod-db-secret", "dev-app"], ["prod-app"]),
-        (
-            r"pubsub\., accounting\.",
-            r"pubsub\.not-needed",
-            ["accounting.topic1", "accounting.topic2", "pubsub.topic1", "pubsub.topic2", "pubsub.not-needed"],
-            ["pubsub.topic1", "pubsub.topic2", "accounting.topic1", "accounting.topic2"],
-        ),
-        (".*", "^a.*,^c.*", ["apple", "banana", "cherry"], ["banana"]),
-        (
-            r"accounting, accounting-support\.",
-            "",
-            ["accounting-support.test", "accounting.topic2", "pubsub.topic1"],
-            ["accounting-support.test", "accounting.topic2"],
-        ),
-        ("", "", ["topic1"], []),
+        (".*", "", ["clicks", "views"], ["clicks", "views"]),
+        ("", "", ["clicks"], []),
+        ("clicks, views", "", ["clicks", "errors", "views"], ["clicks", "views"]),
+        ("e", "", ["clicks", "errors", "views"], ["errors", "views"]),
+        (".*", "^v", ["clicks", "errors", "views"], ["clicks", "errors"]),
+        (".*", "^v,s$", ["clicks", "error", "views"], ["error"]),
+        ("^eu-", "-raw$", ["eu-clicks", "eu-clicks-raw", "us-clicks"], ["eu-clicks"]),
+        # the regex list gives the order, names count only inside one regex
+        (r"web\., app\.", r"\.tmp", ["app.a", "app.b", "web.a", "web.b", "web.tmp"], ["web.a", "web.b", "app.a", "app.b"]),
+        # a topic keeps the place of the first regex that finds it
+        (r"app, app-eu\.", "", ["app-eu.a", "app.b", "web.a"], ["app-eu.a", "app.b"]),
     ],
 )
 def test_include_and_exclude(spark, include, exclude, names, expected):
@@ -88,7 +80,7 @@ def test_paths(spark):
 
 
 def name(topic, partition, offset):
-    return f"kafka-backup/{topic}/{partition}/{topic}-{partition}-{offset:019d}.avro"
+    return f"vault/{topic}/{partition}/{topic}-{partition}-{offset:019d}.avro"
 
 
 ARCHIVE = [
@@ -100,10 +92,10 @@ ARCHIVE = [
 
 
 def planned(spark, archive=ARCHIVE, include=".*", resume_from=None):
-    listed = PL.list_objects(listing(spark, archive), "kafka-backup")
+    listed = PL.list_objects(listing(spark, archive), "vault")
     order = PL.topic_order(PL.filter_topics(listed.select("topic").distinct(), include))
     resume = PL.checked_resume(resume_from, order)
-    return PL.plan_records(listed, order, "kafka-backup", resume), order
+    return PL.plan_records(listed, order, "vault", resume), order
 
 
 def test_plan_follows_topic_then_path(spark):
@@ -158,5 +150,5 @@ def test_resume_point_of_the_last_topic_in_order(spark):
 def test_late_files_are_reported(spark):
     plan, _ = planned(spark, include="alpha")
     late = ARCHIVE + [(name("alpha", 0, 3), 1), (name("beta", 0, 3), 1)]
-    listed = PL.list_objects(listing(spark, late), "kafka-backup")
+    listed = PL.list_objects(listing(spark, late), "vault")
     assert rows(PL.never_planned(listed, plan), "path") == [(name("alpha", 0, 3),)]

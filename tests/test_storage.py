@@ -5,7 +5,7 @@ from logharbor import archive_log, plan_restore, restore_log
 from logharbor.operators import archive as A
 from logharbor.operators import audit as C
 from logharbor.schemas import RECORD
-from logharbor.shared import new_path, shared_folder, staged
+from logharbor.shared import broadcastable, new_path, shared_folder, staged, staged_split
 from logharbor.sources import storage as S
 
 
@@ -26,6 +26,27 @@ def test_shared_folder_follows_the_session(spark):
     assert rows(staged(spark.range(3), "t")) == [(0,), (1,), (2,)]
 
 
+def test_staged_tables_are_measured(spark):
+    few, many = staged(spark.range(10), "few"), staged(spark.range(100), "many")
+    assert broadcastable(few)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        assert not broadcastable(many)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_staged_split(spark):
+    df = spark.range(10).withColumn("odd", F.col("id") % 2 == 1)
+    even, odd = staged_split(df, "split", "odd")
+    assert rows(even) == [(i,) for i in range(0, 10, 2)]
+    assert rows(odd) == [(i,) for i in range(1, 10, 2)]
+    assert staged_split(df.where("not odd"), "split", "odd")[1] is None
+    nothing, every = staged_split(df.where("odd"), "split", "odd")
+    assert nothing.isEmpty() and every.count() == 5
+
+
 def test_archive_plan_restore_round_trip(spark):
     records = log(spark)
     archived = archive_log(records, "backup", min_size=900, poll_records=16, flush=True)
