@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from logharbor import fixtures as X
 from logharbor.functions import headers as H
 from logharbor.operators import archive as A
+from logharbor.operators import asof
 from logharbor.operators import audit as C
 from logharbor.operators import groups as G
 from logharbor.operators import planner as PL
 from logharbor.operators import restore as R
-from logharbor.operators.asof import record_at_offset
 from logharbor.operators.rolling import roll_segments
 from logharbor.schemas import TP
 from logharbor.shared import new_path, staged
@@ -122,7 +122,7 @@ def scan_group_snapshot(spark, sf):
 
 
 @query
-def record_at(spark, sf):
+def record_at_offset(spark, sf):
     log = R.source_offsets(X.restored(spark, sf)).select(*TP, "offset", "source_offset")
     wanted = (
         X.files(spark, sf)
@@ -133,7 +133,7 @@ def record_at(spark, sf):
         )
         .distinct()
     )
-    return record_at_offset(log, wanted, width=64)
+    return asof.record_at_offset(log, wanted, width=64)
 
 
 # --- archive building ------------------------------------------------------------------
@@ -673,6 +673,13 @@ def segment_overlaps(spark, sf):
     )
 
 
+@query
+def path_mismatches(spark, sf):
+    """An archive in which the files of one topic lie in the folder of another."""
+    moved = F.regexp_replace("path", "/view/", "/click/")
+    return C.path_mismatches(X.archive(spark, sf).withColumn("path", moved))
+
+
 @query
 def offset_gaps(spark, sf):
     return C.offset_gaps(X.kept_records(spark, sf), width=100)

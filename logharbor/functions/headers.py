@@ -9,7 +9,10 @@ from logharbor.schemas import SOURCE_OFFSET_HEADER
 
 
 def collapse(headers: Column) -> Column:
-    """Header list -> map; of a repeated key the last value stays, null becomes empty."""
+    """Header list -> map; of a repeated key the last value stays, null becomes empty.
+
+    No list at all, as Kafka gives for a record without headers, becomes an empty map.
+    """
     last_only = F.filter(
         headers,
         lambda entry, i: ~F.exists(
@@ -17,12 +20,13 @@ def collapse(headers: Column) -> Column:
             lambda later: later["key"] == entry["key"],
         ),
     )
-    return F.map_from_entries(
+    collapsed = F.map_from_entries(
         F.transform(
             last_only,
             lambda e: F.struct(e["key"], F.coalesce(e["value"], F.lit(b""))),
         )
     )
+    return F.coalesce(collapsed, F.create_map().cast("map<string,binary>"))
 
 
 def has_repeats(headers: Column) -> Column:

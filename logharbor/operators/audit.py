@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logharbor.functions import headers as H
+from logharbor.functions import paths as P
 from logharbor.operators.positional import BLOCK, block_start, neighbour, running_before
 from logharbor.operators.restore import source_offsets
 from logharbor.schemas import TP
@@ -16,6 +17,21 @@ def rows_per_file(archive: DataFrame) -> DataFrame:
     return archive.groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def path_mismatches(archive: DataFrame) -> DataFrame:
+    """Files with rows of another topic or partition than their path says.
+
+    Exclusion and progress go by the path, the target topic by the row, so they should agree.
+    """
+    agrees = (P.part_from_end(F.col("path"), 3) == F.col("topic")) & (
+        P.part_from_end(F.col("path"), 2) == F.col("partition").cast("string")
+    )
+    return (
+        archive.where(~F.coalesce(agrees, F.lit(False)))
+        .groupBy("path", *TP)
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+
+
 def segment_overlaps(files: DataFrame, width: int = BLOCK) -> DataFrame:
     """Files holding offsets that an earlier-named file reaches too.
 

@@ -203,7 +203,7 @@ _SQL: dict[str, str] = {
     "scan_group_snapshot": f"""
         SELECT group_id, {_OUT}, off - 1 AS target FROM snap
         WHERE regexp_matches(group_id, '^group-1|^group-2') AND NOT regexp_matches(group_id, '7$')""",
-    "record_at": """
+    "record_at_offset": """
         SELECT w.topic, w.part AS "partition", w.start_offset, r.off AS "offset", r.src AS source_offset
         FROM (SELECT DISTINCT 'r.' || topic AS topic, part, first_off AS start_offset FROM files) w
         ASOF JOIN rest r ON r.topic = w.topic AND r.part = w.part AND w.start_offset <= r.off""",
@@ -408,6 +408,9 @@ _SQL: dict[str, str] = {
             (SELECT *, max(last_off) OVER (PARTITION BY topic, part ORDER BY file_off
                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier_last FROM files)
         WHERE earlier_last >= first_off""",
+    "path_mismatches": """
+        SELECT replace(path, '/view/', '/click/') AS path, topic, part AS "partition", n AS rows
+        FROM files WHERE topic = 'view'""",
     "offset_gaps": f"""
         SELECT {_OUT}, nxt AS next_offset, nxt - off - 1 AS missing FROM
             (SELECT *, lead(off) OVER (PARTITION BY topic, part ORDER BY off) AS nxt FROM kept)

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from logharbor.functions import headers as H
 from logharbor.functions import paths as P
 from logharbor.functions.text import split_and_trim
+from logharbor.operators.positional import BLOCK
 from logharbor.schemas import (
     FILE_INDEX_HEADER,
     GROUPS,
@@ -31,7 +32,6 @@ from logharbor.schemas import (
 from logharbor.shared import staged
 
 TIMESTAMP_HEADER = "logharbor.timestamp-ms"
-SEGMENT_RUN = 1 << 20
 _SEGMENT = T.StructField("segment", T.LongType())
 _FOLDERS = [T.StructField("p_topic", T.StringType()), T.StructField("p_partition", T.StringType())]
 _FOLDER_NAMES = [f.name for f in _FOLDERS]
@@ -93,7 +93,7 @@ def _placed(rows: DataFrame) -> DataFrame:
 
 
 def write_archive(
-    rows: DataFrame, root: str, fmt: str = "parquet", compression: str = "zstd", run: int = SEGMENT_RUN
+    rows: DataFrame, root: str, fmt: str = "parquet", compression: str = "zstd", run: int = BLOCK
 ) -> None:
     """Write archive rows with their ``segment``; what was at ``root`` is replaced.
 

@@ -81,6 +81,14 @@ def test_overlaps(spark):
     assert rows(C.segment_overlaps(files), "path", "earlier_last") == [("b", 9), ("d", 19)]
 
 
+def test_paths_agree_with_rows(spark):
+    archive = spark.createDataFrame(
+        [("p/t/0/f", "t", 0), ("p/t/0/f", "u", 0), ("p/t/x/f", "t", 1), ("f", "t", 0)],
+        "path string, topic string, partition int",
+    )
+    assert rows(C.path_mismatches(archive), "path", "topic") == [("f", "t"), ("p/t/0/f", "u"), ("p/t/x/f", "t")]
+
+
 def test_lag(spark):
     offsets = spark.createDataFrame([("g", "t", 0, 4), ("g", "t", 1, -1)], "group_id string, topic string, partition int, offset bigint")
     marks = spark.createDataFrame([("t", 0, 10), ("t", 1, 10)], "topic string, partition int, end_offset bigint")

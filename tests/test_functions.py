@@ -73,6 +73,11 @@ def test_last_repeated_header_wins(spark):
     assert got["r"]
 
 
+def test_no_header_list(spark):
+    got = raw(spark, None).select(H.collapse(F.col("headers")).alias("h")).first()
+    assert got["h"] == {}
+
+
 def test_no_headers(spark):
     got = raw(spark, []).select(H.collapse(F.col("headers")).alias("h"), H.has_repeats(F.col("headers")).alias("r")).first()
     assert got["h"] == {} and not got["r"]
