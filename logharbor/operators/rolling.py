@@ -14,15 +14,20 @@ keep a hot partition off a single task it runs in three distributed steps over
 from __future__ import annotations
 
 import bisect
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logharbor.schemas import TP
 
+# The functions below travel with the job, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHUNK = 8192
 _NONE = -1  # no segment is open
 

@@ -1,9 +1,13 @@
+import base64
 import random
+import subprocess
+import sys
 
 import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 
 from logharbor.operators import archive as A
 from logharbor.operators.rolling import _chunk_steps, _cut, _thread, roll_segments
@@ -85,6 +89,13 @@ def test_published_segments_hold_exactly_their_batches(spark):
     assert A.open_rows(log, commits).count() == 15
 
 
+@pytest.mark.parametrize("function", [_chunk_steps, _thread, _cut])
+def test_functions_run_where_the_package_is_missing(tmp_path, function):
+    sent = base64.b64encode(cloudpickle.dumps(function)).decode()
+    code = f"import base64, pickle; pickle.loads(base64.b64decode('{sent}')); import sys; assert 'logharbor' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=60)
+
+
 def test_min_size_must_be_positive(spark):
     with pytest.raises(ValueError):
         roll_segments(spark.createDataFrame([], "topic string"), 0)
