@@ -195,9 +195,11 @@ def read_back(formatted: Column) -> Column:
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, read back from its formatted text and loss mask."""
     says = CLOSE + OPEN + "assistant ok"
-    probe = spark.createDataFrame(
-        [(-1, 0, "user", says), (-1, 1, "assistant", says)],
-        "conv_id bigint, turn bigint, role string, text string",
+    probe = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(says).alias("text"),
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     chats = format_chats(turns.unionByName(probe))

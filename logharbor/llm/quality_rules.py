@@ -142,35 +142,18 @@ def host_verdicts(measured: DataFrame, tolerance: float = 0.02) -> DataFrame:
         *(F.sum(c.cast("bigint")).alias(f"f_{r}") for r, c in rule_failures().items()),
     )
     hosts = staged(hosts, "hosts")
+    rates = {r: F.col(f"f_{r}") / F.col("n_docs") for r in RULES}
     moments = hosts.agg(
-        *(F.avg(F.col(f"f_{r}") / F.col("n_docs")).alias(f"m_{r}") for r in RULES),
-        *(F.var_pop(F.col(f"f_{r}") / F.col("n_docs")).alias(f"v_{r}") for r in RULES),
-    )
-    priors = moments.select(
-        *(f"m_{r}" for r in RULES),
-        *(
-            F.greatest(
-                F.lit(1.0),
-                F.least(
-                    F.lit(1000.0),
-                    F.coalesce(
-                        F.try_divide(F.col(f"m_{r}") * (1 - F.col(f"m_{r}")), F.col(f"v_{r}")) - 1,
-                        F.lit(1000.0),
-                    ),
-                ),
-            ).alias(f"k_{r}")
-            for r in RULES
-        ),
-        F.lit(1).alias("all_hosts"),
-    )
-    # the prior is a single row, so this equi-join adds two numbers a rule to each host
-    judged = hosts.withColumn("all_hosts", F.lit(1)).join(priors, "all_hosts")
-    rate = {
-        r: (F.col(f"f_{r}") + F.col(f"m_{r}") * F.col(f"k_{r}"))
-        / (F.col("n_docs") + F.col(f"k_{r}"))
-        for r in RULES
-    }
-    return judged.select(
+        *(F.coalesce(F.avg(rates[r]), F.lit(0.0)).alias(f"m_{r}") for r in RULES),
+        *(F.coalesce(F.var_pop(rates[r]), F.lit(0.0)).alias(f"v_{r}") for r in RULES),
+    ).first()  # one row: two numbers a rule
+    rate = {}
+    for r in RULES:
+        mean, variance = moments[f"m_{r}"], moments[f"v_{r}"]
+        strength = mean * (1 - mean) / variance - 1 if variance > 0 else 1000.0
+        strength = max(1.0, min(1000.0, strength))
+        rate[r] = (F.col(f"f_{r}") + mean * strength) / (F.col("n_docs") + strength)
+    return hosts.select(
         F.col("source").alias("host"),
         "n_docs",
         *(rate[r].alias(f"rate_{r}") for r in RULES),

@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logharbor.llm import url_filter
 from logharbor.llm.chat_format import op8_chat_format
+from logharbor.llm.mixing import op6_mixing
+from logharbor.llm.nearest import op9_nearest
+from logharbor.llm.packing import op1_packing
+from logharbor.llm.pii import op4_pii
+from logharbor.llm.quality_model import op7_quality_model
 from logharbor.llm.quality_rules import op10_quality_rules
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": op1_packing,
+        "op4_pii": op4_pii,
+        "op5_url_filter": url_filter.op5_url_filter,
+        "op6_mixing": op6_mixing,
+        "op7_quality_model": op7_quality_model,
         "op8_chat_format": op8_chat_format,
+        "op9_nearest": op9_nearest,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def llm_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": url_filter.sql()}
