@@ -400,10 +400,11 @@ def _written(spans: Column) -> Column:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digest of the base spans, and all spans, of every document."""
-    counts = (
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}")
-        for k, name in enumerate(KINDS)
-    )
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+    counts = (count(k).alias(f"n_{name}") for k, name in enumerate(KINDS))
     return find_pii(table(spark, sf_dir, "documents")).select(
         "doc_id",
         *counts,
