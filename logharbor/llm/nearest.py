@@ -333,12 +333,15 @@ def _search(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
         i, j, s = (np.concatenate(x) for x in zip(*hits, strict=True))
         still = s >= limit[i]
         i, j, s = i[still], j[still], s[still]
+        # a class met in several tables counts once, with a score that depends on the pair only
+        order = np.lexsort((first[j], i))
+        i, j = i[order], j[order]
+        new = np.ones(len(i), dtype=bool)
+        new[1:] = (i[1:] != i[:-1]) | (first[j[1:]] != first[j[:-1]])
+        i, j = i[new], j[new]
+        s = np.einsum("ij,ij->i", q[i], matrix[j])
         order = np.lexsort((first[j], -s, i))
         i, j, s = i[order], j[order], s[order]
-        # a class met in several tables counts once
-        again = (i[1:] == i[:-1]) & (first[j[1:]] == first[j[:-1]])
-        new = np.concatenate([[True], ~again])
-        i, j, s = i[new], j[new], s[new]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
         i, j, s = i[rank <= k], j[rank <= k], s[rank <= k]
         ids = own_rows["ids"].to_numpy()[j]

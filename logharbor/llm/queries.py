@@ -10,15 +10,19 @@ from logharbor.llm import url_filter
 from logharbor.llm.chat_format import op8_chat_format
 from logharbor.llm.mixing import op6_mixing
 from logharbor.llm.nearest import op9_nearest
+from logharbor.llm.ngram_join import op2_ngram_join
 from logharbor.llm.packing import op1_packing
 from logharbor.llm.pii import op4_pii
 from logharbor.llm.quality_model import op7_quality_model
 from logharbor.llm.quality_rules import op10_quality_rules
+from logharbor.llm.suffix_dedup import op3_suffix_dedup
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_ngram_join": op2_ngram_join,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_pii": op4_pii,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_mixing": op6_mixing,
