@@ -1,10 +1,19 @@
-"""From raw documents to packed training sequences, one operator per stage."""
+"""From raw documents to packed training sequences, one operator per stage.
+
+Every stage takes all that the one before kept, and all but the last return the columns of
+``documents``.  Rows that repeat a document after the mix are packed as often as they occur.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logharbor.llm.common import staged, table
+from logharbor.llm.mixing import mixed_documents
+from logharbor.llm.ngram_join import drop_near_duplicates
+from logharbor.llm.packing import packed_sequences
+from logharbor.llm.pii import redact
 from logharbor.llm.quality_rules import quality_filter
 
 
@@ -13,11 +22,38 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_filter(docs)
 
 
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of texts linked by 0.8 of their five-word shingles."""
+    return drop_near_duplicates(docs)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind."""
+    clean = redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources take them."""
+    return mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of token ids."""
+    return packed_sequences(docs)
+
+
 STAGES = [
     ("quality rules", keep_quality),
+    ("n-gram Jaccard join", one_of_near_copies),
+    ("PII", redact_pii),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack),
 ]
 
-#: Packing, sampling and tokenizing have no SQL form; tests hold them against brute force.
+#: Sampling, tokenizing and packing have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
 
 

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ MEMBER = [
     ("length", "<i4"),
     ("crc", "<u4"),
 ]
-BIN = "sequence_id bigint, closed boolean, fill int, members binary"
+BIN = "sequence_id bigint, closed boolean, fill int, members binary, tokens binary"
 PIECES = (
     "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, "
     "sequence_id bigint, offset bigint"
@@ -90,7 +91,12 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def _packed(
-    fills: np.ndarray, members: list[bytes], capacity: int, slack: int, turn: int
+    fills: np.ndarray,
+    members: list[bytes],
+    tokens: list[bytes],
+    capacity: int,
+    slack: int,
+    turn: int,
 ) -> pd.DataFrame:
     bins = best_fit(fills, capacity)
     total = np.array([int(fills[b].sum()) for b in bins], dtype=np.int64)
@@ -102,18 +108,20 @@ def _packed(
             "closed": total >= capacity - slack,
             "fill": total.astype(np.int32),
             "members": [b"".join([members[i] for i in b]) for b in bins],
+            "tokens": [b"".join([tokens[i] for i in b]) for b in bins],
         }
     )
 
 
 def _tokenize_and_pack(
-    batches: Iterator[pd.DataFrame], tokenizer: str, capacity: int, slack: int
+    batches: Iterator[pd.DataFrame], tokenizer: str, capacity: int, slack: int, with_ids: bool
 ) -> Iterator[pd.DataFrame]:
     import zlib
 
     encoder = Encoder(tokenizer)
     closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
     found: list[tuple] = []
+    tokens: list[bytes] = []
     for pdf in batches:
         texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
         known = pdf["known"].tolist()
@@ -122,15 +130,16 @@ def _tokenize_and_pack(
             for doc, has_id, raw in zip(ids[part], known[part], encoded, strict=True):
                 raw += closing
                 for i, (start, n) in enumerate(pieces_of(len(raw) // 4, capacity)):
-                    crc = zlib.crc32(raw[4 * start : 4 * (start + n)])
-                    found.append((has_id, doc, i, start, n, crc))
+                    own = raw[4 * start : 4 * (start + n)]
+                    found.append((has_id, doc, i, start, n, zlib.crc32(own)))
+                    tokens.append(own if with_ids else b"")
     if not found:
         return
     items = np.array(found, dtype=MEMBER)
     size = items.dtype.itemsize
     raw = items.tobytes()
     members = [raw[i : i + size] for i in range(0, len(raw), size)]
-    yield _packed(items["length"].astype(np.int64), members, capacity, slack, 0)
+    yield _packed(items["length"].astype(np.int64), members, tokens, capacity, slack, 0)
 
 
 def _pack_again(
@@ -140,8 +149,9 @@ def _pack_again(
     if not parts:
         return
     pdf = pd.concat(parts).sort_values(["fill", "sequence_id"], ascending=[False, True])
+    fills = pdf["fill"].to_numpy(dtype=np.int64)
     yield _packed(
-        pdf["fill"].to_numpy(dtype=np.int64), pdf["members"].tolist(), capacity, slack, turn
+        fills, pdf["members"].tolist(), pdf["tokens"].tolist(), capacity, slack, turn
     )
 
 
@@ -170,15 +180,16 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def pack_documents(
+def pack_bins(
     docs: DataFrame,
     tokenizer: str = TOKENIZER,
     capacity: int = CAPACITY,
     slack: int = SLACK,
     fan_in: int = 8,
     per_task: int = 20_000,
+    with_ids: bool = False,
 ) -> DataFrame:
-    """One row per piece with its sequence and its place there."""
+    """One row per sequence: sequence_id, fill, packed members and, if asked for, token ids."""
     narrow = docs.select(
         F.coalesce(column_or_null(docs, "doc_id", "bigint"), F.lit(0)).alias("doc_id"),
         column_or_null(docs, "doc_id", "bigint").isNotNull().alias("known"),
@@ -186,7 +197,10 @@ def pack_documents(
     )
     packed = staged(
         narrow.mapInPandas(
-            lambda batches: _tokenize_and_pack(batches, tokenizer, capacity, slack), BIN
+            lambda batches: _tokenize_and_pack(
+                batches, tokenizer, capacity, slack, with_ids
+            ),
+            BIN,
         ),
         "bins",
     )
@@ -209,7 +223,40 @@ def pack_documents(
         if tasks == 1 or left > 0.98 * before:
             done.append(open_bins)
             break
-    return union_all(done).mapInPandas(_members, PIECES)
+    return union_all(done)
+
+
+def pack_documents(docs: DataFrame, **how) -> DataFrame:
+    """One row per piece with its sequence and its place there."""
+    return pack_bins(docs, **how).select("sequence_id", "members").mapInPandas(_members, PIECES)
+
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens = [np.frombuffer(t, dtype="<i4") for t in batch.column("tokens").to_pylist()]
+        members = [np.frombuffer(m, dtype=MEMBER) for m in batch.column("members").to_pylist()]
+        doc_ids = [
+            [d if k else None for d, k in zip(m["doc_id"].tolist(), m["known"], strict=True)]
+            for m in members
+        ]
+        columns = {
+            "sequence_id": batch.column("sequence_id"),
+            "n_tokens": batch.column("fill"),
+            "ids": pa.array(tokens, pa.list_(pa.int32())),
+            "doc_ids": pa.array(doc_ids, pa.list_(pa.int64())),
+            "pieces": pa.array([m["piece"] for m in members], pa.list_(pa.int32())),
+            "lengths": pa.array([m["length"] for m in members], pa.list_(pa.int32())),
+        }
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+def packed_sequences(docs: DataFrame, **how) -> DataFrame:
+    """One row per sequence: its token ids, and the pieces they come from, in their order."""
+    return pack_bins(docs, with_ids=True, **how).mapInArrow(
+        _sequences,
+        "sequence_id bigint, n_tokens int, ids array<int>, doc_ids array<bigint>, "
+        "pieces array<int>, lengths array<int>",
+    )
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
