@@ -4,12 +4,14 @@ Byte-level BPE works on pre-tokens, so each distinct pre-token is encoded once p
 and its ids are kept, as little-endian unsigned 32-bit integers.  Texts made of Latin
 letters and common punctuation are cut by an equal regular expression over fixed
 character classes; any other text, and any text holding an added token's string, goes
-through the library whole.  Both ways give the library's ids.
+through the library whole.  Words of letters are merged by ``tiktoken`` over the same
+file's vocabulary, if its ids follow its merges, and everything else by the library.  All
+ways give the library's ids; the tests hold them against it.
 """
 
 from __future__ import annotations
 
-import itertools
+import array
 import json
 import re
 import sys
@@ -47,6 +49,18 @@ def _classes() -> tuple[str, str, str]:
     return "".join(kinds["L"]), "".join(kinds["N"]), "\t-\r \x85\xa0"
 
 
+class Known(dict):
+    """Ids of pre-tokens, encoded when first met."""
+
+    def __init__(self, encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.encoder.word(word)
+        return ids
+
+
 class Encoder:
     def __init__(self, name: str):
         from tokenizers import Tokenizer
@@ -72,7 +86,37 @@ class Encoder:
         ).findall
         odd = [f"[^\x00-{chr(_LAST - 1)}{_DASHES}]", *map(re.escape, added)]
         self.odd = re.compile("|".join(odd)).search
-        self.known: dict[str, bytes] = {}
+        self.letters = re.compile(f" ?[{letter}]+").fullmatch
+        self.merger = self._merger(spec["model"]) if self.by_words else None
+        self.known = Known(self)
+
+    @staticmethod
+    def _merger(model: dict):
+        """A faster encoder of single words, where ids follow the order of the merges."""
+        import tiktoken
+
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ids = [model["vocab"].get("".join(p), -1) for p in pairs]
+        if ids != sorted(ids) or (ids and ids[0] < 256):
+            return None
+        ranks = {
+            bytes(byte_of[c] for c in token): i
+            for token, i in model["vocab"].items()
+            if all(c in byte_of for c in token)
+        }
+        ranks = {token: i for token, i in ranks.items() if len(token) == 1 or i <= ids[-1]}
+        return tiktoken.Encoding(
+            "words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}
+        ).encode_ordinary
+
+    def word(self, word: str) -> bytes:
+        """Ids of one pre-token."""
+        if self.merger and self.letters(word):
+            return array.array("I", self.merger(word)).tobytes()
+        return self._whole([word])[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -88,13 +132,8 @@ class Encoder:
             return self._whole(texts)
         plain = [not self.odd(t) for t in texts]
         words = [self.cut(t) if p else () for t, p in zip(texts, plain, strict=True)]
-        new = set(itertools.chain.from_iterable(words)).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
-                new = set(itertools.chain.from_iterable(words))
-            listed = list(new)
-            self.known.update(zip(listed, self._whole(listed), strict=True))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
         get = self.known.__getitem__
         out = [b"".join(map(get, w)) for w in words]
         others = [i for i, p in enumerate(plain) if not p]
