@@ -56,7 +56,7 @@ def _readable(restored: DataFrame) -> DataFrame:
         *_RESTORED,
         _str("key"),
         _str("value"),
-        _header("test-header", "test_header"),
+        _header("origin-id", "origin_id"),
         _header("restore.source-offset", "stamp"),
     )
 
@@ -99,7 +99,7 @@ def list_objects(spark, sf):
 @query
 def latest_record_per_partition(spark, sf):
     return R.latest_records(X.records(spark, sf)).select(
-        *TP, "offset", _str("key"), _str("value"), _header("test-header", "test_header")
+        *TP, "offset", _str("key"), _str("value"), _header("origin-id", "origin_id")
     )
 
 
@@ -148,7 +148,7 @@ def archive_rows(spark, sf):
         _str("key"),
         _str("value"),
         F.size("headers").cast("bigint").alias("n_headers"),
-        _header("test-header", "test_header"),
+        _header("origin-id", "origin_id"),
         _header("event-type", "event_type"),
         _header("note", "note"),
     )
@@ -380,6 +380,54 @@ def plan_resume_records(spark, sf):
     return PL.plan_records(PL.list_objects(X.objects(spark, sf), X.PREFIX), order, X.PREFIX, resume)
 
 
+def _damaged_plans(spark, sf):
+    """The earlier plan without its first folder's records, and without the tail of its second folder."""
+    earlier = X.earlier_plan(spark, sf)
+    folders = [r["key"] for r in earlier.groupBy("key").agg(F.min("plan_seq").alias("s")).orderBy("s").limit(2).collect()]
+    tail = (F.col("key") == folders[-1]) & (F.col("file_index") > 2)
+    return {"folder": earlier.where(F.col("key") != folders[0]), "tail": earlier.where(~tail)}
+
+
+@query
+def plan_resume_holes(spark, sf):
+    """Going on from plans that lost records before the resume point."""
+    order = X.topic_order(spark, sf)
+    listed = PL.list_objects(X.objects(spark, sf), X.PREFIX)
+    parts = []
+    for lost, plan in _damaged_plans(spark, sf).items():
+        resume = PL.checked_resume(plan, order)
+        again = PL.plan_records(listed, order, X.PREFIX, resume, PL.folder_tips(plan))
+        parts.append(again.select(F.lit(lost).alias("lost"), "plan_seq", "value", "file_index"))
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def plan_from_wire(spark, sf):
+    """The plan in the form Kafka carries it, read back."""
+    plan = X.plan(spark, sf)
+    wire = S.plan_to_wire(plan).join(
+        plan.select(
+            F.col("value").cast("binary").alias("value"),
+            F.col("plan_seq").alias("offset"),
+            F.lit(0).alias("partition"),
+        ),
+        "value",
+    )
+    return S.plan_from_wire(wire).select("key", "value", "topic", "partition", "file_index", "topics_sha")
+
+
+@query
+def list_written_objects(spark, sf):
+    """A listing of real files below topic and partition folders."""
+    root = new_path(spark, "objects")
+    rows = staged(X.kept_records(spark, sf).select(*TP, "offset"), "object-rows")
+    for r in rows.select(*TP).distinct().collect():
+        mine = rows.where((F.col("topic") == r["topic"]) & (F.col("partition") == r["partition"]))
+        mine.coalesce(1).write.parquet(f"{root}/{r['topic']}/{r['partition']}")
+    listed = PL.list_objects(S.list_objects(spark, root, X.PREFIX), X.PREFIX)
+    return PL.inventory(listed.where("length > 0")).select("topic", "partition", "files")
+
+
 @query
 def never_planned(spark, sf):
     """Files that came after the earlier plan was written, here those named 1 mod 10."""
@@ -410,7 +458,7 @@ def header_lookup(spark, sf):
     return X.raw_records(spark, sf).select(
         *TP,
         "offset",
-        H.first_value_of(raw, "test-header").cast("string").alias("test_header"),
+        H.first_value_of(raw, "origin-id").cast("string").alias("origin_id"),
         F.exists(raw, lambda h: h["key"] == "note").alias("has_note"),
         F.exists(raw, lambda h: h["key"] == "absent").alias("has_absent"),
     )
@@ -503,6 +551,25 @@ def restore_file_progress(spark, sf):
     return R.file_progress(seen, totals)
 
 
+@query
+def restore_missing_files(spark, sf):
+    """A plan that also names absent files and unusable paths."""
+    plan = X.plan(spark, sf)
+    added = plan.where(F.col("plan_seq") % 10 == 0)
+    absent = added.withColumn("value", F.concat("key", F.lit("absent-0-0000000000000000001.avro")))
+    unusable = added.withColumn("value", F.concat("key", F.lit("notes.txt")))
+    named = plan.unionByName(absent).unionByName(unusable)
+    return R.missing_files(named, X.archive(spark, sf)).select("path", "plan_seq", "reason")
+
+
+@query
+def restore_write(spark, sf):
+    """The restored log through its sink and back."""
+    path = new_path(spark, "topics")
+    S.write_topics(X.restored(spark, sf), path)
+    return S.read_topics(spark, path).select(*TP, "offset", "source_offset", _str("value"))
+
+
 @query
 def restore_skipped_rows(spark, sf):
     return R.skipped_rows(X.plan(spark, sf), X.archive(spark, sf))
@@ -647,7 +714,7 @@ def translate_two_rounds(spark, sf):
 @query
 def group_status(spark, sf):
     snapshot = G.filter_groups(X.snapshot(spark, sf))
-    pending = _pending(spark, sf)
+    pending = staged(_pending(spark, sf), "pending")
     kept = G.exclude_group_topics(pending, "purch")
     selected = staged(
         G.existing_group_topics(kept, X.topics(spark, sf), X.TOPIC_PREFIX), "selected"
@@ -739,7 +806,7 @@ def stream_archive(spark, sf):
     feed = new_path(spark, "feed")
     for part in J.in_order(X.kept_records(spark, sf), "timestamp", 3):
         S.write_feed(part, feed)
-    job.run(S.stream_log(spark, feed, maxFilesPerTrigger="1"))
+        job.run(S.stream_log(spark, feed))
     job.flush(spark)
     rows = job.archive(spark)
     return (
@@ -777,11 +844,14 @@ def stream_restart(spark, sf):
 @query
 def stream_restore(spark, sf):
     """Restore from a plan that arrives in several rounds."""
-    feed = new_path(spark, "plan-feed")
-    for part in J.in_order(X.plan(spark, sf), "plan_seq", 4):
-        S.write_feed(part, feed)
+    feed, root = new_path(spark, "plan-feed"), new_path(spark, "archive")
+    S.write_archive(X.archive(spark, sf).withColumnRenamed("file_offset", "segment"), root)
     job = J.RestoreStream(
-        new_path(spark, "stream"), lambda files: X.archive(spark, sf), topic_prefix=X.TOPIC_PREFIX
+        new_path(spark, "stream"),
+        lambda files: S.read_archive(spark, root, X.PREFIX, files=files),
+        topic_prefix=X.TOPIC_PREFIX,
     )
-    job.run(J.plan_stream(spark, feed, maxFilesPerTrigger="1"))
+    for part in J.in_order(X.plan(spark, sf), "plan_seq", 4):
+        S.write_feed(part, feed)
+        job.run(J.plan_stream(spark, feed))
     return job.restored(spark).select(*TP, "offset", "source_offset", _str("value"))

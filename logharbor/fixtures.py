@@ -65,8 +65,8 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     event_id = F.col("event_id").cast("string")
     none = F.array().cast("array<struct<key:string,value:binary>>")
     headers = F.concat(
-        F.array(entry("test-header", event_id), entry("event-type", F.col("topic"))),
-        F.when(F.col("event_id") % 5 == 0, F.array(entry("test-header", F.concat(F.lit("dup-"), event_id)))).otherwise(none),
+        F.array(entry("origin-id", event_id), entry("event-type", F.col("topic"))),
+        F.when(F.col("event_id") % 5 == 0, F.array(entry("origin-id", F.concat(F.lit("dup-"), event_id)))).otherwise(none),
         F.when(F.col("event_id") % 7 == 0, F.array(entry("note", F.lit(None).cast("string")))).otherwise(none),
     )
     return _numbered(spark, sf_dir).select(
@@ -87,7 +87,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
             _text("user_id").alias("key"),
             _text("props").alias("value"),
             F.create_map(
-                F.lit("test-header"), _text("event_id"), F.lit("event-type"), _text("topic")
+                F.lit("origin-id"), _text("event_id"), F.lit("event-type"), _text("topic")
             ).alias("headers"),
             *TP,
             F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),

@@ -20,7 +20,7 @@ def regex_list(text: str) -> list[str]:
             try:
                 spark.sql("SELECT '' RLIKE :regex", args={"regex": regex}).collect()
             except Exception as exc:
-                raise ValueError(f"invalid regex '{regex}': {exc}") from exc
+                raise ValueError(f"not a regular expression: {regex}") from exc
     return regexes
 
 

@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logharbor.functions import headers as H
 from logharbor.functions.text import matches_any, regex_list
 from logharbor.operators.asof import first_at_or_after
 from logharbor.operators.positional import BLOCK, block_start
-from logharbor.operators.restore import source_offsets
 from logharbor.schemas import (
     ALREADY_RESTORED,
     IN_PROGRESS,
@@ -19,7 +19,7 @@ from logharbor.schemas import (
     SKIPPED,
     TP,
 )
-from logharbor.shared import broadcastable, staged
+from logharbor.shared import staged
 
 ENTRY = ["group_id", "topic", "partition"]
 
@@ -158,21 +158,21 @@ def _partition_tips(blocks: DataFrame) -> DataFrame:
 def _restored_log(log: DataFrame, entries: DataFrame, topic_prefix: str) -> DataFrame:
     """Source and target offsets of the partitions entries ask for, under source topic names.
 
-    The partitions asked for narrow the log only while their list is small enough to be
-    broadcast; beyond that the log is not shuffled by partition just to leave some out.
+    Other partitions leave before any header is read; Catalyst broadcasts their list if it is small.
     """
-    narrow = (
-        source_offsets(log)
-        .where(F.col("topic").startswith(topic_prefix))
-        .select(
-            F.substr(F.col("topic"), F.lit(len(topic_prefix) + 1)).alias("topic"),
-            "partition",
-            "offset",
-            "source_offset",
-        )
+    named = log.where(F.col("topic").startswith(topic_prefix)).withColumn(
+        "topic", F.substr(F.col("topic"), F.lit(len(topic_prefix) + 1))
+    )
+    asked = staged(entries.select(*TP).distinct(), "asked-partitions").withColumn(
+        "_asked", F.col("partition")
     )
-    asked = staged(entries.select(*TP).distinct(), "asked-partitions")
-    return narrow.join(asked, TP, "left_semi") if broadcastable(asked) else narrow
+    rows = named.join(asked, TP)
+    if "source_offset" in rows.columns:
+        source = F.col("source_offset")
+    else:
+        # tied to the join's column, so that no filter on it can move below the join
+        source = F.when(F.col("_asked") == F.col("partition"), H.source_offset(F.col("headers")))
+    return rows.select(*TP, "offset", source.alias("source_offset"))
 
 
 def _readiness(entries: DataFrame, tips: DataFrame) -> DataFrame:

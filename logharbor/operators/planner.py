@@ -146,12 +146,18 @@ class ResumePoint:
 
 
 def plan_records(
-    listed: DataFrame, order: DataFrame, prefix: str = "", resume: ResumePoint | None = None
+    listed: DataFrame,
+    order: DataFrame,
+    prefix: str = "",
+    resume: ResumePoint | None = None,
+    tips: DataFrame | None = None,
 ) -> DataFrame:
     """Plan records in plan order; with ``resume`` only those behind the resume point.
 
     ``file_index`` is the 1-based number of the file in its partition, counted on from
-    the resume point; ``plan_seq`` numbers the plan, counted on likewise.
+    the resume point; ``plan_seq`` numbers the plan, counted on likewise.  With ``tips``
+    (:func:`folder_tips` of the earlier plan) each folder goes on behind its own last
+    planned file, so what a broken append lost before the resume point comes first.
     """
     files = (
         listed.where(P.is_parseable(F.col("path")))
@@ -160,7 +166,18 @@ def plan_records(
     )
     seed = F.lit(0)
     first_seq = 0
-    if resume is not None:
+    if resume is not None and tips is not None:
+        # joined by the folder's names, one row each; a folder without a tip starts anew
+        tips = staged(tips, "folder-tips")
+        files = (
+            files.join(tips, ["topic", "partition"], "left")
+            .where(F.col("last_path").isNull() | (F.col("path") > F.col("last_path")))
+            .withColumn("_seed", F.coalesce("last_index", F.lit(0)))
+            .drop("last_path", "last_index")
+        )
+        seed = F.col("_seed")
+        first_seq = resume.plan_seq + 1
+    elif resume is not None:
         files = files.where(
             (F.col("rank") > resume.rank)
             | ((F.col("rank") == resume.rank) & (F.col("path") > resume.file))
@@ -185,6 +202,7 @@ def plan_records(
     )
     per_run = per_partition.groupBy(*run).agg(F.sum("_n").alias("_n"))
     per_topic = per_run.groupBy("rank").agg(F.sum("_n").alias("_n"))
+    # one row per topic, as many as the fingerprint's list already holds
     topics_before = W.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
     per_topic = per_topic.select(
         "rank", F.coalesce(F.sum("_n").over(topics_before), F.lit(0)).alias("_topic_at")
@@ -226,6 +244,25 @@ def latest_plan_records(plan: DataFrame) -> DataFrame:
     return plan.join(newest, ["key", "plan_seq"])
 
 
+def folder_tips(plan: DataFrame) -> DataFrame:
+    """Last planned file of every topic partition and its number."""
+    return plan.groupBy("topic", "partition").agg(
+        F.max("value").alias("last_path"),
+        F.max(F.coalesce(F.col("file_index"), F.lit(0))).alias("last_index"),
+    )
+
+
+def plan_holes(plan: DataFrame) -> DataFrame:
+    """Folders whose plan records are numbered further than there are records: some were lost."""
+    return (
+        plan.groupBy("topic", "partition")
+        .agg(
+            F.count_distinct("value").alias("planned"), F.max("file_index").alias("last_index")
+        )
+        .where(F.col("last_index") > F.col("planned"))
+    )
+
+
 def resume_point(latest: DataFrame, order: DataFrame) -> DataFrame:
     """At most one row: the greatest file of the last topic, in current order, that was planned."""
     per_topic = (
@@ -265,11 +302,17 @@ def checked_resume(plan: DataFrame | None, order: DataFrame) -> ResumePoint | No
     if row is None:
         if plan.isEmpty() or order.isEmpty():
             return None
-        raise ValueError("the prior plan used a different set of topics: none of them is selected now")
+        raise ValueError("cannot go on from this plan: no topic it names is selected any more")
     if row["topics_sha"] != row["current_sha"]:
         raise ValueError(
-            "topics SHA mismatch: the prior plan run used a different set of topics "
-            f"(recorded SHA {row['topics_sha']}, current SHA {row['current_sha']})"
+            f"cannot go on from this plan: it was made for a topic list with fingerprint "
+            f"{row['topics_sha']}, the list selected now has {row['current_sha']}"
+        )
+    hole = plan_holes(plan).first()
+    if hole is not None:
+        raise ValueError(
+            f"cannot go on from this plan: folder {hole['topic']}/{hole['partition']} has "
+            f"{hole['planned']} records but is numbered up to {hole['last_index']}"
         )
     return ResumePoint(**{name: row[name] for name in ResumePoint.__dataclass_fields__})
 

@@ -60,17 +60,38 @@ def exclude_files(plan: DataFrame, exclude: str = "") -> DataFrame:
     return plan.where(~F.coalesce(matches_any(topic, regex_list(exclude)), F.lit(False)))
 
 
+def planned_partitions(plan: DataFrame, topic_prefix: str = "", exclude: str = "") -> DataFrame:
+    """Target partitions a plan writes to, under their restored names."""
+    return (
+        planned_files(exclude_files(plan, exclude), strict=False)
+        .where(F.col("partition").isNotNull())
+        .select(F.concat(F.lit(topic_prefix), F.col("topic")).alias("topic"), "partition")
+        .distinct()
+    )
+
+
+def planned_target(
+    target: DataFrame, plan: DataFrame, topic_prefix: str = "", exclude: str = ""
+) -> DataFrame:
+    """The part of a target log that lies in partitions the plan writes to."""
+    wanted = staged(planned_partitions(plan, topic_prefix, exclude), "planned-partitions")
+    return target.join(wanted, TP, "left_semi")
+
+
 def existing_data_violations(target: DataFrame) -> DataFrame:
     """Newest records of target partitions that no restore has written."""
     return latest_records(target).where(~F.map_contains_key("headers", SOURCE_OFFSET_HEADER))
 
 
 def target_progress(target: DataFrame) -> DataFrame:
-    """Per target partition: source offset of its newest record (-1 without header) and next offset."""
-    marked = source_offsets(target)
-    return marked.groupBy(*TP).agg(
-        F.max_by("source_offset", "offset").alias("last_source_offset"),
-        (F.max("offset") + 1).alias("next_offset"),
+    """Per target partition: source offset of its newest record (-1 without header) and next offset.
+
+    Only the newest records' headers are read, so an older bad one does no harm.
+    """
+    return source_offsets(latest_records(target)).select(
+        *TP,
+        F.col("source_offset").alias("last_source_offset"),
+        (F.col("offset") + 1).alias("next_offset"),
     )
 
 
@@ -97,23 +118,48 @@ def last_restored_offset(files: DataFrame, progress: DataFrame | None, topic_pre
     )
 
 
-def planned_files(plan: DataFrame) -> DataFrame:
-    """Each planned file once, at its first place in the plan, with a numeric partition."""
+def planned_files(plan: DataFrame, strict: bool = True) -> DataFrame:
+    """Each planned file once, at its first place in the plan, with a numeric partition.
+
+    A partition folder that is no number raises, or gives null without ``strict``.
+    """
+    partition = P.part_from_end(F.col("path"), 2)
     return (
         plan.groupBy(F.col("value").alias("path"))
         .agg(F.min("plan_seq").alias("plan_seq"))
         .withColumn("topic", P.part_from_end(F.col("path"), 3))
-        .withColumn("partition", P.part_from_end(F.col("path"), 2).cast("int"))
+        .withColumn("partition", partition.cast("int") if strict else partition.try_cast("int"))
+    )
+
+
+def missing_files(
+    plan: DataFrame, present: DataFrame, exclude: str = ""
+) -> DataFrame:
+    """Planned files that cannot be read: path, plan_seq and whether the path is bad or absent.
+
+    ``present`` has the paths that exist: a listing or manifest, or the rows of the
+    archive, where a file without rows counts as absent.
+    """
+    path = F.col("path")
+    good = P.is_parseable(path) & F.col("partition").isNotNull() & (P.offset_in_name(path) >= 0)
+    there = present.select(path.alias("_present")).distinct()
+    return (
+        planned_files(exclude_files(plan, exclude), strict=False)
+        .withColumn("good", F.coalesce(good, F.lit(False)))
+        .join(there, path == F.col("_present"), "left")
+        .where(~F.col("good") | F.col("_present").isNull())
+        .select("path", "plan_seq", F.when(F.col("good"), "absent").otherwise("bad path").alias("reason"))
     )
 
 
 def planned_blocks(plan: DataFrame, archive: DataFrame, width: int = BLOCK) -> DataFrame:
     """Per planned file and block of its offsets: rows, first and last offset.
 
-    Reads two narrow columns of the archive.
+    Reads two narrow columns of the archive, of planned files only.
     """
     return (
-        archive.groupBy("path", block_start(F.col("offset"), width).alias("_block"))
+        archive.join(plan.select(F.col("value").alias("path")).distinct(), "path", "left_semi")
+        .groupBy("path", block_start(F.col("offset"), width).alias("_block"))
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.min("offset").alias("first"),
@@ -200,6 +246,10 @@ def restore_rows(
     once, shuffled by file and offset block, which serves both the lookup of the
     floor and the numbering and keeps any file or partition spread out.
     """
+    # what the plan leaves out stays behind at the scan
+    if exclude:
+        left_out = matches_any(P.part_from_end(F.col("path"), 3), regex_list(exclude))
+        archive = archive.where(~F.coalesce(left_out, F.lit(False)))
     archive = archive.withColumn("_block", block_start(F.col("offset"), width))
     _, placed = _placed_blocks(exclude_files(plan, exclude), archive, progress, topic_prefix, width)
     order = W.partitionBy("path", "_block").orderBy("offset", "timestamp", "key", "value")

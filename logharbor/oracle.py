@@ -11,7 +11,7 @@ _CTES: dict[str, str] = {
                CAST(rn + 100 * (user_id % 3) AS BIGINT) AS off, CAST(rn // 37 AS BIGINT) AS batch_no,
                CAST(user_id AS VARCHAR) AS k, props AS v, CAST(event_id AS VARCHAR) AS h,
                epoch_us(ts) // 1000 AS ms, ts, user_id,
-               CAST(strlen(CAST(user_id AS VARCHAR)) + strlen(props) + strlen('test-header')
+               CAST(strlen(CAST(user_id AS VARCHAR)) + strlen(props) + strlen('origin-id')
                     + strlen(CAST(event_id AS VARCHAR)) + strlen('event-type') + strlen(event_type) AS BIGINT) AS bytes
         FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id % 3 ORDER BY event_id) - 1 AS rn
               FROM events)""",
@@ -70,6 +70,8 @@ _CTES: dict[str, str] = {
                count(*) OVER () AS total
         FROM files""",
     "earlier": "SELECT * FROM plan WHERE plan_seq < total * 3 // 5",
+    "folders": """
+        SELECT topic, part, row_number() OVER (ORDER BY min(plan_seq)) AS no FROM earlier GROUP BY topic, part""",
     "floors": """
         SELECT path, topic, part, file_off, n, coalesce(max(last_off) OVER (PARTITION BY topic, part ORDER BY path
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS floor_off
@@ -140,7 +142,7 @@ def _translated(entries: str, log: str, floor: str = "0") -> str:
 
 _TP = 'topic, part AS "partition"'
 _OUT = _TP + ', off AS "offset"'
-_READABLE = f"{_OUT}, src AS source_offset, ms AS \"timestamp\", k AS key, v AS value, h AS test_header, CAST(src AS VARCHAR) AS stamp"
+_READABLE = f"{_OUT}, src AS source_offset, ms AS \"timestamp\", k AS key, v AS value, h AS origin_id, CAST(src AS VARCHAR) AS stamp"
 _MANIFEST = f"{_TP}, first_off AS first_offset, last_off AS last_offset, n AS rows, bytes, closed, path"
 
 _LEFTOVERS = """
@@ -171,7 +173,7 @@ def _restore_again(done: str) -> str:
         WITH held AS (SELECT topic, part, max(off) + 1 AS nxt, max(src) AS last_src FROM {done} GROUP BY topic, part)
         SELECT 'r.' || a.topic AS topic, a.part AS "partition",
                CAST(coalesce(held.nxt, 0) + row_number() OVER (PARTITION BY a.topic, a.part ORDER BY a.path, a.off) - 1 AS BIGINT) AS "offset",
-               a.off AS source_offset, a.ms AS "timestamp", a.k AS key, a.v AS value, a.h AS test_header,
+               a.off AS source_offset, a.ms AS "timestamp", a.k AS key, a.v AS value, a.h AS origin_id,
                CAST(a.off AS VARCHAR) AS stamp
         FROM arch a JOIN floors f ON f.path = a.path
         LEFT JOIN held ON held.topic = 'r.' || a.topic AND held.part = a.part
@@ -194,7 +196,7 @@ _SQL: dict[str, str] = {
     "list_topics": "SELECT DISTINCT topic FROM listed",
     "list_objects": "SELECT topic, path, length FROM listed",
     "latest_record_per_partition": f"""
-        SELECT {_OUT}, k AS key, v AS value, h AS test_header
+        SELECT {_OUT}, k AS key, v AS value, h AS origin_id
         FROM rec QUALIFY row_number() OVER (PARTITION BY topic, part ORDER BY off DESC) = 1""",
     "latest_record_of_partitions": f"""
         SELECT {_OUT}, k AS key, v AS value FROM rec WHERE topic = 'view' AND part IN (0, 2)
@@ -210,13 +212,13 @@ _SQL: dict[str, str] = {
     "archive_rows": f"""
         SELECT {_OUT}, ms AS "timestamp", k AS key, v AS value,
                CAST(2 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_headers,
-               CASE WHEN event_id % 5 = 0 THEN 'dup-' || h ELSE h END AS test_header, topic AS event_type,
+               CASE WHEN event_id % 5 = 0 THEN 'dup-' || h ELSE h END AS origin_id, topic AS event_type,
                CASE WHEN event_id % 7 = 0 THEN '' END AS note
         FROM rec""",
     "duplicate_headers": f"SELECT {_OUT} FROM rec WHERE event_id % 5 = 0",
     "record_from_archive": f"""
         SELECT {_OUT}, strftime(make_timestamp(ms * 1000), '%Y-%m-%d %H:%M:%S.%g') AS "time",
-               'event-type,test-header' AS header_keys, topic || ',' || h AS header_values FROM rec""",
+               'event-type,origin-id' AS header_keys, topic || ',' || h AS header_values FROM rec""",
     "row_size": f"SELECT {_OUT}, bytes FROM rec",
     "poll_batches": f"""
         SELECT {_TP}, batch_no, n AS rows, bytes, first_off AS first_offset, last_off AS last_offset FROM polls""",
@@ -293,6 +295,19 @@ _SQL: dict[str, str] = {
         FROM files f JOIN chosen c ON c.topic = f.topic""",
     "plan_write": """
         SELECT plan_seq, regexp_replace(path, '[^/]*$', '') AS key, path AS value, file_index FROM plan""",
+    "plan_resume_holes": """
+        SELECT lost, CAST((SELECT max(plan_seq) FROM earlier)
+                    + row_number() OVER (PARTITION BY lost ORDER BY plan_seq) AS BIGINT) AS plan_seq,
+               path AS value, file_index
+        FROM (SELECT k.lost, p.* FROM plan p, (SELECT unnest(['folder', 'tail']) AS lost) k
+              WHERE p.plan_seq >= p.total * 3 // 5
+                 OR (k.lost = 'folder' AND (p.topic, p.part) IN (SELECT (topic, part) FROM folders WHERE no = 1))
+                 OR (k.lost = 'tail' AND p.file_index > 2
+                     AND (p.topic, p.part) IN (SELECT (topic, part) FROM folders WHERE no = 2)))""",
+    "plan_from_wire": """
+        SELECT regexp_replace(path, '[^/]*$', '') AS key, path AS value, topic, part AS "partition", file_index,
+               sha AS topics_sha FROM plan""",
+    "list_written_objects": f"SELECT DISTINCT {_TP}, CAST(1 AS BIGINT) AS files FROM kept",
     "plan_resume_point": f"""
         SELECT topic, path AS file, file_index, sha AS topics_sha, plan_seq FROM ({_RESUME})""",
     "plan_sha_guard": "SELECT DISTINCT topic, true AS accepted, true AS refused FROM listed",
@@ -313,7 +328,7 @@ _SQL: dict[str, str] = {
     "restore_exclude": """
         SELECT plan_seq, path AS value FROM plan WHERE NOT regexp_matches(topic, 'ror$|^vi')""",
     "header_lookup": f"""
-        SELECT {_OUT}, h AS test_header, event_id % 7 = 0 AS has_note, false AS has_absent FROM rec""",
+        SELECT {_OUT}, h AS origin_id, event_id % 7 = 0 AS has_note, false AS has_absent FROM rec""",
     "source_offset": f"""
         SELECT {_OUT}, src AS source_offset FROM rest UNION ALL SELECT {_OUT}, -1 FROM rec""",
     "stamp_source_offset": f"""
@@ -341,6 +356,13 @@ _SQL: dict[str, str] = {
               GROUP BY topic, part, sha) e
         JOIN (SELECT topic, part, count(*) AS files FROM plan GROUP BY topic, part) t
             ON t.topic = e.topic AND t.part = e.part""",
+    "restore_missing_files": """
+        SELECT path, min(plan_seq) AS plan_seq, reason
+        FROM (SELECT regexp_replace(path, '[^/]*$', '') || n.name AS path, plan_seq, n.reason
+              FROM plan, (SELECT unnest(['absent-0-0000000000000000001.avro', 'notes.txt']) AS name,
+                                 unnest(['absent', 'bad path']) AS reason) n
+              WHERE plan_seq % 10 = 0) GROUP BY path, reason""",
+    "restore_write": f"SELECT {_OUT}, src AS source_offset, v AS value FROM rest",
     "restore_skipped_rows": _SKIPPED,
     "empty_partitions": f"SELECT {_TP} FROM marks WHERE start_off = end_off",
     "valid_group_offsets": f"""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from logharbor.operators import archive as A
 from logharbor.operators import groups as G
@@ -13,7 +15,7 @@ from logharbor.operators import restore as R
 from logharbor.operators.rolling import roll_segments
 from logharbor.schemas import LARGE_TOPIC_MB, MIN_SEGMENT_BYTES, POLL_RECORDS
 from logharbor.shared import staged
-from logharbor.streaming.jobs import refuse_existing_data
+from logharbor.streaming.jobs import refuse_existing_data, refuse_missing_files
 
 
 @dataclass(frozen=True)
@@ -64,24 +66,36 @@ def plan_restore(
     sizes = PL.topic_sizes(counted)
     order = PL.topic_order(topics, sizes, large_last, large_mb)
     resume = PL.checked_resume(previous_plan, order)
-    return Planned(PL.plan_records(listed, order, prefix, resume), order, counted)
+    tips = None if resume is None else PL.folder_tips(previous_plan)
+    return Planned(PL.plan_records(listed, order, prefix, resume, tips), order, counted)
 
 
 def restore_log(
     plan: DataFrame,
-    archive: DataFrame,
+    archive: DataFrame | Callable[[DataFrame], DataFrame],
     target: DataFrame | None = None,
     topic_prefix: str = "",
     exclude: str = "",
     fail_on_existing: bool = True,
+    fail_on_missing: bool = True,
+    listing: DataFrame | None = None,
 ) -> DataFrame:
     """Rows to append to the target log.
 
-    With ``fail_on_existing`` all target partitions are checked before anything is
-    restored; one that ends with a foreign record stops the job.
+    ``archive`` is the archive, or a function that reads only given files of it, such as
+    ``lambda files: read_archive(spark, root, files=files)``.  With ``fail_on_existing``
+    all planned partitions of the target are checked before anything is restored; one
+    that ends with a foreign record stops the job.  With ``fail_on_missing`` so does a
+    planned file that is absent or badly named; ``listing`` (paths) tells files
+    without rows from absent ones.
     """
+    if callable(archive):
+        archive = archive(R.exclude_files(plan, exclude).select(F.col("value").alias("path")))
+    if fail_on_missing:
+        refuse_missing_files(plan, archive if listing is None else listing, exclude)
     progress = None
     if target is not None:
+        target = R.planned_target(target, plan, topic_prefix, exclude)
         if fail_on_existing:
             refuse_existing_data(target)
         progress = staged(R.target_progress(target), "target-progress")

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -32,7 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _open_jobs:
+        _open_jobs[-1].append(path)
+    return path
 
 
 def written_folders(spark: SparkSession, path: str) -> list[str]:
@@ -44,11 +49,26 @@ def written_folders(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in files.listStatus(folder)]
 
 
-def broadcastable(table: DataFrame) -> bool:
-    """Whether Catalyst will broadcast this staged table by its measured size."""
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    limit = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return size <= limit
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+_open_jobs: list[list[str]] = []
+
+
+@contextmanager
+def job_tables(spark: SparkSession) -> Iterator[None]:
+    """Own the tables staged inside the block: they are removed when it ends.
+
+    Results that read them must be written or counted before.
+    """
+    _open_jobs.append([])
+    try:
+        yield
+    finally:
+        for path in _open_jobs.pop():
+            remove_folder(spark, path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from logharbor.functions import headers as H
 from logharbor.functions import paths as P
-from logharbor.functions.text import split_and_trim
-from logharbor.operators.positional import BLOCK
+from logharbor.functions.text import matches_any, regex_list, split_and_trim
+from logharbor.operators.positional import BLOCK, block_start
 from logharbor.schemas import (
     FILE_INDEX_HEADER,
     GROUPS,
@@ -29,7 +29,7 @@ from logharbor.schemas import (
     TOPICS_SHA_HEADER,
     TP,
 )
-from logharbor.shared import staged
+from logharbor.shared import remove_folder, staged, written_folders
 
 TIMESTAMP_HEADER = "logharbor.timestamp-ms"
 _SEGMENT = T.StructField("segment", T.LongType())
@@ -81,8 +81,8 @@ def stream_log(
 
 
 def write_feed(part: DataFrame, path: str) -> None:
-    """Append part of a log or plan as one file, the unit ``maxFilesPerTrigger`` counts."""
-    part.coalesce(1).write.mode("append").parquet(path)
+    """Append part of a log or plan, as many files as it has tasks."""
+    part.write.mode("append").parquet(path)
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -121,14 +121,18 @@ def read_archive(
     prefix: str = "",
     fmt: str = "parquet",
     files: DataFrame | None = None,
+    exclude: str = "",
 ) -> DataFrame:
     """Archive rows with the object ``path`` of their segment.
 
     With ``files`` (a ``path`` column) only these segments are read: the folder columns
     are join keys, so Spark leaves out the folders of other partitions at run time.
+    Folders of topics that match ``exclude`` are not listed for reading at all.
     """
     schema = T.StructType([*RECORD.fields, _SEGMENT, *_FOLDERS])
     rows = spark.read.format(fmt).schema(schema).load(root)
+    if exclude:
+        rows = rows.where(~matches_any(F.col("p_topic"), regex_list(exclude)))
     if files is not None:
         path = F.col("path")
         wanted = files.where(path != "").select(
@@ -152,26 +156,46 @@ def _relative(path: Column, root: str, prefix: str) -> Column:
     return F.concat(F.lit(P.normalize_prefix(prefix)), below)
 
 
+def _topic_folders(spark: SparkSession, root: str, topics: set[str] | None = None) -> list[str]:
+    """Topic folders below ``root``, or those of them that are asked for."""
+    there = [n for n in written_folders(spark, root) if not n.startswith((".", "_"))]
+    return [f"{root.rstrip('/')}/{n}" for n in there if topics is None or n in topics]
+
+
 def read_objects(
     spark: SparkSession, root: str, prefix: str = "", fmt: str = "avro", files: DataFrame | None = None
 ) -> DataFrame:
-    """Rows of an archive of plain objects, with the ``path`` of their object."""
+    """Rows of an archive of plain objects, with the ``path`` of their object.
+
+    With ``files`` only the folders of their topics are listed and read; the topic names,
+    which every plan's fingerprint holds as one list, are gathered for that.
+    """
+    if files is not None:
+        files = staged(files.select("path").distinct(), "files")
+        names = files.select(P.part_from_end(F.col("path"), 3).alias("topic")).distinct().collect()
+        folders = _topic_folders(spark, root, {r["topic"] for r in names})
+        if not folders:
+            schema = T.StructType([*RECORD.fields, T.StructField("path", T.StringType())])
+            return spark.createDataFrame([], schema)
     rows = (
         spark.read.format(fmt)
         .schema(RECORD)
         .option("recursiveFileLookup", "true")
-        .load(root)
+        .load(root if files is None else folders)
         .withColumn("path", _relative(F.col("_metadata.file_path"), root, prefix))
     )
-    return rows if files is None else rows.join(staged(files.select("path"), "files"), "path", "left_semi")
+    return rows if files is None else rows.join(files, "path", "left_semi")
 
 
 def list_objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
-    """Objects below ``root``: path and length. Names and sizes only, no content is read."""
+    """Objects below ``root``: path and length. Names and sizes only, no content is read.
+
+    Each topic folder is a path of its own, so Spark spreads a long listing over tasks.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .load(root)
+        .load(_topic_folders(spark, root) or root)
         .select(_relative(F.col("path"), root, prefix).alias("path"), "length")
     )
 
@@ -185,9 +209,7 @@ def write_plan(plan: DataFrame, path: str, fmt: str = "parquet", **options: str)
     """Append plan records; records of one key stay together and in order."""
     ordered = plan.repartition("key").sortWithinPartitions("plan_seq")
     if fmt == "kafka":
-        ordered.select(
-            F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), plan_headers()
-        ).write.format("kafka").options(**options).save()
+        plan_to_wire(ordered).write.format("kafka").options(**options).save()
     else:
         ordered.write.format(fmt).mode("append").save(path)
 
@@ -202,6 +224,36 @@ def plan_headers() -> Column:
     ).alias("headers")
 
 
+def plan_to_wire(plan: DataFrame) -> DataFrame:
+    """Plan records as Kafka carries them: key, value and the two headers."""
+    return plan.select(
+        F.col("key").cast("binary").alias("key"),
+        F.col("value").cast("binary").alias("value"),
+        plan_headers(),
+    )
+
+
+def plan_from_wire(records: DataFrame) -> DataFrame:
+    """Plan records read back from Kafka rows (key, value, headers, partition, offset).
+
+    Records of one key share a partition of the plan topic, so offset and then partition
+    order every folder's files as they were planned.  A header that is absent or not a
+    number gives null.
+    """
+    value = F.col("value").cast("string")
+    index = H.first_value_of(F.col("headers"), FILE_INDEX_HEADER).cast("string")
+    places = 1 << 16
+    return records.select(
+        (F.col("offset") * places + F.col("partition")).cast("bigint").alias("plan_seq"),
+        F.col("key").cast("string").alias("key"),
+        value.alias("value"),
+        P.part_from_end(value, 3).alias("topic"),
+        P.part_from_end(value, 2).alias("partition"),
+        index.try_cast("bigint").alias("file_index"),
+        H.first_value_of(F.col("headers"), TOPICS_SHA_HEADER).cast("string").alias("topics_sha"),
+    )
+
+
 def read_plan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PLAN).parquet(path)
 
@@ -219,12 +271,17 @@ def kafka_rows(restored: DataFrame) -> DataFrame:
 
 
 def write_topics(
-    restored: DataFrame, path: str = "", fmt: str = "parquet", mode: str = "append", **options: str
+    restored: DataFrame,
+    path: str = "",
+    fmt: str = "parquet",
+    mode: str = "append",
+    run: int = BLOCK,
+    **options: str,
 ) -> None:
     """Write restored rows: into folders per topic and partition, or to Kafka.
 
-    Files need no second shuffle: rows arrive in runs of one file block and the target
-    offset is a column.  Kafka appends in arrival order, so there a partition's rows
+    Files are clustered by runs of target offsets, so their number follows the data and
+    not the tasks, and a hot partition is written by many tasks.  Kafka appends in arrival order, so there a partition's rows
     must come from one task, in order.
     """
     if fmt == "kafka":
@@ -233,6 +290,9 @@ def write_topics(
         return
     (
         _placed(restored)
+        .withColumn("_run", block_start(F.col("offset"), run))
+        .repartition(*_FOLDER_NAMES, "_run")
+        .drop("_run")
         .sortWithinPartitions(*_FOLDER_NAMES, "offset")
         .write.format(fmt)
         .mode(mode)
@@ -249,10 +309,29 @@ def read_topics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).drop(*_FOLDER_NAMES)
 
 
-def write_snapshot(snapshot: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Replace the group snapshot; an empty one is valid too."""
-    snapshot.write.format(fmt).mode("overwrite").option("compression", "zstd").save(path)
+def _snapshot_versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete versions of a snapshot, oldest first."""
+    names = sorted(n for n in written_folders(spark, path) if n.startswith("version-"))
+    return [n for n in names if "_SUCCESS" in written_folders(spark, f"{path}/{n}")]
+
+
+def write_snapshot(snapshot: DataFrame, path: str, fmt: str = "parquet", keep: int = 2) -> None:
+    """Write a new version of the group snapshot; an empty one is valid too.
+
+    A version counts once Spark has committed it, so there is a whole snapshot at any
+    time.  The newest ``keep`` versions stay.
+    """
+    spark = snapshot.sparkSession
+    before = [n for n in written_folders(spark, path) if n.startswith("version-")]
+    number = max((int(n.removeprefix("version-")) for n in before), default=0) + 1
+    snapshot.write.format(fmt).option("compression", "zstd").save(f"{path}/version-{number:012d}")
+    for name in _snapshot_versions(spark, path)[:-keep]:
+        remove_folder(spark, f"{path}/{name}")
 
 
 def read_snapshot(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).schema(GROUPS).load(path)
+    """The newest complete version."""
+    versions = _snapshot_versions(spark, path)
+    if not versions:
+        raise ValueError(f"no complete snapshot below {path}")
+    return spark.read.format(fmt).schema(GROUPS).load(f"{path}/{versions[-1]}")

@@ -19,7 +19,7 @@ from logharbor.operators import archive as A
 from logharbor.operators import restore as R
 from logharbor.operators.rolling import CHUNK, roll_segments
 from logharbor.schemas import MIN_SEGMENT_BYTES, PLAN, POLL_RECORDS, RECORD, TP
-from logharbor.shared import staged, written_folders
+from logharbor.shared import remove_folder, staged, written_folders
 from logharbor.sources import storage as S
 
 _POLL = T.StructType(
@@ -88,6 +88,7 @@ class ArchiveStream:
         )
         polls = self._open_polls(spark, round_no).unionByName(fresh.select(*_POLL.names))
         self._publish(spark, staged(polls, "polls"), round_no, flush=False)
+        self.drop_published_spool(spark)
 
     def flush(self, spark: SparkSession) -> None:
         """Publish the open segments too, whatever their size."""
@@ -103,15 +104,17 @@ class ArchiveStream:
         self.archive_batch(staged(rows, "again"), round_no // 2)
 
     def drop_published_spool(self, spark: SparkSession) -> None:
-        """Remove spool rounds all of whose rows are published."""
+        """Remove spool rounds all of whose rows are published, and states that were superseded."""
         states = _written_rounds(spark, self.root, "state")
         if not states:
             return
         kept = self._open_polls(spark, states[-1] + 1).agg(F.min("round")).first()[0]
         for round_no in _written_rounds(spark, self.root, "spool")[:-1]:
             if kept is None or round_no < kept:
-                folder = spark._jvm.org.apache.hadoop.fs.Path(_folder(self.root, "spool", round_no))
-                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+                remove_folder(spark, _folder(self.root, "spool", round_no))
+        # a micro-batch that runs again needs the state before its own
+        for round_no in states[:-3]:
+            remove_folder(spark, _folder(self.root, "state", round_no))
 
     def _publish(self, spark: SparkSession, batches: DataFrame, round_no: int, flush: bool) -> None:
         # poll numbers may repeat across rounds when a poll was cut by a micro-batch
@@ -181,6 +184,7 @@ class RestoreStream:
     topic_prefix: str = ""
     exclude: str = ""
     fail_on_existing: bool = True
+    fail_on_missing: bool = True
 
     def run(self, plan: DataFrame) -> None:
         query = (
@@ -193,11 +197,13 @@ class RestoreStream:
 
     def restore_round(self, plan: DataFrame, round_no: int) -> None:
         spark = plan.sparkSession
-        progress = self._progress(spark, round_no)
+        plan = staged(plan, "plan-round")
+        progress = self._progress(spark, plan, round_no)
         files = R.exclude_files(plan, self.exclude).select(F.col("value").alias("path"))
-        rows = R.restore_rows(
-            plan, self.archive(files), progress, self.topic_prefix, self.exclude
-        ).drop("path")
+        archive = self.archive(files)
+        if self.fail_on_missing:
+            refuse_missing_files(plan, archive, self.exclude)
+        rows = R.restore_rows(plan, archive, progress, self.topic_prefix, self.exclude).drop("path")
         written = _put(rows, self.root, "target", round_no)
         moved = R.restore_progress(written)
         if progress is not None:
@@ -211,27 +217,42 @@ class RestoreStream:
             )
         _put(moved, self.root, "progress", round_no)
 
-    def _progress(self, spark: SparkSession, round_no: int) -> DataFrame | None:
+    def _progress(self, spark: SparkSession, plan: DataFrame, round_no: int) -> DataFrame | None:
+        """Progress of earlier rounds; partitions planned for the first time are read from the target."""
         earlier = [r for r in _written_rounds(spark, self.root, "progress") if r < round_no]
-        if earlier:
-            return spark.read.parquet(_folder(self.root, "progress", earlier[-1]))
+        known = spark.read.parquet(_folder(self.root, "progress", earlier[-1])) if earlier else None
         if self.target is None:
-            return None
+            return known
+        mine = R.planned_target(self.target, plan, self.topic_prefix, self.exclude)
+        if known is not None:
+            mine = mine.join(known, TP, "left_anti")
         if self.fail_on_existing:
-            refuse_existing_data(self.target)
-        return staged(R.target_progress(self.target), "target-progress")
+            refuse_existing_data(mine)
+        fresh = staged(R.target_progress(mine), "target-progress")
+        return fresh if known is None else known.unionByName(fresh)
 
     def restored(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.root}/target").drop("round_no")
 
 
 def refuse_existing_data(target: DataFrame) -> None:
-    """Raise if a target partition ends with a record that no restore has written."""
+    """Raise if a partition of this (part of a) target ends with a record that no restore has written."""
     found = R.existing_data_violations(target).select(*TP, "offset").first()
     if found is not None:
         raise ValueError(
-            f"refusing to restore into topic {found['topic']} partition {found['partition']}: "
-            f"the record at offset {found['offset']} was not written by a previous restore"
+            f"{found['topic']}/{found['partition']} holds other data: its newest record, at offset "
+            f"{found['offset']}, has no source offset"
+        )
+
+
+def refuse_missing_files(plan: DataFrame, present: DataFrame, exclude: str = "") -> None:
+    """Raise if the plan names files that are absent or badly named."""
+    missing = staged(R.missing_files(plan, present, exclude), "missing-files")
+    first = missing.orderBy("plan_seq").limit(1).collect()
+    if first:
+        raise ValueError(
+            f"{missing.count()} planned files cannot be restored, the first of them is "
+            f"{first[0]['path']} ({first[0]['reason']})"
         )
 
 

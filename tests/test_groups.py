@@ -98,9 +98,14 @@ def test_equal_to_a_literal_search(spark, width):
     assert rows(got, "group_id", "partition", "restored_offset") == sorted(expected, key=key)
 
 
-def test_partition_list_beyond_its_bound(spark, monkeypatch):
-    monkeypatch.setattr(G, "broadcastable", lambda table: False)
-    assert translated(spark, list(range(10, 110)) + [115], 50) == ("exact", 40)
+def test_bad_header_in_a_partition_nobody_asked_for(spark):
+    headers = "topic string, partition int, offset bigint, headers map<string,binary>"
+    good = [("p.t", 0, i, {"restore.source-offset": str(i).encode()}) for i in range(5)]
+    bad = [("p.t", 1, 0, {"restore.source-offset": b"not a number"})]
+    log = spark.createDataFrame(good + bad, headers)
+    entries = spark.createDataFrame([("g", "t", 0, 4, 3)], ENTRIES)
+    got = G.translate_offsets(entries, log, "p.").first()
+    assert (got["case"], got["restored_offset"]) == ("exact", 4)
 
 
 def nested(spark, groups):

@@ -2,6 +2,7 @@ import hashlib
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from logharbor.operators import planner as PL
 
@@ -126,11 +127,36 @@ def test_resume_continues_where_the_plan_stops(spark, written):
     assert rows(rest) == rows(whole.where(f"plan_seq >= {written}"))
 
 
+def test_resume_plans_what_a_broken_append_lost(spark):
+    whole, order = planned(spark)
+    whole = spark.createDataFrame(whole.collect(), whole.schema)
+    listed = PL.list_objects(listing(spark, ARCHIVE), "vault")
+    earlier = whole.where("plan_seq < 40")
+    folders = [r["key"] for r in earlier.groupBy("key").agg({"plan_seq": "min"}).orderBy("min(plan_seq)").collect()]
+    for lost in (F.col("key") == folders[0], (F.col("key") == folders[1]) & (F.col("file_index") > 1)):
+        left = earlier.where(~lost)
+        resume = PL.checked_resume(left, order)
+        again = PL.plan_records(listed, order, "vault", resume, PL.folder_tips(left))
+        wanted = whole.where(lost | (F.col("plan_seq") >= 40))
+        assert rows(again, "value", "file_index") == rows(wanted, "value", "file_index")
+        first = again.orderBy("plan_seq").first()
+        assert first["plan_seq"] == 40 and first["key"] in folders[:2]
+
+
+def test_resume_refuses_a_plan_with_lost_records(spark):
+    whole, order = planned(spark)
+    whole = spark.createDataFrame(whole.collect(), whole.schema)
+    folder = whole.where("file_index = 2").orderBy("plan_seq").first()["key"]
+    torn = whole.where(~((F.col("key") == folder) & (F.col("file_index") == 1)))
+    with pytest.raises(ValueError, match="is numbered up to"):
+        PL.checked_resume(torn, order)
+
+
 def test_resume_refuses_other_topics(spark):
     whole, _ = planned(spark)
-    with pytest.raises(ValueError, match="SHA mismatch"):
+    with pytest.raises(ValueError, match="another|was made for a topic list"):
         planned(spark, include="alpha,beta", resume_from=whole.where("topic = 'alpha'"))
-    with pytest.raises(ValueError, match="different set of topics"):
+    with pytest.raises(ValueError, match="no topic it names"):
         planned(spark, include="beta", resume_from=whole.where("topic = 'alpha'"))
 
 

@@ -130,12 +130,43 @@ def test_foreign_data_is_refused_or_allowed(spark):
     foreign = spark.createDataFrame(
         [("t", 0, 5, {"h": b"1"})], "topic string, partition int, offset bigint, headers map<string,binary>"
     )
-    with pytest.raises(ValueError, match="refusing to restore into topic t partition 0"):
+    with pytest.raises(ValueError, match="t/0 holds other data"):
         restore_log(plan, archive, foreign)
     got = restore_log(plan, archive, foreign, fail_on_existing=False)
     assert placed(got) == [("t", 0, 6, 0), ("t", 0, 7, 1)]
 
 
+def test_absent_and_badly_named_files_stop_a_restore(spark):
+    plan, archive = tables(spark, [("t", 0, 0, [0, 1])])
+    there = plan.first()["value"]
+    gone = there.replace("-0.avro", "-9.avro") if "-0.avro" in there else there[:-6] + "9.avro"
+    for name, reason in ((gone, "absent"), ("p/t/0/readme", "bad path"), ("p/t/x/t-x-0000000000000000001.avro", "bad path")):
+        more = plan.select("plan_seq", "value").unionByName(
+            spark.createDataFrame([(99, name)], "plan_seq bigint, value string").select(
+                F.col("plan_seq").cast(plan.schema["plan_seq"].dataType), "value"
+            )
+        )
+        assert rows(R.missing_files(more, archive)) == [(name, 99, reason)]
+        with pytest.raises(ValueError, match="1 planned files cannot be restored"):
+            restore_log(more, archive)
+    assert R.missing_files(plan, archive).isEmpty()
+    assert R.missing_files(more, archive, exclude="^t$").isEmpty()
+
+
+def test_unrelated_topics_and_old_headers_do_no_harm(spark):
+    plan, archive = tables(spark, [("t", 0, 0, [0, 1, 2])])
+    target = spark.createDataFrame(
+        [
+            ("unrelated", 0, 5, {"h": b"1"}),
+            ("r.t", 0, 0, {"restore.source-offset": b"broken"}),
+            ("r.t", 0, 1, {"restore.source-offset": b"1"}),
+        ],
+        "topic string, partition int, offset bigint, headers map<string,binary>",
+    )
+    assert placed(restore_log(plan, archive, target, topic_prefix="r.")) == [("r.t", 0, 2, 2)]
+    assert rows(R.target_progress(target.where("topic = 'r.t'"))) == [("r.t", 0, 1, 2)]
+
+
 def test_bad_partition_name_fails(spark):
     plan = spark.createDataFrame([(0, "p/t/x/t-x-0.avro")], "plan_seq bigint, value string")
     archive = spark.createDataFrame([("p/t/x/t-x-0.avro", "t", 0, 0, 0, b"", b"", {})], SCHEMA)

@@ -1,11 +1,14 @@
+import re
+
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from logharbor import archive_log, plan_restore, restore_log
 from logharbor.operators import archive as A
 from logharbor.operators import audit as C
-from logharbor.schemas import RECORD
-from logharbor.shared import broadcastable, new_path, shared_folder, staged, staged_split
+from logharbor.schemas import GROUPS, RECORD
+from logharbor.shared import job_tables, new_path, shared_folder, staged, staged_split, written_folders
 from logharbor.sources import storage as S
 
 
@@ -26,15 +29,70 @@ def test_shared_folder_follows_the_session(spark):
     assert rows(staged(spark.range(3), "t")) == [(0,), (1,), (2,)]
 
 
-def test_staged_tables_are_measured(spark):
-    few, many = staged(spark.range(10), "few"), staged(spark.range(100), "many")
-    assert broadcastable(few)
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
-    try:
-        assert not broadcastable(many)
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+def test_a_finished_job_leaves_no_staged_table(spark):
+    with job_tables(spark):
+        table = staged(spark.range(10), "owned")
+        path = table.inputFiles()[0].rsplit("/", 1)[0]
+        assert table.count() == 10 and written_folders(spark, path)
+    assert not written_folders(spark, path)
+    outside = staged(spark.range(2), "free")
+    assert outside.count() == 2
+
+
+def test_snapshot_versions(spark):
+    path = new_path(spark, "snapshot")
+    data = lambda n: spark.createDataFrame([(f"g{i}", []) for i in range(n)], GROUPS)
+    with pytest.raises(ValueError, match="no complete snapshot"):
+        S.read_snapshot(spark, path)
+    for n in (1, 2, 3):
+        S.write_snapshot(data(n), path)
+        assert S.read_snapshot(spark, path).count() == n
+    assert len(written_folders(spark, path)) == 2
+    # a version that was not finished does not count
+    data(9).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(
+        f"{path}/version-000000000004"
+    )
+    assert S.read_snapshot(spark, path).count() == 3
+
+
+def test_objects_are_read_by_topic_folder(spark):
+    root = new_path(spark, "objects")
+    records = log(spark)
+    topics = [r["topic"] for r in records.select("topic").distinct().collect()]
+    for topic in topics:
+        records.where(F.col("topic") == topic).coalesce(1).write.parquet(f"{root}/{topic}/0")
+    listed = S.list_objects(spark, root, "p")
+    assert listed.count() == len(topics)
+    wanted = listed.where(F.col("path").startswith(f"p/{topics[0]}/"))
+    got = S.read_objects(spark, root, "p", "parquet", wanted)
+    assert {r["topic"] for r in got.select("topic").distinct().collect()} == {topics[0]}
+    assert all(f"/{topics[0]}/" in f for f in got.inputFiles() if root.split(":")[-1] in f)
+    nothing = spark.createDataFrame([("p/none/0/x",)], "path string")
+    assert S.read_objects(spark, root, "p", "parquet", nothing).isEmpty()
+
+
+def test_excluded_folders_are_pruned(spark):
+    records = log(spark)
+    archived = archive_log(records, "b", min_size=900, poll_records=16, flush=True)
+    root = new_path(spark, "archive")
+    S.write_archive(archived.rows, root)
+    kept = S.read_archive(spark, root, "b", exclude="^pay")
+    assert {r["topic"] for r in kept.select("topic").distinct().collect()} == {
+        r["topic"] for r in records.select("topic").distinct().collect() if not r["topic"].startswith("pay")
+    }
+    scan = next(
+        line for line in kept._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line
+    )
+    assert re.search(r"PartitionFilters: \[.*p_topic", scan)
+
+
+def test_plan_from_wire(spark):
+    plan = spark.createDataFrame([(0, "p/t/0/", "p/t/0/t-0-0000000000000000005.avro", 1, "sha")], "plan_seq bigint, key string, value string, file_index bigint, topics_sha string")
+    wire = S.plan_to_wire(plan).withColumn("offset", F.lit(3).cast("bigint")).withColumn("partition", F.lit(2))
+    got = S.plan_from_wire(wire).first()
+    assert (got["topic"], got["partition"], got["file_index"], got["topics_sha"], got["plan_seq"]) == ("t", "0", 1, "sha", 3 * 65536 + 2)
+    bare = wire.withColumn("headers", F.array().cast(wire.schema["headers"].dataType))
+    assert S.plan_from_wire(bare).first()["file_index"] is None
 
 
 def test_staged_split(spark):

@@ -95,6 +95,8 @@ def test_restore_stream_equals_batch(spark, parts):
 def test_restore_stream_refuses_foreign_data(spark, parts):
     foreign = parts[0].select("topic", "partition", "offset", "headers")
     job = J.RestoreStream(new_path(spark, "stream"), lambda files: None, target=foreign)
-    plan = spark.createDataFrame([], "plan_seq bigint, value string")
-    with pytest.raises(ValueError, match="refusing"):
+    first = foreign.first()
+    path = f"{first['topic']}/{first['partition']}/{first['topic']}-{first['partition']}-0000000000000000000.avro"
+    plan = spark.createDataFrame([(0, path)], "plan_seq bigint, value string")
+    with pytest.raises(ValueError, match="holds other data"):
         job.restore_round(plan, 0)
