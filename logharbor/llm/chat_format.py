@@ -228,3 +228,27 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+def sql() -> str:
+    """The same digests straight from the table, with the template's lengths added up."""
+    says = CLOSE + OPEN + "assistant ok"
+    frame = len(OPEN) + len(CLOSE) + 2
+    escaped = r"regexp_replace({0}, '<(~*)\|', '<~\1|', 'g')"
+    role = f"replace({escaped.format('role')}, chr(10), '{BREAK}')"
+    return f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{says}' UNION ALL SELECT -1, 1, 'assistant', '{says}'
+), loss AS (
+  SELECT conv_id, string_agg(text, '' ORDER BY turn) AS said
+  FROM t WHERE role = 'assistant' GROUP BY conv_id
+), chats AS (
+  SELECT conv_id, count(*) AS n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+         CAST(sum({frame} + length({role}) + length({escaped.format("text")})) AS BIGINT) AS formatted_chars
+  FROM t GROUP BY conv_id
+)
+SELECT c.conv_id, c.n_turns, c.turns_sha256, length(coalesce(l.said, '')) AS loss_chars,
+       sha256(coalesce(l.said, '')) AS loss_sha256, c.formatted_chars
+FROM chats c LEFT JOIN loss l ON l.conv_id = c.conv_id"""

@@ -210,3 +210,58 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+def sql() -> str:
+    """The same with windows and hosts as joins."""
+    tests = {
+        "symbols": "10 * n_symbols > 3 * n_words",
+        "lines": "n_dup_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines",
+        "shape": "word_chars < 2 * n_words OR word_chars > 20 * n_words",
+    }
+    failures = ", ".join(f"count(*) FILTER ({c}) AS f_{r}" for r, c in tests.items())
+    moments = ", ".join(
+        f"avg(f_{r} / n) AS m_{r}, var_pop(f_{r} / n) AS v_{r}" for r in tests
+    )
+    strength = ", ".join(
+        f"CASE WHEN v_{r} > 0 THEN greatest(1, least(1000, m_{r} * (1 - m_{r}) / v_{r} - 1)) "
+        f"ELSE 1000 END AS k_{r}"
+        for r in tests
+    )
+    enforced = ", ".join(f"(f_{r} + m_{r} * k_{r}) / (n + k_{r}) > 0.02 AS e_{r}" for r in tests)
+    rejected = " OR ".join(f"(h.e_{r} AND ({c}))" for r, c in tests.items())
+    return rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)),
+                     lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows)
+  WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(8) r(j) GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, d.source, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         coalesce(c.n, 0) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines
+  FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id
+), hosts AS (
+  SELECT source, count(*) AS n, {failures} FROM m GROUP BY source
+), prior AS (
+  SELECT *, {strength} FROM (SELECT {moments} FROM hosts)
+), verdicts AS (
+  SELECT source, {enforced} FROM hosts, prior
+), judged AS (
+  SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, ({rejected}) AS rejected
+  FROM m JOIN verdicts h ON h.source IS NOT DISTINCT FROM m.source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT rejected AS kept
+FROM judged"""

@@ -6,15 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logharbor.llm import url_filter
-from logharbor.llm.chat_format import op8_chat_format
+from logharbor.llm import chat_format, quality_rules, url_filter
 from logharbor.llm.mixing import op6_mixing
 from logharbor.llm.nearest import op9_nearest
 from logharbor.llm.ngram_join import op2_ngram_join
 from logharbor.llm.packing import op1_packing
 from logharbor.llm.pii import op4_pii
 from logharbor.llm.quality_model import op7_quality_model
-from logharbor.llm.quality_rules import op10_quality_rules
 from logharbor.llm.suffix_dedup import op3_suffix_dedup
 
 
@@ -27,11 +25,15 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_mixing": op6_mixing,
         "op7_quality_model": op7_quality_model,
-        "op8_chat_format": op8_chat_format,
+        "op8_chat_format": chat_format.op8_chat_format,
         "op9_nearest": op9_nearest,
-        "op10_quality_rules": op10_quality_rules,
+        "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.sql()}
+    return {
+        "op5_url_filter": url_filter.sql(),
+        "op8_chat_format": chat_format.sql(),
+        "op10_quality_rules": quality_rules.sql(),
+    }
