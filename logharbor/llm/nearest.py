@@ -194,6 +194,7 @@ def _pilot_search(
                     "pilot": rows.astype(np.int32),
                     "score": scores[rows, best.ravel()],
                     "vector": picked["vector"].to_numpy(),
+                    "ids": picked["ids"].to_numpy(),
                 }
             )
 
@@ -210,10 +211,15 @@ def calibrate(
     known = {d: _matrix(pd.Series(v)) for d, v in by_dim.items()}
     found = classes.mapInPandas(
         lambda batches: _pilot_search(batches, known, k),
-        "dim int, pilot int, score double, vector binary",
+        "dim int, pilot int, score double, vector binary, ids array<bigint>",
+    ).withColumn("vec_id", F.explode("ids"))
+    place = F.row_number().over(W.partitionBy("dim", "pilot").orderBy(F.desc("score"), "vec_id"))
+    best = (
+        found.withColumn("place", place)
+        .where(F.col("place") <= k + 1)
+        .select("dim", "pilot", "score", "vector")
+        .collect()  # k + 1 rows a pilot
     )
-    place = F.row_number().over(W.partitionBy("dim", "pilot").orderBy(F.desc("score")))
-    best = found.withColumn("place", place).where(F.col("place").between(2, k + 1)).collect()
     if not best:
         return 0.5, 1.0
     ratio = []
