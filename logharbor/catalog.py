@@ -808,20 +808,9 @@ def stream_archive(spark, sf):
         S.write_feed(part, feed)
         job.run(S.stream_log(spark, feed))
     job.flush(spark)
-    rows = job.archive(spark)
-    return (
-        job.manifest(spark)
-        .join(rows.groupBy("path").agg(F.count(F.lit(1)).alias("stored_rows")), "path")
-        .groupBy("topic", "partition")
-        .agg(
-            F.sum("rows").alias("rows"),
-            F.sum("stored_rows").alias("stored_rows"),
-            F.min("first_offset").alias("first_offset"),
-            F.max("last_offset").alias("last_offset"),
-            F.sum("bytes").alias("bytes"),
-            F.count_if(~F.col("closed") & (F.col("bytes") >= size)).alias("oversize_open"),
-            F.count_if(F.col("closed") & (F.col("bytes") < size)).alias("undersize_closed"),
-        )
+    stored = job.archive(spark).groupBy("path").agg(F.count(F.lit(1)).alias("stored_rows"))
+    return job.manifest(spark).join(stored, "path").select(
+        *TP, "first_offset", "last_offset", "rows", "stored_rows", "bytes", "closed", "path"
     )
 
 

@@ -7,7 +7,10 @@ keep a hot partition off a single task it runs in three distributed steps over
 1. per chunk, tabulate what the chunk does to the bytes it may inherit: a step
    function ``inherited bytes -> (bytes left open, first offset of the open segment)``.
    Different inherited sizes soon fall on the same boundaries, so few steps remain;
-2. per partition, thread the actual inherited bytes through those tables in order;
+2. combine ``FAN`` neighbouring tables into one, level by level, until each partition has
+   one; then go back down and thread the actual inherited bytes through the tables of each
+   group.  A group holds ``FAN`` tables, and a table no more steps than there are batches
+   in a segment, so no group grows with the partition;
 3. per chunk, cut the segments, now that the inherited bytes are known.
 """
 
@@ -24,11 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logharbor.schemas import TP
+from logharbor.shared import staged
 
 # The functions below travel with the job, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK = 8192
+FAN = 16
 _NONE = -1  # no segment is open
 
 _STEPS = T.StructType(
@@ -86,8 +91,52 @@ def _chunk_steps(pdf: pd.DataFrame, min_size: int) -> pd.DataFrame:
     return out[[f.name for f in _STEPS]]
 
 
+def _compose(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """The table of two neighbouring stretches, as one stretch."""
+    bounds, left, opened = (
+        b[c].to_numpy(dtype=np.int64) for c in ("from_bytes", "left_bytes", "left_open")
+    )
+    b_bytes, b_first = int(b["chunk_bytes"].iloc[0]), int(b["chunk_first"].iloc[0])
+    a_bytes = int(a["chunk_bytes"].iloc[0])
+    # too few bytes for a boundary in the first stretch: all of it is inherited by the second
+    early = np.maximum(bounds - a_bytes, 0)
+    last = np.append(early[1:] != early[:-1], True) & (early < int(a["from_bytes"].iloc[0]))
+    # else the second inherits what the first leaves open
+    y, o = a["left_bytes"].to_numpy(dtype=np.int64), a["left_open"].to_numpy(dtype=np.int64)
+    at = np.searchsorted(bounds, y, side="right") - 1
+    closed = at >= 0
+    late_left = np.where(closed, left[at], y + b_bytes)
+    late_open = np.where(closed, opened[at], np.where(o == _NONE, b_first, o))
+    out = pd.DataFrame(
+        {
+            "from_bytes": np.concatenate([early[last], a["from_bytes"].to_numpy(dtype=np.int64)]),
+            "left_bytes": np.concatenate([left[last], late_left]),
+            "left_open": np.concatenate([opened[last], late_open]),
+        }
+    )
+    same = (out[["left_bytes", "left_open"]] == out[["left_bytes", "left_open"]].shift()).all(axis=1)
+    out = out[~same]
+    return out.assign(
+        topic=a["topic"].iloc[0],
+        partition=a["partition"].iloc[0],
+        chunk=a["chunk"].iloc[0],
+        chunk_bytes=a_bytes + b_bytes,
+        chunk_first=int(a["chunk_first"].iloc[0]),
+    )
+
+
+def _combine(steps: pd.DataFrame) -> pd.DataFrame:
+    """The tables of one group as one table, numbered by the group."""
+    tables = [t for _, t in steps.sort_values(["chunk", "from_bytes"]).groupby("chunk", sort=True)]
+    whole = tables[0]
+    for table in tables[1:]:
+        whole = _compose(whole, table)
+    return whole.assign(chunk=int(steps["chunk"].iloc[0]) // FAN)[[f.name for f in _STEPS]]
+
+
 def _thread(steps: pd.DataFrame) -> pd.DataFrame:
-    carried, first = 0, _NONE
+    """What each table of a group inherits, from what the group does."""
+    carried, first = int(steps["open_bytes"].iloc[0]), int(steps["open_first"].iloc[0])
     rows = []
     for chunk, table in steps.sort_values(["chunk", "from_bytes"]).groupby("chunk", sort=True):
         rows.append((table["topic"].iloc[0], table["partition"].iloc[0], chunk, carried, first))
@@ -101,6 +150,27 @@ def _thread(steps: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[f.name for f in _ENTRY])
 
 
+def _entries(steps: DataFrame) -> DataFrame:
+    """Open bytes and first offset that every chunk inherits."""
+    levels = [staged(steps, "roll-steps")]
+    group = F.expr(f"chunk div {FAN}")
+    top = levels[0].agg(F.max("chunk")).first()[0] or 0
+    while top >= FAN:
+        combined = levels[-1].groupBy(*TP, group.alias("group")).applyInPandas(_combine, schema=_STEPS)
+        levels.append(staged(combined, "roll-steps"))
+        top //= FAN
+    start = {"open_bytes": F.lit(0).cast("bigint"), "open_first": F.lit(_NONE).cast("bigint")}
+    entries = None
+    for level in reversed(levels):
+        grouped = level.withColumn("group", group)
+        if entries is None:
+            known = grouped.withColumns(start)
+        else:
+            known = grouped.join(entries.withColumnRenamed("chunk", "group"), [*TP, "group"])
+        entries = known.groupBy(*TP, "group").applyInPandas(_thread, schema=_ENTRY)
+    return entries
+
+
 def _cut(pdf: pd.DataFrame, min_size: int) -> pd.DataFrame:
     pdf = pdf.sort_values("batch_no")
     offsets = pdf["first_offset"].to_numpy()
@@ -140,7 +210,7 @@ def roll_segments(batches: DataFrame, min_size: int, chunk: int = CHUNK) -> Data
     steps = cut.groupBy(*TP, "chunk").applyInPandas(
         lambda pdf: _chunk_steps(pdf, min_size), schema=_STEPS
     )
-    entries = steps.groupBy(*TP).applyInPandas(_thread, schema=_ENTRY)
+    entries = _entries(steps)
     schema = T.StructType(
         [batches.schema[n] for n in names]
         + [T.StructField("segment", T.LongType()), T.StructField("closes", T.BooleanType())]

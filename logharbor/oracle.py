@@ -36,6 +36,20 @@ _CTES: dict[str, str] = {
                'backup/' || topic || '/' || part || '/' || topic || '-' || part || '-'
                    || lpad(CAST(seg AS VARCHAR), 19, '0') || '.avro' AS path
         FROM roll GROUP BY topic, part, seg""",
+    "spolls": """
+        SELECT topic, part, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, min(off) AS first_off,
+               max(off) AS last_off, row_number() OVER (PARTITION BY topic, part ORDER BY min(off)) AS i
+        FROM (SELECT *, (ms - min(ms) OVER ()) // ((max(ms) OVER () - min(ms) OVER ()) // 3 + 1) AS round FROM kept)
+        GROUP BY topic, part, round, off // 40""",
+    "sroll": """
+        SELECT topic, part, i, n, bytes, last_off, bytes AS acc, first_off AS seg, bytes >= 20000 AS closes
+        FROM spolls WHERE i = 1
+        UNION ALL
+        SELECT p.topic, p.part, p.i, p.n, p.bytes, p.last_off,
+               CASE WHEN r.closes THEN p.bytes ELSE r.acc + p.bytes END,
+               CASE WHEN r.closes THEN p.first_off ELSE r.seg END,
+               CASE WHEN r.closes THEN p.bytes ELSE r.acc + p.bytes END >= 20000
+        FROM sroll r JOIN spolls p ON p.topic = r.topic AND p.part = r.part AND p.i = r.i + 1""",
     "placed": """
         SELECT k.*, r.seg FROM kept k JOIN roll r ON r.topic = k.topic AND r.part = k.part
             AND r.batch_no = k.batch_no""",
@@ -468,9 +482,11 @@ _SQL: dict[str, str] = {
                m.end_off - g.off AS lag
         FROM goff g JOIN marks m ON m.topic = g.topic AND m.part = g.part WHERE g.off >= 0""",
     "stream_archive": f"""
-        SELECT {_TP}, count(*) AS rows, count(*) AS stored_rows, min(off) AS first_offset, max(off) AS last_offset,
-               CAST(sum(bytes) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS oversize_open, CAST(0 AS BIGINT) AS undersize_closed
-        FROM kept GROUP BY topic, part""",
+        SELECT {_TP}, seg AS first_offset, max(last_off) AS last_offset, CAST(sum(n) AS BIGINT) AS rows,
+               CAST(sum(n) AS BIGINT) AS stored_rows, CAST(sum(bytes) AS BIGINT) AS bytes, bool_or(closes) AS closed,
+               'backup/' || topic || '/' || part || '/' || topic || '-' || part || '-'
+                   || lpad(CAST(seg AS VARCHAR), 19, '0') || '.avro' AS path
+        FROM sroll GROUP BY topic, part, seg""",
     "stream_restart": f"SELECT {_OUT}, v AS value FROM kept",
     "stream_restore": f"SELECT {_OUT}, src AS source_offset, v AS value FROM rest",
 }

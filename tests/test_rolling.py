@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark import cloudpickle
 
 from logharbor.operators import archive as A
+from logharbor.operators import rolling
 from logharbor.operators.rolling import _chunk_steps, _cut, _thread, roll_segments
 
 
@@ -25,13 +26,31 @@ def fold(sizes, firsts, min_size):
     return out
 
 
+def threaded(steps, fan):
+    """The levels of the roll without Spark."""
+    levels = [steps]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(rolling, "FAN", fan)
+        while levels[-1]["chunk"].max() >= fan:
+            groups = levels[-1].groupby(levels[-1]["chunk"] // fan)
+            levels.append(pd.concat([rolling._combine(g) for _, g in groups]))
+    known = levels.pop().assign(open_bytes=0, open_first=-1)
+    entries = _thread(known)
+    for level in reversed(levels):
+        above = entries.rename(columns={"chunk": "group"})
+        known = level.assign(group=level["chunk"] // fan).merge(above, on=["topic", "partition", "group"])
+        entries = pd.concat([_thread(g) for _, g in known.groupby("group")])
+    return entries
+
+
 @settings(max_examples=300, deadline=None)
 @given(
     sizes=st.lists(st.integers(0, 40), min_size=1, max_size=60),
     min_size=st.integers(1, 60),
     chunk=st.integers(1, 15),
+    fan=st.sampled_from([2, 3, 16]),
 )
-def test_steps_equal_a_literal_fold(sizes, min_size, chunk):
+def test_steps_equal_a_literal_fold(sizes, min_size, chunk, fan):
     firsts = [i * 10 for i in range(len(sizes))]
     batches = pd.DataFrame(
         {
@@ -46,14 +65,15 @@ def test_steps_equal_a_literal_fold(sizes, min_size, chunk):
     )
     batches["chunk"] = batches["batch_no"] // chunk
     steps = pd.concat([_chunk_steps(g, min_size) for _, g in batches.groupby("chunk")])
-    entered = batches.merge(_thread(steps), on=["topic", "partition", "chunk"])
+    entered = batches.merge(threaded(steps, fan), on=["topic", "partition", "chunk"])
     cut = pd.concat([_cut(g, min_size) for _, g in entered.groupby("chunk")])
     got = [(int(s), bool(c)) for s, c in zip(cut["segment"], cut["closes"])]
     assert got == fold(sizes, firsts, min_size)
 
 
-@pytest.mark.parametrize("chunk", [3, 8192])
-def test_roll_on_spark(spark, chunk):
+@pytest.mark.parametrize(("chunk", "fan"), [(3, 16), (3, 2), (8192, 16)])
+def test_roll_on_spark(spark, chunk, fan, monkeypatch):
+    monkeypatch.setattr(rolling, "FAN", fan)
     rng = random.Random(3)
     data, expected = [], []
     for partition in range(3):
@@ -68,6 +88,21 @@ def test_roll_on_spark(spark, chunk):
     assert got == sorted(expected)
 
 
+def test_tables_stay_as_small_as_a_segment():
+    """A partition of many equal small batches: no group grows with it."""
+    n, per_segment = 20_000, 500
+    batches = pd.DataFrame(
+        {"topic": "t", "partition": 0, "batch_no": range(n), "rows": 1, "bytes": 10,
+         "first_offset": range(n), "last_offset": range(n)}
+    )
+    batches["chunk"] = batches["batch_no"] // 100
+    level = pd.concat([_chunk_steps(g, 10 * per_segment) for _, g in batches.groupby("chunk")])
+    while level["chunk"].max() >= rolling.FAN:
+        groups = level.groupby(level["chunk"] // rolling.FAN)
+        assert max(len(g) for _, g in groups) <= rolling.FAN * (per_segment + 2)
+        level = pd.concat([rolling._combine(g) for _, g in groups])
+
+
 def test_published_segments_hold_exactly_their_batches(spark):
     """Two polls a partition: only those reaching the size are published, a flush publishes the rest."""
     counts = {(0, 0): 10, (1, 0): 20, (0, 1): 20, (1, 1): 10, (0, 2): 5}
@@ -89,7 +124,7 @@ def test_published_segments_hold_exactly_their_batches(spark):
     assert A.open_rows(log, commits).count() == 15
 
 
-@pytest.mark.parametrize("function", [_chunk_steps, _thread, _cut])
+@pytest.mark.parametrize("function", [_chunk_steps, rolling._combine, _thread, _cut])
 def test_functions_run_where_the_package_is_missing(tmp_path, function):
     sent = base64.b64encode(cloudpickle.dumps(function)).decode()
     code = f"import base64, pickle; pickle.loads(base64.b64decode('{sent}')); import sys; assert 'logharbor' not in sys.modules"
