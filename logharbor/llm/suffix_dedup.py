@@ -10,12 +10,12 @@ repeated string.  So the sort is led up to by lossless steps:
    cover by residues needs the triples of two thirds of all positions; this one needs a
    thirteenth.)  Samples are exchanged as sorted arrays; those that occur in one document
    only cannot start a repeat.
-3. Runs of windows whose samples recur are named by their bytes.  Equal runs belong to the
-   smallest document that has them, and all others are covered by it.
-4. Distinct runs go through the same cover once more, now against each other.
-5. What is left is sorted: each remaining suffix's ``LENGTH``-byte prefix is named by a 96-bit
-   fingerprint, names are sorted by range with their owners, and adjacent equal names show
-   which suffixes also start in a run of a smaller owner.
+3. Stretches of windows with the same recurring sample are sent, with the bytes they span,
+   to the range of that sample; a stretch that a chunk holds in several documents is sent
+   for the smallest of them, which covers the others.
+4. In each range the remaining suffixes are sorted: each ``LENGTH``-byte prefix is named by a
+   96-bit fingerprint, names are sorted with their owners, and adjacent equal names show
+   which suffixes also start in a document with a smaller id.
 
 Work is done on chunks of about ``CHUNK`` characters, kept compressed; a longer text is a
 chunk of its own.  Questions and answers between chunks are arrays dealt by hash ranges, so
@@ -51,7 +51,6 @@ RANGE = 4 << 20
 LAST_ID = (1 << 63) - 1
 
 _CHUNK = "chunk bigint, ids binary, ends binary, bytes binary"
-_RUN = "chunk bigint, item int, start bigint, n bigint, owner bigint, name binary, bytes binary"
 
 
 class Chunk:
@@ -66,6 +65,13 @@ class Chunk:
         self.raw = zstandard.decompress(packed)
         self.bytes = np.frombuffer(self.raw, dtype=np.uint8)
 
+    @classmethod
+    def of(cls, raw: bytes) -> Chunk:
+        """A chunk for its bytes only."""
+        made = cls.__new__(cls)
+        made.raw, made.bytes = raw, np.frombuffer(raw, dtype=np.uint8)
+        return made
+
     @staticmethod
     def row(ids: list[int], items: list[bytes]) -> dict:
         import hashlib
@@ -80,7 +86,7 @@ class Chunk:
             "chunk": int.from_bytes(name, "little", signed=True),
             "ids": own,
             "ends": ends,
-            "bytes": zstandard.ZstdCompressor(level=6).compress(raw),
+            "bytes": zstandard.ZstdCompressor(level=9).compress(raw),
         }
 
     def hashes(self, width: int, seed: int = 0) -> np.ndarray:
@@ -95,6 +101,13 @@ class Chunk:
         h *= powers(_INVERSE, n)[: n - width + 1]
         return mix(h)
 
+    def range_hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes of each range."""
+        n = len(self.bytes)
+        sums = np.zeros(n + 1, dtype=U)
+        np.cumsum(_values()[self.bytes] * powers(_BASE, n), out=sums[1:])
+        return mix((sums[end] - sums[start]) * powers(_INVERSE, n + 1)[start])
+
     def samples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Windows with equal samples, run-length coded: item, start, count, sample."""
         empty = np.empty(0, dtype=np.int64)
@@ -160,15 +173,6 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist([Chunk.row(ids[part], items)], schema=_chunk_schema())
 
 
-def _pack_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        runs, owners = batch.column("bytes").to_pylist(), batch.column("owner").to_pylist()
-        for part in blocks_of(runs, CHUNK):
-            yield pa.RecordBatch.from_pylist(
-                [Chunk.row(owners[part], runs[part])], schema=_chunk_schema()
-            )
-
-
 def _chunk_schema() -> pa.Schema:
     kind = pa.binary()
     return pa.schema([("chunk", pa.int64()), ("ids", kind), ("ends", kind), ("bytes", kind)])
@@ -222,7 +226,7 @@ def ask_and_answer(chunks: DataFrame, total_bytes: int) -> DataFrame:
 
 
 def _recurring(c: Chunk, answers: list[dict] | None, bits: int):
-    """Windows whose sample recurs in another item: item, start, count."""
+    """Windows whose sample recurs in another item: item, start, count, sample."""
     item, at, count, f = c.samples()
     key = _key(f, bits)
     _, several = _alone_and_shared(item, key)
@@ -231,85 +235,101 @@ def _recurring(c: Chunk, answers: list[dict] | None, bits: int):
         rest = np.frombuffer(a["keys"], dtype="<u4").astype(U)
         known.append(rest | (U(a["range"]) << U(32)))
     hit = np.isin(key, np.concatenate(known))
-    return item[hit], at[hit], count[hit]
+    return item[hit], at[hit], count[hit], f[hit]
 
 
-def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            c = Chunk(row["ids"], row["ends"], row["bytes"])
-            item, at, count = _recurring(c, row["answers"], row["bits"])
-            if not len(item):
-                continue
-            new = np.ones(len(item), dtype=bool)
-            new[1:] = (item[1:] != item[:-1]) | (at[1:] != at[:-1] + count[:-1])
-            head = np.flatnonzero(new)
-            n = np.add.reduceat(count, head)
-            item, at = item[head], at[head]
-            seen: set[bytes] = set()
-            names, texts = [], []
-            for a, k in zip(at.tolist(), n.tolist(), strict=True):
-                run = c.raw[a : a + k + LENGTH - 1]
-                name = hashlib.blake2b(run, digest_size=16).digest()
-                names.append(name)
-                texts.append(None if name in seen else run)
-                seen.add(name)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(item), row["chunk"]), pa.int64()),
-                    pa.array(item.astype(np.int32)),
-                    pa.array(at - c.starts[item]),
-                    pa.array(n),
-                    pa.array(c.ids[item]),
-                    pa.array(names, pa.binary()),
-                    pa.array(texts, pa.binary()),
-                ],
-                names=["chunk", "item", "start", "n", "owner", "name", "bytes"],
-            )
+def _stretches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of windows with a recurring sample, by range of the sample.
 
+    Rows with a negative range carry what a chunk covers by itself.
+    """
+    import zstandard
 
-def _name_suffixes(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Names of the suffixes of runs whose samples recur in other runs, by hash range."""
     for batch in batches:
         for row in batch.to_pylist():
             c = Chunk(row["ids"], row["ends"], row["bytes"])
-            item, at, count = _recurring(c, row["answers"], row["bits"])
+            item, at, count, f = _recurring(c, row["answers"], row["bits"])
             if not len(item):
                 continue
-            head = np.cumsum(count) - count
-            pos = np.arange(int(count.sum())) - np.repeat(head, count) + np.repeat(at, count)
-            owner = c.ids[np.repeat(item, count)]
-            name = c.hashes(LENGTH)[pos]
-            check = (c.hashes(LENGTH, 1)[pos] >> U(32)).astype("<u4")
-            order = np.argsort(name, kind="stable")
-            name, check, pos, owner = name[order], check[order], pos[order], owner[order]
-            of = (name >> U(64 - bits)).astype(np.int64)
+            owner = c.ids[item]
+            name = c.range_hashes(at, at + count + LENGTH - 1)
+            order = np.lexsort((owner, name, f))
+            owner, name, f, at, count = (x[order] for x in (owner, name, f, at, count))
+            new = np.ones(len(f), dtype=bool)
+            new[1:] = (f[1:] != f[:-1]) | (name[1:] != name[:-1])
+            smallest = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
+            own = owner > smallest
+            ranges = [-1 - row["chunk"] % 64] if own.any() else []
+            parts = [(np.flatnonzero(own), b"")] if own.any() else []
+            sent = np.flatnonzero(~own)  # every place of it in that document
+            of = (f[sent] >> U(64 - bits)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(of, prepend=-1))
-            ends = np.append(cuts, len(of))[1:]
-            pieces = list(zip(cuts.tolist(), ends.tolist(), strict=True))
-            columns = (name.astype("<u8"), check, pos.astype("<u4"), owner.astype("<i8"))
+            pack = zstandard.ZstdCompressor(level=3).compress
+            for a, b in zip(cuts.tolist(), np.append(cuts, len(of))[1:].tolist(), strict=True):
+                which = sent[a:b]
+                spans = zip(at[which].tolist(), count[which].tolist(), strict=True)
+                ranges.append(int(of[a]))
+                parts.append((which, pack(b"".join([c.raw[x : x + n + LENGTH - 1] for x, n in spans]))))
+            columns = (
+                (at, "<u4"),
+                (count, "<u4"),
+                (owner, "<i8"),
+            )
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(of[cuts].astype(np.int32)),
-                    pa.array(np.full(len(cuts), row["chunk"]), pa.int64()),
+                    pa.array(ranges, pa.int32()),
+                    pa.array([row["chunk"]] * len(ranges), pa.int64()),
                     *(
-                        pa.array([x[a:b].tobytes() for a, b in pieces], pa.binary())
-                        for x in columns
+                        pa.array([x[w].astype(kind).tobytes() for w, _ in parts], pa.binary())
+                        for x, kind in columns
                     ),
+                    pa.array([t for _, t in parts], pa.binary()),
                 ],
-                names=["range", "chunk", "names", "checks", "places", "owners"],
+                names=["range", "chunk", "places", "counts", "owners", "spans"],
             )
 
 
+def _batched(spans: pd.Series, counts: list[np.ndarray], size: int = 1 << 20):
+    """Unpacked spans and the window counts of their stretches, about ``size`` bytes at a time."""
+    import zstandard
+
+    raw, own, held = [], [], 0
+    for packed, count in zip(spans, counts, strict=True):
+        raw.append(zstandard.decompress(packed))
+        own.append(count)
+        held += len(raw[-1])
+        if held >= size:
+            yield b"".join(raw), np.concatenate(own)
+            raw, own, held = [], [], 0
+    if raw:
+        yield b"".join(raw), np.concatenate(own)
+
+
+def _window_names(raw: bytes, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of fingerprint of every window of the stretches laid out in ``raw``."""
+    count = count.astype(np.int64)
+    start = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
+    head = np.cumsum(count) - count
+    pos = np.arange(int(count.sum())) + np.repeat(start - head, count)
+    c = Chunk.of(raw)
+    return c.hashes(LENGTH)[pos], (c.hashes(LENGTH, 1)[pos] >> U(32)).astype(np.uint32)
+
+
 def _compare_adjacent(pdf: pd.DataFrame) -> pd.DataFrame:
     """Sort the suffixes of one range; those that equal one of a smaller owner are covered."""
     read = lambda column, kind: [np.frombuffer(b, dtype=kind) for b in pdf[column]]
-    names, places = read("names", "<u8"), read("places", "<u4")
-    sizes = [len(x) for x in names]
-    name, check = np.concatenate(names), np.concatenate(read("checks", "<u4"))
-    owner = np.concatenate(read("owners", "<i8"))
+    places, counts = read("places", "<u4"), read("counts", "<u4")
+    if pdf["range"].iloc[0] < 0:
+        pairs = [np.stack([p, n], axis=1) for p, n in zip(places, counts, strict=True)]
+        return pd.DataFrame({"chunk": pdf["chunk"], "covered": [x.tobytes() for x in pairs]})
+    sizes = [len(x) for x in places]
+    place, count = np.concatenate(places).astype(np.int64), np.concatenate(counts).astype(np.int64)
+    head = np.cumsum(count) - count
+    named = [_window_names(*part) for part in _batched(pdf["spans"], counts)]
+    name = np.concatenate([n for n, _ in named])
+    check = np.concatenate([c for _, c in named])
+    del named
+    owner = np.repeat(np.concatenate(read("owners", "<i8")), count)
     order = np.lexsort((owner, check, name))
     name, check, owner = name[order], check[order], owner[order]
     new = np.ones(len(name), dtype=bool)
@@ -317,37 +337,20 @@ def _compare_adjacent(pdf: pd.DataFrame) -> pd.DataFrame:
     smallest = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
     covered = np.empty(len(name), dtype=bool)
     covered[order] = owner > smallest
-    parts = np.split(covered, np.cumsum(sizes)[:-1])
-    out = [p[k].tobytes() for p, k in zip(places, parts, strict=True)]
-    found = pd.DataFrame({"chunk": pdf["chunk"], "places": out})
-    return found[found["places"].map(len) > 0]
-
-
-def _covered_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per run the covered starts, as (start, count) pairs."""
-    import hashlib
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            c = Chunk(row["ids"], row["ends"], row["bytes"])
-            pos = np.sort(np.concatenate([np.frombuffer(b, dtype="<u4") for b in row["places"]]))
-            pos = pos.astype(np.int64)
-            item = np.searchsorted(c.ends, pos, side="right")
-            new = np.ones(len(pos), dtype=bool)
-            new[1:] = (pos[1:] != pos[:-1] + 1) | (item[1:] != item[:-1])
-            head = np.flatnonzero(new)
-            count = np.diff(np.append(head, len(pos)))
-            item, start = item[head], pos[head] - c.starts[item[head]]
-            names, pairs = [], []
-            for i in np.unique(item).tolist():
-                run = c.raw[c.starts[i] : c.ends[i]]
-                names.append(hashlib.blake2b(run, digest_size=16).digest())
-                own = item == i
-                pairs.append(np.stack([start[own], count[own]], axis=1).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.binary()), pa.array(pairs, pa.binary())],
-                names=["run_name", "covered"],
-            )
+    # covered windows as (place, count), per chunk
+    at = np.flatnonzero(covered)
+    stretch = np.searchsorted(head, at, side="right") - 1
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (stretch[1:] != stretch[:-1])
+    first = np.flatnonzero(new)
+    length = np.diff(np.append(first, len(at)))
+    at, stretch = at[first], stretch[first]
+    pairs = np.stack([place[stretch] + at - head[stretch], length], axis=1).astype("<u4")
+    chunk_of = np.searchsorted(np.cumsum(sizes), stretch, side="right")
+    cuts = np.searchsorted(chunk_of, np.arange(len(sizes) + 1))
+    out = [pairs[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    found = pd.DataFrame({"chunk": pdf["chunk"], "covered": out})
+    return found[found["covered"].map(len) > 0]
 
 
 def _remove(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -358,15 +361,9 @@ def _remove(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.R
             c = Chunk(row["ids"], row["ends"], row["bytes"])
             edge = np.zeros(len(c.bytes) + 1, dtype=np.int32)
             for cut in row["cuts"] or []:
-                base = int(c.starts[cut["item"]]) + cut["start"]
-                if cut["whole"]:
-                    spans = np.array([[0, cut["n"]]])
-                elif cut["covered"]:
-                    spans = np.frombuffer(cut["covered"], dtype="<i8").reshape(-1, 2)
-                else:
-                    continue
-                np.add.at(edge, base + spans[:, 0], 1)
-                np.add.at(edge, base + spans[:, 0] + spans[:, 1] + LENGTH - 1, -1)
+                spans = np.frombuffer(cut, dtype="<u4").reshape(-1, 2).astype(np.int64)
+                np.add.at(edge, spans[:, 0], 1)
+                np.add.at(edge, spans[:, 0] + spans[:, 1] + LENGTH - 1, -1)
             gone = np.cumsum(edge[:-1]) > 0
             out: dict[str, list] = {k: [] for k in _RESULT}
             kept_bytes = c.bytes[~gone].tobytes() if gone.any() else c.raw
@@ -422,52 +419,20 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     chunks = staged(kept.mapInArrow(_pack_texts, _CHUNK), "chunks")
     total = known.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
 
-    runs = staged(ask_and_answer(chunks, total).mapInArrow(_find_runs, _RUN), "runs")
-    distinct = staged(
-        runs.groupBy("name").agg(F.min("owner").alias("owner"), F.max("bytes").alias("bytes")),
-        "distinct-runs",
-    )
-    run_bytes = distinct.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
-    run_chunks = staged(distinct.select("owner", "bytes").mapInArrow(_pack_runs, _CHUNK), "run-chunks")
-    bits = max(2, min(24, (24 * run_bytes // RANGE).bit_length()))
-    suffixes = ask_and_answer(run_chunks, run_bytes).mapInArrow(
-        lambda batches: _name_suffixes(batches, bits),
-        "range int, chunk bigint, names binary, checks binary, places binary, owners binary",
+    bits = max(2, min(24, (total // RANGE).bit_length()))
+    stretches = ask_and_answer(chunks, total).mapInArrow(
+        lambda batches: _stretches(batches, bits),
+        "range int, chunk bigint, places binary, counts binary, owners binary, spans binary",
     )
     covered = staged(
-        suffixes.groupBy("range").applyInPandas(
-            _compare_adjacent, "chunk bigint, places binary"
+        stretches.groupBy("range").applyInPandas(
+            _compare_adjacent, "chunk bigint, covered binary"
         ),
         "covered",
     )
-    by_chunk = covered.groupBy("chunk").agg(F.collect_list("places").alias("places"))
-    of_runs = staged(
-        run_chunks.join(by_chunk, "chunk").mapInArrow(
-            _covered_runs, "run_name binary, covered binary"
-        ),
-        "covered-runs",
-    )
-    owners = staged(
-        distinct.select(F.col("name").alias("run_name"), F.col("owner").alias("run_owner")).join(
-            of_runs, "run_name", "left"
-        ),
-        "run-owners",
+    cuts = covered.groupBy(F.col("chunk").alias("cut_chunk")).agg(
+        F.collect_list("covered").alias("cuts")
     )
-    cuts = (
-        runs.select("chunk", "item", "start", "n", "owner", "name")
-        .join(owners, F.col("name") == F.col("run_name"))
-        .withColumn("whole", F.col("owner") != F.col("run_owner"))
-        .where(F.col("whole") | F.col("covered").isNotNull())
-        .groupBy(F.col("chunk").alias("cut_chunk"))
-        .agg(
-            F.collect_list(
-                F.struct(
-                    "item", "start", "n", "whole",
-                    F.when(~F.col("whole"), F.col("covered")).alias("covered"),
-                )
-            ).alias("cuts")
-        )
-    )
     result = (
         "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
         "kept binary"
