@@ -129,82 +129,138 @@ def _document_levels(docs: DataFrame, ceiling: float) -> DataFrame:
         capped = now
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[float, ...] = WEIGHTS,
-    factor: float = FACTOR,
-    ceiling: float = CEILING,
-    weight: str | None = None,
-    seed: int = 6,
-) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken words of each row of ``docs``."""
-    text = F.coalesce(column_or_null(docs, "text", "string"), F.lit(""))
-    sized = staged(
-        docs.select(
-            column_or_null(docs, "doc_id", "bigint").alias("doc_id"),
-            column_or_null(docs, "source", "string").alias("source"),
-            F.regexp_count(text, F.lit("[^ \\t-\\r]+")).cast("bigint").alias("size"),
-            (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"),
-        ),
-        "sized",
+def _drawn(rows: DataFrame, ceiling: float, seed: int) -> DataFrame:
+    """Add whole copies, inclusion odds and the place in Pareto order of each row.
+
+    Needs doc_id, weight and the source's level and usual odds; a row whose copies are
+    certain has no odds and no place.
+    """
+    expected = F.coalesce(F.least(F.lit(ceiling), F.col("weight") * F.col("level")), F.lit(0.0))
+    uniform = F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND(F.lit(_PLACES - 1)) + 0.5
+    rows = (
+        rows.withColumn("expected", expected)
+        .withColumn("whole", F.floor("expected"))
+        .withColumn("chance", F.col("expected") - F.col("whole"))
+        .withColumn("odds", F.when(F.col("chance") > 0, F.col("chance") / (1 - F.col("chance"))))
     )
+    if "usual_odds" not in rows.columns:
+        return rows
+    random = uniform / _PLACES
+    pareto = random / (1 - random) / F.col("odds")
+    scaled = pareto * F.col("usual_odds")
+    place = F.floor(scaled / (1 + scaled) * F.lit(float(_PLACES))).cast("bigint")
+    return rows.withColumn("place", place).withColumn(
+        "tie", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    )
+
+
+def mixing_plan(
+    sized: DataFrame, weights: tuple[float, ...], factor: float, ceiling: float, seed: int,
+    weighted: bool,
+) -> DataFrame:
+    """One row per source: size, target, level, usual odds and the last place that is taken.
+
+    A row's copies follow from its source's row and its own id, so texts never travel.
+    """
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = staged(source_targets(sizes, weights, factor, ceiling), "targets")
     of_source = targets.withColumnRenamed("source", "of_source")
     known = sized.join(of_source, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
-    if weight:
+    if weighted:
         known = _document_levels(staged(known, "weighted"), ceiling)
     else:
         share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
         known = known.withColumn("level", F.coalesce(share, F.lit(0.0)))
-    expected = F.least(F.lit(ceiling), F.col("weight") * F.col("level"))
-    known = known.withColumn("expected", F.coalesce(expected, F.lit(0.0))).withColumn(
-        "whole", F.floor("expected")
-    )
-    chance = F.col("expected") - F.col("whole")
-    drawn = staged(
-        known.withColumn(
-            "odds", F.when((chance > 0) & (chance < 1), chance / (1 - chance))
-        ).withColumn("certain", F.col("whole") * F.col("size")),
-        "odds",
-    )
-    left = drawn.groupBy("rank").agg(
-        F.first("target").alias("all_words"),
-        F.sum("certain").alias("certain_words"),
-        F.avg("odds").alias("usual_odds"),
+    usual = staged(
+        _drawn(known, ceiling, seed)
+        .groupBy("rank")
+        .agg(
+            F.max("level").alias("level"),
+            F.sum(F.col("whole") * F.col("size")).alias("certain_words"),
+            F.avg("odds").alias("usual_odds"),
+        ),
+        "usual-odds",
     )
-    uniform = (F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND(F.lit(_PLACES - 1)) + 0.5) / _PLACES
-    pareto = (F.col("random") / (1 - F.col("random"))) / F.col("odds")
-    scaled = pareto * F.col("usual_odds")
     ordered = (
-        drawn.where(F.col("odds").isNotNull())
-        .join(left, "rank")
-        .withColumn("random", uniform)
-        .withColumn("place", F.floor(scaled / (1 + scaled) * F.lit(float(_PLACES))).cast("bigint"))
-        .select("rank", "doc_id", "size", "source_size", "target", "whole", "place",
-                (F.col("all_words") - F.col("certain_words")).alias("open_words"))
+        _drawn(known.drop("level").join(usual, "rank"), ceiling, seed)
+        .where(F.col("odds").isNotNull())
+        .select("rank", "tie", "size", "place", (F.col("target") - F.col("certain_words")).alias("open"))
     )
     summed = running_before(
-        ordered, ["rank"], "place", "size", "sum", "before", ties=["doc_id"], width=_BLOCK
+        ordered, ["rank"], "place", "size", "sum", "before", ties=["tie"], width=_BLOCK
     )
-    near = F.coalesce(F.col("before"), F.lit(0)) + F.col("size") / 2 <= F.col("open_words")
-    sampled = summed.withColumn("copies", F.col("whole") + near.cast("bigint"))
-    sure = drawn.where(F.col("odds").isNull()).withColumn("copies", F.col("whole"))
-    columns = ["doc_id", "size", "source_size", "target", "copies"]
-    out = sampled.select(*columns).unionByName(sure.select(*columns))
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
+    # each row's middle lies within the open words: rows up to the last such one are taken
+    near = F.coalesce(F.col("before"), F.lit(0)) + F.col("size") / 2 <= F.col("open")
+    last = summed.where(near).groupBy("rank").agg(F.max(F.struct("place", "tie")).alias("last"))
+    return staged(
+        targets.join(usual.select("rank", "level", "usual_odds"), "rank", "left")
+        .join(last, "rank", "left")
+        .withColumn("level", F.coalesce("level", F.lit(0.0))),
+        "mixing-plan",
+    )
+
 
+def _copies(rows: DataFrame, plan: DataFrame, ceiling: float, seed: int) -> DataFrame:
+    """``rows`` (doc_id, source, weight and more) with the plan's columns and copies."""
+    of_source = plan.withColumnRenamed("source", "of_source")
+    joined = rows.join(of_source, F.col("source").eqNullSafe(F.col("of_source")), "left")
+    taken = F.coalesce(F.struct("place", "tie") <= F.col("last"), F.lit(False))
+    extra = F.when(F.col("odds").isNotNull() & taken, 1).otherwise(0)
+    return _drawn(joined, ceiling, seed).withColumn(
+        "copies", (F.col("whole") + extra).cast("bigint")
+    )
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+
+def _sized(docs: DataFrame, weight: str | None) -> DataFrame:
+    text = F.coalesce(column_or_null(docs, "text", "string"), F.lit(""))
+    return docs.select(
+        column_or_null(docs, "doc_id", "bigint").alias("doc_id"),
+        column_or_null(docs, "source", "string").alias("source"),
+        F.regexp_count(text, F.lit("[^ \\t-\\r]+")).cast("bigint").alias("size"),
+        (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"),
+    )
+
+
+def mix(
+    docs: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    factor: float = FACTOR,
+    ceiling: float = CEILING,
+    weight: str | None = None,
+    seed: int = 6,
+) -> DataFrame:
+    """doc_id, size, source_size, target, copies and taken words of each row of ``docs``."""
+    sized = staged(_sized(docs, weight), "sized")
+    plan = mixing_plan(sized, weights, factor, ceiling, seed, weight is not None)
+    return _copies(sized, plan, ceiling, seed).select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        "copies",
+        (F.col("copies") * F.col("size")).alias("taken"),
+    )
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    factor: float = FACTOR,
+    ceiling: float = CEILING,
+    weight: str | None = None,
+    seed: int = 6,
+) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; equal ids share a decision."""
-    copies = staged(mix(docs, **how), "copies").groupBy("doc_id").agg(F.max("copies").alias("n"))
-    copies = copies.select(F.col("doc_id").alias("mixed_id"), F.col("n").alias("mixed_n"))
-    repeats = F.explode(F.array_repeat(F.lit(0), F.col("mixed_n").cast("int")))
-    return (
-        docs.join(copies.where(F.col("mixed_n") > 0), docs["doc_id"].eqNullSafe(F.col("mixed_id")))
-        .select(*(docs[c] for c in docs.columns), repeats.alias("mixed_copy"))
-        .drop("mixed_copy")
+    sized = staged(_sized(docs, weight), "sized")
+    plan = mixing_plan(sized, weights, factor, ceiling, seed, weight is not None)
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        column_or_null(docs, "doc_id", "bigint").alias("doc_id"),
+        column_or_null(docs, "source", "string").alias("source"),
+        (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"),
     )
+    repeats = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    return _copies(rows, plan, ceiling, seed).select("row", repeats.alias("copy")).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
