@@ -38,6 +38,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CAPACITY = 2048
 CLOSING_ID = 0
 
+#: Tokens a task gathers before it packs them and lets full bins go.
+HELD = 1_500_000
+
 #: Tokens a bin may lack to count as nearly full.
 SLACK = 8
 
@@ -97,11 +100,12 @@ def _packed(
     capacity: int,
     slack: int,
     turn: int,
+    made: int = 0,
 ) -> pd.DataFrame:
     bins = best_fit(fills, capacity)
     total = np.array([int(fills[b].sum()) for b in bins], dtype=np.int64)
     task = TaskContext.get().partitionId()
-    first = (turn << 56) + (task << 32)
+    first = (turn << 56) + (task << 32) + made
     return pd.DataFrame(
         {
             "sequence_id": first + np.arange(len(bins), dtype=np.int64),
@@ -122,6 +126,22 @@ def _tokenize_and_pack(
     closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
     found: list[tuple] = []
     tokens: list[bytes] = []
+    held, made = 0, 0
+    still_open: pd.DataFrame | None = None
+
+    def flush() -> pd.DataFrame:
+        items = np.array(found, dtype=MEMBER)
+        size, raw = items.dtype.itemsize, items.tobytes()
+        members = [raw[i : i + size] for i in range(0, len(raw), size)]
+        fills, ids = items["length"].astype(np.int64), list(tokens)
+        if still_open is not None:
+            fills = np.concatenate([fills, still_open["fill"].to_numpy(dtype=np.int64)])
+            members += still_open["members"].tolist()
+            ids += still_open["tokens"].tolist()
+        found.clear()
+        tokens.clear()
+        return _packed(fills, members, ids, capacity, slack, 0, made)
+
     for pdf in batches:
         texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
         known = pdf["known"].tolist()
@@ -133,13 +153,14 @@ def _tokenize_and_pack(
                     own = raw[4 * start : 4 * (start + n)]
                     found.append((has_id, doc, i, start, n, zlib.crc32(own)))
                     tokens.append(own if with_ids else b"")
-    if not found:
-        return
-    items = np.array(found, dtype=MEMBER)
-    size = items.dtype.itemsize
-    raw = items.tobytes()
-    members = [raw[i : i + size] for i in range(0, len(raw), size)]
-    yield _packed(items["length"].astype(np.int64), members, tokens, capacity, slack, 0)
+                    held += n
+            if held >= HELD:
+                bins = flush()
+                yield bins[bins["closed"]]
+                made, held = made + len(bins), 0
+                still_open = bins[~bins["closed"]]
+    if found or still_open is not None:
+        yield flush()
 
 
 def _pack_again(

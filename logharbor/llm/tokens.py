@@ -25,7 +25,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TOKENIZER = "byte_bpe_50k.json"
 
 #: Pre-tokens a worker remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 _LAST = 0x250  # below: Latin letters, whose classes are the same in all Unicode versions
 _DASHES = "‐-‧"  # dashes, quotes, bullets, ellipsis: neither letters, numbers nor spaces
