@@ -47,7 +47,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH, GRAM = 50, 25
 CHUNK = 1_500_000
 #: Bytes of questions that one range of hashes should gather.
-RANGE = 4 << 20
+RANGE = 2 << 20
 LAST_ID = (1 << 63) - 1
 
 _CHUNK = "chunk bigint, ids binary, ends binary, bytes binary"
@@ -329,14 +329,21 @@ def _compare_adjacent(pdf: pd.DataFrame) -> pd.DataFrame:
     name = np.concatenate([n for n, _ in named])
     check = np.concatenate([c for _, c in named])
     del named
-    owner = np.repeat(np.concatenate(read("owners", "<i8")), count)
+    # ranks of the ids, as they are compared only
+    _, rank = np.unique(np.concatenate(read("owners", "<i8")), return_inverse=True)
+    owner = np.repeat(rank.astype(np.int32), count)
     order = np.lexsort((owner, check, name))
-    name, check, owner = name[order], check[order], owner[order]
+    name = name[order]
+    check = check[order]
+    owner = owner[order]
     new = np.ones(len(name), dtype=bool)
     new[1:] = (name[1:] != name[:-1]) | (check[1:] != check[:-1])
-    smallest = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
-    covered = np.empty(len(name), dtype=bool)
-    covered[order] = owner > smallest
+    del name, check
+    head_of = np.flatnonzero(new)
+    larger = owner > np.repeat(owner[head_of], np.diff(np.append(head_of, len(owner))))
+    covered = np.empty(len(owner), dtype=bool)
+    covered[order] = larger
+    del order, owner, larger
     # covered windows as (place, count), per chunk
     at = np.flatnonzero(covered)
     stretch = np.searchsorted(head, at, side="right") - 1
@@ -410,8 +417,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         known.join(first, "sha").where(F.col("doc_id") > F.col("first_id")), "copies"
     )
     gone = copies.select(F.col("doc_id").alias("copy_id"), F.col("sha").alias("copy_sha")).distinct()
+    # the same join at every size: the list of copies grows with the input
     kept = rows.join(
-        gone,
+        gone.hint("merge"),
         (F.col("doc_id") == F.col("copy_id"))
         & (F.sha2(F.col("text").cast("binary"), 256) == F.col("copy_sha")),
         "left_anti",
