@@ -47,6 +47,8 @@ K = 20
 TABLES, FUNCTIONS, SLOTS, WIDTH = 2, 6, 3, 1.2
 #: Classes in a cell at most, and in a block about.
 CELL, BLOCK = 4096, 16_384
+#: Candidate pairs a task gathers before it keeps the best.
+HELD = 200_000
 
 _CLASS = "key binary, dim int, vector binary, ids array<bigint>"
 
@@ -303,6 +305,25 @@ def _block_column(blocks: int) -> Column:
     ).cast("int")
 
 
+def _best(i, j, q, matrix, first, k):
+    """The k + 1 best classes of each query; a class met in several tables counts once.
+
+    Scores are taken pair by pair, so they depend on the two vectors only.
+    """
+    order = np.lexsort((first[j], i))
+    i, j = i[order], j[order]
+    new = np.ones(len(i), dtype=bool)
+    new[1:] = (i[1:] != i[:-1]) | (first[j[1:]] != first[j[:-1]])
+    i, j = i[new], j[new]
+    s = np.concatenate(
+        [np.einsum("ij,ij->i", q[i[a : a + HELD]], matrix[j[a : a + HELD]]) for a in range(0, len(i), HELD)]
+    )
+    order = np.lexsort((first[j], -s, i))
+    i, j, s = i[order], j[order], s[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) <= k
+    return i[keep], j[keep], s[keep]
+
+
 def _search(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     """The nearest ids of each query among the cells of one block that it visits."""
     columns = ["key", "vec_id", "score"]
@@ -319,37 +340,36 @@ def _search(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
         code, who = code[order], who[order]
         limit = np.full(len(own), -np.inf)
         own_rows = rows[rows["dim"] == dim]
-        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if not len(own_rows):
+            continue
         first = own_rows["ids"].map(lambda i: i[0]).to_numpy(dtype=np.int64)
         labels = own_rows["bucket"].to_numpy(np.int64) << 32 | own_rows["piece"].to_numpy(np.int64)
-        matrix = _matrix(own_rows["vector"]) if len(own_rows) else np.empty((0, dim))
-        for label in np.unique(labels):
-            members = np.flatnonzero(labels == label)
+        matrix = _matrix(own_rows["vector"])
+        order = np.argsort(labels, kind="stable")
+        cells, begins = np.unique(labels[order], return_index=True)
+        i, j, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        hits: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for label, members in zip(cells, np.split(order, begins[1:]), strict=True):
             asking = who[np.searchsorted(code, label) : np.searchsorted(code, label, "right")]
-            if not len(asking):
-                continue
-            scores = q[asking] @ matrix[members].T
-            if len(members) > k + 1:
-                kth = np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)]
-                limit[asking] = np.maximum(limit[asking], kth)
-            r, c = np.nonzero(scores >= limit[asking][:, None])
-            hits.append((asking[r], members[c], scores[r, c]))
-        if not hits:
+            if len(asking):
+                scores = q[asking] @ matrix[members].T
+                if len(members) > k + 1:
+                    kth = np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)]
+                    limit[asking] = np.maximum(limit[asking], kth)
+                # a little below the bound, as sums differ in their last bits
+                r, c = np.nonzero(scores >= limit[asking][:, None] - 1e-9)
+                hits.append((asking[r], members[c]))
+                held += len(r)
+            if held > HELD or (label == cells[-1] and hits):
+                i = np.concatenate([i, *(h[0] for h in hits)])
+                j = np.concatenate([j, *(h[1] for h in hits)])
+                i, j, s = _best(i, j, q, matrix, first, k)
+                full = np.flatnonzero(np.bincount(i, minlength=len(own)) > k)
+                limit[full] = np.maximum(limit[full], s[np.searchsorted(i, full, "right") - 1])
+                hits, held = [], 0
+        if not len(i):
             continue
-        i, j, s = (np.concatenate(x) for x in zip(*hits, strict=True))
-        still = s >= limit[i]
-        i, j, s = i[still], j[still], s[still]
-        # a class met in several tables counts once, with a score that depends on the pair only
-        order = np.lexsort((first[j], i))
-        i, j = i[order], j[order]
-        new = np.ones(len(i), dtype=bool)
-        new[1:] = (i[1:] != i[:-1]) | (first[j[1:]] != first[j[:-1]])
-        i, j = i[new], j[new]
-        s = np.einsum("ij,ij->i", q[i], matrix[j])
-        order = np.lexsort((first[j], -s, i))
-        i, j, s = i[order], j[order], s[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        i, j, s = i[rank <= k], j[rank <= k], s[rank <= k]
         ids = own_rows["ids"].to_numpy()[j]
         counts = [len(x) for x in ids]
         found.append(
