@@ -222,15 +222,19 @@ def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Start and end per partition; topic ``empty`` has been written and emptied."""
-    known = R.partition_watermarks(records(spark, sf_dir))
-    empty = known.groupBy().agg(
-        F.lit("empty").alias("topic"),
-        F.lit(0).alias("partition"),
-        F.lit(20).cast("bigint").alias("start_offset"),
-        F.lit(20).cast("bigint").alias("end_offset"),
-    )
-    return known.unionByName(empty)
+    """Start and end per partition, as a broker lists them; topic ``empty`` has been written and emptied."""
+
+    def build() -> DataFrame:
+        known = R.partition_watermarks(records(spark, sf_dir))
+        empty = known.groupBy().agg(
+            F.lit("empty").alias("topic"),
+            F.lit(0).alias("partition"),
+            F.lit(20).cast("bigint").alias("start_offset"),
+            F.lit(20).cast("bigint").alias("end_offset"),
+        )
+        return known.unionByName(empty)
+
+    return _store(spark, sf_dir, "watermarks", build)
 
 
 def group_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
