@@ -7,7 +7,8 @@
 3. A beta prior is fitted to the hosts' failure rates by moments, per rule; each host's
    rate is shrunk to it.  A rule is enforced on hosts whose shrunk rate exceeds
    ``tolerance``; elsewhere a lone failure is taken as an accident.
-4. The verdicts, one row per host, are joined back to the narrow measurements.
+4. The verdicts, one row per host, are joined back to the measured rows; every row is kept
+   or dropped by its own measurements.
 
 Defined results: a null text has no words and fails the base rule.  Null hosts form one
 host of their own.  Repeated rows are judged row by row, each counts for its host.  An
@@ -17,6 +18,8 @@ clashing names do not matter.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,10 +77,11 @@ def _repeated_words(words: Column, width: int) -> Column:
     )
 
 
-def measure(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, source and the measurements of each row of ``docs``."""
+def measure(docs: DataFrame, window: int = WINDOW, beside: Sequence[Column] = ()) -> DataFrame:
+    """``beside``, doc_id, source and the measurements of each row of ``docs``."""
     text = F.coalesce(column_or_null(docs, "text", "string"), F.lit(""))
     narrow = docs.select(
+        *beside,
         column_or_null(docs, "doc_id", "bigint").alias("doc_id"),
         column_or_null(docs, "source", "string").alias("source"),
         text.alias("text"),
@@ -99,15 +103,14 @@ def measure(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         ),
     )
+    carried = [c for c in narrow.columns if c != "text"]
     return narrow.select(
-        "doc_id",
-        "source",
+        *carried,
         by_words.alias("w"),
         by_lines.alias("l"),
         (F.size(F.split(t, SYMBOLS)) - 1).cast("bigint").alias("n_symbols"),
     ).select(
-        "doc_id",
-        "source",
+        *carried,
         "w.n_words",
         "w.word_chars",
         "n_symbols",
@@ -179,23 +182,21 @@ def judge(docs: DataFrame, tolerance: float = 0.02) -> DataFrame:
 def quality_filter(docs: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns.
 
-    Hosts are judged on all rows first; the rejected ids then leave by an anti join, which
-    Catalyst broadcasts only while the written id list is small.  Rows that share id and host
-    stand for one document and go together.
+    Hosts are judged on all rows first; then every row is measured again beside its columns
+    and meets the verdict of its host.  Only hosts with an enforced rule are joined, which
+    Catalyst broadcasts while their written table is small.
     """
-    keyed = docs.select(
-        column_or_null(docs, "doc_id", "bigint").alias("doc_id"),
-        column_or_null(docs, "source", "string").alias("source"),
-        column_or_null(docs, "text", "string").alias("text"),
-    )
-    verdicts = judge(keyed, tolerance)
-    gone = staged(verdicts.where(~F.col("kept")).select("doc_id", "source").distinct(), "gone")
-    return docs.join(
-        gone.select(F.col("doc_id").alias("gone_id"), F.col("source").alias("gone_source")),
-        docs["doc_id"].eqNullSafe(F.col("gone_id"))
-        & docs["source"].eqNullSafe(F.col("gone_source")),
-        "left_anti",
-    )
+    verdicts = host_verdicts(measure(docs), tolerance)
+    enforced = [f"enforce_{r}" for r in RULES]
+    strict = staged(verdicts.where(" OR ".join(enforced)).select("host", *enforced), "verdicts")
+    measured = measure(docs, beside=[F.struct("*").alias("row")])
+    joined = measured.join(strict, F.col("source").eqNullSafe(F.col("host")), "left")
+    # one sum over both sides: as separate conditions, Catalyst would measure in each of them
+    failures = base_failure().cast("int")
+    for rule, failed in rule_failures().items():
+        counts = failed & F.coalesce(F.col(f"enforce_{rule}"), F.lit(False))
+        failures = failures + counts.cast("int")
+    return joined.where(failures == 0).select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,20 @@ def test_hosts_are_shrunk_to_the_prior(spark):
     assert all(kept[100 + i] for i in range(900))
 
 
+def test_rows_are_filtered_by_their_own_verdict(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, good, "en", "a", 1), (None, "short", "en", "a", 2), (None, good + " x", "en", "a", 3)]
+    rows += [(5, good, "en", "a", 4), (5, "short", "en", "a", 5), (6, good, "en", None, 6), (6, None, "en", None, 7)]
+    junk = good + "".join(f" #{i}#" for i in range(20))
+    rows += [(None, junk if i % 2 else good, "en", "bad", 100 + i) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"host": F.lit("clash"), "gone_id": F.lit(5)})
+    kept = Q.quality_filter(docs)
+    assert kept.columns == docs.columns
+    numbers = sorted(r["n_chars"] for r in kept.collect())
+    assert numbers == [1, 3, 4, 6] + [100 + i for i in range(0, 60, 2)]
+    assert Q.judge(docs).where("kept").count() == len(numbers)
+
+
 def test_urls(spark):
     rules = spark.createDataFrame(
         U.RULES + [("block", "a.net/x/y"), ("allow", "b.a.net/x/"), ("block", "org")], "verdict string, rule string"
