@@ -7,11 +7,13 @@ width ``width``; the slots together name the bucket.  A query visits buckets in
 their estimated success: given that a neighbour has similarity s to the query, each of
 its projections is normal with mean s times the query's and variance 1 - s * s.
 
-s and the share of estimated success to visit are set from pilot queries (``pilots``, a
-documented bound), whose true neighbours are found by brute force over all rows: the
-share is the one that reaches ``recall`` of them.  Every row is indexed and every visited
-bucket is searched whole; candidates are reranked by the exact inner product in double
-precision.
+s and the share of estimated success to visit are set per vector length from pilot queries
+(``pilots`` of each length, a documented bound), whose true neighbours are found by brute
+force over all rows: the share is the one that reaches ``recall`` of them.  A length with at
+most ``CELL`` classes needs no share, all of its buckets are visited.  Every row is indexed
+and every visited bucket is searched whole; candidates are reranked by the exact inner
+product in double precision.  Queries that are left with fewer than ``k`` results search all
+buckets in a second round.
 
 Equal vectors form one class, reduced in every task before the shuffle to the smallest
 ``k + 1`` ids, which is all that ties to the smaller id can ever return; so a vector that
@@ -21,7 +23,7 @@ with the list of cells to search there.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no
 part, nor do rows without an id; vectors of different lengths never meet; a query never
-returns its own id; with fewer candidates all of them found are returned.  Rows that repeat
+returns its own id; with ``k`` or fewer candidates all of them are returned.  Rows that repeat
 an id with the same vector count once.  An empty table gives an empty result.
 """
 
@@ -201,12 +203,36 @@ def _pilot_search(
             )
 
 
+def _first_of_length(batches: Iterator[pd.DataFrame], pilots: int) -> Iterator[pd.DataFrame]:
+    held = None
+    for pdf in batches:
+        held = pdf if held is None else pd.concat([held, pdf])
+        held = held.sort_values("key").groupby("dim").head(pilots)
+    if held is not None:
+        yield held
+
+
 def calibrate(
     classes: DataFrame, queries: DataFrame, longest: dict[int, float], k: int, seed: int,
     pilots: int, recall: float,
-) -> tuple[float, float]:
-    """Similarity of far neighbours and the share of success to visit, from pilot queries."""
-    chosen = queries.orderBy(F.xxhash64("key")).limit(pilots).select("dim", "vector").collect()
+) -> dict[int, tuple[float, float]]:
+    """Similarity of far neighbours and the share of success to visit, from pilot queries.
+
+    ``queries`` has the lengths to calibrate; one without pilots is not in the result.
+    """
+    # keys are digests, so the smallest are drawn at random
+    local = queries.select("key", "dim", "vector").mapInPandas(
+        lambda batches: _first_of_length(batches, pilots), "key binary, dim int, vector binary"
+    )
+    drawn = F.row_number().over(W.partitionBy("dim").orderBy("key"))
+    chosen = (
+        local.withColumn("drawn", drawn)
+        .where(F.col("drawn") <= pilots)
+        .select("dim", "vector")
+        .collect()  # ``pilots`` vectors a length with more than CELL classes
+    )
+    if not chosen:
+        return {}
     by_dim: dict[int, list[bytes]] = {}
     for row in chosen:
         by_dim.setdefault(row["dim"], []).append(bytes(row["vector"]))
@@ -222,25 +248,22 @@ def calibrate(
         .select("dim", "pilot", "score", "vector")
         .collect()  # k + 1 rows a pilot
     )
-    if not best:
-        return 0.5, 1.0
-    ratio = []
+    of_dim: dict[int, list] = {}
     for r in best:
-        q = known[r["dim"]][r["pilot"]]
-        ratio.append(r["score"] / (np.linalg.norm(q) * longest[r["dim"]]))
-    similarity = float(np.clip(np.quantile(ratio, 0.1), 0.05, 0.95))
-    needed: list[np.ndarray] = []
-    for dim, q in known.items():
-        own = [r for r in best if r["dim"] == dim]
-        if not own:
-            continue
+        of_dim.setdefault(r["dim"], []).append(r)
+    out = {}
+    for dim, own in of_dim.items():
+        q = known[dim]
+        who = np.array([r["pilot"] for r in own])
+        score = np.array([r["score"] for r in own])
+        ratio = score / (np.linalg.norm(q[who], axis=1) * longest[dim])
+        similarity = float(np.clip(np.quantile(ratio, 0.1), 0.05, 0.95))
         hashes = Hashes(dim, seed, longest[dim])
         before = [Hashes.visited_before(c) for c in hashes.success(q, similarity)]
         at = hashes.buckets(_matrix(pd.Series([bytes(r["vector"]) for r in own])))
-        who = np.array([r["pilot"] for r in own])
-        needed.append(np.min([before[t][who, at[:, t]] for t in range(TABLES)], axis=0))
-    share = float(np.quantile(np.concatenate(needed), recall))
-    return similarity, min(1.0, share + 1e-9)
+        needed = np.min([before[t][who, at[:, t]] for t in range(TABLES)], axis=0)
+        out[dim] = similarity, min(1.0, float(np.quantile(needed, recall)) + 1e-9)
+    return out
 
 
 def _cells(
@@ -263,8 +286,8 @@ def _cells(
 
 
 def _probes(
-    batches: Iterator[pd.DataFrame], longest: dict[int, float], seed: int, similarity: float,
-    share: float, cut: dict[tuple[int, int], int], blocks: int,
+    batches: Iterator[pd.DataFrame], longest: dict[int, float], seed: int,
+    shares: dict[int, tuple[float, float]], cut: dict[tuple[int, int], int], blocks: int,
 ) -> Iterator[pd.DataFrame]:
     hashes: dict[int, Hashes] = {}
     for pdf in batches:
@@ -272,13 +295,17 @@ def _probes(
             h = hashes.setdefault(dim, Hashes(dim, seed, longest[dim]))
             for at in range(0, len(group), 256):
                 part = group.iloc[at : at + 256]
-                chances = h.success(_matrix(part["vector"]), similarity)
-                visit = [Hashes.visited_before(c) <= share for c in chances]
+                if dim in shares:
+                    similarity, share = shares[dim]
+                    chances = h.success(_matrix(part["vector"]), similarity)
+                    visit = [Hashes.visited_before(c) <= share for c in chances]
+                else:  # everything, and the first table holds every class
+                    visit = [np.ones((len(part), SLOTS**FUNCTIONS), dtype=bool)]
                 sent: list[tuple] = []
                 for i in range(len(part)):
                     cells = [
                         (int(b) * TABLES + t, p)
-                        for t in range(TABLES)
+                        for t in range(len(visit))
                         for b in np.flatnonzero(visit[t][i])
                         for p in range(cut.get((dim, int(b) * TABLES + t), 1))
                     ]
@@ -417,16 +444,20 @@ def nearest(
             length = [np.linalg.norm(np.frombuffer(v, dtype="<f8")) for v in pdf["vector"]]
             yield pd.DataFrame({"dim": pdf["dim"], "norm": length})
 
-    longest = {
-        r["dim"]: r["longest"] * (1 + 1e-9)
-        for r in classes.mapInPandas(norms, "dim int, norm double")
+    lengths = (
+        classes.mapInPandas(norms, "dim int, norm double")
         .groupBy("dim")
-        .agg(F.max("norm").alias("longest"))
+        .agg(F.max("norm").alias("longest"), F.count(F.lit(1)).alias("n"))
         .collect()  # one row per vector length
-    }
+    )
+    longest = {r["dim"]: r["longest"] * (1 + 1e-9) for r in lengths}
     if not longest:
         return vectors.sparkSession.createDataFrame([], result)
-    similarity, share = calibrate(classes, queries, longest, k, seed, pilots, recall)
+    large = [r["dim"] for r in lengths if r["n"] > CELL]
+    shares = {}
+    if large:
+        asking = queries.where(F.col("dim").isin(large))
+        shares = calibrate(classes, asking, longest, k, seed, pilots, recall)
     indexed = staged(
         classes.mapInPandas(
             lambda batches: _cells(batches, longest, seed),
@@ -450,30 +481,50 @@ def nearest(
     placed = indexed.withColumn(
         "piece", F.pmod(F.xxhash64("vector"), cut.cast("bigint")).cast("int")
     ).withColumn("block", _block_column(blocks))
-    probing = queries.mapInPandas(
-        lambda batches: _probes(batches, longest, seed, similarity, share, pieces, blocks),
-        "block int, dim int, key binary, vector binary, cells binary",
-    )
-    found = (
-        placed.groupBy("block")
-        .cogroup(probing.groupBy("block"))
-        .applyInPandas(
-            lambda r, q: _search(r, q, k), "key binary, vec_id bigint, score double"
+
+    def searched(asking: DataFrame, shares: dict[int, tuple[float, float]]) -> DataFrame:
+        """key and the k + 1 nearest ids found by each of ``asking``."""
+        probing = asking.mapInPandas(
+            lambda batches: _probes(batches, longest, seed, shares, pieces, blocks),
+            "block int, dim int, key binary, vector binary, cells binary",
         )
-        .groupBy("key", "vec_id")
-        .agg(F.max("score").alias("score"))
-    )
-    by_score = W.partitionBy("key").orderBy(F.desc("score"), "vec_id")
-    best = (
-        found.withColumn("place", F.row_number().over(by_score))
-        .where(F.col("place") <= k + 1)
-        .groupBy("key")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct((-F.col("score")).alias("order"), "vec_id", "score"))
-            ).alias("near")
+        found = (
+            placed.groupBy("block")
+            .cogroup(probing.groupBy("block"))
+            .applyInPandas(
+                lambda r, q: _search(r, q, k), "key binary, vec_id bigint, score double"
+            )
+            .groupBy("key", "vec_id")
+            .agg(F.max("score").alias("score"))
         )
-    )
+        by_score = W.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+        return (
+            found.withColumn("place", F.row_number().over(by_score))
+            .where(F.col("place") <= k + 1)
+            .groupBy("key")
+            .agg(
+                F.sort_array(
+                    F.collect_list(F.struct((-F.col("score")).alias("order"), "vec_id", "score"))
+                ).alias("near")
+            )
+        )
+
+    best = searched(queries, shares)
+    if shares:
+        # k + 1 with the query's own id; whoever has fewer looks everywhere
+        first = staged(best, "first-round")
+        full = first.where(F.size("near") > k)
+        short = staged(
+            queries.where(F.col("dim").isin(list(shares))).join(
+                full.select("key"), "key", "left_anti"
+            ),
+            "short",
+        )
+        if not short.isEmpty():
+            again = searched(short, {})
+            best = first.join(short.select("key"), "key", "left_anti").unionByName(again)
+        else:
+            best = first
     own = F.slice(
         F.filter("near", lambda n: n["vec_id"] != F.col("query_id")), F.lit(1), F.lit(k)
     )

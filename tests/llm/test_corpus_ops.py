@@ -337,6 +337,43 @@ def test_nearest_of_odd_vectors(spark):
     assert N.nearest(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def nearest_ids(table, **how):
+    got = collections.defaultdict(list)
+    found = N.nearest(table, F.col("vec_id") % 20 == 0, **how)
+    for r in found.orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    return dict(got)
+
+
+@pytest.mark.parametrize("lengths", [{8: 10}, {8: 300, 5: 15, 3: 21}])
+def test_nearest_returns_all_of_few_candidates(spark, lengths):
+    rng = np.random.default_rng(4)
+    drawn = [(dim, i) for dim, n in lengths.items() for i in range(n)]
+    vectors = {1 + i if i else 0: rng.normal(size=dim) for i, (dim, _) in enumerate(drawn)}
+    rows = [(i, v.tolist()) for i, v in vectors.items()]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    expected = near_by_hand(vectors, [i for i in vectors if i % 20 == 0])
+    got = nearest_ids(table)
+    assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in expected.items()}
+    for q, v in expected.items():
+        assert len(v) == 20 or got[q] == v
+
+
+def test_nearest_of_outliers_looks_everywhere(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL", 64)
+    rng = np.random.default_rng(5)
+    # queries lie on one side but two, whose own side is nearly empty
+    middle = np.array([5.0, 0, 0, 0, 0, 0])
+    vectors = {i: middle + 0.3 * rng.normal(size=6) for i in range(800)}
+    vectors |= {i: -middle + 0.3 * rng.normal(size=6) for i in (1000, 1001, 1020, 1021)}
+    rows = [(i, v.tolist()) for i, v in vectors.items()]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = nearest_ids(table)
+    expected = near_by_hand(vectors, [1000, 1020])
+    assert {q: got[q] for q in expected} == expected
+    assert len(got) == 42 and all(len(v) == 20 for v in got.values())
+
+
 def test_pipeline(spark, library):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns, kept = docs.columns, docs
