@@ -19,7 +19,10 @@ Equal vectors form one class, reduced in every task before the shuffle to the sm
 ``k + 1`` ids, which is all that ties to the smaller id can ever return; so a vector that
 a third of all rows repeat is one entry.  Buckets with more than ``CELL`` classes are cut
 into cells, and cells are dealt to blocks of bounded size.  A query reaches a block once,
-with the list of cells to search there.
+with the list of cells to search there.  Queries are dealt to shares of about ``ASKING``, and
+a block is searched for each share by itself, ``SCORES`` scores at a time, so neither the
+queries nor the scores a task holds grow with the table.  As more than half of all buckets
+are visited, the pairs scored grow with queries times classes, and so do the copies sent.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no
 part, nor do rows without an id; vectors of different lengths never meet; a query never
@@ -49,6 +52,10 @@ K = 20
 TABLES, FUNCTIONS, SLOTS, WIDTH = 2, 6, 3, 1.2
 #: Classes in a cell at most, and in a block about.
 CELL, BLOCK = 4096, 16_384
+#: Queries that search a block in one task, about.
+ASKING = 4096
+#: Scores a task holds at once.
+SCORES = 1 << 20
 #: Candidate pairs a task gathers before it keeps the best.
 HELD = 200_000
 
@@ -351,6 +358,16 @@ def _best(i, j, q, matrix, first, k):
     return i[keep], j[keep], s[keep]
 
 
+def _kept(i, j, hits, q, matrix, first, k, limit):
+    """The best of those kept so far and of ``hits``; raises the queries' limits."""
+    i = np.concatenate([i, *(h[0] for h in hits)])
+    j = np.concatenate([j, *(h[1] for h in hits)])
+    i, j, s = _best(i, j, q, matrix, first, k)
+    full = np.flatnonzero(np.bincount(i, minlength=len(limit)) > k)
+    limit[full] = np.maximum(limit[full], s[np.searchsorted(i, full, "right") - 1])
+    return i, j, s
+
+
 def _search(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     """The nearest ids of each query among the cells of one block that it visits."""
     columns = ["key", "vec_id", "score"]
@@ -378,23 +395,25 @@ def _search(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
         hits: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
         for label, members in zip(cells, np.split(order, begins[1:]), strict=True):
-            asking = who[np.searchsorted(code, label) : np.searchsorted(code, label, "right")]
-            if len(asking):
-                scores = q[asking] @ matrix[members].T
-                if len(members) > k + 1:
-                    kth = np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)]
-                    limit[asking] = np.maximum(limit[asking], kth)
-                # a little below the bound, as sums differ in their last bits
-                r, c = np.nonzero(scores >= limit[asking][:, None] - 1e-9)
-                hits.append((asking[r], members[c]))
-                held += len(r)
-            if held > HELD or (label == cells[-1] and hits):
-                i = np.concatenate([i, *(h[0] for h in hits)])
-                j = np.concatenate([j, *(h[1] for h in hits)])
-                i, j, s = _best(i, j, q, matrix, first, k)
-                full = np.flatnonzero(np.bincount(i, minlength=len(own)) > k)
-                limit[full] = np.maximum(limit[full], s[np.searchsorted(i, full, "right") - 1])
-                hits, held = [], 0
+            every = who[np.searchsorted(code, label) : np.searchsorted(code, label, "right")]
+            step = max(1, SCORES // len(members))
+            for at in range(0, len(every), step):
+                asking = every[at : at + step]
+                for part in range(0, len(members), SCORES):
+                    own_part = members[part : part + SCORES]
+                    scores = q[asking] @ matrix[own_part].T
+                    if len(own_part) > k + 1:
+                        kth = np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)]
+                        limit[asking] = np.maximum(limit[asking], kth)
+                    # a little below the bound, as sums differ in their last bits
+                    r, c = np.nonzero(scores >= limit[asking][:, None] - 1e-9)
+                    hits.append((asking[r], own_part[c]))
+                    held += len(r)
+                    if held > HELD:
+                        i, j, s = _kept(i, j, hits, q, matrix, first, k, limit)
+                        hits, held = [], 0
+        if hits:
+            i, j, s = _kept(i, j, hits, q, matrix, first, k, limit)
         if not len(i):
             continue
         ids = own_rows["ids"].to_numpy()[j]
@@ -484,13 +503,15 @@ def nearest(
 
     def searched(asking: DataFrame, shares: dict[int, tuple[float, float]]) -> DataFrame:
         """key and the k + 1 nearest ids found by each of ``asking``."""
+        dealt = max(1, -(-asking.count() // ASKING))
         probing = asking.mapInPandas(
             lambda batches: _probes(batches, longest, seed, shares, pieces, blocks),
             "block int, dim int, key binary, vector binary, cells binary",
-        )
+        ).withColumn("asking", F.pmod(F.xxhash64("key"), F.lit(dealt).cast("bigint")).cast("int"))
+        to_all = placed.withColumn("asking", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))))
         found = (
-            placed.groupBy("block")
-            .cogroup(probing.groupBy("block"))
+            to_all.groupBy("block", "asking")
+            .cogroup(probing.groupBy("block", "asking"))
             .applyInPandas(
                 lambda r, q: _search(r, q, k), "key binary, vec_id bigint, score double"
             )

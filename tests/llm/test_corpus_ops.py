@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import pathlib
 import random
 import re
+import tempfile
+import uuid
 import zlib
 
 import numpy as np
@@ -374,6 +377,28 @@ def test_nearest_of_outliers_looks_everywhere(spark, monkeypatch):
     assert len(got) == 42 and all(len(v) == 20 for v in got.values())
 
 
+def test_nearest_holds_bounded_shares_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = {20 * i: rng.normal(size=8) for i in range(700)}  # all of them ask
+    rows = [(i, v.tolist()) for i, v in vectors.items()]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    expected = near_by_hand(vectors, list(vectors))
+    folder = tempfile.mkdtemp(prefix="run-")
+    real = N._search
+
+    def counted(rows, queries, k):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+            out.write(str(len(queries)))
+        return real(rows, queries, k)
+
+    monkeypatch.setattr(N, "ASKING", 64)
+    monkeypatch.setattr(N, "SCORES", 50)
+    monkeypatch.setattr(N, "_search", counted)
+    assert nearest_ids(table) == expected
+    held = [int(p.read_text()) for p in pathlib.Path(folder).iterdir()]
+    assert len(held) >= 700 // 64 and max(held) < 2 * 64
+
+
 def test_pipeline(spark, library):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns, kept = docs.columns, docs
