@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logharbor.llm.common import column_or_null, staged, table
@@ -53,8 +53,6 @@ def _multipliers(seed: int) -> np.ndarray:
 def _signatures(
     batches: Iterator[pa.RecordBatch], width: int, seed: int
 ) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
     factors = _multipliers(seed)
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -70,24 +68,27 @@ def _signatures(
                     labels[full, j] = low.astype(np.uint32)
             has = np.zeros(len(own), dtype=bool)
             has[full] = True
-            node = [
-                hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                for t in own
-            ]
             rows = [r.tobytes() if ok else None for r, ok in zip(labels, has, strict=True)]
-            ids = batch.column("doc_id").slice(part.start, len(own))
+            ids, node = (batch.column(c).slice(part.start, len(own)) for c in ("doc_id", "node"))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(node, pa.binary()), pa.array(rows, pa.binary())],
-                ["doc_id", "node", "labels"],
+                [ids, node, pa.array(rows, pa.binary())], ["doc_id", "node", "labels"]
             )
 
 
-def signatures(docs: DataFrame, width: int = WIDTH, seed: int = 2) -> DataFrame:
-    """doc_id, node (digest of the text) and labels (null without shingles)."""
+def keyed_texts(docs: DataFrame, *beside: Column) -> DataFrame:
+    """``beside``, doc_id, text and node (16 bytes of the text's SHA-256) of each row."""
+    text = F.coalesce(column_or_null(docs, "text", "string"), F.lit(""))
     return docs.select(
+        *beside,
         column_or_null(docs, "doc_id", "bigint").alias("doc_id"),
-        F.coalesce(column_or_null(docs, "text", "string"), F.lit("")).alias("text"),
-    ).mapInArrow(
+        text.alias("text"),
+        F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("node"),
+    )
+
+
+def signatures(docs: DataFrame, width: int = WIDTH, seed: int = 2) -> DataFrame:
+    """doc_id, node (digest of the text) and labels (null without shingles)."""
+    return keyed_texts(docs).mapInArrow(
         lambda batches: _signatures(batches, width, seed),
         "doc_id bigint, node binary, labels binary",
     )
@@ -129,21 +130,16 @@ def buckets(nodes: DataFrame, depth: int) -> DataFrame:
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for part in blocks_of(texts, 1_000_000):
             own = texts[part]
             text, h = distinct_by_text(*Texts(own).shingles(width))
             cuts = np.searchsorted(text, np.arange(len(own) + 1))
-            node = [
-                hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                for t in own
-            ]
+            node = batch.column("node").slice(part.start, len(own))
             sets = [h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node, pa.binary()), pa.array(sets, pa.binary())], ["node", "shingles"]
+                [node, pa.array(sets, pa.binary())], ["node", "shingles"]
             )
 
 
@@ -260,19 +256,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(
+def _classed(
     docs: DataFrame,
     similarity: float = SIMILARITY,
     width: int = WIDTH,
     recall: float = RECALL,
     seed: int = 2,
-) -> DataFrame:
-    """doc_id, class_id, copy_of, n_copies, n_links of each row of ``docs``.
-
-    ``class_id`` is the smallest id among all documents connected by links or equal texts,
-    ``copy_of`` the smallest among equal texts, ``n_copies`` the number of rows with this text and
-    ``n_links`` the number of other texts with at least ``similarity``.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and class and links of each text that has words and an id."""
     signed = staged(signatures(docs, width, seed), "signatures")
     nodes = staged(
         signed.where(F.col("doc_id").isNotNull() & F.col("labels").isNotNull())
@@ -291,12 +282,9 @@ def near_duplicates(
         ).distinct(),
         "wanted",
     )
-    texts = docs.select(
-        column_or_null(docs, "doc_id", "bigint").alias("doc_id"),
-        F.coalesce(column_or_null(docs, "text", "string"), F.lit("")).alias("text"),
-    ).join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+    texts = keyed_texts(docs).join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
     sets = (
-        texts.select("text")
+        texts.select("text", "node")
         .mapInArrow(lambda b: _shingle_rows(b, width), "node binary, shingles binary")
         .dropDuplicates(["node"])
     )
@@ -309,12 +297,29 @@ def near_duplicates(
     known = staged(
         placed.join(classes, "label")
         .join(counts, "node", "left")
-        .select("node", "class_id", "copy_of", "n_copies", "n_links"),
+        .select("node", "label", "class_id", "copy_of", "n_copies", "n_links"),
         "classes",
     )
+    return signed, known
+
+
+def near_duplicates(
+    docs: DataFrame,
+    similarity: float = SIMILARITY,
+    width: int = WIDTH,
+    recall: float = RECALL,
+    seed: int = 2,
+) -> DataFrame:
+    """doc_id, class_id, copy_of, n_copies, n_links of each row of ``docs``.
+
+    ``class_id`` is the smallest id among all documents connected by links or equal texts,
+    ``copy_of`` the smallest among equal texts, ``n_copies`` the number of rows with this text and
+    ``n_links`` the number of other texts with at least ``similarity``.
+    """
+    signed, known = _classed(docs, similarity, width, recall, seed)
     # texts without words are not nodes: each is its own class
     return signed.select("doc_id", "node", F.col("labels").isNotNull().alias("has")).join(
-        known.withColumn("has", F.lit(True)), ["node", "has"], "left"
+        known.drop("label").withColumn("has", F.lit(True)), ["node", "has"], "left"
     ).select(
         "doc_id",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
@@ -325,18 +330,40 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each class; rows without an id stay."""
-    found = staged(near_duplicates(docs, **how), "near")
-    # an id that stands for several texts goes only if all of its rows are others' duplicates
+    """One row of ``docs`` of each class: of its smallest id, and there of the smallest node.
+
+    A row is known by id, node and its number among the rows that share both; of these one
+    stays, whichever.  Rows without an id are in no class, one of each text stays; so does one
+    row of each id and text without words.
+    """
+    signed, known = _classed(docs, **how)
+    keys = staged(
+        signed.groupBy("doc_id", "node").agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.col("labels").isNotNull()).alias("has")
+        ),
+        "keys",
+    )
+    first = known.groupBy("label").agg(F.min(F.struct("copy_of", "node")).alias("first"))
+    kept = first.select(F.col("first.copy_of").alias("doc_id"), F.col("first.node").alias("node"))
+    others = keys.where("has AND doc_id IS NOT NULL").join(kept, ["doc_id", "node"], "left_anti")
     gone = staged(
-        found.where(F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"))
-        .where((F.col("low") != F.col("doc_id")) & (F.col("high") != F.col("doc_id")))
-        .select(F.col("doc_id").alias("gone_id")),
-        "gone",
+        others.select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node")), "gone"
     )
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("node") == F.col("gone_node"))
+    repeated = staged(
+        keys.where("n > 1").join(gone, same, "left_anti").select(
+            F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node")
+        ),
+        "repeated",
+    )
+    rows = keyed_texts(docs, F.struct("*").alias("row")).drop("text")
+    if repeated.isEmpty():
+        return rows.join(gone, same, "left_anti").select("row.*")
+    alone = rows.join(gone.unionByName(repeated), same, "left_anti")
+    # staged, so that the rows of a frequent key are reduced where they lie before they meet
+    several = staged(rows.join(repeated, same, "left_semi"), "several")
+    one = several.groupBy("doc_id", "node").agg(F.first("row").alias("row"))
+    return alone.select("row.*").unionByName(one.select("row.*"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,6 +169,23 @@ def test_near_duplicates(spark, monkeypatch):
     assert J.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near, alone = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"v{i}" for i in range(40))
+    other = " ".join(f"u{i}" for i in range(40))
+    rows = [(3, near), (2, text), (2, text), (5, text), (5, alone), (5, alone), (2, near), (8, ""), (8, None), (9, "")]
+    rows += [(None, other)] * 30 + [(None, None), (None, ""), (11, "only words here"), (12, text)]
+    columns = {"gone_id": F.lit(2), "node": F.lit("clash"), "gone_node": F.lit(b"x")}
+    docs = spark.createDataFrame(rows, PLAIN).withColumns(columns)
+    kept = J.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = collections.Counter((r["doc_id"], r["text"] or "") for r in kept.collect())
+    of_class = [k for k in got if k[1] in (text, near)]
+    assert len(of_class) == 1 and of_class[0][0] == 2
+    expected = {(5, alone), (8, ""), (9, ""), (None, other), (None, ""), (11, "only words here"), of_class[0]}
+    assert got == dict.fromkeys(expected, 1)
+
+
 def test_near_duplicates_of_the_documents(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     expected = {d: v for (d, _), v in linked_by_hand(docs).items()}
