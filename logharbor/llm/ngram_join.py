@@ -1,11 +1,12 @@
-"""Near-duplicate texts: Jaccard join over word shingles by a MinHash LSH forest.
+"""Near-duplicate texts: Jaccard join over word shingles by MinHash banding.
 
 1. Equal texts are one node, reduced map-side, so copies never meet each other.  A node's
    signature has ``TREES`` labels of ``DEPTH`` MinHash values each.
-2. A tree is the trie of its sorted labels; nodes match on a prefix.  The prefix starts at
-   full depth and is shortened until the chance to meet in some tree, 1 - (1 - s^d)^TREES at
-   similarity s, reaches the target recall.  Nodes that share a prefix form a bucket;
-   buckets with the same members in several trees are kept once.
+2. Nodes match on a prefix of the labels of a tree, by its hash; no trie is built.  The prefix
+   is the same for all nodes: the longest whose chance to meet in some tree, 1 - (1 -
+   s^d)^TREES at similarity s, reaches the target recall (4 of 5 for 0.8 and 0.9999).  Nodes
+   that share a prefix form a bucket; buckets with the same members in several trees are
+   kept once.
 3. Buckets are verified whole and exactly, on 64-bit shingle hashes, in blocks: a bucket of
    m nodes is cut into pieces of about ``PIECE`` nodes and each pair of pieces is a group
    of its own.  A group counts links and returns, per node, its number of links and one
