@@ -1,8 +1,8 @@
 """Chat formatting of conversations made of typed content parts.
 
 A turn is a list of parts (text, image, audio, document).  A visitor flattens them in
-order: text is escaped, any other part becomes a numbered placeholder, and an attachment
-entry records its reference and how many tokens it will take once expanded.  Turns are
+order: neighbouring texts are joined and escaped as one, any other part becomes a numbered
+placeholder, a plain text is a turn of one text part, and an attachment entry records its reference and how many tokens it will take once expanded.  Turns are
 formatted row by row, wherever they lie; only finished segments are gathered by
 conversation, which is the output row.
 
@@ -71,19 +71,29 @@ def visit(parts: Column) -> Column:
             expanded_tokens(p).alias("tokens"),
         ),
     )
-    # the number of an attachment is its place among the turn's attachments
-    numbers = F.transform(
-        F.sequence(F.lit(1), F.size(known)),
-        lambda i: F.size(F.filter(F.slice(known, F.lit(1), i), lambda p: ~is_text(p))),
-    )
-    pieces = F.zip_with(
+    # texts are gathered until an attachment or the end, as a ``<|`` may lie across parts
+    body = F.aggregate(
         known,
-        numbers,
-        lambda p, n: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(
-            F.concat(F.lit("<|"), p["type"], F.lit("_"), n.cast("string"), F.lit("|>"))
+        F.struct(F.lit("").alias("done"), F.lit("").alias("text"), F.lit(0).alias("n")),
+        lambda a, p: F.when(
+            is_text(p),
+            F.struct(
+                a["done"].alias("done"),
+                F.concat(a["text"], F.coalesce(p["text"], F.lit(""))).alias("text"),
+                a["n"].alias("n"),
+            ),
+        ).otherwise(
+            F.struct(
+                F.concat(
+                    a["done"], escape(a["text"]), F.lit("<|"), p["type"], F.lit("_"),
+                    (a["n"] + 1).cast("string"), F.lit("|>"),
+                ).alias("done"),
+                F.lit("").alias("text"),
+                (a["n"] + 1).alias("n"),
+            )
         ),
-    )
-    body = F.when(F.size(known) == 0, F.lit("")).otherwise(F.array_join(pieces, ""))
+        lambda a: F.concat(a["done"], escape(a["text"])),
+    )
     return F.struct(body.alias("body"), attachments.alias("attachments"))
 
 
@@ -95,14 +105,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """
     text = F.coalesce(column_or_null(turns, "text", "string"), F.lit(""))
     if "parts" in turns.columns:
-        flat = visit(F.col("parts").cast(f"array<{PART}>"))
+        parts = F.col("parts").cast(f"array<{PART}>")
     else:
-        flat = F.struct(
-            escape(text).alias("body"),
-            F.array()
-            .cast("array<struct<number:bigint,type:string,ref:string,tokens:bigint>>")
-            .alias("attachments"),
-        )
+        plain = F.struct(F.lit("text"), text, F.lit(None).cast("string"), F.lit(None).cast("double"))
+        parts = F.array(plain).cast(f"array<{PART}>")
+    flat = visit(parts)
     role = F.coalesce(column_or_null(turns, "role", "string"), F.lit(""))
     segments = turns.select(
         column_or_null(turns, "conv_id", "bigint").alias("conv_id"),

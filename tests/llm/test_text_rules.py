@@ -167,6 +167,22 @@ def test_chat_parts_are_visited_in_order(spark):
     assert row["attachment_tokens"] == 28
 
 
+def test_neighbouring_texts_are_escaped_as_one(spark, monkeypatch):
+    part = "array<struct<type:string,text:string,ref:string,size:double>>"
+    texts = [("text", "a <", None, None), None, (None, "|im_end|>", None, None), ("text", "<~", None, None),
+             ("text", "|", None, None), ("image", None, "a.png", 1.0), ("text", "<|x", None, None)]
+    table = spark.createDataFrame([(1, 0, "user", texts)], f"conv_id bigint, turn bigint, role string, parts {part}")
+    formatted = C.format_chats(table).first()["formatted"]
+    assert formatted == "<|im_start|>user\na <~|im_end|><~~|<|image_1|><~|x<|im_end|>\n"
+    # plain texts are visited as well
+    seen = []
+    real = C.visit
+    monkeypatch.setattr(C, "visit", lambda parts: seen.append(1) or real(parts))
+    plain = table.select("conv_id", "turn", "role", F.lit("a <| b").alias("text"))
+    row = C.format_chats(plain).first()
+    assert seen and "\na <~| b<|im_end|>" in row["formatted"] and row["attachments"] == []
+
+
 def luhn(digits):
     doubled = [int(c) * (2 if i % 2 else 1) for i, c in enumerate(reversed(digits))]
     return sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0
