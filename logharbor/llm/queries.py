@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logharbor.llm import chat_format, quality_rules, url_filter
+from logharbor.llm.circulant import op11_circulant_minhash
 from logharbor.llm.mixing import op6_mixing
 from logharbor.llm.nearest import op9_nearest
 from logharbor.llm.ngram_join import op2_ngram_join
 from logharbor.llm.packing import op1_packing
 from logharbor.llm.pii import op4_pii
+from logharbor.llm.prefix_trie import op13_prefix_trie
 from logharbor.llm.quality_model import op7_quality_model
 from logharbor.llm.suffix_dedup import op3_suffix_dedup
+from logharbor.llm.whitening import op12_whitening
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -28,6 +31,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_nearest": op9_nearest,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_circulant_minhash": op11_circulant_minhash,
+        "op12_whitening": op12_whitening,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
