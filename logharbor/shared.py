@@ -71,6 +71,19 @@ def job_tables(spark: SparkSession) -> Iterator[None]:
             remove_folder(spark, path)
 
 
+@contextmanager
+def collected_tables() -> Iterator[list[str]]:
+    """The folders staged inside the block, for whoever removes them later."""
+    own: list[str] = []
+    _open_jobs.append(own)
+    try:
+        yield own
+    finally:
+        _open_jobs.pop()
+        if _open_jobs:
+            _open_jobs[-1].extend(own)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the written table."""
     spark = df.sparkSession
