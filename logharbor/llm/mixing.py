@@ -8,15 +8,17 @@ number moves to the driver.
 Inside a source every document gets the whole copies that are certain, and the rest of
 the target is filled in Pareto order: documents are ranked by random odds divided by
 their inclusion odds and taken from the front while that brings the words nearer to the
-target.  Random odds come from a hash of id and seed, so reruns agree.  Ranks are running
-sums over blocks of rank positions, never a window over a whole source.
+target.  Each row has random odds of its own, from a hash of seed, id, text and its number
+among the rows that share both; as such rows are alike, reruns agree.  Ranks are running
+sums over blocks of rank positions, never a window over a whole source, and equal rows
+are numbered where they lie, behind a count per task.
 
 Inclusion odds within a source follow ``weight``, a column of the documents; by default
 all documents of a source share the same odds.
 
 Defined results: a null text has size 0; null sources are one source, ordered last;
-sources without words have target 0; rows with equal ids have equal odds.  An empty table
-gives an empty result.  Only the named columns are read.
+sources without words have target 0; rows that share an id, or have none, are drawn one by
+one.  An empty table gives an empty result.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -129,14 +131,58 @@ def _document_levels(docs: DataFrame, ceiling: float) -> DataFrame:
         capped = now
 
 
+def with_numbers(rows: DataFrame) -> DataFrame:
+    """Add ``number``, the 0-based number of each row among those with its ``key``.
+
+    Only rows whose key is repeated are dealt anew: by key and by the task they were read in,
+    so a key that many rows share is numbered in many tasks.
+    """
+    repeated = staged(
+        rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated"
+    )
+    zero = F.lit(0).cast("bigint")
+    if repeated.isEmpty():
+        return rows.withColumn("number", zero)
+    part = F.struct(
+        F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")
+    )
+    several = staged(
+        rows.join(repeated, "key", "left_semi").withColumn("numbering", part), "repeated-rows"
+    )
+    of_part = [F.col("key"), F.col("numbering.part")]
+    earlier = W.partitionBy("key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = (
+        several.groupBy(*of_part)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("key", "part", F.coalesce(F.sum("n").over(earlier), zero).alias("before"))
+    )
+    inside = F.row_number().over(W.partitionBy(*of_part).orderBy("numbering.at"))
+    numbered = (
+        several.withColumn("inside", inside)
+        .withColumn("part", F.col("numbering.part"))
+        .join(staged(before, "numbered-parts"), ["key", "part"])
+        .select(*rows.columns, (F.col("before") + F.col("inside") - 1).alias("number"))
+    )
+    return (
+        rows.join(repeated, "key", "left_anti").withColumn("number", zero).unionByName(numbered)
+    )
+
+
+def _key(docs: DataFrame) -> Column:
+    """What equal rows share."""
+    doc_id = column_or_null(docs, "doc_id", "bigint")
+    text = column_or_null(docs, "text", "string")
+    return F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text)
+
+
 def _drawn(rows: DataFrame, ceiling: float, seed: int) -> DataFrame:
     """Add whole copies, inclusion odds and the place in Pareto order of each row.
 
-    Needs doc_id, weight and the source's level and usual odds; a row whose copies are
+    Needs key, number, weight and the source's level and usual odds; a row whose copies are
     certain has no odds and no place.
     """
     expected = F.coalesce(F.least(F.lit(ceiling), F.col("weight") * F.col("level")), F.lit(0.0))
-    uniform = F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND(F.lit(_PLACES - 1)) + 0.5
+    uniform = F.xxhash64(F.lit(seed), "key", "number").bitwiseAND(F.lit(_PLACES - 1)) + 0.5
     rows = (
         rows.withColumn("expected", expected)
         .withColumn("whole", F.floor("expected"))
@@ -150,7 +196,7 @@ def _drawn(rows: DataFrame, ceiling: float, seed: int) -> DataFrame:
     scaled = pareto * F.col("usual_odds")
     place = F.floor(scaled / (1 + scaled) * F.lit(float(_PLACES))).cast("bigint")
     return rows.withColumn("place", place).withColumn(
-        "tie", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+        "tie", F.xxhash64(F.lit(seed + 1), "key", "number")
     )
 
 
@@ -160,7 +206,8 @@ def mixing_plan(
 ) -> DataFrame:
     """One row per source: size, target, level, usual odds and the last place that is taken.
 
-    A row's copies follow from its source's row and its own id, so texts never travel.
+    A row's copies follow from its source's row, its key and its number, so texts do not travel
+    unless rows are repeated.
     """
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = staged(source_targets(sizes, weights, factor, ceiling), "targets")
@@ -201,7 +248,7 @@ def mixing_plan(
 
 
 def _copies(rows: DataFrame, plan: DataFrame, ceiling: float, seed: int) -> DataFrame:
-    """``rows`` (doc_id, source, weight and more) with the plan's columns and copies."""
+    """``rows`` (key, number, source, weight and more) with the plan's columns and copies."""
     of_source = plan.withColumnRenamed("source", "of_source")
     joined = rows.join(of_source, F.col("source").eqNullSafe(F.col("of_source")), "left")
     taken = F.coalesce(F.struct("place", "tie") <= F.col("last"), F.lit(False))
@@ -212,13 +259,16 @@ def _copies(rows: DataFrame, plan: DataFrame, ceiling: float, seed: int) -> Data
 
 
 def _sized(docs: DataFrame, weight: str | None) -> DataFrame:
+    """doc_id, source, size, weight, key and number of each row, written once."""
     text = F.coalesce(column_or_null(docs, "text", "string"), F.lit(""))
-    return docs.select(
+    rows = docs.select(
         column_or_null(docs, "doc_id", "bigint").alias("doc_id"),
         column_or_null(docs, "source", "string").alias("source"),
         F.regexp_count(text, F.lit("[^ \\t-\\r]+")).cast("bigint").alias("size"),
         (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"),
+        _key(docs).alias("key"),
     )
+    return staged(with_numbers(staged(rows, "sizes")), "sized")
 
 
 def mix(
@@ -230,7 +280,7 @@ def mix(
     seed: int = 6,
 ) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken words of each row of ``docs``."""
-    sized = staged(_sized(docs, weight), "sized")
+    sized = _sized(docs, weight)
     plan = mixing_plan(sized, weights, factor, ceiling, seed, weight is not None)
     return _copies(sized, plan, ceiling, seed).select(
         "doc_id",
@@ -250,17 +300,17 @@ def mixed_documents(
     weight: str | None = None,
     seed: int = 6,
 ) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; equal ids share a decision."""
-    sized = staged(_sized(docs, weight), "sized")
+    """The rows of ``docs``, each as often as the mix takes it."""
+    sized = _sized(docs, weight)
     plan = mixing_plan(sized, weights, factor, ceiling, seed, weight is not None)
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"),
-        column_or_null(docs, "doc_id", "bigint").alias("doc_id"),
+        F.struct("*").alias("row"),
         column_or_null(docs, "source", "string").alias("source"),
         (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"),
+        _key(docs).alias("key"),
     )
     repeats = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
-    return _copies(rows, plan, ceiling, seed).select("row", repeats.alias("copy")).select("row.*")
+    return _copies(with_numbers(rows), plan, ceiling, seed).select("row", repeats.alias("copy")).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
