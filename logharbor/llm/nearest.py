@@ -9,9 +9,8 @@ its projections is normal with mean s times the query's and variance 1 - s * s.
 
 s and the share of estimated success to visit are set per vector length from pilot queries
 (``pilots`` of each length, a documented bound), whose true neighbours are found by brute
-force over all rows: the share is the one that reaches ``recall`` of them.  A length with at
-most ``CELL`` classes needs no share, all of its buckets are visited.  Every row is indexed
-and every visited bucket is searched whole; candidates are reranked by the exact inner
+force over all rows: the share is the one that reaches ``recall`` of them, at every size of the
+table.  Every row is indexed and every visited bucket is searched whole; candidates are reranked by the exact inner
 product in double precision.  Queries that are left with fewer than ``k`` results search all
 buckets in a second round.
 
@@ -236,7 +235,7 @@ def calibrate(
         local.withColumn("drawn", drawn)
         .where(F.col("drawn") <= pilots)
         .select("dim", "vector")
-        .collect()  # ``pilots`` vectors a length with more than CELL classes
+        .collect()  # ``pilots`` vectors a length
     )
     if not chosen:
         return {}
@@ -466,17 +465,13 @@ def nearest(
     lengths = (
         classes.mapInPandas(norms, "dim int, norm double")
         .groupBy("dim")
-        .agg(F.max("norm").alias("longest"), F.count(F.lit(1)).alias("n"))
+        .agg(F.max("norm").alias("longest"))
         .collect()  # one row per vector length
     )
     longest = {r["dim"]: r["longest"] * (1 + 1e-9) for r in lengths}
     if not longest:
         return vectors.sparkSession.createDataFrame([], result)
-    large = [r["dim"] for r in lengths if r["n"] > CELL]
-    shares = {}
-    if large:
-        asking = queries.where(F.col("dim").isin(large))
-        shares = calibrate(classes, asking, longest, k, seed, pilots, recall)
+    shares = calibrate(classes, queries, longest, k, seed, pilots, recall)
     indexed = staged(
         classes.mapInPandas(
             lambda batches: _cells(batches, longest, seed),
