@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -277,6 +278,65 @@ def test_mixing(spark):
     assert mixed.columns == docs.columns
 
 
+@pytest.mark.parametrize("rows", [
+    [(None, "w " * (1 + i % 30), "hot") for i in range(1500)],
+    [(7, "the same nine words stand in every one", "hot")] * 1500,
+])
+def test_mixing_draws_rows_that_share_an_id_one_by_one(spark, rows):
+    rows = [*rows, *((10_000 + i, "x " * 45, "cold") for i in range(300))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    sizes = collections.Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    target = targets_by_hand(sizes)
+    assert any(target[s] % sizes[s] for s in sizes)  # some source is drawn, not copied whole
+    got = M.mix(docs.repartition(5)).withColumn("hot", F.col("doc_id").isNull() | (F.col("doc_id") < 10_000)).collect()
+    for hot, source in ((True, "hot"), (False, "cold")):
+        taken = sum(r["taken"] for r in got if r["hot"] == hot)
+        assert abs(taken - target[source]) <= max(r["size"] for r in got if r["hot"] == hot)
+    again = M.mix(docs.repartition(3)).collect()
+    assert sorted(map(str, again)) == sorted(str(Row(**{k: r[k] for k in r.asDict() if k != "hot"})) for r in got)
+    mixed = collections.Counter(r["source"] for r in M.mixed_documents(docs).collect())
+    words = {s: sum(len(t.split()) for _, t, x in rows if x == s) / sum(x == s for _, _, x in rows) for s in sizes}
+    for s in sizes:
+        assert abs(mixed[s] * words[s] - target[s]) <= 0.05 * target[s]
+
+
+def test_pareto_order_is_that_of_random_by_inclusion_odds(spark):
+    """The draw with unequal chances against one computed by hand from the same random numbers."""
+    rows = [(i, "w " * (1 + i % 7), "ab"[i % 2], float(1 + i % 5)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, weight double")
+    sized = M._sized(docs, "weight")
+    plan = M.mixing_plan(sized, M.WEIGHTS, M.FACTOR, M.CEILING, 6, True)
+    drawn = M._copies(sized, plan, M.CEILING, 6).collect()
+    for source in "ab":
+        own = [r for r in drawn if r["source"] == source]
+        level, target = own[0]["level"], own[0]["target"]
+        expected = {r["doc_id"]: min(M.CEILING, r["weight"] * level) for r in own}
+        assert sum(expected[r["doc_id"]] * r["size"] for r in own) == pytest.approx(target)
+        whole = {i: int(e) for i, e in expected.items()}
+        taken = sum(whole[r["doc_id"]] * r["size"] for r in own)
+
+        def ratio(r):
+            u = ((r["draw"] & ((1 << 52) - 1)) + 0.5) / (1 << 52)
+            c = expected[r["doc_id"]] - whole[r["doc_id"]]
+            return u / (1 - u) / (c / (1 - c))
+
+        numbers = {
+            r["doc_id"]: r["draw"]
+            for r in sized.select("doc_id", F.xxhash64(F.lit(6), "key", "number").alias("draw")).collect()
+        }
+        own = [{**r.asDict(), "draw": numbers[r["doc_id"]]} for r in own]
+        open_ = sorted((r for r in own if expected[r["doc_id"]] > whole[r["doc_id"]]), key=ratio)
+        copies = dict(whole)
+        for r in open_:
+            if taken + r["size"] / 2 > target:
+                break
+            copies[r["doc_id"]] += 1
+            taken += r["size"]
+        assert copies == {r["doc_id"]: r["copies"] for r in own}
+
+
 def test_mixing_by_document_weight(spark):
     rows = [(i, "w " * (1 + i % 30), "ab"[i % 2], float(1 + i % 5)) for i in range(1500)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, weight double")
@@ -342,6 +402,23 @@ def test_nearest_reaches_its_recall(spark):
         assert all(s == pytest.approx(float(np.dot(vectors[q], vectors[v])), abs=1e-12) for _, v, s in found)
 
 
+def test_multiprobe_reaches_its_recall_on_many_vectors(spark):
+    """20,000 different vectors around the given ones; no length is searched whole."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    given = np.array([r["embedding"] for r in table.orderBy("vec_id").collect()], dtype=float)
+    rng = np.random.default_rng(9)
+    drawn = np.repeat(given, 10, axis=0)
+    drawn += rng.normal(size=drawn.shape) * given.std(axis=0)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(drawn)], "vec_id bigint, embedding array<double>")
+    got = nearest_ids(rows)
+    assert set(got) == set(range(0, 20_000, 20)) and all(len(v) == 20 for v in got.values())
+    scores = drawn[::20] @ drawn.T
+    scores[np.arange(1000), np.arange(0, 20_000, 20)] = -np.inf
+    best = np.argpartition(-scores, 20, axis=1)[:, :20]
+    shares = [len(set(got[20 * i]) & set(best[i].tolist())) / 20 for i in range(1000)]
+    assert np.mean(shares) >= 0.9
+
+
 def test_nearest_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0, float(i % 3)]) for i in range(400)]
@@ -411,7 +488,8 @@ def test_nearest_holds_bounded_shares_of_queries(spark, monkeypatch):
     monkeypatch.setattr(N, "ASKING", 64)
     monkeypatch.setattr(N, "SCORES", 50)
     monkeypatch.setattr(N, "_search", counted)
-    assert nearest_ids(table) == expected
+    # every query is a pilot and none may miss a neighbour, so the result is exact
+    assert nearest_ids(table, pilots=700, recall=1.0) == expected
     held = [int(p.read_text()) for p in pathlib.Path(folder).iterdir()]
     assert len(held) >= 700 // 64 and max(held) < 2 * 64
 
@@ -431,7 +509,9 @@ def test_pipeline(spark, library):
     linked = linked_by_hand(after_rules)
     assert {r["doc_id"] for r in seen["n-gram Jaccard join"]} == {c for c, _ in linked.values()}
     assert not any(re.search(r"[\w.]+@\w+\.\w+", r["text"]) for r in seen["PII"])
-    packed = corpus_pipeline.run(spark, SMALL).collect()
+    result = corpus_pipeline.run(spark, SMALL)
+    corpus_pipeline.STAGES[0][1](spark, docs.limit(5), SMALL)  # frees nothing that the result reads
+    packed = result.collect()
     tokens = collections.Counter()
     for r in packed:
         at = 0
@@ -445,6 +525,32 @@ def test_pipeline(spark, library):
     assert tokens == expected
 
 
+def test_pipeline_of_odd_rows_leaves_only_its_result(spark, tmp_path):
+    """Null ids, repeated rows and columns named like the operators' own, through all stages."""
+    from logharbor.shared import shared_folder
+
+    plain = spark.read.parquet(f"{SMALL}/documents.parquet").drop("n_chars")
+    extra = plain.limit(20).withColumn("doc_id", F.lit(None).cast("bigint"))
+    names = ("pii_candidates", "gone_id", "row", "node", "key", "number", "label", "copies", "c", "w")
+    docs = plain.unionByName(extra).unionByName(plain.limit(30))
+    docs = docs.withColumns({n: F.concat(F.lit(n), F.coalesce("text", F.lit("")).substr(1, 3)) for n in names})
+    home = pathlib.Path(shared_folder(spark).removeprefix("file:")) / spark.sparkContext.applicationId
+    kept, folders = docs, []
+    before = {p.name for p in home.iterdir()} if home.exists() else set()
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, kept, SMALL)
+        out.write.parquet(f"{tmp_path}/{i}")
+        folders.append({p.name for p in home.iterdir()} - before)
+        kept = spark.read.parquet(f"{tmp_path}/{i}")
+        if i < 4:
+            assert kept.columns == docs.columns and kept.count() > 100
+            for n in names:
+                assert kept.where(~F.col(n).startswith(n)).count() == 0
+    # a stage's own tables are gone when the next one has started
+    assert all(not earlier & later for earlier, later in zip(folders, folders[1:]))
+    assert kept.count() > 0
+
+
 def test_empty_pipeline(spark):
     kept = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
