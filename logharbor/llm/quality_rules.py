@@ -182,17 +182,21 @@ def judge(docs: DataFrame, tolerance: float = 0.02) -> DataFrame:
 def quality_filter(docs: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns.
 
-    Hosts are judged on all rows first; then every row is measured again beside its columns
-    and meets the verdict of its host.  Only hosts with an enforced rule are joined, which
-    Catalyst broadcasts while their written table is small.
+    Every row is measured once and written beside its measurements, without its columns
+    if it fails the base rule.  The hosts are judged on what is written; then every row meets
+    the verdict of its host.  Only hosts with an enforced rule are joined, which Catalyst
+    broadcasts while their written table is small.
     """
-    verdicts = host_verdicts(measure(docs), tolerance)
+    measured = measure(docs, beside=[F.struct("*").alias("row")])
+    written = staged(
+        measured.withColumn("row", F.when(~base_failure(), F.col("row"))), "measured-rows"
+    )
+    verdicts = host_verdicts(written.drop("row"), tolerance)
     enforced = [f"enforce_{r}" for r in RULES]
     strict = staged(verdicts.where(" OR ".join(enforced)).select("host", *enforced), "verdicts")
-    measured = measure(docs, beside=[F.struct("*").alias("row")])
-    joined = measured.join(strict, F.col("source").eqNullSafe(F.col("host")), "left")
-    # one sum over both sides: as separate conditions, Catalyst would measure in each of them
-    failures = base_failure().cast("int")
+    passed = written.where(F.col("row").isNotNull())
+    joined = passed.join(strict, F.col("source").eqNullSafe(F.col("host")), "left")
+    failures = F.lit(0)
     for rule, failed in rule_failures().items():
         counts = failed & F.coalesce(F.col(f"enforce_{rule}"), F.lit(False))
         failures = failures + counts.cast("int")
