@@ -283,7 +283,10 @@ def _classed(
         ).distinct(),
         "wanted",
     )
-    texts = keyed_texts(docs).join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+    # sorted at every size: a plan that changes with the table would not scale as it is measured
+    texts = keyed_texts(docs).join(
+        wanted.hint("merge"), F.col("doc_id") == F.col("wanted"), "left_semi"
+    )
     sets = (
         texts.select("text", "node")
         .mapInArrow(lambda b: _shingle_rows(b, width), "node binary, shingles binary")
@@ -294,7 +297,9 @@ def _classed(
     counts = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     placed = nodes.select("node", "copy_of", "n_copies").join(labels, "node", "left")
     placed = placed.withColumn("label", F.coalesce("label", "node"))
-    classes = placed.groupBy("label").agg(F.min("copy_of").alias("class_id"))
+    placed = staged(placed, "placed")
+    # written, so that the join with a label that many nodes share can be split
+    classes = staged(placed.groupBy("label").agg(F.min("copy_of").alias("class_id")), "smallest")
     known = staged(
         placed.join(classes, "label")
         .join(counts, "node", "left")
@@ -359,8 +364,8 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     )
     rows = keyed_texts(docs, F.struct("*").alias("row")).drop("text")
     if repeated.isEmpty():
-        return rows.join(gone, same, "left_anti").select("row.*")
-    alone = rows.join(gone.unionByName(repeated), same, "left_anti")
+        return rows.join(gone.hint("merge"), same, "left_anti").select("row.*")
+    alone = rows.join(gone.unionByName(repeated).hint("merge"), same, "left_anti")
     # staged, so that the rows of a frequent key are reduced where they lie before they meet
     several = staged(rows.join(repeated, same, "left_semi"), "several")
     one = several.groupBy("doc_id", "node").agg(F.first("row").alias("row"))
