@@ -344,15 +344,27 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of the text replaced by its kind, as ``[EMAIL]``."""
-    found = staged(with_candidates(docs), "pii")
-    accepted = accepted_codes(found, "pii_candidates")
-    spans = F.sort_array(
+    """``docs`` with every span of the text replaced by its kind, as ``[EMAIL]``.
+
+    Candidates are proposed twice, to fit the trees and to redact, so nothing but the
+    counts of the codes is written in between.
+    """
+    if "text" not in docs.columns:
+        return docs
+    text = F.col("text")
+    narrow = docs.select(
+        column_or_null(docs, "doc_id", "bigint").alias("doc_id"), text.cast("string").alias("text")
+    )
+    accepted = accepted_codes(with_candidates(narrow, "c"), "c")
+    rows = with_candidates(docs.select(F.struct("*").alias("row"), text.cast("string").alias("text")), "c")
+    in_order = F.sort_array(
         F.transform(
-            spans_of(F.col("pii_candidates"), accepted)["spans"],
+            spans_of(F.col("c"), accepted)["spans"],
             lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
         )
     )
+    rows = rows.select("row", "text", in_order.alias("spans"))
+    spans = F.col("spans")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     # each span yields the text since the last one and its mark; overlaps yield one mark
     pieces = F.aggregate(
@@ -365,7 +377,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 F.concat(
                     a["out"],
                     F.array(
-                        F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]),
+                        F.substring(text, a["at"] + 1, s["start"] - a["at"]),
                         F.get(names, s["kind"]),
                     ),
                 ),
@@ -378,11 +390,11 @@ def redact(docs: DataFrame) -> DataFrame:
         pieces,
         lambda p: F.concat(
             F.array_join(p["out"], ""),
-            F.substring(F.col("text"), p["at"] + 1, F.length("text")),
+            F.substring(text, p["at"] + 1, F.length(text)),
         ),
     )
-    text = F.when(F.size(spans) > 0, rebuilt).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*docs.columns)
+    clean = F.when(F.size(spans) > 0, rebuilt).otherwise(text)
+    return rows.select(F.col("row").withField("text", clean).alias("row")).select("row.*")
 
 
 def _written(spans: Column) -> Column:
