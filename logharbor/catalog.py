@@ -13,12 +13,18 @@ from logharbor.operators import archive as A
 from logharbor.operators import asof
 from logharbor.operators import audit as C
 from logharbor.operators import groups as G
+from logharbor.operators import intervals as I
 from logharbor.operators import planner as PL
 from logharbor.operators import restore as R
 from logharbor.operators.rolling import roll_segments
-from logharbor.schemas import TP
+from logharbor.plans.jobs import plan_restore
+from logharbor.schemas import SOURCE_OFFSET_HEADER, TP
 from logharbor.shared import new_path, staged
+from logharbor.sources import objects as O
 from logharbor.sources import storage as S
+from logharbor.sources.commit_log import CommitLog
+from logharbor.sources.journal import PlanJournal
+from logharbor.sources.offset_index import OffsetIndex
 from logharbor.streaming import jobs as J
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +63,7 @@ def _readable(restored: DataFrame) -> DataFrame:
         _str("key"),
         _str("value"),
         _header("origin-id", "origin_id"),
-        _header("restore.source-offset", "stamp"),
+        _header(SOURCE_OFFSET_HEADER, "stamp"),
     )
 
 
@@ -82,7 +88,7 @@ def scan_archive(spark, sf):
         "offset",
         "path",
         _str("value"),
-        _header("restore.source-offset", "stamp"),
+        _header(SOURCE_OFFSET_HEADER, "stamp"),
     )
 
 
@@ -136,6 +142,38 @@ def record_at_offset(spark, sf):
     return asof.record_at_offset(log, wanted, width=64)
 
 
+def _indexed_log(spark, sf):
+    """The restored log as two appends wrote it, with its index."""
+    path = new_path(spark, "indexed-log")
+    index = OffsetIndex(spark, path, new_path(spark, "offset-index"), width=64)
+    first = X.half_restored(spark, sf)
+    rest = X.restored(spark, sf).join(first.select(*TP, "offset"), [*TP, "offset"], "left_anti")
+    for part in (first, rest):
+        S.write_topics(part, path, run=64)
+        index.extend()
+    return index
+
+
+@query
+def record_at_offset_indexed(spark, sf):
+    wanted = (
+        X.files(spark, sf)
+        .select(
+            F.concat(F.lit(X.TOPIC_PREFIX), "topic").alias("topic"),
+            "partition",
+            F.col("first_offset").alias("start_offset"),
+        )
+        .distinct()
+    )
+    found = _indexed_log(spark, sf).records_at(wanted)
+    return found.select(*TP, "start_offset", "offset", "source_offset")
+
+
+@query
+def latest_record_indexed(spark, sf):
+    return _readable(_indexed_log(spark, sf).latest())
+
+
 # --- archive building ------------------------------------------------------------------
 
 
@@ -221,6 +259,28 @@ def archive_write(spark, sf):
     )
 
 
+def _segments(spark, sf, flush=False):
+    return A.with_segments(X.kept_records(spark, sf), staged(X.rolled(spark, sf), "rolled"), flush=flush)
+
+
+@query
+def archive_objects_write(spark, sf):
+    """One object per closed segment, published by two writes, read back and listed."""
+    root = new_path(spark, "objects")
+    rows = _segments(spark, sf)
+    for part in (F.col("partition") == 0, F.col("partition") != 0):
+        O.write_objects(rows.where(part), root)
+    back = S.read_objects(spark, root, X.PREFIX, fmt="parquet")
+    read = back.groupBy("path").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("timestamp").alias("last_timestamp")
+    )
+    listed = S.list_objects(spark, root, X.PREFIX).groupBy("path", "length").agg(F.count(F.lit(1)).alias("listed"))
+    manifest = O.written_objects(spark, root, X.PREFIX).drop("rows")
+    return manifest.join(read, "path").join(listed, ["path", "length"]).select(
+        "path", *TP, "rows", "first_offset", "last_offset", "bytes", "last_timestamp", "listed"
+    )
+
+
 @query
 def committed_offsets(spark, sf):
     return A.committed_offsets(A.segment_manifest(X.rolled(spark, sf)))
@@ -420,12 +480,36 @@ def plan_from_wire(spark, sf):
 def list_written_objects(spark, sf):
     """A listing of real files below topic and partition folders."""
     root = new_path(spark, "objects")
-    rows = staged(X.kept_records(spark, sf).select(*TP, "offset"), "object-rows")
-    for r in rows.select(*TP).distinct().collect():
-        mine = rows.where((F.col("topic") == r["topic"]) & (F.col("partition") == r["partition"]))
-        mine.coalesce(1).write.parquet(f"{root}/{r['topic']}/{r['partition']}")
+    O.write_objects(_segments(spark, sf, flush=True), root)
     listed = PL.list_objects(S.list_objects(spark, root, X.PREFIX), X.PREFIX)
-    return PL.inventory(listed.where("length > 0")).select("topic", "partition", "files")
+    counted = PL.inventory(listed.where("length > 0"))
+    return counted.select("topic", F.col("partition").cast("int").alias("partition"), "files")
+
+
+_PAGE = 16
+
+
+@query
+def plan_journal_resume(spark, sf):
+    """A journal whose last page was torn, gone on with after objects came late and new ones came."""
+    order = X.topic_order(spark, sf)
+    listed = PL.list_objects(X.objects(spark, sf), X.PREFIX)
+    early = staged(
+        PL.plan_records(listed.where(~F.col("path").endswith("1.avro")), order, X.PREFIX), "early"
+    )
+    journal = PlanJournal(spark, new_path(spark, "journal"), page=_PAGE)
+    pages = journal.write_pages(early.where(F.col("plan_seq") < early.count() * 3 // 5))
+    journal.close_pages(pages.where(F.col("records") == _PAGE))
+    planned = plan_restore(X.objects(spark, sf), X.PREFIX, journal=journal)
+    journal.append(planned.plan)
+    none = F.lit(None)
+    late = planned.late.select(
+        none.cast("bigint").alias("plan_seq"),
+        F.col("path").alias("value"),
+        none.cast("bigint").alias("file_index"),
+        none.cast("int").alias("page"),
+    )
+    return journal.read().select(*late.columns).unionByName(late)
 
 
 @query
@@ -447,6 +531,34 @@ def plan_progress(spark, sf):
 # --- restore -----------------------------------------------------------------------------
 
 
+def _with_losses(spark, sf):
+    """The restored log without stretches below its tips."""
+    lost = (F.col("source_offset") % 200).between(50, 69) & (F.col("partition") != 1)
+    return X.restored(spark, sf).where(~lost)
+
+
+def _missing(spark, sf):
+    wanted = I.runs_of(X.restored(spark, sf), "source_offset", 64)
+    return I.difference(wanted, I.runs_of(_with_losses(spark, sf), "source_offset", 64), 64)
+
+
+@query
+def restore_missing_ranges(spark, sf):
+    """Stretches of source offsets that a target has lost below its tips."""
+    return _missing(spark, sf)
+
+
+@query
+def restore_fill_ranges(spark, sf):
+    """Rows that fill the lost stretches, numbered behind the target's tips."""
+    lost = staged(
+        _missing(spark, sf).withColumn("topic", F.expr(f"substr(topic, {len(X.TOPIC_PREFIX) + 1})")), "lost"
+    )
+    plan = X.plan(spark, sf).join(lost.select("topic").distinct(), "topic", "left_semi")
+    filled = R.fill_ranges(plan, X.archive(spark, sf), lost, _with_losses(spark, sf), X.TOPIC_PREFIX, width=64)
+    return _readable(filled)
+
+
 @query
 def restore_exclude(spark, sf):
     return R.exclude_files(X.plan(spark, sf), "ror$, ^vi").select("plan_seq", "value")
@@ -481,7 +593,7 @@ def stamp_source_offset(spark, sf):
     return fresh.unionByName(again).select(
         *TP,
         "offset",
-        _header("restore.source-offset", "stamp"),
+        _header(SOURCE_OFFSET_HEADER, "stamp"),
         F.size("headers").cast("bigint").alias("n_headers"),
     )
 
@@ -698,6 +810,37 @@ def group_commits(spark, sf):
     return G.group_commits(translated, X.GROUP_PREFIX, X.TOPIC_PREFIX)
 
 
+def _commit_log(spark, sf):
+    """Three rounds of commits of most groups, with a compaction after the second."""
+    log = CommitLog(spark, new_path(spark, "commit-log"))
+    number, offset = F.col("group_no"), F.col("offset")
+    for done in range(3):
+        rows = X.group_offsets(spark, sf).where((number % 4 != 1) & ((number + done) % 3 != 0))
+        log.append(
+            rows.select(
+                F.concat(F.lit(X.GROUP_PREFIX), "group_id").alias("group_id"),
+                F.concat(F.lit(X.TOPIC_PREFIX), "topic").alias("topic"),
+                "partition",
+                F.when(offset < 0, offset).otherwise(offset + 5 * done).alias("offset"),
+                "leader_epoch",
+            )
+        )
+        if done == 1:
+            log.compact()
+    return log
+
+
+@query
+def group_commit_log(spark, sf):
+    return _commit_log(spark, sf).read()
+
+
+@query
+def pending_groups_of_log(spark, sf):
+    committed = _commit_log(spark, sf).read()
+    return G.pending_groups(_entries(spark, sf), committed, X.GROUP_PREFIX, X.TOPIC_PREFIX)
+
+
 @query
 def translate_two_rounds(spark, sf):
     resolved, remaining = G.translate_until_done(

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from logharbor.functions import headers as H
 from logharbor.functions import paths as P
 from logharbor.functions.text import matches_any, regex_list
+from logharbor.operators.intervals import rows_within
 from logharbor.operators.positional import BLOCK, block_start, running_before
 from logharbor.schemas import SOURCE_OFFSET_HEADER, TP
 from logharbor.shared import staged, staged_split
@@ -155,11 +156,11 @@ def missing_files(
 def planned_blocks(plan: DataFrame, archive: DataFrame, width: int = BLOCK) -> DataFrame:
     """Per planned file and block of its offsets: rows, first and last offset.
 
-    Reads two narrow columns of the archive, of planned files only.
+    Reads two narrow columns of the archive.  Rows are counted before they meet the plan, so
+    however long that is, what is shuffled is a row per block and task.
     """
     return (
-        archive.join(plan.select(F.col("value").alias("path")).distinct(), "path", "left_semi")
-        .groupBy("path", block_start(F.col("offset"), width).alias("_block"))
+        archive.groupBy("path", block_start(F.col("offset"), width).alias("_block"))
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.min("offset").alias("first"),
@@ -271,6 +272,25 @@ def restore_rows(
     )
 
 
+def fill_ranges(
+    plan: DataFrame,
+    archive: DataFrame,
+    lost: DataFrame,
+    target: DataFrame,
+    topic_prefix: str = "",
+    exclude: str = "",
+    width: int = BLOCK,
+) -> DataFrame:
+    """Rows that fill what a target has lost below its tips, numbered behind them.
+
+    ``lost`` has runs (topic, partition, first, last) of source offsets under the archive's topic
+    names, as ``intervals.difference`` finds them.  Only archive rows inside a run take part.
+    """
+    tips = target_progress(target).withColumn("last_source_offset", F.lit(-1).cast("bigint"))
+    inside = rows_within(archive, lost, "offset", width)
+    return restore_rows(plan, inside, staged(tips, "tips"), topic_prefix, exclude, width)
+
+
 def skipped_rows(
     plan: DataFrame,
     archive: DataFrame,

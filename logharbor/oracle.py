@@ -223,6 +223,12 @@ _SQL: dict[str, str] = {
         SELECT w.topic, w.part AS "partition", w.start_offset, r.off AS "offset", r.src AS source_offset
         FROM (SELECT DISTINCT 'r.' || topic AS topic, part, first_off AS start_offset FROM files) w
         ASOF JOIN rest r ON r.topic = w.topic AND r.part = w.part AND w.start_offset <= r.off""",
+    "record_at_offset_indexed": """
+        SELECT w.topic, w.part AS "partition", w.start_offset, r.off AS "offset", r.src AS source_offset
+        FROM (SELECT DISTINCT 'r.' || topic AS topic, part, first_off AS start_offset FROM files) w
+        ASOF JOIN rest r ON r.topic = w.topic AND r.part = w.part AND w.start_offset <= r.off""",
+    "latest_record_indexed": f"""
+        SELECT {_READABLE} FROM rest QUALIFY row_number() OVER (PARTITION BY topic, part ORDER BY off DESC) = 1""",
     "archive_rows": f"""
         SELECT {_OUT}, ms AS "timestamp", k AS key, v AS value,
                CAST(2 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_headers,
@@ -261,6 +267,12 @@ _SQL: dict[str, str] = {
                max(p.off) AS last_offset, max(p.ms) AS last_timestamp
         FROM placed p JOIN seg s ON s.topic = p.topic AND s.part = p.part AND s.first_off = p.seg
         WHERE s.closed GROUP BY s.path, p.topic, p.part""",
+    "archive_objects_write": """
+        SELECT s.path, p.topic, p.part AS "partition", count(*) AS rows, min(p.off) AS first_offset,
+               max(p.off) AS last_offset, CAST(sum(p.bytes) AS BIGINT) AS bytes, max(p.ms) AS last_timestamp,
+               count(DISTINCT s.path) AS listed
+        FROM placed p JOIN seg s ON s.topic = p.topic AND s.part = p.part AND s.first_off = p.seg
+        WHERE s.closed GROUP BY s.path, p.topic, p.part""",
     "committed_offsets": f"SELECT {_TP}, max(last_off) + 1 AS committed FROM seg WHERE closed GROUP BY topic, part",
     "open_segment_rows": """
         SELECT k.topic, k.part AS "partition", k.off AS "offset", k.v AS value
@@ -321,7 +333,25 @@ _SQL: dict[str, str] = {
     "plan_from_wire": """
         SELECT regexp_replace(path, '[^/]*$', '') AS key, path AS value, topic, part AS "partition", file_index,
                sha AS topics_sha FROM plan""",
-    "list_written_objects": f"SELECT DISTINCT {_TP}, CAST(1 AS BIGINT) AS files FROM kept",
+    "list_written_objects": f"SELECT {_TP}, count(*) AS files FROM seg GROUP BY topic, part",
+    "plan_journal_resume": """
+        WITH early AS (
+            SELECT *, row_number() OVER (ORDER BY topic, path) - 1 AS seq, count(*) OVER () AS n,
+                   row_number() OVER (PARTITION BY topic, part ORDER BY path) AS fi
+            FROM plan WHERE path NOT LIKE '%1.avro'),
+        closed AS (SELECT * FROM early WHERE seq < n * 3 // 5 // 16 * 16),
+        tip AS (SELECT * FROM closed ORDER BY seq DESC LIMIT 1),
+        going_on AS (
+            SELECT t.seq + row_number() OVER (ORDER BY p.topic, p.path) AS seq, p.path,
+                   row_number() OVER (PARTITION BY p.topic, p.part ORDER BY p.path)
+                       + CASE WHEN p.topic = t.topic AND p.part = t.part THEN t.fi ELSE 0 END AS fi
+            FROM plan p, tip t WHERE p.topic > t.topic OR (p.topic = t.topic AND p.path > t.path))
+        SELECT seq AS plan_seq, path AS value, CAST(fi AS BIGINT) AS file_index, CAST(seq // 16 AS INTEGER) AS page
+        FROM (SELECT seq, path, fi FROM closed UNION ALL SELECT seq, path, fi FROM going_on)
+        UNION ALL
+        SELECT NULL, p.path, NULL, NULL FROM plan p, tip t
+        WHERE (p.topic < t.topic OR (p.topic = t.topic AND p.path <= t.path))
+            AND p.path NOT IN (SELECT path FROM closed)""",
     "plan_resume_point": f"""
         SELECT topic, path AS file, file_index, sha AS topics_sha, plan_seq FROM ({_RESUME})""",
     "plan_sha_guard": "SELECT DISTINCT topic, true AS accepted, true AS refused FROM listed",
@@ -339,6 +369,19 @@ _SQL: dict[str, str] = {
         FROM (SELECT p.sha AS topics_sha, p.topic, p.part AS "partition", count(*) AS total_files,
                      count(e.path) AS planned_files
               FROM plan p LEFT JOIN earlier e ON e.path = p.path GROUP BY p.sha, p.topic, p.part)""",
+    "restore_missing_ranges": f"""
+        SELECT {_TP}, min(src) AS first, max(src) AS last
+        FROM (SELECT topic, part, src, src - row_number() OVER (PARTITION BY topic, part ORDER BY src) AS island
+              FROM rest WHERE src % 200 BETWEEN 50 AND 69 AND part <> 1)
+        GROUP BY topic, part, island""",
+    "restore_fill_ranges": f"""
+        SELECT r.topic, r.part AS "partition",
+               CAST(t.nxt + row_number() OVER (PARTITION BY r.topic, r.part ORDER BY r.off) - 1 AS BIGINT) AS "offset",
+               src AS source_offset, ms AS "timestamp", k AS key, v AS value, h AS origin_id, CAST(src AS VARCHAR) AS stamp
+        FROM rest r JOIN (SELECT topic, part, max(off) + 1 AS nxt FROM rest
+                          WHERE NOT (src % 200 BETWEEN 50 AND 69 AND part <> 1) GROUP BY topic, part) t
+            ON t.topic = r.topic AND t.part = r.part
+        WHERE src % 200 BETWEEN 50 AND 69 AND r.part <> 1""",
     "restore_exclude": """
         SELECT plan_seq, path AS value FROM plan WHERE NOT regexp_matches(topic, 'ror$|^vi')""",
     "header_lookup": f"""
@@ -421,6 +464,14 @@ _SQL: dict[str, str] = {
         SELECT 'g.' || group_id AS group_id, 'r.' || topic AS topic, part AS "partition",
                restored_offset AS "offset", CAST(-1 AS INTEGER) AS leader_epoch
         FROM ({_translated("pend", "rest")}) WHERE c <> 'pending'""",
+    "group_commit_log": """
+        SELECT 'g.' || group_id AS group_id, 'r.' || topic AS topic, part AS "partition",
+               CAST(CASE WHEN off < 0 THEN off ELSE off + CASE WHEN g % 3 = 1 THEN 5 ELSE 10 END END AS BIGINT) AS "offset",
+               epoch AS leader_epoch
+        FROM goff WHERE g % 4 <> 1""",
+    "pending_groups_of_log": f"""
+        SELECT group_id, {_OUT}, target FROM entries e WHERE NOT EXISTS (SELECT 1 FROM goff c
+            WHERE c.group_id = e.group_id AND c.topic = e.topic AND c.part = e.part AND c.off >= 0 AND c.g % 4 <> 1)""",
     "translate_two_rounds": f"""
         one AS ({_translated("entries", "half")}),
         left_over AS (SELECT * FROM one WHERE c = 'pending'),

@@ -15,6 +15,7 @@ from logharbor.operators import restore as R
 from logharbor.operators.rolling import roll_segments
 from logharbor.schemas import LARGE_TOPIC_MB, MIN_SEGMENT_BYTES, POLL_RECORDS
 from logharbor.shared import staged
+from logharbor.sources.journal import PlanJournal
 from logharbor.streaming.jobs import refuse_existing_data, refuse_missing_files
 
 
@@ -45,6 +46,8 @@ class Planned:
     plan: DataFrame
     order: DataFrame
     inventory: DataFrame
+    #: objects that came after their place in the journal was planned
+    late: DataFrame | None = None
 
 
 def plan_restore(
@@ -55,16 +58,25 @@ def plan_restore(
     large_last: bool = False,
     large_mb: int = LARGE_TOPIC_MB,
     previous_plan: DataFrame | None = None,
+    journal: PlanJournal | None = None,
 ) -> Planned:
     """Order the objects of an archive into plan records, behind an earlier plan if there is one.
 
-    Raises if the earlier plan was made for another list of topics.
+    Raises if the earlier plan was made for another list of topics.  A ``journal`` has no
+    holes: the plan goes on behind its last closed page, whatever came in late before it is
+    listed as ``late`` and not planned.  A ``previous_plan`` may have lost records, so there
+    each folder goes on behind its own last file, and a file that arrives in a finished folder
+    is planned; what arrives between planned files is not (``planner.never_planned``).
     """
     listed = PL.list_objects(objects, prefix)
     topics = PL.filter_topics(listed.select("topic").distinct(), include, exclude)
     counted = staged(PL.inventory(listed), "inventory")
     sizes = PL.topic_sizes(counted)
     order = PL.topic_order(topics, sizes, large_last, large_mb)
+    if journal is not None:
+        resume = journal.resume(order)
+        late = journal.late_objects(listed, order)
+        return Planned(PL.plan_records(listed, order, prefix, resume), order, counted, late)
     resume = PL.checked_resume(previous_plan, order)
     tips = None if resume is None else PL.folder_tips(previous_plan)
     return Planned(PL.plan_records(listed, order, prefix, resume, tips), order, counted)

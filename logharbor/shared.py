@@ -54,6 +54,39 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file if there is none of this name; False if there is one already.
+
+    The store decides who comes first, so of several writers of one name only one goes on.
+    """
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(file):
+        return False
+    try:
+        out = files.create(file, False)
+    except Exception as error:  # the JVM's FileAlreadyExistsException, in a store's own wrapping
+        if files.exists(file):
+            return False
+        raise error
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def read_file(spark: SparkSession, path: str) -> str | None:
+    """Text of a small file; None if there is none."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(file):
+        return None
+    stream = files.open(file)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 _open_jobs: list[list[str]] = []
 
 

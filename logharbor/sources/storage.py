@@ -149,11 +149,15 @@ def read_archive(
     return rows.withColumn("path", path).select(*RECORD.names, "path")
 
 
+def below_root(path: Column, root: str) -> Column:
+    """Path below ``root``."""
+    tail = root.rstrip("/").split(":", 1)[-1].lstrip("/")
+    return F.element_at(F.split(path, "\\Q" + tail + "/\\E", 2), 2)
+
+
 def _relative(path: Column, root: str, prefix: str) -> Column:
     """Path below ``root`` behind ``prefix``."""
-    tail = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    below = F.element_at(F.split(path, "\\Q" + tail + "/\\E", 2), 2)
-    return F.concat(F.lit(P.normalize_prefix(prefix)), below)
+    return F.concat(F.lit(P.normalize_prefix(prefix)), below_root(path, root))
 
 
 def _topic_folders(spark: SparkSession, root: str, topics: set[str] | None = None) -> list[str]:
@@ -303,10 +307,13 @@ def write_topics(
     )
 
 
-def read_topics(spark: SparkSession, path: str) -> DataFrame:
-    """A restored log as :func:`write_topics` wrote it."""
+def read_topics(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
+    """A restored log as :func:`write_topics` wrote it, or some of its files."""
     schema = T.StructType([*RECORD.fields, T.StructField("source_offset", T.LongType()), *_FOLDERS])
-    return spark.read.schema(schema).parquet(path).drop(*_FOLDER_NAMES)
+    if files is not None and not files:
+        return spark.createDataFrame([], schema).drop(*_FOLDER_NAMES)
+    reader = spark.read.schema(schema).option("basePath", path)
+    return reader.parquet(*(files or [path])).drop(*_FOLDER_NAMES)
 
 
 def _snapshot_versions(spark: SparkSession, path: str) -> list[str]:

@@ -21,6 +21,7 @@ from logharbor.operators.rolling import CHUNK, roll_segments
 from logharbor.schemas import MIN_SEGMENT_BYTES, PLAN, POLL_RECORDS, RECORD, TP
 from logharbor.shared import remove_folder, staged, written_folders
 from logharbor.sources import storage as S
+from logharbor.streaming.folding import FoldedTable
 
 _POLL = T.StructType(
     [
@@ -61,13 +62,19 @@ class ArchiveStream:
     Rows go once into a spool and once into their segment.  Between micro-batches only
     the *batch summaries* of open segments are carried (``state``), never rows.
     Micro-batch ``b`` writes round ``2b``, a flush after it round ``2b + 1``, so neither
-    replaces what the other published.
+    replaces what the other published.  Manifests of settled rounds are folded, ``fold`` at a
+    time, so the number of folders does not grow with the age of the job.
     """
 
     root: str
     min_size: int = MIN_SEGMENT_BYTES
     poll_records: int = POLL_RECORDS
     prefix: str = ""
+    fold: int = 16
+
+    @property
+    def _manifests(self) -> FoldedTable:
+        return FoldedTable(self.root, "manifest", self.fold)
 
     def run(self, records: DataFrame) -> None:
         """Archive all records available now, in as many micro-batches as the source cuts."""
@@ -89,6 +96,8 @@ class ArchiveStream:
         polls = self._open_polls(spark, round_no).unionByName(fresh.select(*_POLL.names))
         self._publish(spark, staged(polls, "polls"), round_no, flush=False)
         self.drop_published_spool(spark)
+        # a restart repeats the last micro-batch at most
+        self._manifests.fold(spark, before=round_no - 2)
 
     def flush(self, spark: SparkSession) -> None:
         """Publish the open segments too, whatever their size."""
@@ -168,7 +177,7 @@ class ArchiveStream:
         return S.read_archive(spark, f"{self.root}/archive", self.prefix)
 
     def manifest(self, spark: SparkSession) -> DataFrame:
-        return spark.read.option("basePath", f"{self.root}/manifest").parquet(f"{self.root}/manifest").drop("round_no")
+        return self._manifests.read(spark)
 
     def commits(self, spark: SparkSession) -> DataFrame:
         return A.committed_offsets(self.manifest(spark))
@@ -176,7 +185,11 @@ class ArchiveStream:
 
 @dataclass(frozen=True)
 class RestoreStream:
-    """Endless restore job over a plan stream; progress per partition is kept round by round."""
+    """Endless restore job over a plan stream; progress per partition is kept round by round.
+
+    ``listing`` (paths, such as a manifest's) tells planned files without rows from absent
+    ones; without it a file is known by its rows.
+    """
 
     root: str
     archive: Callable[[DataFrame], DataFrame]
@@ -185,6 +198,7 @@ class RestoreStream:
     exclude: str = ""
     fail_on_existing: bool = True
     fail_on_missing: bool = True
+    listing: DataFrame | None = None
 
     def run(self, plan: DataFrame) -> None:
         query = (
@@ -202,7 +216,8 @@ class RestoreStream:
         files = R.exclude_files(plan, self.exclude).select(F.col("value").alias("path"))
         archive = self.archive(files)
         if self.fail_on_missing:
-            refuse_missing_files(plan, archive, self.exclude)
+            present = archive if self.listing is None else self.listing
+            refuse_missing_files(plan, present, self.exclude)
         rows = R.restore_rows(plan, archive, progress, self.topic_prefix, self.exclude).drop("path")
         written = _put(rows, self.root, "target", round_no)
         moved = R.restore_progress(written)
