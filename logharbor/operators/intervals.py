@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from logharbor.operators.positional import BLOCK, block_start, neighbour, number_rows, running_before
 from logharbor.schemas import TP
+from logharbor.shared import staged
 
 RUN = [*TP, "first", "last"]
 
@@ -19,13 +20,13 @@ RUN = [*TP, "first", "last"]
 def runs_of(log: DataFrame, pos: str, width: int = BLOCK) -> DataFrame:
     """Maximal runs of consecutive positions of each partition; repeated positions count once."""
     points = log.select(*TP, F.col(pos).alias("at")).distinct()
-    known = neighbour(points, TP, "at", "at", "before", following=False, width=width)
-    known = neighbour(known, TP, "at", "at", "after", following=True, width=width)
-    starts = known.where(F.col("before").isNull() | (F.col("before") < F.col("at") - 1))
-    ends = known.where(F.col("after").isNull() | (F.col("after") > F.col("at") + 1))
-    first = number_rows(starts.select(*TP, F.col("at").alias("first")), TP, "first", "number", width=width)
-    last = number_rows(ends.select(*TP, F.col("at").alias("last")), TP, "last", "number", width=width)
-    return first.join(last, [*TP, "number"]).select(*RUN)
+    numbered = number_rows(staged(points, "points"), TP, "at", "number", width=width)
+    # along a run, position and number rise together
+    return (
+        numbered.groupBy(*TP, (F.col("at") - F.col("number")).alias("run"))
+        .agg(F.min("at").alias("first"), F.max("at").alias("last"))
+        .select(*RUN)
+    )
 
 
 def _stretches(parts: dict[str, DataFrame], keep: Column, width: int) -> DataFrame:
@@ -42,9 +43,9 @@ def _stretches(parts: dict[str, DataFrame], keep: Column, width: int) -> DataFra
     every = None
     for name, runs in parts.items():
         every = edges(name, runs) if every is None else every.unionByName(edges(name, runs))
-    points = every.groupBy(*TP, "at").agg(*(F.sum(n).alias(n) for n in parts))
+    points = staged(every.groupBy(*TP, "at").agg(*(F.sum(n).alias(n) for n in parts)), "edges")
     for name in parts:
-        points = running_before(points, TP, "at", name, "sum", f"{name}_before", width=width)
+        points = staged(running_before(points, TP, "at", name, "sum", f"{name}_before", width=width), "covered")
     points = points.select(
         *TP, "at", *((F.coalesce(f"{n}_before", F.lit(0)) + F.col(n)).alias(n) for n in parts)
     )
@@ -52,6 +53,7 @@ def _stretches(parts: dict[str, DataFrame], keep: Column, width: int) -> DataFra
     # only where it changes, so that runs that touch become one
     marked = neighbour(marked, TP, "at", "inside", "earlier", following=False, width=width)
     turns = marked.where(F.col("inside") != F.coalesce("earlier", F.lit(False))).select(*TP, "at", "inside")
+    turns = staged(turns, "turns")
     ended = neighbour(turns, TP, "at", "at", "end", following=True, width=width)
     return ended.where("inside").select(*TP, F.col("at").alias("first"), (F.col("end") - 1).alias("last"))
 
