@@ -24,7 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import column_or_null, table
+from logharbor.llm.common import column_or_null, staged, table
 
 #: The contract's rules.
 RULES = [
@@ -98,15 +98,16 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> D
         F.max(F.size(F.split("rule_folder", "/", -1)) - 1),
     ).first()
     max_labels, max_slashes = limits[0] or 1, limits[1] or 0
+    rows = pages.select(
+        column_or_null(pages, "page_id", "bigint").alias("page_id"),
+        column_or_null(pages, "url", "string").alias("url"),
+    )
+    # each URL is judged once; only its verdict meets the rows that repeat it
     urls = (
-        pages.select(
-            column_or_null(pages, "page_id", "bigint").alias("page_id"),
-            column_or_null(pages, "url", "string").alias("url"),
-        )
-        .groupBy("page_id", "url")
-        .agg(F.count(F.lit(1)).alias("n_rows"))
+        rows.select("url")
+        .distinct()
         .withColumn("u", split_url(F.col("url")))
-        .select("page_id", "url", "n_rows", "u.host", "u.path")
+        .select("url", "u.host", "u.path")
     )
     expanded = urls.withColumn(
         "expression", F.explode(_expressions(max_labels, max_slashes))
@@ -127,18 +128,21 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> D
     best = (
         expanded.withColumn("short", F.substring("digest", 1, PREFIX_HEX))
         .join(known, "short", "left")
-        .groupBy("page_id", "url", "host", "path", "n_rows")
+        .groupBy("url", "host", "path")
         .agg(F.max(candidate).alias("best"))
     )
-    return best.select(
-        "page_id",
-        "url",
-        "host",
-        "path",
-        F.col("best.rule").alias("rule"),
-        F.coalesce(F.col("best.rule_verdict"), F.lit(default)).alias("verdict"),
-        F.explode(F.array_repeat(F.lit(0), F.col("n_rows").cast("int"))).alias("copy"),
-    ).drop("copy")
+    # written, so that the join with a URL that many rows share can be split
+    judged = staged(
+        best.select(
+            F.col("url").alias("judged_url"),
+            "host",
+            "path",
+            F.col("best.rule").alias("rule"),
+            F.coalesce(F.col("best.rule_verdict"), F.lit(default)).alias("verdict"),
+        ),
+        "judged-urls",
+    )
+    return rows.join(judged, F.col("url").eqNullSafe(F.col("judged_url"))).drop("judged_url")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
