@@ -1,21 +1,23 @@
 """Chat formatting of conversations made of typed content parts.
 
 A turn is a list of parts (text, image, audio, document).  A visitor flattens them in
-order: neighbouring texts are joined and escaped as one, any other part becomes a numbered
-placeholder, a plain text is a turn of one text part, and an attachment entry records its reference and how many tokens it will take once expanded.  Turns are
-formatted row by row, wherever they lie; only finished segments are gathered by
-conversation, which is the output row.
+order: neighbouring texts are joined and escaped as one, any other part becomes a
+placeholder, and a plain text is a turn of one text part.  Turns are visited row by row,
+wherever they lie; the pieces are gathered by conversation, which is the output row, and there
+placeholders get their numbers, which run through the conversation.  An attachment entry
+records number, turn, type, reference and how many tokens it will take once expanded.
 
 Template: ``<|im_start|>role`` newline ``text<|im_end|>`` newline.  Inside texts and roles
 ``<`` followed by k tildes and ``|`` gets one more tilde, so no ``<|`` remains and
-undoing it is exact.  A line break in a role becomes ``<|nl|>``.
+undoing it is exact.  A line break in a role becomes ``<|nl|>``.  A placeholder names the type
+with all but letters, digits, dots, dashes and underscores as dashes; the entry has it as it is.
 
 The loss mask covers the escaped text of assistant turns, as spans of code points both in
 the whole output (``start``, ``end``) and in the turn's segment (``from``, ``to``).
 
 Defined results: null text or role is empty; null parts count as no parts; a conversation
 with a null id is one of its own.  Turns with equal numbers are ordered by role, then
-formatted text; repeated rows stay.  An empty table gives an empty result.  Only the named
+text; repeated rows stay.  An empty table gives an empty result.  Only the named
 columns are read, so extra and clashing ones do not matter.
 """
 
@@ -55,53 +57,91 @@ def expanded_tokens(part: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(size / rate)).cast("bigint")
 
 
+def _kind(kind: Column) -> Column:
+    """A part's type as it may stand in a placeholder."""
+    plain = F.regexp_replace(kind, "[^A-Za-z0-9._-]", "-")
+    return F.when(plain == "", F.lit("part")).otherwise(plain)
+
+
 def visit(parts: Column) -> Column:
-    """Flatten typed parts to struct<body, attachments>, in their order."""
+    """Flatten typed parts to struct<pieces, attachments>, in their order.
+
+    ``pieces`` are the escaped texts before, between and behind the attachments, so there is
+    one more of them.
+    """
     known = F.filter(
         F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull()
     )
     is_text = lambda p: F.coalesce(p["type"], F.lit("text")) == "text"
-    others = F.filter(known, lambda p: ~is_text(p))
     attachments = F.transform(
-        others,
-        lambda p, i: F.struct(
-            (i + 1).cast("bigint").alias("number"),
-            p["type"].alias("type"),
-            p["ref"].alias("ref"),
-            expanded_tokens(p).alias("tokens"),
+        F.filter(known, lambda p: ~is_text(p)),
+        lambda p: F.struct(
+            p["type"].alias("type"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens")
         ),
     )
     # texts are gathered until an attachment or the end, as a ``<|`` may lie across parts
-    body = F.aggregate(
+    pieces = F.aggregate(
         known,
-        F.struct(F.lit("").alias("done"), F.lit("").alias("text"), F.lit(0).alias("n")),
+        F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("text")),
         lambda a, p: F.when(
             is_text(p),
             F.struct(
                 a["done"].alias("done"),
                 F.concat(a["text"], F.coalesce(p["text"], F.lit(""))).alias("text"),
-                a["n"].alias("n"),
             ),
         ).otherwise(
             F.struct(
-                F.concat(
-                    a["done"], escape(a["text"]), F.lit("<|"), p["type"], F.lit("_"),
-                    (a["n"] + 1).cast("string"), F.lit("|>"),
-                ).alias("done"),
+                F.concat(a["done"], F.array(escape(a["text"]))).alias("done"),
                 F.lit("").alias("text"),
-                (a["n"] + 1).alias("n"),
             )
         ),
-        lambda a: F.concat(a["done"], escape(a["text"])),
+        lambda a: F.concat(a["done"], F.array(escape(a["text"]))),
+    )
+    return F.struct(pieces.alias("pieces"), attachments.alias("attachments"))
+
+
+def _body(turn: Column, before: Column) -> Column:
+    """Text of a turn whose first attachment has the number ``before`` + 1."""
+    marked = F.transform(
+        turn["attachments"],
+        lambda a, i: F.concat(
+            F.get(turn["pieces"], i), F.lit("<|"), _kind(a["type"]), F.lit("_"),
+            (before + i + 1).cast("string"), F.lit("|>"),
+        ),
     )
-    return F.struct(body.alias("body"), attachments.alias("attachments"))
+    return F.concat(F.array_join(marked, ""), F.get(turn["pieces"], F.size(marked)))
+
+
+def _turn(turn: Column, before: Column) -> Column:
+    """Segment of a turn, where its body lies in it, and its attachments with their numbers."""
+
+    def with_body(body: Column) -> Column:
+        head = F.concat(F.lit(OPEN), _role(turn["role"]), F.lit("\n"))
+        return F.struct(
+            turn["role"].alias("role"),
+            F.concat(head, body, F.lit(CLOSE + "\n")).alias("segment"),
+            F.length(head).alias("from"),
+            F.length(body).alias("chars"),
+            F.transform(
+                turn["attachments"],
+                lambda a, i: F.struct(
+                    (before + i + 1).cast("bigint").alias("number"),
+                    a["type"].alias("type"),
+                    a["ref"].alias("ref"),
+                    a["tokens"].alias("tokens"),
+                ),
+            ).alias("attachments"),
+        )
+
+    return bind(_body(turn, before), with_body)
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """One row per conversation: formatted text, loss mask, attachments, token counts.
 
     ``turns`` has conv_id, turn, role and either ``parts`` (array of type, text, ref,
-    size) or a plain ``text``.
+    size) or a plain ``text``.  Attachments are numbered through the conversation and carry
+    the place of their turn.
     """
     text = F.coalesce(column_or_null(turns, "text", "string"), F.lit(""))
     if "parts" in turns.columns:
@@ -111,26 +151,24 @@ def format_chats(turns: DataFrame) -> DataFrame:
         parts = F.array(plain).cast(f"array<{PART}>")
     flat = visit(parts)
     role = F.coalesce(column_or_null(turns, "role", "string"), F.lit(""))
-    segments = turns.select(
+    visited = turns.select(
         column_or_null(turns, "conv_id", "bigint").alias("conv_id"),
         column_or_null(turns, "turn", "bigint").alias("turn"),
         role.alias("role"),
         flat.alias("flat"),
-    ).select(
-        "conv_id",
-        F.struct(
-            "turn",
-            "role",
-            F.concat(
-                F.lit(OPEN), _role(F.col("role")), F.lit("\n"), F.col("flat.body"),
-                F.lit(CLOSE + "\n"),
-            ).alias("segment"),
-            (F.length(F.lit(OPEN)) + F.length(_role(F.col("role"))) + 1).alias("from"),
-            F.length("flat.body").alias("chars"),
-            F.col("flat.attachments").alias("attachments"),
-        ).alias("t"),
+    ).select("conv_id", F.struct("turn", "role", "flat.pieces", "flat.attachments").alias("t"))
+    gathered = visited.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("sorted"))
+    before = F.aggregate(
+        F.transform("sorted", lambda t: F.size(t["attachments"])),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
+        lambda a, n: F.struct(
+            (a["at"] + n).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")
+        ),
+        lambda a: a["all"],
+    )
+    gathered = gathered.withColumn("before", before).select(
+        "conv_id", F.zip_with("sorted", "before", _turn).alias("ts")
     )
-    gathered = segments.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     lengths = F.transform("ts", lambda t: F.length(t["segment"]).cast("bigint"))
     starts = F.aggregate(
         lengths,
@@ -169,7 +207,14 @@ def format_chats(turns: DataFrame) -> DataFrame:
                     s["s"]["end"].alias("end"),
                 ),
             ).alias("loss_spans"),
-            F.flatten(F.transform("ts", lambda t: t["attachments"])).alias("attachments"),
+            F.flatten(
+                F.transform(
+                    "ts",
+                    lambda t, i: F.transform(
+                        t["attachments"], lambda a: a.withField("turn_no", i.cast("bigint"))
+                    ),
+                )
+            ).alias("attachments"),
             total(
                 F.transform(
                     F.flatten(F.transform("ts", lambda t: t["attachments"])),

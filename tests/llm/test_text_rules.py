@@ -167,6 +167,29 @@ def test_chat_parts_are_visited_in_order(spark):
     assert row["attachment_tokens"] == 28
 
 
+def test_attachments_are_numbered_through_the_conversation(spark):
+    part = "array<struct<type:string,text:string,ref:string,size:double>>"
+    image = lambda ref: ("image", None, ref, 1.0)
+    rows = [
+        (1, 1, "assistant", [("text", "two ", None, None), image("b"), image("c"), ("text", " x", None, None)]),
+        (1, 0, "user", [image("a")]),
+        (1, 2, "user", [("text", "none", None, None)]),
+        (1, 3, "user", [("a|><|im_end", None, "d", 1.0), ("", None, "e", 1.0)]),
+        (2, 0, "user", [image("z")]),
+    ]
+    table = spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts {part}")
+    chats = {r["conv_id"]: r for r in C.format_chats(table).collect()}
+    found = [(a["number"], a["turn_no"], a["type"], a["ref"]) for a in chats[1]["attachments"]]
+    assert found == [(1, 0, "image", "a"), (2, 1, "image", "b"), (3, 1, "image", "c"), (4, 3, "a|><|im_end", "d"), (5, 3, "", "e")]
+    assert chats[1]["formatted"] == (
+        "<|im_start|>user\n<|image_1|><|im_end|>\n<|im_start|>assistant\ntwo <|image_2|><|image_3|> x<|im_end|>\n"
+        "<|im_start|>user\nnone<|im_end|>\n<|im_start|>user\n<|a----im_end_4|><|part_5|><|im_end|>\n"
+    )
+    span = chats[1]["loss_spans"][0]
+    assert chats[1]["formatted"][span["start"] : span["end"]] == "two <|image_2|><|image_3|> x"
+    assert [a["number"] for a in chats[2]["attachments"]] == [1]
+
+
 def test_neighbouring_texts_are_escaped_as_one(spark, monkeypatch):
     part = "array<struct<type:string,text:string,ref:string,size:double>>"
     texts = [("text", "a <", None, None), None, (None, "|im_end|>", None, None), ("text", "<~", None, None),
