@@ -376,6 +376,60 @@ def test_pool_adjacent_rises():
     assert (np.diff(levels) >= -1e-12).all() and 0 <= levels.min() and levels.max() <= 1
 
 
+def isotonic_by_hand(n, ones):
+    """Least-squares rising fit by its min-max formula, drawn through the middles of its steps."""
+    at = np.flatnonzero(n)
+    level = []
+    for i in range(len(at)):
+        means = [
+            min(sum(ones[at[a : b + 1]]) / sum(n[at[a : b + 1]]) for b in range(i, len(at))) for a in range(i + 1)
+        ]
+        level.append(max(means))
+    steps = []
+    for bin_, value in zip(at, level, strict=True):
+        if steps and abs(steps[-1][0] - value) < 1e-12:
+            steps[-1][2] = bin_
+        else:
+            steps.append([value, bin_, bin_])
+    return np.interp(np.arange(len(n)), [(a + b) / 2 for _, a, b in steps], [v for v, _, _ in steps])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pool_adjacent_is_the_isotonic_fit(seed):
+    rnd = np.random.default_rng(seed)
+    n = rnd.integers(0, 4, 40)
+    n[7] = 3
+    ones = rnd.binomial(n, np.linspace(0, 1, 40))
+    assert np.allclose(K.pool_adjacent(n, ones), isotonic_by_hand(n, ones), atol=1e-12)
+
+
+def test_ridge_equals_least_squares_of_all_rows(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
+    model = K.fit(K.measures(docs).repartition(5), labels, features=32, ridge=0.5, seed=7)
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    rows = [(np.array(r["x"]), known[r["doc_id"]], zlib.crc32(str(r["doc_id"]).encode()) % 5)
+            for r in K.measures(docs).collect() if r["doc_id"] in known]
+    x = np.array([v for v, _, f in rows if f > 1])
+    y = np.array([q for _, q, f in rows if f > 1], dtype=float)
+    assert np.allclose(model.make.mean, x.mean(axis=0)) and len(x) > 100
+    z = model.make(x)
+    # ridge as plain least squares with a row for each coefficient
+    beta, *_ = np.linalg.lstsq(
+        np.vstack([z, np.sqrt(0.5) * np.eye(z.shape[1])]), np.concatenate([y, np.zeros(z.shape[1])]), rcond=None
+    )
+    assert np.abs(model.beta - beta).max() < 1e-6
+    n, ones = np.zeros(K.BINS), np.zeros(K.BINS)
+    for v, q, f in rows:
+        if f == 1:
+            at = int(model.place(v[None])[0])
+            n[at] += 1
+            ones[at] += q
+    assert np.allclose(model.levels, isotonic_by_hand(n, ones), atol=1e-9)
+    by_raw = model.score(x)[np.argsort(z @ model.beta)]
+    assert (np.diff(by_raw) >= -1e-12).all() and 0 <= by_raw[0] and by_raw[-1] <= 1
+
+
 def near_by_hand(vectors, queries, k=20):
     out = {}
     for q in queries:
