@@ -23,8 +23,10 @@ from logharbor.shared import new_path, staged
 from logharbor.sources import objects as O
 from logharbor.sources import storage as S
 from logharbor.sources.commit_log import CommitLog
+from logharbor.sources.followed import SourceBlocks, translate_followed as follow_log
 from logharbor.sources.journal import PlanJournal
 from logharbor.sources.offset_index import OffsetIndex
+from logharbor.sources.print_tree import PrintTree, tree_diff
 from logharbor.streaming import jobs as J
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -854,6 +856,28 @@ def translate_two_rounds(spark, sf):
     return resolved.select(*G.ENTRY, "restored_offset", "round").unionByName(open_rows)
 
 
+@query
+def translate_followed(spark, sf):
+    """Entries translated while the restored log is appended in three parts."""
+    log = X.restored(spark, sf)
+    ends = staged(log.groupBy(*TP).agg(F.count(F.lit(1)).alias("_rows")), "ends")
+    part = F.expr("offset * 3 div _rows")
+    parted = log.join(ends, TP).withColumn("_part", part).drop("_rows")
+    path = new_path(spark, "topics")
+
+    def appends():
+        for number in range(3):
+            S.write_topics(parted.where(F.col("_part") == number).drop("_part"), path)
+            yield number
+
+    table = SourceBlocks(spark, path, new_path(spark, "source-blocks"), width=256)
+    resolved, remaining = follow_log(_entries(spark, sf), table, appends(), X.TOPIC_PREFIX)
+    open_rows = remaining.select(
+        *G.ENTRY, F.lit(None).cast("bigint").alias("restored_offset"), F.lit(0).alias("round")
+    )
+    return resolved.select(*G.ENTRY, "restored_offset", "round").unionByName(open_rows)
+
+
 @query
 def group_status(spark, sf):
     snapshot = G.filter_groups(X.snapshot(spark, sf))
@@ -910,6 +934,26 @@ def restore_content_diff(spark, sf):
     return C.restore_content_diff(X.records(spark, sf), X.damaged(spark, sf), X.TOPIC_PREFIX)
 
 
+@query
+def restore_tree_diff(spark, sf):
+    """A stored log against a stored restore with rows changed, lost and added in three partitions."""
+    source = X.kept_records(spark, sf).where("NOT (topic = 'error' AND partition = 0 AND offset % 30 = 5)")
+    lost = "NOT (topic = 'r.click' AND partition = 2 AND source_offset % 40 = 3)"
+    hit = F.expr("topic = 'r.view' AND partition = 1 AND source_offset % 50 = 7")
+    target = X.restored(spark, sf).where(lost).withColumn(
+        "value", F.when(hit, F.concat("value", F.lit(b"!"))).otherwise(F.col("value"))
+    )
+    trees = []
+    for log, how in ((source, {"pos": "offset", "topic_prefix": X.TOPIC_PREFIX}), (target, {})):
+        path, root = new_path(spark, "log"), new_path(spark, "prints")
+        tree = PrintTree(spark, path, root, width=256, fan=4, levels=3, **how)
+        for part in (0, 1):  # two appends, the tree is extended by each
+            S.write_topics(log.where(F.expr("offset div 256 % 2") == part).drop("batch_no"), path, run=1024)
+            tree.extend()
+        trees.append(tree)
+    return tree_diff(*trees)
+
+
 @query
 def restore_order_violations(spark, sf):
     return C.restore_order_violations(X.naive_replay(spark, sf), width=50)

@@ -115,14 +115,16 @@ def content_words() -> list[Column]:
     return [F.xxhash64(F.lit(seed), *parts) for seed in (1, 2)]
 
 
+def halves(word: str) -> list[Column]:
+    """The two 32-bit halves of a word, to be added up without overflow."""
+    return [F.col(word).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(word, 32)]
+
+
 def _block_prints(rows: DataFrame) -> DataFrame:
     """Row count and order-free fingerprint of each block of source offsets, built map-side."""
     words = rows.select(*TP, "_block", *[w.alias(f"_w{i}") for i, w in enumerate(content_words())])
-    halves = []
-    for name in ("_w0", "_w1"):
-        halves += [F.col(name).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(name, 32)]
     return words.groupBy(*TP, "_block").agg(
-        F.struct(F.count(F.lit(1)), *[F.sum(half) for half in halves]).alias("_print")
+        F.struct(F.count(F.lit(1)), *[F.sum(half) for half in halves("_w0") + halves("_w1")]).alias("_print")
     )
 
 
@@ -154,6 +156,16 @@ def restore_content_diff(
         "differing-blocks",
     )
 
+    return differing_contents(left, right, differing)
+
+
+def differing_contents(left: DataFrame, right: DataFrame, differing: DataFrame) -> DataFrame:
+    """Source offsets of the ``differing`` blocks (topic, partition, _block) whose contents differ.
+
+    Both sides have topic, partition, source_offset, _block and the content columns.
+    """
+    group = [*TP, "_block"]
+
     def contents(side: DataFrame, weight: int) -> DataFrame:
         first, second = content_words()
         return side.join(differing, group, "left_semi").select(

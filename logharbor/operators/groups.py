@@ -134,18 +134,30 @@ def existing_group_topics(entries: DataFrame, topics: DataFrame, topic_prefix: s
     )
 
 
-def _log_blocks(log: DataFrame, width: int) -> DataFrame:
-    """One pass over narrow columns of the restored log: a row per block of source offsets."""
+def log_blocks(log: DataFrame, width: int, *by: str) -> DataFrame:
+    """One pass over narrow columns of the restored log: a row per block of source offsets, and ``by``."""
     source = F.col("source_offset")
     block = F.when(source < 0, F.lit(-1).cast("bigint")).otherwise(block_start(source, width))
-    return log.groupBy(*TP, block.alias("_block")).agg(
+    return log.groupBy(*by, *TP, block.alias("_block")).agg(
         F.min("source_offset").alias("_pos"),
+        F.max("source_offset").alias("_last_pos"),
         F.min("offset").alias("_value"),
         F.max("offset").alias("_last_offset"),
         F.max_by("source_offset", "offset").alias("_last_source"),
     )
 
 
+def merged_blocks(parts: DataFrame) -> DataFrame:
+    """Blocks of a whole log from the blocks of its parts."""
+    return parts.groupBy(*TP, "_block").agg(
+        F.min("_pos").alias("_pos"),
+        F.max("_last_pos").alias("_last_pos"),
+        F.min("_value").alias("_value"),
+        F.max("_last_offset").alias("_last_offset"),
+        F.max_by("_last_source", "_last_offset").alias("_last_source"),
+    )
+
+
 def _partition_tips(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy(*TP).agg(
         F.min("_pos").alias("lowest_source"),
@@ -155,7 +167,7 @@ def _partition_tips(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _restored_log(log: DataFrame, entries: DataFrame, topic_prefix: str) -> DataFrame:
+def restored_log(log: DataFrame, entries: DataFrame, topic_prefix: str) -> DataFrame:
     """Source and target offsets of the partitions entries ask for, under source topic names.
 
     Other partitions leave before any header is read; Catalyst broadcasts their list if it is small.
@@ -189,7 +201,7 @@ def group_readiness(
     entries: DataFrame, log: DataFrame, topic_prefix: str = "", width: int = BLOCK
 ) -> DataFrame:
     """Whether the restored log already covers each entry, and why not."""
-    tips = _partition_tips(_log_blocks(_restored_log(log, entries, topic_prefix), width))
+    tips = _partition_tips(log_blocks(restored_log(log, entries, topic_prefix), width))
     return _readiness(entries, tips).select(
         *ENTRY, "target", "latest_offset", "latest_source", "readiness"
     )
@@ -209,16 +221,31 @@ def translate_offsets(
     restored records are later, the group continues at 0 (``floor="start"``: at the first
     offset).  ``pending``: the log does not cover it yet, no offset.
     """
+    narrow = restored_log(log, entries, topic_prefix)
+    blocks = staged(log_blocks(narrow, width), "log-blocks")
+    return translate_by_blocks(entries, blocks, lambda sought: narrow, floor, width)
+
+
+def translate_by_blocks(
+    entries: DataFrame,
+    blocks: DataFrame,
+    rows_for: Callable[[DataFrame], DataFrame],
+    floor: str = "zero",
+    width: int = BLOCK,
+) -> DataFrame:
+    """:func:`translate_offsets` for a log whose blocks are known.
+
+    ``rows_for`` is given the entries that need a lookup and returns the log rows it takes: in
+    each block that holds a target, all with this source offset or a later one.
+    """
     if floor not in ("zero", "start"):
         raise ValueError("floor must be zero or start")
-    narrow = _restored_log(log, entries, topic_prefix)
-    blocks = staged(_log_blocks(narrow, width), "log-blocks")
     judged = _readiness(entries, _partition_tips(blocks))
     sought = judged.where(
         (F.col("readiness") == "ready") & (F.col("latest_source") > F.col("target"))
     )
     found = first_at_or_after(
-        narrow.where(F.col("source_offset") >= 0),
+        rows_for(sought).where(F.col("source_offset") >= 0),
         sought,
         "source_offset",
         "offset",
@@ -271,12 +298,22 @@ def translate_until_done(
     Returns the resolved rows, with the ``round`` they were resolved in, and the rest.
     Each round is one set of jobs over all remaining entries.
     """
+    return translate_in_rounds(
+        entries,
+        (lambda left, log=log: translate_offsets(left, log(), topic_prefix, width=width) for log in log_states),
+    )
+
+
+def translate_in_rounds(
+    entries: DataFrame, rounds: Iterable[Callable[[DataFrame], DataFrame]]
+) -> tuple[DataFrame | None, DataFrame]:
+    """Give what is left to each of ``rounds``, which translate it, until nothing is."""
     remaining = staged(entries, "remaining")
     resolved: DataFrame | None = None
-    for number, log in enumerate(log_states, start=1):
+    for number, translate in enumerate(rounds, start=1):
         if remaining.isEmpty():
             break
-        outcome = staged(translate_offsets(remaining, log(), topic_prefix, width=width), "round")
+        outcome = staged(translate(remaining), "round")
         done = outcome.where(F.col("case") != "pending").withColumn("round", F.lit(number))
         resolved = done if resolved is None else resolved.unionByName(done)
         remaining = staged(

@@ -479,6 +479,20 @@ _SQL: dict[str, str] = {
         SELECT group_id, {_TP}, restored_offset, CAST(1 AS INTEGER) AS round FROM one WHERE c <> 'pending'
         UNION ALL
         SELECT group_id, {_TP}, restored_offset, CAST(CASE WHEN c = 'pending' THEN 0 ELSE 2 END AS INTEGER) FROM two""",
+    "translate_followed": f"""
+        thirds AS (SELECT *, off * 3 // count(*) OVER (PARTITION BY topic, part) AS third FROM rest),
+        log1 AS (SELECT * FROM thirds WHERE third < 1),
+        log2 AS (SELECT * FROM thirds WHERE third < 2),
+        one AS ({_translated("entries", "log1")}),
+        left1 AS (SELECT * FROM one WHERE c = 'pending'),
+        two AS ({_translated("left1", "log2")}),
+        left2 AS (SELECT * FROM two WHERE c = 'pending'),
+        three AS ({_translated("left2", "rest")})
+        SELECT group_id, {_TP}, restored_offset, CAST(1 AS INTEGER) AS round FROM one WHERE c <> 'pending'
+        UNION ALL
+        SELECT group_id, {_TP}, restored_offset, CAST(2 AS INTEGER) FROM two WHERE c <> 'pending'
+        UNION ALL
+        SELECT group_id, {_TP}, restored_offset, CAST(CASE WHEN c = 'pending' THEN 0 ELSE 3 END AS INTEGER) FROM three""",
     "group_status": f"""
         done AS ({_translated("pend", "rest")})
         SELECT a.group_id, a.topic, CAST(CASE
@@ -515,6 +529,16 @@ _SQL: dict[str, str] = {
         FROM rec s LEFT JOIN (SELECT topic, part, src, CASE WHEN src % 50 = 7 THEN v || '!' ELSE v END AS v FROM rest) d
             ON d.topic = 'r.' || s.topic AND d.part = s.part AND d.src = s.off
         WHERE d.src IS NULL OR d.v <> s.v""",
+    "restore_tree_diff": """
+        SELECT coalesce('r.' || s.topic, d.topic) AS topic, coalesce(s.part, d.part) AS "partition",
+               coalesce(s.off, d.src) AS source_offset,
+               CASE WHEN d.src IS NULL THEN 'missing' WHEN s.off IS NULL THEN 'extra' ELSE 'changed' END AS verdict
+        FROM (SELECT * FROM kept WHERE NOT (topic = 'error' AND part = 0 AND off % 30 = 5)) s
+        FULL JOIN (SELECT topic, part, src, CASE WHEN topic = 'r.view' AND part = 1 AND src % 50 = 7
+                          THEN v || '!' ELSE v END AS v
+                   FROM rest WHERE NOT (topic = 'r.click' AND part = 2 AND src % 40 = 3)) d
+            ON d.topic = 'r.' || s.topic AND d.part = s.part AND d.src = s.off
+        WHERE d.src IS NULL OR s.off IS NULL OR d.v <> s.v""",
     "restore_order_violations": f"""
         SELECT {_OUT}, src AS source_offset, prev AS previous_source FROM
             (SELECT *, lag(src) OVER (PARTITION BY topic, part ORDER BY off) AS prev FROM naive)

@@ -21,16 +21,28 @@ from logharbor.sources.storage import below_root, list_objects, read_topics
 INDEX = "file string, topic string, partition int, block bigint, rows bigint, first_offset bigint, last_offset bigint, first_source bigint, last_source bigint"
 
 
-class OffsetIndex:
-    """Index at ``root`` of the log at ``log``, as ``storage.write_topics`` writes it."""
+class IndexedLog:
+    """A table at ``root`` of what the files of the log at ``log`` hold, one append after the other.
+
+    The log is one that ``storage.write_topics`` writes.  Subclasses say what is kept of a file.
+    """
+
+    schema = ""
 
     def __init__(self, spark: SparkSession, log: str, root: str, width: int = BLOCK):
         self.spark, self.log, self.root, self.width = spark, log.rstrip("/"), root, width
 
+    def entries(self, rows: DataFrame) -> DataFrame:
+        """What the table keeps of log rows, which carry their ``file``."""
+        raise NotImplementedError
+
     def rows(self) -> DataFrame:
         if not written_folders(self.spark, self.root):
-            return self.spark.createDataFrame([], INDEX)
-        return self.spark.read.schema(INDEX).parquet(self.root)
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.root)
+
+    def write(self, entries: DataFrame) -> None:
+        entries.write.mode("append").parquet(self.root)
 
     def unknown_files(self) -> list[str]:
         """Files of the log that are not indexed: those of the last appends."""
@@ -47,25 +59,28 @@ class OffsetIndex:
     def extend(self) -> int:
         """Index the files that came since; their number."""
         new = self.unknown_files()
-        if not new:
-            return 0
-        rows = source_offsets(self.read(new)).withColumn(
-            "file", below_root(F.col("_metadata.file_path"), self.log)
-        )
-        (
-            rows.groupBy("file", *TP, block_start(F.col("offset"), self.width).alias("block"))
-            .agg(
-                F.count(F.lit(1)).alias("rows"),
-                F.min("offset").alias("first_offset"),
-                F.max("offset").alias("last_offset"),
-                F.min("source_offset").alias("first_source"),
-                F.max("source_offset").alias("last_source"),
+        if new:
+            rows = source_offsets(self.read(new)).withColumn(
+                "file", below_root(F.col("_metadata.file_path"), self.log)
             )
-            .write.mode("append")
-            .parquet(self.root)
-        )
+            self.write(self.entries(rows))
         return len(new)
 
+
+class OffsetIndex(IndexedLog):
+    """First and last offsets of each file and block of offsets."""
+
+    schema = INDEX
+
+    def entries(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("file", *TP, block_start(F.col("offset"), self.width).alias("block")).agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.min("offset").alias("first_offset"),
+            F.max("offset").alias("last_offset"),
+            F.min("source_offset").alias("first_source"),
+            F.max("source_offset").alias("last_source"),
+        )
+
     def files_at(self, wanted: DataFrame) -> list[str]:
         """Files that can hold the first record at or after each (topic, partition, start_offset).
 

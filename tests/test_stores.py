@@ -8,6 +8,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logharbor.operators import audit as C
+from logharbor.operators import groups as G
 from logharbor.operators import intervals as I
 from logharbor.plans.jobs import plan_restore
 from logharbor.schemas import RECORD, TP
@@ -15,8 +17,10 @@ from logharbor.shared import create_file, new_path, read_file, remove_folder, st
 from logharbor.sources import objects as O
 from logharbor.sources import storage as S
 from logharbor.sources.commit_log import CommitLog, LostRace
+from logharbor.sources.followed import SourceBlocks, translate_followed
 from logharbor.sources.journal import PlanJournal
 from logharbor.sources.offset_index import OffsetIndex
+from logharbor.sources.print_tree import PrintTree, differing_blocks, tree_diff
 from logharbor.streaming.folding import FoldedTable
 
 ARCHIVED = T.StructType([*RECORD.fields, T.StructField("segment", T.LongType())])
@@ -292,3 +296,122 @@ def test_folders_stay_bounded_and_a_crash_changes_nothing(spark):
     assert table.fold(spark, before=55)
     assert rows(table.read(spark)) == [(i,) for i in sorted(range(56), key=str)]
     assert "lost" not in written_folders(spark, f"{root}/manifest-folded/parts")
+
+
+# --- followed translation and fingerprint trees --------------------------------------------
+
+
+def restored_part(spark, first, count, partitions=(0, 1), mark=None):
+    """Records of a restored log whose source offsets are 3 apart, ``mark`` changes one value."""
+    data = [
+        (b"k", b"!" if o == mark and p == 0 else b"v%d" % o, {"h": b"1"}, "r.t", p, 1000 + o, o, 3 * o)
+        for p in partitions
+        for o in range(first, first + count)
+    ]
+    return spark.createDataFrame(data, T.StructType([*RECORD.fields, T.StructField("source_offset", T.LongType())]))
+
+
+class Watched(SourceBlocks):
+    """Notes the files that are read."""
+
+    seen: list[list[str]]
+
+    def read(self, files):
+        self.seen.append(files)
+        return super().read(files)
+
+
+def group_entries(spark, targets):
+    data = [(f"g{i}", "t", p, target + 1, target) for i, (p, target) in enumerate(targets)]
+    return spark.createDataFrame(data, "group_id string, topic string, partition int, offset bigint, target bigint")
+
+
+def test_followed_translation_equals_the_whole_one_and_reads_new_files_only(spark):
+    log, root = new_path(spark, "topics"), new_path(spark, "blocks")
+    table = Watched(spark, log, root, width=16)
+    table.seen = []
+    # below the start, found, between two records, last of a part, in a later part, beyond the log, no such partition
+    entries = group_entries(spark, [(0, -1), (0, 30), (1, 31), (0, 57), (0, 58), (1, 90), (1, 150), (0, 500), (7, 3)])
+    reads = []
+
+    def appends():
+        for first in (0, 20, 40):
+            S.write_topics(restored_part(spark, first, 20), log, run=8)
+            before = set(table.rows().select("file").distinct().toPandas()["file"])
+            table.seen.clear()
+            yield first
+            reads.append((before, [f for files in table.seen for f in files]))
+
+    resolved, remaining = translate_followed(entries, table, appends(), "r.")
+    names_ = ["group_id", "partition", "case", "restored_offset"]
+    whole = G.translate_offsets(entries, S.read_topics(spark, log), "r.", width=16).where("case <> 'pending'")
+    late = {r["group_id"]: r["round"] for r in resolved.collect()}
+    assert late == {"g0": 1, "g1": 1, "g2": 1, "g3": 1, "g4": 2, "g5": 2, "g6": 3}
+    # an entry keeps the answer of its round; only "tip" is what a longer log calls "exact"
+    got = {(a, b, "exact" if c == "tip" else c, d) for a, b, c, d in rows(resolved, *names_)}
+    assert got == {(a, b, "exact" if c == "tip" else c, d) for a, b, c, d in rows(whole, *names_)}
+    assert rows(remaining, "group_id") == [("g7",), ("g8",)]
+    for before, read in reads[1:]:
+        assert read and not before & set(read)
+    assert table.extend() == 0
+    again = SourceBlocks(spark, log, root, width=16).translate(entries, "r.")
+    assert rows(again.where("case <> 'pending'"), *names_) == rows(whole, *names_)
+
+
+def test_followed_translation_of_logs_out_of_order_and_without_rows(spark):
+    log = new_path(spark, "topics")
+    table = SourceBlocks(spark, log, new_path(spark, "blocks"), width=8)
+    entries = group_entries(spark, [(0, 5), (0, 40), (0, 100)])
+    assert {r["case"] for r in table.translate(entries, "r.").collect()} == {"pending"}
+    rng = random.Random(5)
+    for n in range(4):
+        part = restored_part(spark, 10 * n, 10, (0,))
+        # a target whose source offsets do not rise, and records without any
+        shifted = F.when(F.col("offset") % 7 == 3, F.lit(-1)).otherwise(F.col("source_offset") + rng.randrange(20))
+        S.write_topics(part.withColumn("source_offset", shifted.cast("bigint")), log, run=4)
+        want = G.translate_offsets(entries, S.read_topics(spark, log), "r.", width=8)
+        assert rows(table.translate(entries, "r.")) == rows(want)
+
+
+class WatchedTree(PrintTree):
+    def read(self, files):
+        self.seen = files
+        return super().read(files)
+
+
+def test_tree_diff_reads_only_files_that_differ(spark):
+    trees = []
+    for mark in (None, 70):
+        log = new_path(spark, "topics")
+        tree = WatchedTree(spark, log, new_path(spark, "prints"), width=24, fan=2, levels=2)
+        for first in (0, 64):
+            S.write_topics(restored_part(spark, first, 64, mark=mark), log, run=8)
+            tree.extend()
+        trees.append(tree)
+    left, right = trees
+    assert rows(tree_diff(left, right)) == [("r.t", 0, 210, "changed")]
+    assert len(left.seen) == 1 == len(right.seen) and left.rows().select("file").distinct().count() > 1
+    # the spans above a differing block are the only ones that differ
+    assert rows(differing_blocks(left, right)) == [("r.t", 0, 192)]
+    # an append to one side is found without a rebuild, also in a partition the other side lacks
+    S.write_topics(restored_part(spark, 128, 3, partitions=(1, 2)), right.log, run=8)
+    got = rows(tree_diff(left, right))
+    whole = C.restore_content_diff(
+        S.read_topics(spark, left.log).drop("offset").withColumnRenamed("source_offset", "offset"),
+        S.read_topics(spark, right.log),
+    )
+    assert got == rows(whole) and len(got) == 7
+    assert tree_diff(left, left).isEmpty() and left.seen == []
+
+
+def test_trees_of_empty_logs_and_of_other_shapes(spark):
+    def tree(**how):
+        return PrintTree(spark, new_path(spark, "topics"), new_path(spark, "prints"), **how)
+
+    assert tree_diff(tree(), tree()).isEmpty()
+    filled = tree(width=8, fan=2, levels=1)
+    S.write_topics(restored_part(spark, 0, 5, (0,)), filled.log)
+    found = tree_diff(tree(width=8, fan=2, levels=1), filled)
+    assert rows(found, "source_offset", "verdict") == [(o, "extra") for o in (0, 12, 3, 6, 9)]
+    with pytest.raises(ValueError, match="differently"):
+        tree_diff(tree(fan=2), tree(fan=4))
