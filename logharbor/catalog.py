@@ -1017,9 +1017,7 @@ def stream_restart(spark, sf):
     return job.archive(spark).select(*TP, "offset", _str("value"))
 
 
-@query
-def stream_restore(spark, sf):
-    """Restore from a plan that arrives in several rounds."""
+def _restore_in_rounds(spark, sf):
     feed, root = new_path(spark, "plan-feed"), new_path(spark, "archive")
     S.write_archive(X.archive(spark, sf).withColumnRenamed("file_offset", "segment"), root)
     job = J.RestoreStream(
@@ -1030,4 +1028,17 @@ def stream_restore(spark, sf):
     for part in J.in_order(X.plan(spark, sf), "plan_seq", 4):
         S.write_feed(part, feed)
         job.run(J.plan_stream(spark, feed))
+    return job
+
+
+@query
+def stream_restore(spark, sf):
+    """Restore from a plan that arrives in several rounds."""
+    job = _restore_in_rounds(spark, sf)
     return job.restored(spark).select(*TP, "offset", "source_offset", _str("value"))
+
+
+@query
+def restore_observed_progress(spark, sf):
+    """What each round of a running restore reports."""
+    return _restore_in_rounds(spark, sf).observed(spark)

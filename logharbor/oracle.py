@@ -563,6 +563,16 @@ _SQL: dict[str, str] = {
                    || lpad(CAST(seg AS VARCHAR), 19, '0') || '.avro' AS path
         FROM sroll GROUP BY topic, part, seg""",
     "stream_restart": f"SELECT {_OUT}, v AS value FROM kept",
+    "restore_observed_progress": """
+        rounds AS (SELECT path, plan_seq, plan_seq // ((max(plan_seq) OVER () - min(plan_seq) OVER ()) // 4 + 1) AS round_no
+                   FROM plan)
+        SELECT p.round_no, p.plan_records, p.last_plan_seq, r.rows, r.bytes, r.last_timestamp
+        FROM (SELECT round_no, count(*) AS plan_records, max(plan_seq) AS last_plan_seq FROM rounds GROUP BY round_no) p
+        JOIN (SELECT q.round_no, count(*) AS rows, max(t.ms) AS last_timestamp,
+                     CAST(sum(strlen(t.k) + strlen(t.v) + strlen('origin-id') + strlen(t.h) + strlen('event-type')
+                              + strlen(substr(t.topic, 3)) + strlen('restore.source-offset')
+                              + strlen(CAST(t.src AS VARCHAR))) AS BIGINT) AS bytes
+              FROM rest t JOIN rounds q ON q.path = t.path GROUP BY q.round_no) r ON r.round_no = p.round_no""",
     "stream_restore": f"SELECT {_OUT}, src AS source_offset, v AS value FROM rest",
 }
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,16 @@ _POLL = T.StructType(
     ]
 )
 _ROUND = T.StructField("round_no", T.LongType())
+_OBSERVED = T.StructType(
+    [
+        _ROUND,
+        T.StructField("plan_records", T.LongType()),
+        T.StructField("last_plan_seq", T.LongType()),
+        T.StructField("rows", T.LongType()),
+        T.StructField("bytes", T.LongType()),
+        T.StructField("last_timestamp", T.LongType()),
+    ]
+)
 
 
 def _folder(root: str, name: str, round_no: int) -> str:
@@ -188,7 +198,9 @@ class RestoreStream:
     """Endless restore job over a plan stream; progress per partition is kept round by round.
 
     ``listing`` (paths, such as a manifest's) tells planned files without rows from absent
-    ones; without it a file is known by its rows.
+    ones; without it a file is known by its rows.  What a round has done is observed while its
+    rows are written, without a job of its own (:meth:`observed`); the rows of settled
+    rounds are folded, ``fold`` at a time.
     """
 
     root: str
@@ -199,6 +211,11 @@ class RestoreStream:
     fail_on_existing: bool = True
     fail_on_missing: bool = True
     listing: DataFrame | None = None
+    fold: int = 16
+
+    @property
+    def _observed(self) -> FoldedTable:
+        return FoldedTable(self.root, "observed", self.fold)
 
     def run(self, plan: DataFrame) -> None:
         query = (
@@ -211,7 +228,9 @@ class RestoreStream:
 
     def restore_round(self, plan: DataFrame, round_no: int) -> None:
         spark = plan.sparkSession
-        plan = staged(plan, "plan-round")
+        planned, done = Observation(), Observation()
+        counted = F.count(F.lit(1)).alias("plan_records"), F.max("plan_seq").alias("last_plan_seq")
+        plan = staged(plan.observe(planned, *counted), "plan-round")
         progress = self._progress(spark, plan, round_no)
         files = R.exclude_files(plan, self.exclude).select(F.col("value").alias("path"))
         archive = self.archive(files)
@@ -219,6 +238,12 @@ class RestoreStream:
             present = archive if self.listing is None else self.listing
             refuse_missing_files(plan, present, self.exclude)
         rows = R.restore_rows(plan, archive, progress, self.topic_prefix, self.exclude).drop("path")
+        rows = rows.observe(
+            done,
+            F.count(F.lit(1)).alias("rows"),
+            F.sum(A.row_bytes()).alias("bytes"),
+            F.max("timestamp").alias("last_timestamp"),
+        )
         written = _put(rows, self.root, "target", round_no)
         moved = R.restore_progress(written)
         if progress is not None:
@@ -231,6 +256,21 @@ class RestoreStream:
                 )
             )
         _put(moved, self.root, "progress", round_no)
+        seen = {**planned.get, **done.get}
+        row = (round_no, *(seen[n] for n in _OBSERVED.names[1:]))
+        _put(spark.createDataFrame([row], _OBSERVED), self.root, "observed", round_no)
+        # a restart repeats the last micro-batch at most
+        self._observed.fold(spark, before=round_no - 1)
+
+    def observed(self, spark: SparkSession) -> DataFrame:
+        """Per round: plan records taken and the last of them, rows and bytes written, newest record."""
+        return self._observed.read(spark)
+
+    def percent_done(self, spark: SparkSession, planned_records: int) -> DataFrame:
+        """Plan records restored so far, their share of all that are planned, rows and bytes written."""
+        sums = (F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("plan_records", "rows", "bytes"))
+        share = F.expr(f"plan_records * 100 div nullif({int(planned_records)}, 0)").alias("percent_done")
+        return self.observed(spark).agg(*sums).select("*", share)
 
     def _progress(self, spark: SparkSession, plan: DataFrame, round_no: int) -> DataFrame | None:
         """Progress of earlier rounds; partitions planned for the first time are read from the target."""

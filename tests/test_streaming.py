@@ -92,6 +92,37 @@ def test_restore_stream_equals_batch(spark, parts):
     job.restore_round(spark.read.schema(plan.schema).parquet(feed).where("plan_seq < 2"), 0)
 
 
+def test_observed_rounds_agree_with_what_they_wrote(spark, parts):
+    archived = archive_log(parts[0], "b", min_size=200, poll_records=10, flush=True)
+    root = new_path(spark, "archive")
+    S.write_archive(archived.rows, root)
+    listed = PL.list_objects(S.manifest_objects(archived.manifest), "b")
+    order = PL.topic_order(PL.filter_topics(listed.select("topic").distinct(), ".*"))
+    plan = staged(PL.plan_records(listed, order, "b"), "plan")
+    job = J.RestoreStream(
+        new_path(spark, "stream"), lambda files: S.read_archive(spark, root, "b", files=files), fold=2
+    )
+    total = plan.count()
+    cuts = [0, 2, 2, 5, total]  # the second round is empty
+    for number, (first, end) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        part = plan.where((F.col("plan_seq") >= first) & (F.col("plan_seq") < end))
+        job.restore_round(part, number)
+        if number == 2:
+            half = job.percent_done(spark, total).first()
+            assert half["plan_records"] == 5 and half["percent_done"] == 500 // total
+            job.restore_round(part, number)  # a restart repeats a round, its row is replaced
+    written = spark.read.parquet(f"{job.root}/target").groupBy("round_no").count()
+    rows_of = {r["round_no"]: r["count"] for r in written.collect()}
+    seen = job.observed(spark).collect()
+    assert {r["round_no"]: r["rows"] for r in seen} == {0: 0, 1: 0, 2: 0, 3: 0} | rows_of
+    by_round = {r["round_no"]: (r["plan_records"], r["last_plan_seq"]) for r in seen}
+    assert by_round == {0: (2, 1), 1: (0, None), 2: (3, 4), 3: (total - 5, total - 1)}
+    assert job.percent_done(spark, total).first()["percent_done"] == 100
+    assert job.percent_done(spark, 0).first()["percent_done"] is None
+    # settled rounds are folded
+    assert len(job._observed.rounds(spark)) < 4
+
+
 def test_restore_stream_refuses_foreign_data(spark, parts):
     foreign = parts[0].select("topic", "partition", "offset", "headers")
     job = J.RestoreStream(new_path(spark, "stream"), lambda files: None, target=foreign)
