@@ -28,6 +28,7 @@ from logharbor.sources.journal import PlanJournal
 from logharbor.sources.offset_index import OffsetIndex
 from logharbor.sources.print_tree import PrintTree, tree_diff
 from logharbor.streaming import jobs as J
+from logharbor.streaming.idle import IdleWatch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -1001,6 +1002,30 @@ def stream_archive(spark, sf):
     )
 
 
+@query
+def stream_idle_segments(spark, sf):
+    """A watched archive job whose partitions fall idle after the log has ended; the watch is restarted."""
+    size, feed = 4 * X.ROLL_BYTES, new_path(spark, "feed")
+    job = J.ArchiveStream(new_path(spark, "stream"), size, poll_records=40, prefix=X.PREFIX, watch=True)
+    root = new_path(spark, "watch")
+    for number, part in enumerate(J.in_order(X.kept_records(spark, sf), "timestamp", 3)):
+        S.write_feed(part, feed)
+        job.run(S.stream_log(spark, feed))
+        if number == 1:  # nothing is idle yet, the state is left to the second run
+            awake = IdleWatch(root, job.root, idle_ms=10**12, max_age_ms=10**12, check_ms=10)
+            awake.run_until(spark, lambda q: any(p["numInputRows"] for p in q.recentProgress), 300)
+    held = spark.read.parquet(f"{job.root}/state/round_no=4").select(*TP).distinct().count()
+    watch = IdleWatch(root, job.root, idle_ms=0, check_ms=10)
+    last = spark.read.parquet(f"{job.root}/open/round_no=4").where("first_offset IS NOT NULL")
+    place = [*TP, "first_offset", "last_offset"]
+    watch.run_until(spark, lambda q: watch.reports(spark).join(last, place, "left_semi").count() == held, 300)
+    job.flush(spark, only=watch.reports(spark))
+    told = watch.reports(spark).select(*place, "reason").distinct()
+    return job.manifest(spark).join(told, place, "left").select(
+        *place, "rows", "bytes", "closed", "path", F.when(~F.col("closed"), F.col("reason")).alias("reason")
+    )
+
+
 @query
 def stream_restart(spark, sf):
     """A job stopped after each part of the log, its last micro-batch run twice, then flushed twice."""

@@ -562,6 +562,13 @@ _SQL: dict[str, str] = {
                'backup/' || topic || '/' || part || '/' || topic || '-' || part || '-'
                    || lpad(CAST(seg AS VARCHAR), 19, '0') || '.avro' AS path
         FROM sroll GROUP BY topic, part, seg""",
+    "stream_idle_segments": f"""
+        SELECT {_TP}, seg AS first_offset, max(last_off) AS last_offset, CAST(sum(n) AS BIGINT) AS rows,
+               CAST(sum(bytes) AS BIGINT) AS bytes, bool_or(closes) AS closed,
+               'backup/' || topic || '/' || part || '/' || topic || '-' || part || '-'
+                   || lpad(CAST(seg AS VARCHAR), 19, '0') || '.avro' AS path,
+               CASE WHEN NOT bool_or(closes) THEN 'idle' END AS reason
+        FROM sroll GROUP BY topic, part, seg""",
     "stream_restart": f"SELECT {_OUT}, v AS value FROM kept",
     "restore_observed_progress": """
         rounds AS (SELECT path, plan_seq, plan_seq // ((max(plan_seq) OVER () - min(plan_seq) OVER ()) // 4 + 1) AS round_no

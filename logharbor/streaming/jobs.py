@@ -73,7 +73,8 @@ class ArchiveStream:
     the *batch summaries* of open segments are carried (``state``), never rows.
     Micro-batch ``b`` writes round ``2b``, a flush after it round ``2b + 1``, so neither
     replaces what the other published.  Manifests of settled rounds are folded, ``fold`` at a
-    time, so the number of folders does not grow with the age of the job.
+    time, so the number of folders does not grow with the age of the job.  With ``watch`` each
+    round also writes what is open per partition, for ``idle.IdleWatch``.
     """
 
     root: str
@@ -81,6 +82,7 @@ class ArchiveStream:
     poll_records: int = POLL_RECORDS
     prefix: str = ""
     fold: int = 16
+    watch: bool = False
 
     @property
     def _manifests(self) -> FoldedTable:
@@ -109,12 +111,17 @@ class ArchiveStream:
         # a restart repeats the last micro-batch at most
         self._manifests.fold(spark, before=round_no - 2)
 
-    def flush(self, spark: SparkSession) -> None:
-        """Publish the open segments too, whatever their size."""
+    def flush(self, spark: SparkSession, only: DataFrame | None = None) -> None:
+        """Publish the open segments too, whatever their size.
+
+        With ``only`` (topic, partition, first_offset, last_offset), such as the reports of an
+        ``IdleWatch``, publish these, if they have not moved.  A flush replaces an earlier one after
+        the same micro-batch, so ``only`` must hold what that was given, as all reports do.
+        """
         spooled = _written_rounds(spark, self.root, "spool")
         if spooled:
             round_no = spooled[-1] + 1
-            self._publish(spark, self._open_polls(spark, round_no), round_no, flush=True)
+            self._publish(spark, self._open_polls(spark, round_no), round_no, flush=True, only=only)
 
     def repeat_last_batch(self, spark: SparkSession) -> None:
         """Run the last micro-batch again, as a restart does when its commit got lost."""
@@ -134,15 +141,24 @@ class ArchiveStream:
         # a micro-batch that runs again needs the state before its own
         for round_no in states[:-3]:
             remove_folder(spark, _folder(self.root, "state", round_no))
+        # a watch that missed some may report a segment that is closed by now: a flush passes over it
+        for round_no in _written_rounds(spark, self.root, "open")[:-16]:
+            remove_folder(spark, _folder(self.root, "open", round_no))
 
-    def _publish(self, spark: SparkSession, batches: DataFrame, round_no: int, flush: bool) -> None:
+    def _publish(
+        self, spark: SparkSession, batches: DataFrame, round_no: int, flush: bool, only: DataFrame | None = None
+    ) -> None:
         # poll numbers may repeat across rounds when a poll was cut by a micro-batch
         numbered = batches.withColumn("poll", F.col("batch_no")).withColumn(
             "batch_no", F.col("first_offset")
         )
         span = CHUNK * self.poll_records
         rolled = staged(roll_segments(numbered, self.min_size, span), "rolled")
-        manifest = staged(A.segment_manifest(rolled, self.prefix, flush), "manifest")
+        manifest = A.segment_manifest(rolled, self.prefix, flush)
+        if only is not None:
+            chosen = manifest.where("NOT closed").join(only, [*TP, "first_offset", "last_offset"], "left_semi")
+            manifest = manifest.where("closed").unionByName(chosen)
+        manifest = staged(manifest, "manifest")
         ended = manifest.select(*TP, F.col("first_offset").alias("segment"))
         placed = rolled.join(ended, [*TP, "segment"], "left_semi")
         held = rolled.join(ended, [*TP, "segment"], "left_anti").select(*TP, "batch_no")
@@ -155,7 +171,16 @@ class ArchiveStream:
         open_batches = numbered.join(held, [*TP, "batch_no"], "left_semi").select(
             *[F.col("poll").alias("batch_no") if n == "batch_no" else F.col(n) for n in _POLL.names]
         )
-        _put(open_batches, self.root, "state", round_no)
+        held_polls = _put(open_batches, self.root, "state", round_no)
+        if self.watch:
+            opened = held_polls.groupBy(*TP).agg(
+                F.min("first_offset").alias("first_offset"),
+                F.max("last_offset").alias("last_offset"),
+                F.sum("rows").alias("rows"),
+                F.sum("bytes").alias("bytes"),
+            )
+            touched = batches.select(*TP).distinct().join(opened, TP, "left")
+            _put(touched.withColumn("round", F.lit(round_no).cast("bigint")), self.root, "open", round_no)
 
     def _spooled(self, spark: SparkSession, batches: DataFrame, placed: DataFrame) -> DataFrame:
         """Spooled rows of the given polls with their segment; only spool folders in use are read."""

@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from logharbor import archive_log
@@ -10,6 +11,7 @@ from logharbor.schemas import RECORD
 from logharbor.shared import new_path, staged
 from logharbor.sources import storage as S
 from logharbor.streaming import jobs as J
+from logharbor.streaming.idle import _Segment
 
 
 def log(spark, first, count):
@@ -131,3 +133,117 @@ def test_restore_stream_refuses_foreign_data(spark, parts):
     plan = spark.createDataFrame([(0, path)], "plan_seq bigint, value string")
     with pytest.raises(ValueError, match="holds other data"):
         job.restore_round(plan, 0)
+
+
+class FakeHandle:
+    """State and timers of one key, as the engine hands them to a processor."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = tuple(value)
+
+    def clear(self):
+        self.value = None
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+
+class At:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.now
+
+
+def opened(round_no, first, last):
+    return Row(topic="t", partition=0, first_offset=first, last_offset=last, rows=1, bytes=10, round=round_no)
+
+
+class Watching:
+    def __init__(self, **limits):
+        self.handle, self.segment = FakeHandle(), _Segment(**limits)
+        self.segment.init(self.handle)
+
+    def sees(self, now, *rows_):
+        assert list(self.segment.handleInputRows(("t", 0), iter(rows_), At(now))) == []
+        return self
+
+    def until(self, end):
+        """Fires the timers that are due, in order; what they report, with the time."""
+        out = []
+        while self.handle.timers and min(self.handle.timers) <= end:
+            at = min(self.handle.timers)
+            self.handle.timers.discard(at)
+            out += [(at, r.reason, r.last_offset) for r in self.segment.handleExpiredTimer(("t", 0), At(at), None)]
+        return out
+
+
+def test_open_segments_are_reported_when_idle_or_old():
+    limits = {"idle_ms": 100, "max_age_ms": 1000, "check_ms": 30}
+    still = Watching(**limits).sees(0, opened(0, 0, 9))
+    assert still.until(99) == [] and len(still.handle.timers) == 1
+    assert still.until(500) == [(100, "idle", 9)] and not still.handle.exists() and not still.handle.timers
+    # a segment listed again without new records goes on being idle, one that grows does not
+    listed = Watching(**limits).sees(0, opened(0, 0, 9)).sees(60, opened(2, 0, 9))
+    assert listed.until(200) == [(100, "idle", 9)]
+    grown = Watching(**limits).sees(0, opened(0, 0, 9)).sees(60, opened(2, 0, 12))
+    assert grown.until(155) == [] and grown.until(200) == [(160, "idle", 12)]
+    # one that never rests is old in the end; the next segment starts anew
+    busy = Watching(**limits)
+    told = []
+    for now in range(0, 1100, 50):
+        told += busy.until(now)
+        busy.sees(now, opened(now, 0, now))
+    assert [(reason, at) for at, reason, _ in told] == [("old", 1000)]
+    next_ = Watching(**limits).sees(0, opened(0, 0, 9)).sees(90, opened(2, 10, 12))
+    assert next_.until(189) == [] and next_.until(300) == [(190, "idle", 12)]
+
+
+def test_open_segments_that_close_are_forgotten():
+    closed = Watching(idle_ms=100, max_age_ms=1000, check_ms=30).sees(0, opened(0, 0, 9)).sees(50, opened(2, None, None))
+    assert closed.until(2000) == [] and not closed.handle.timers
+    # rows come in any order, and an older round is no news
+    mixed = Watching(idle_ms=100, max_age_ms=1000, check_ms=30).sees(0, opened(4, 5, 9), opened(2, 0, 4))
+    assert mixed.sees(10, opened(2, 0, 4)).until(200) == [(100, "idle", 9)]
+    assert Watching(idle_ms=1, max_age_ms=1, check_ms=1).until(100) == []
+    late = Watching(idle_ms=100, max_age_ms=1000, check_ms=30)
+    assert list(late.segment.handleExpiredTimer(("t", 0), At(5), None)) == []
+
+
+def test_flush_of_reported_segments_only(spark, parts):
+    job = J.ArchiveStream(new_path(spark, "stream"), min_size=10**6, poll_records=20, prefix="b", watch=True)
+    place = "topic string, partition int, first_offset bigint, last_offset bigint"
+    told = spark.createDataFrame([("t", 0, 0, 59), ("t", 1, 0, 19), ("u", 0, 0, 59)], place)
+    job.archive_batch(parts[0], 0)
+    assert rows(spark.read.parquet(f"{job.root}/open"), "partition", "first_offset", "last_offset", "rows") == [
+        (0, 0, 59, 60), (1, 0, 59, 60),
+    ]
+    job.flush(spark, only=told)  # partition 1 has moved since it was reported
+    job.flush(spark, only=told)
+    assert rows(job.manifest(spark), "partition", "first_offset", "last_offset") == [(0, 0, 59)]
+    after = spark.read.parquet(f"{job.root}/open/round_no=1")
+    assert rows(after, "partition", "first_offset") == [(0, None), (1, 0)]
+    job.archive_batch(parts[1], 1)
+    job.flush(spark)
+    assert rows(job.manifest(spark), "partition", "first_offset", "last_offset") == [(0, 0, 59), (0, 60, 119), (1, 0, 119)]
+    whole = parts[0].unionByName(parts[1])
+    assert rows(job.archive(spark), "partition", "offset") == rows(whole, "partition", "offset")
