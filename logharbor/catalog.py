@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logharbor import fixtures as X
 from logharbor.functions import headers as H
@@ -18,7 +19,7 @@ from logharbor.operators import planner as PL
 from logharbor.operators import restore as R
 from logharbor.operators.rolling import roll_segments
 from logharbor.plans.jobs import plan_restore
-from logharbor.schemas import SOURCE_OFFSET_HEADER, TP
+from logharbor.schemas import RECORD, SOURCE_OFFSET_HEADER, TP
 from logharbor.shared import new_path, staged
 from logharbor.sources import objects as O
 from logharbor.sources import storage as S
@@ -26,6 +27,7 @@ from logharbor.sources.commit_log import CommitLog
 from logharbor.sources.followed import SourceBlocks, translate_followed as follow_log
 from logharbor.sources.journal import PlanJournal
 from logharbor.sources.offset_index import OffsetIndex
+from logharbor.sources.polled import PollIndex, drain, poll_log
 from logharbor.sources.print_tree import PrintTree, tree_diff
 from logharbor.streaming import jobs as J
 from logharbor.streaming.idle import IdleWatch
@@ -1002,6 +1004,29 @@ def stream_archive(spark, sf):
     )
 
 
+@query
+def stream_bounded_poll(spark, sf):
+    """The restored log polled in rounds of bounded size; the stream is restarted behind an append."""
+    log, root = new_path(spark, "polled-log"), new_path(spark, "polled")
+    index = PollIndex(spark, log, new_path(spark, "poll-index"), width=64)
+    first = X.half_restored(spark, sf)
+    rest = X.restored(spark, sf).join(first.select(*TP, "offset"), [*TP, "offset"], "left_anti")
+    limit = X.restored(spark, sf).count() // 8 + 1
+
+    def keep(rows, round_no):
+        rows.write.mode("overwrite").parquet(f"{root}/rounds/round_no={round_no}")
+
+    for part in (first, rest):
+        S.write_topics(part, log, run=64)
+        index.extend()
+        drain(poll_log(spark, log, index.root, limit), f"{root}/checkpoint", keep)
+    kept = spark.read.schema(T.StructType([*RECORD.fields, T.StructField("round_no", T.LongType())])).parquet(
+        f"{root}/rounds"
+    )
+    sizes = kept.groupBy("round_no").agg((F.count(F.lit(1)) <= limit).alias("bounded"))
+    return kept.join(sizes, "round_no").select(*TP, "offset", "timestamp", _str("value"), "bounded")
+
+
 @query
 def stream_idle_segments(spark, sf):
     """A watched archive job whose partitions fall idle after the log has ended; the watch is restarted."""

@@ -562,6 +562,8 @@ _SQL: dict[str, str] = {
                'backup/' || topic || '/' || part || '/' || topic || '-' || part || '-'
                    || lpad(CAST(seg AS VARCHAR), 19, '0') || '.avro' AS path
         FROM sroll GROUP BY topic, part, seg""",
+    "stream_bounded_poll": f"""
+        SELECT {_OUT}, ms AS "timestamp", v AS value, true AS bounded FROM rest""",
     "stream_idle_segments": f"""
         SELECT {_TP}, seg AS first_offset, max(last_off) AS last_offset, CAST(sum(n) AS BIGINT) AS rows,
                CAST(sum(bytes) AS BIGINT) AS bytes, bool_or(closes) AS closed,

@@ -61,7 +61,9 @@ class IndexedLog:
         new = self.unknown_files()
         if new:
             rows = source_offsets(self.read(new)).withColumn(
-                "file", below_root(F.col("_metadata.file_path"), self.log)
+                # a file's own path is an escaped URI, listings have plain names
+                "file",
+                below_root(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), self.log),
             )
             self.write(self.entries(rows))
         return len(new)
