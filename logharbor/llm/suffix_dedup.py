@@ -17,6 +17,12 @@ repeated string.  So the sort is led up to by lossless steps:
    96-bit fingerprint, names are sorted with their owners, and adjacent equal names show
    which suffixes also start in a document with a smaller id.
 
+A sample whose different surroundings span more than ``HOT`` bytes in all chunks together (a short
+phrase that very many documents hold) would make one range as large as the corpus.  The answers of
+step 2 carry the weight of every sample, so each chunk knows these samples: it names their windows itself,
+keeps the smallest owner of each name, and deals the names by their own hash.  Equal windows
+have equal names, so they still meet, and nothing else has to.
+
 Work is done on chunks of about ``CHUNK`` characters, kept compressed; a longer text is a
 chunk of its own.  Questions and answers between chunks are arrays dealt by hash ranges, so
 a passage that a third of all documents hold adds one entry per chunk, not per document.
@@ -48,6 +54,12 @@ LENGTH, GRAM = 50, 25
 CHUNK = 1_500_000
 #: Bytes of questions that one range of hashes should gather.
 RANGE = 2 << 20
+#: Bytes of different stretches above which the windows of a sample are dealt one by one.
+HOT = 2 << 20
+#: A sample within one document and these many bytes is asked about, any other is sent unasked.
+LIGHT = 256
+#: Ranges below this hold names of single windows, those up to -1 what a chunk covers by itself.
+_OWN = 64
 LAST_ID = (1 << 63) - 1
 
 _CHUNK = "chunk bigint, ids binary, ends binary, bytes binary"
@@ -138,25 +150,48 @@ def _key(f: np.ndarray, bits: int) -> np.ndarray:
     return f >> U(32 - bits)
 
 
-def _alone_and_shared(item: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys that occur in one item, and in several."""
+def _light_and_heavy(
+    item: np.ndarray, key: np.ndarray, count: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys that occur in one item and span little there, and the others."""
+    if not len(key):
+        return key, key
     order = np.lexsort((item, key))
-    key, item = key[order], item[order]
+    key, item, size = key[order], item[order], count[order] + LENGTH - 1
     new = np.ones(len(key), dtype=bool)
     new[1:] = key[1:] != key[:-1]
     head = np.flatnonzero(new)
     last = np.append(head, len(key))[1:] - 1
-    several = item[head] != item[last]
-    return key[head][~several], key[head][several]
+    heavy = (item[head] != item[last]) | (np.add.reduceat(size, head) > LIGHT)
+    return key[head][~heavy], key[head][heavy]
+
+
+def _weights(c: Chunk, at: np.ndarray, count: np.ndarray, key: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Bytes that the different stretches of each heavy key span."""
+    if not len(heavy):
+        return np.empty(0, dtype="<u4")
+    mine = np.isin(key, heavy)
+    at, size, key = at[mine], count[mine] + LENGTH - 1, key[mine]
+    name = c.range_hashes(at, at + size)
+    order = np.lexsort((name, key))
+    name, key, size = name[order], key[order], size[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+    key, size = key[new], size[new]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return np.minimum(np.add.reduceat(size, head), 0xFFFFFFFF).astype("<u4")
+
+
+def _rest(keys: np.ndarray) -> np.ndarray:
+    return (keys & U(0xFFFFFFFF)).astype("<u4")
 
 
-def _split(keys: np.ndarray, bits: int) -> dict[int, bytes]:
-    """Sorted keys by range, the rests as 32-bit integers."""
+def _split(keys: np.ndarray, values: np.ndarray) -> dict[int, bytes]:
+    """Values of sorted keys by range."""
     of = (keys >> U(32)).astype(np.int64)
-    rest = (keys & U(0xFFFFFFFF)).astype("<u4")
     cuts = np.flatnonzero(np.diff(of, prepend=-1))
     ends = np.append(cuts, len(of))[1:]
-    return {int(of[a]): rest[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)}
+    return {int(of[a]): values[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)}
 
 
 def _chunks_of(batch: pa.RecordBatch) -> Iterator[tuple[int, Chunk]]:
@@ -181,29 +216,41 @@ def _chunk_schema() -> pa.Schema:
 def _ask(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for chunk, c in _chunks_of(batch):
-            item, _, _, f = c.samples()
-            alone, several = _alone_and_shared(item, _key(f, bits))
-            one, more = _split(alone, bits), _split(several, bits)
+            item, at, count, f = c.samples()
+            key = _key(f, bits)
+            alone, heavy = _light_and_heavy(item, key, count)
+            one, more = _split(alone, _rest(alone)), _split(heavy, _rest(heavy))
+            weighed = _split(heavy, _weights(c, at, count, key, heavy))
             ranges = sorted(one.keys() | more.keys())
             yield pa.RecordBatch.from_pydict(
                 {
                     "range": pa.array(ranges, pa.int32()),
                     "chunk": pa.array([chunk] * len(ranges), pa.int64()),
                     "alone": pa.array([one.get(r, b"") for r in ranges], pa.binary()),
-                    "several": pa.array([more.get(r, b"") for r in ranges], pa.binary()),
+                    "heavy": pa.array([more.get(r, b"") for r in ranges], pa.binary()),
+                    "weights": pa.array([weighed.get(r, b"") for r in ranges], pa.binary()),
                 }
             )
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Which keys that a chunk has in one item also occur in another chunk."""
+    """Which light keys of a chunk also occur elsewhere, and which of its keys are hot."""
     alone = [np.frombuffer(b, dtype="<u4") for b in pdf["alone"]]
-    several = [np.frombuffer(b, dtype="<u4") for b in pdf["several"]]
-    every = np.sort(np.concatenate(alone + several))
-    again = np.unique(every[1:][every[1:] == every[:-1]])
-    out = [a[np.isin(a, again, assume_unique=True)].tobytes() for a in alone]
-    answers = pd.DataFrame({"chunk": pdf["chunk"], "range": pdf["range"], "keys": out})
-    return answers[answers["keys"].map(len) > 0]
+    heavy = [np.frombuffer(b, dtype="<u4") for b in pdf["heavy"]]
+    weights = [np.frombuffer(b, dtype="<u4") for b in pdf["weights"]]
+    every = np.concatenate(alone + heavy)
+    weight = np.concatenate([np.full(sum(map(len, alone)), LENGTH, dtype="<u4"), *weights])
+    order = np.argsort(every, kind="stable")
+    every, weight = every[order], weight[order]
+    head = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    size = np.diff(np.append(head, len(every)))
+    again = every[head][size > 1]
+    hot = every[head][np.add.reduceat(weight.astype(np.int64), head) > HOT]
+    keys = [a[np.isin(a, again, assume_unique=True)].tobytes() for a in alone]
+    asked = (np.concatenate(x) for x in zip(alone, heavy, strict=True)) if len(hot) else ()
+    hots = [x[np.isin(x, hot)].tobytes() for x in asked] or b""
+    answers = pd.DataFrame({"chunk": pdf["chunk"], "range": pdf["range"], "keys": keys, "hot": hots})
+    return answers[(answers["keys"].map(len) > 0) | (answers["hot"].map(len) > 0)]
 
 
 def ask_and_answer(chunks: DataFrame, total_bytes: int) -> DataFrame:
@@ -211,14 +258,14 @@ def ask_and_answer(chunks: DataFrame, total_bytes: int) -> DataFrame:
     bits = max(2, min(24, (total_bytes // 3 // RANGE).bit_length()))
     asked = chunks.mapInArrow(
         lambda batches: _ask(batches, bits),
-        "range int, chunk bigint, alone binary, several binary",
+        "range int, chunk bigint, alone binary, heavy binary, weights binary",
     )
     answers = staged(
-        asked.groupBy("range").applyInPandas(_answer, "chunk bigint, range int, keys binary"),
+        asked.groupBy("range").applyInPandas(_answer, "chunk bigint, range int, keys binary, hot binary"),
         "answers",
     )
     by_chunk = answers.groupBy(F.col("chunk").alias("asker")).agg(
-        F.collect_list(F.struct("range", "keys")).alias("answers")
+        F.collect_list(F.struct("range", "keys", "hot")).alias("answers")
     )
     return chunks.join(by_chunk, chunks["chunk"] == by_chunk["asker"], "left").select(
         *chunks.columns, "answers", F.lit(bits).alias("bits")
@@ -226,16 +273,44 @@ def ask_and_answer(chunks: DataFrame, total_bytes: int) -> DataFrame:
 
 
 def _recurring(c: Chunk, answers: list[dict] | None, bits: int):
-    """Windows whose sample recurs in another item: item, start, count, sample."""
+    """Windows whose sample may recur in another item: item, start, count, sample, whether it is hot."""
     item, at, count, f = c.samples()
     key = _key(f, bits)
-    _, several = _alone_and_shared(item, key)
-    known = [several]
-    for a in answers or []:
-        rest = np.frombuffer(a["keys"], dtype="<u4").astype(U)
-        known.append(rest | (U(a["range"]) << U(32)))
-    hit = np.isin(key, np.concatenate(known))
-    return item[hit], at[hit], count[hit], f[hit]
+    _, heavy = _light_and_heavy(item, key, count)
+
+    def told(name: str) -> list[np.ndarray]:
+        return [np.frombuffer(a[name], dtype="<u4").astype(U) | (U(a["range"]) << U(32)) for a in answers or []]
+
+    hit = np.isin(key, np.concatenate([heavy, *told("keys")]))
+    hot = np.isin(key, np.concatenate([heavy[:0], *told("hot")]))
+    hit |= hot
+    return item[hit], at[hit], count[hit], f[hit], hot[hit]
+
+
+def _single_windows(c: Chunk, item: np.ndarray, at: np.ndarray, count: np.ndarray, bits: int):
+    """Windows of hot samples, dealt by their own names: per range, places, checks, owners, names.
+
+    The first range has the places that the chunk covers by itself.
+    """
+    head = np.cumsum(count) - count
+    place = np.arange(int(count.sum())) + np.repeat(at - head, count)
+    owner = c.ids[np.repeat(item, count)]
+    name = c.hashes(LENGTH)[place]
+    check = (c.hashes(LENGTH, 1)[place] >> U(32)).astype("<u4")
+    order = np.lexsort((place, owner, check, name))
+    place, owner, name, check = place[order], owner[order], name[order], check[order]
+    new = np.ones(len(name), dtype=bool)
+    new[1:] = (name[1:] != name[:-1]) | (check[1:] != check[:-1])
+    own = owner > owner[np.flatnonzero(new)][np.cumsum(new) - 1]
+    if own.any():
+        n = int(own.sum())
+        yield None, place[own], np.ones(n, dtype="<u4"), owner[own], b""
+    sent = np.flatnonzero(~own)
+    of = (name[sent] >> U(64 - max(1, bits - 3))).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(of, prepend=-1))
+    for a, b in zip(cuts.tolist(), np.append(cuts, len(of))[1:].tolist(), strict=True):
+        which = sent[a:b]
+        yield -1 - _OWN - int(of[a]), place[which], check[which], owner[which], name[which].astype("<u8").tobytes()
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -248,9 +323,13 @@ def _stretches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Reco
     for batch in batches:
         for row in batch.to_pylist():
             c = Chunk(row["ids"], row["ends"], row["bytes"])
-            item, at, count, f = _recurring(c, row["answers"], row["bits"])
+            item, at, count, f, hot = _recurring(c, row["answers"], row["bits"])
             if not len(item):
                 continue
+            out = []
+            if hot.any():
+                out = list(_single_windows(c, item[hot], at[hot], count[hot], bits))
+                item, at, count, f = item[~hot], at[~hot], count[~hot], f[~hot]
             owner = c.ids[item]
             name = c.range_hashes(at, at + count + LENGTH - 1)
             order = np.lexsort((owner, name, f))
@@ -259,8 +338,8 @@ def _stretches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Reco
             new[1:] = (f[1:] != f[:-1]) | (name[1:] != name[:-1])
             smallest = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
             own = owner > smallest
-            ranges = [-1 - row["chunk"] % 64] if own.any() else []
-            parts = [(np.flatnonzero(own), b"")] if own.any() else []
+            if own.any():
+                out.append((None, at[own], count[own], owner[own], b""))
             sent = np.flatnonzero(~own)  # every place of it in that document
             of = (f[sent] >> U(64 - bits)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(of, prepend=-1))
@@ -268,27 +347,30 @@ def _stretches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Reco
             for a, b in zip(cuts.tolist(), np.append(cuts, len(of))[1:].tolist(), strict=True):
                 which = sent[a:b]
                 spans = zip(at[which].tolist(), count[which].tolist(), strict=True)
-                ranges.append(int(of[a]))
-                parts.append((which, pack(b"".join([c.raw[x : x + n + LENGTH - 1] for x, n in spans]))))
-            columns = (
-                (at, "<u4"),
-                (count, "<u4"),
-                (owner, "<i8"),
-            )
+                packed = pack(b"".join([c.raw[x : x + n + LENGTH - 1] for x, n in spans]))
+                out.append((int(of[a]), at[which], count[which], owner[which], packed))
+            covers = -1 - row["chunk"] % _OWN
+            kinds = {1: "<u4", 2: "<u4", 3: "<i8"}
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ranges, pa.int32()),
-                    pa.array([row["chunk"]] * len(ranges), pa.int64()),
-                    *(
-                        pa.array([x[w].astype(kind).tobytes() for w, _ in parts], pa.binary())
-                        for x, kind in columns
-                    ),
-                    pa.array([t for _, t in parts], pa.binary()),
+                    pa.array([covers if x[0] is None else x[0] for x in out], pa.int32()),
+                    pa.array([row["chunk"]] * len(out), pa.int64()),
+                    *(pa.array([x[i].astype(kind).tobytes() for x in out], pa.binary()) for i, kind in kinds.items()),
+                    pa.array([x[4] for x in out], pa.binary()),
                 ],
                 names=["range", "chunk", "places", "counts", "owners", "spans"],
             )
 
 
+def stretches(chunks: DataFrame, total_bytes: int) -> DataFrame:
+    """What chunks send to be compared, by range."""
+    bits = max(2, min(24, (total_bytes // RANGE).bit_length()))
+    return ask_and_answer(chunks, total_bytes).mapInArrow(
+        lambda batches: _stretches(batches, bits),
+        "range int, chunk bigint, places binary, counts binary, owners binary, spans binary",
+    )
+
+
 def _batched(spans: pd.Series, counts: list[np.ndarray], size: int = 1 << 20):
     """Unpacked spans and the window counts of their stretches, about ``size`` bytes at a time."""
     import zstandard
@@ -315,10 +397,44 @@ def _window_names(raw: bytes, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return c.hashes(LENGTH)[pos], (c.hashes(LENGTH, 1)[pos] >> U(32)).astype(np.uint32)
 
 
+def _larger_owners(name: np.ndarray, check: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which entries have an owner above the smallest of their name."""
+    order = np.lexsort((owner, check, name))
+    name = name[order]
+    check = check[order]
+    owner = owner[order]
+    new = np.ones(len(name), dtype=bool)
+    new[1:] = (name[1:] != name[:-1]) | (check[1:] != check[:-1])
+    del name, check
+    head_of = np.flatnonzero(new)
+    larger = owner > np.repeat(owner[head_of], np.diff(np.append(head_of, len(owner))))
+    covered = np.empty(len(owner), dtype=bool)
+    covered[order] = larger
+    return covered
+
+
+def _compare_names(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Like :func:`_compare_adjacent` for windows that come with their names."""
+    places, checks, owners, names = (
+        [np.frombuffer(b, dtype=kind) for b in pdf[column]]
+        for column, kind in (("places", "<u4"), ("counts", "<u4"), ("owners", "<i8"), ("spans", "<u8"))
+    )
+    covered = _larger_owners(np.concatenate(names), np.concatenate(checks), np.concatenate(owners))
+    ends = np.cumsum([len(x) for x in places])
+    out = []
+    for place, hit in zip(places, np.split(covered, ends[:-1]), strict=True):
+        at = np.sort(place[hit])
+        out.append(np.stack([at, np.ones_like(at)], axis=1).astype("<u4").tobytes())
+    found = pd.DataFrame({"chunk": pdf["chunk"], "covered": out})
+    return found[found["covered"].map(len) > 0]
+
+
 def _compare_adjacent(pdf: pd.DataFrame) -> pd.DataFrame:
     """Sort the suffixes of one range; those that equal one of a smaller owner are covered."""
     read = lambda column, kind: [np.frombuffer(b, dtype=kind) for b in pdf[column]]
     places, counts = read("places", "<u4"), read("counts", "<u4")
+    if pdf["range"].iloc[0] < -_OWN:
+        return _compare_names(pdf)
     if pdf["range"].iloc[0] < 0:
         pairs = [np.stack([p, n], axis=1) for p, n in zip(places, counts, strict=True)]
         return pd.DataFrame({"chunk": pdf["chunk"], "covered": [x.tobytes() for x in pairs]})
@@ -332,18 +448,8 @@ def _compare_adjacent(pdf: pd.DataFrame) -> pd.DataFrame:
     # ranks of the ids, as they are compared only
     _, rank = np.unique(np.concatenate(read("owners", "<i8")), return_inverse=True)
     owner = np.repeat(rank.astype(np.int32), count)
-    order = np.lexsort((owner, check, name))
-    name = name[order]
-    check = check[order]
-    owner = owner[order]
-    new = np.ones(len(name), dtype=bool)
-    new[1:] = (name[1:] != name[:-1]) | (check[1:] != check[:-1])
-    del name, check
-    head_of = np.flatnonzero(new)
-    larger = owner > np.repeat(owner[head_of], np.diff(np.append(head_of, len(owner))))
-    covered = np.empty(len(owner), dtype=bool)
-    covered[order] = larger
-    del order, owner, larger
+    covered = _larger_owners(name, check, owner)
+    del name, check, owner
     # covered windows as (place, count), per chunk
     at = np.flatnonzero(covered)
     stretch = np.searchsorted(head, at, side="right") - 1
@@ -427,13 +533,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     chunks = staged(kept.mapInArrow(_pack_texts, _CHUNK), "chunks")
     total = known.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
 
-    bits = max(2, min(24, (total // RANGE).bit_length()))
-    stretches = ask_and_answer(chunks, total).mapInArrow(
-        lambda batches: _stretches(batches, bits),
-        "range int, chunk bigint, places binary, counts binary, owners binary, spans binary",
-    )
     covered = staged(
-        stretches.groupBy("range").applyInPandas(
+        stretches(chunks, total).groupBy("range").applyInPandas(
             _compare_adjacent, "chunk bigint, covered binary"
         ),
         "covered",

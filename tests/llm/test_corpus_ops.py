@@ -214,8 +214,10 @@ def removed_by_hand(rows, length=50):
 
 
 @pytest.mark.parametrize("alphabet", ["ab ", "abcdeé "])
-def test_repeats(spark, alphabet, monkeypatch):
+@pytest.mark.parametrize("hot", [S.HOT, 600, 0])
+def test_repeats(spark, alphabet, hot, monkeypatch):
     monkeypatch.setattr(S, "CHUNK", 3000)
+    monkeypatch.setattr(S, "HOT", hot)
     rnd = random.Random(len(alphabet))
     base = ["".join(rnd.choice(alphabet) for _ in range(200)) for _ in range(5)]
     rows = [
@@ -232,6 +234,52 @@ def test_repeats(spark, alphabet, monkeypatch):
     assert S.remove_repeats(docs.limit(0)).count() == 0
 
 
+def _phrase_in_many_surroundings(spark, monkeypatch):
+    """A third of 6000 documents hold one phrase of 40 bytes, each between bytes of its own."""
+    monkeypatch.setattr(S, "CHUNK", 60_000)
+    monkeypatch.setattr(S, "RANGE", 1 << 14)
+    rnd = random.Random(40)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    phrase, passage = word(40), word(70)
+    rows = []
+    for i in range(6000):
+        text = word(40)
+        text += phrase if i % 3 == 0 else ""
+        text += word(40)
+        text += phrase[:30] + passage if i % 50 == 1 else ""
+        rows.append((i, text))
+    return spark.createDataFrame(rows, PLAIN), rows
+
+
+def _most_windows(sent):
+    """Windows that the largest group holds."""
+    held = {}
+    for r in sent.collect():
+        if r["range"] < -64:  # single windows
+            n = len(r["places"]) // 4
+        elif r["range"] >= 0:
+            n = int(np.frombuffer(r["counts"], dtype="<u4").sum())
+        else:
+            continue
+        held[r["range"]] = held.get(r["range"], 0) + n
+    return max(held.values())
+
+
+def test_a_phrase_with_many_surroundings_is_split(spark, monkeypatch):
+    docs, rows = _phrase_in_many_surroundings(spark, monkeypatch)
+    want, whole, most = removed_by_hand(rows), S.stretches, {}
+    for hot in (1 << 14, 1 << 30):
+        sent = []
+        monkeypatch.setattr(S, "HOT", hot)
+        monkeypatch.setattr(S, "stretches", lambda *a, sent=sent: sent.append(whole(*a).cache()) or sent[0])
+        got = S.remove_repeats(docs).drop("kept").collect()
+        assert sorted((tuple(r) for r in got), key=str) == want
+        most[hot] = _most_windows(sent[0])
+        sent[0].unpersist()
+    # all surroundings of the phrase meet in one range, unless they are dealt by window
+    assert most[1 << 30] > 20_000 and most[1 << 14] < 7000, most
+
+
 def test_repeats_of_the_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     got = llm_queries()["op3_suffix_dedup"](spark, SMALL).collect()
