@@ -52,8 +52,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH, GRAM = 50, 25
 CHUNK = 1_500_000
-#: Bytes of questions that one range of hashes should gather.
-RANGE = 2 << 20
+#: Bytes of text for each range of hashes.
+RANGE = 8 << 20
 #: Bytes of different stretches above which the windows of a sample are dealt one by one.
 HOT = 2 << 20
 #: A sample within one document and these many bytes is asked about, any other is sent unasked.
@@ -142,7 +142,8 @@ class Chunk:
         new[1:] = (f[1:] != f[:-1]) | (item[1:] != item[:-1])
         head = np.flatnonzero(new)
         length = np.diff(np.append(head, len(f)))
-        return item[head], at[head], length, f[head]
+        # smallest hashes crowd at the low end: mixed once more, they fill all ranges alike
+        return item[head], at[head], length, mix(f[head])
 
 
 def _key(f: np.ndarray, bits: int) -> np.ndarray:
