@@ -28,7 +28,7 @@ chunk of its own.  Questions and answers between chunks are arrays dealt by hash
 a passage that a third of all documents hold adds one entry per chunk, not per document.
 
 Defined results: null texts are empty; rows without an id come after all ids and do not
-cover each other, nor do rows that repeat an id; an empty table gives an empty result.  Only
+cover each other, nor do rows that repeat an id (2^63 - 1 stands for none); an empty table gives an empty result.  Only
 doc_id and text are read.
 """
 
@@ -56,6 +56,8 @@ CHUNK = 1_500_000
 RANGE = 8 << 20
 #: Bytes of different stretches above which the windows of a sample are dealt one by one.
 HOT = 2 << 20
+#: Tasks over which the rows of one text are dealt when they are compared with its first.
+SALTS = 32
 #: A sample within one document and these many bytes is asked about, any other is sent unasked.
 LIGHT = 256
 #: Ranges below this hold names of single windows, those up to -1 what a chunk covers by itself.
@@ -505,6 +507,23 @@ def _result_schema() -> pa.Schema:
     return pa.schema(list(zip(_RESULT, kinds, strict=True)))
 
 
+def _later_copies(known: DataFrame) -> DataFrame:
+    """Rows whose text a row with a smaller id has too.
+
+    The smallest id of a text is found map-side first.  Only texts that several rows hold are
+    joined back, and each of them by ``SALTS`` keys, so that rows of one text are dealt to as many tasks.
+    """
+    first = (
+        known.groupBy("sha")
+        .agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+        .where(F.col("last_id") > F.col("first_id"))
+        .select("sha", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    )
+    salted = known.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(first.hint("merge"), ["sha", "salt"])
+    return joined.where(F.col("doc_id") > F.col("first_id")).select(known.columns)
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
     rows = docs.select(
@@ -519,10 +538,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         ),
         "texts",
     )
-    first = known.groupBy("sha").agg(F.min("doc_id").alias("first_id"))
-    copies = staged(
-        known.join(first, "sha").where(F.col("doc_id") > F.col("first_id")), "copies"
-    )
+    copies = staged(_later_copies(known), "copies")
     gone = copies.select(F.col("doc_id").alias("copy_id"), F.col("sha").alias("copy_sha")).distinct()
     # the same join at every size: the list of copies grows with the input
     kept = rows.join(
