@@ -425,17 +425,24 @@ def plan_resume_point(spark, sf):
 
 @query
 def plan_sha_guard(spark, sf):
-    """Passes for the same topics; a plan made for other topics is refused."""
+    """Goes on for the same topics; a plan made for other topics is refused. Both fingerprints are returned."""
     earlier = X.earlier_plan(spark, sf)
-    accepted = PL.checked_resume(earlier, X.topic_order(spark, sf)).topics_sha
-    try:
-        PL.checked_resume(earlier, X.topic_order(spark, sf, exclude="view"))
-        refused = False
-    except ValueError:
-        refused = True
-    return X.topic_order(spark, sf).select(
-        "topic", (F.col("topics_sha") == accepted).alias("accepted"), F.lit(refused).alias("refused")
-    )
+
+    def goes_on(order):
+        try:
+            return PL.checked_resume(earlier, order) is not None
+        except ValueError:
+            return False
+
+    orders = {name: X.topic_order(spark, sf, exclude=name) for name in ("", "view")}
+    made_for = earlier.groupBy("topic").agg(F.max("topics_sha").alias("planned_sha"))
+    answers = [
+        order.select(
+            "topic", F.lit(name).alias("excluded"), "topics_sha", F.lit(goes_on(order)).alias("goes_on")
+        )
+        for name, order in orders.items()
+    ]
+    return answers[0].unionByName(answers[1]).join(made_for, "topic", "left")
 
 
 @query

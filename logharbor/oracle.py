@@ -354,7 +354,13 @@ _SQL: dict[str, str] = {
             AND p.path NOT IN (SELECT path FROM closed)""",
     "plan_resume_point": f"""
         SELECT topic, path AS file, file_index, sha AS topics_sha, plan_seq FROM ({_RESUME})""",
-    "plan_sha_guard": "SELECT DISTINCT topic, true AS accepted, true AS refused FROM listed",
+    "plan_sha_guard": """
+        asked AS (SELECT t.topic, e.excluded FROM (SELECT DISTINCT topic FROM files) t, (VALUES (''), ('view')) e(excluded)
+                  WHERE e.excluded = '' OR NOT regexp_matches(t.topic, e.excluded)),
+        prints AS (SELECT excluded, sha256(string_agg(topic, ',' ORDER BY topic)) AS topics_sha FROM asked GROUP BY excluded)
+        SELECT a.topic, a.excluded, p.topics_sha, p.topics_sha = (SELECT max(sha) FROM earlier) AS goes_on,
+               (SELECT max(sha) FROM earlier e WHERE e.topic = a.topic) AS planned_sha
+        FROM asked a JOIN prints p ON p.excluded = a.excluded""",
     "plan_resume_records": f"""
         SELECT p.plan_seq, regexp_replace(p.path, '[^/]*$', '') AS key, p.path AS value, p.topic,
                p.part AS "partition", p.file_index, p.sha AS topics_sha
