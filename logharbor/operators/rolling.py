@@ -12,17 +12,19 @@ keep a hot partition off a single task it runs in three distributed steps over
    group.  A group holds ``FAN`` tables, and a table no more steps than there are batches
    in a segment, so no group grows with the partition;
 3. per chunk, cut the segments, now that the inherited bytes are known.
+
+Small chunks or groups that are neighbours share a Python call, up to ``CHUNK`` batch numbers
+a call, so the number of calls follows the batches and not the size of a chunk.
 """
 
 from __future__ import annotations
 
-import bisect
 import sys
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,125 +62,167 @@ _ENTRY = T.StructType(
 )
 
 
-def _chunk_steps(pdf: pd.DataFrame, min_size: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("batch_no")
-    first = pdf["first_offset"].to_numpy()
-    ends = pdf["bytes"].to_numpy().cumsum()
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of every stretch of equal keys."""
+    cuts = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(keys)]))
+
+
+def _steps(first: np.ndarray, sizes: np.ndarray, min_size: int) -> tuple:
+    """The table of one chunk: ``from_bytes``, ``left_bytes``, ``left_open``, its bytes and first offset."""
+    ends = sizes.cumsum()
     n = len(ends)
-    starts = ends - pdf["bytes"].to_numpy()
+    starts = ends - sizes
     # batch that closes a segment begun at batch i (n: stays open)
-    closes = np.searchsorted(ends, starts + min_size, side="left")
+    closes = np.searchsorted(ends, starts + min_size, side="left").tolist()
+    first, ends, starts = first.tolist(), ends.tolist(), starts.tolist()
     # batch at which the segment left open begins, if some segment begins at batch i
-    tail = np.full(n + 1, n, dtype=np.int64)
+    tail = [n] * (n + 1)
     for i in range(n - 1, -1, -1):
         tail[i] = i if closes[i] == n else tail[closes[i] + 1]
     # the first boundary falls at batch j for inherited bytes from min_size - ends[j] on
     rows = []
     for j in range(n - 1, -1, -1):
-        start = max(min_size - int(ends[j]), 0)
-        t = int(tail[j + 1])
-        left = (0, _NONE) if t == n else (int(ends[-1] - starts[t]), int(first[t]))
+        start = max(min_size - ends[j], 0)
+        t = tail[j + 1]
+        left = (0, _NONE) if t == n else (ends[-1] - starts[t], first[t])
         if rows and rows[-1][0] == start:
             rows.pop()
         if not rows or rows[-1][1:] != left:
             rows.append((start, *left))
-    out = pd.DataFrame(rows, columns=["from_bytes", "left_bytes", "left_open"])
-    out["topic"] = pdf["topic"].iloc[0]
-    out["partition"] = pdf["partition"].iloc[0]
-    out["chunk"] = pdf["chunk"].iloc[0]
-    out["chunk_bytes"] = int(ends[-1])
-    out["chunk_first"] = int(first[0])
+    return (*np.array(rows, dtype=np.int64).T, int(ends[-1]), int(first[0]))
+
+
+def _frame(of: pd.DataFrame, numbered: list[tuple[int, tuple]]) -> pd.DataFrame:
+    """Numbered tables of the partition of ``of`` as rows."""
+    numbers, tables = zip(*numbered)
+    bounds, left, opened, sizes, firsts = zip(*tables)
+    lengths = [len(b) for b in bounds]
+    out = pd.DataFrame(
+        {
+            "chunk": np.repeat(numbers, lengths),
+            "from_bytes": np.concatenate(bounds),
+            "left_bytes": np.concatenate(left),
+            "left_open": np.concatenate(opened),
+            "chunk_bytes": np.repeat(sizes, lengths),
+            "chunk_first": np.repeat(firsts, lengths),
+        }
+    )
+    out["topic"] = of["topic"].iloc[0]
+    out["partition"] = of["partition"].iloc[0]
     return out[[f.name for f in _STEPS]]
 
 
-def _compose(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+def _tables(steps: pd.DataFrame) -> list[tuple[int, tuple]]:
+    """Rows sorted by chunk and ``from_bytes`` as numbered tables."""
+    chunk, *columns = (steps[f.name].to_numpy(dtype=np.int64) for f in _STEPS[2:])
+    bounds, left, opened, sizes, firsts = columns
+    return [
+        (int(chunk[a]), (bounds[a:b], left[a:b], opened[a:b], int(sizes[a]), int(firsts[a])))
+        for a, b in _runs(chunk)
+    ]
+
+
+def _chunk_steps(pdf: pd.DataFrame, min_size: int) -> pd.DataFrame:
+    """The tables of neighbouring chunks of one partition."""
+    pdf = pdf.sort_values("batch_no")
+    chunk, first, sizes = (pdf[c].to_numpy() for c in ("chunk", "first_offset", "bytes"))
+    return _frame(pdf, [(int(chunk[a]), _steps(first[a:b], sizes[a:b], min_size)) for a, b in _runs(chunk)])
+
+
+def _compose(a: tuple, b: tuple) -> tuple:
     """The table of two neighbouring stretches, as one stretch."""
-    bounds, left, opened = (
-        b[c].to_numpy(dtype=np.int64) for c in ("from_bytes", "left_bytes", "left_open")
-    )
-    b_bytes, b_first = int(b["chunk_bytes"].iloc[0]), int(b["chunk_first"].iloc[0])
-    a_bytes = int(a["chunk_bytes"].iloc[0])
+    a_bounds, y, o, a_bytes, a_first = a
+    bounds, left, opened, b_bytes, b_first = b
     # too few bytes for a boundary in the first stretch: all of it is inherited by the second
     early = np.maximum(bounds - a_bytes, 0)
-    last = np.append(early[1:] != early[:-1], True) & (early < int(a["from_bytes"].iloc[0]))
+    last = np.append(early[1:] != early[:-1], True) & (early < a_bounds[0])
     # else the second inherits what the first leaves open
-    y, o = a["left_bytes"].to_numpy(dtype=np.int64), a["left_open"].to_numpy(dtype=np.int64)
     at = np.searchsorted(bounds, y, side="right") - 1
     closed = at >= 0
     late_left = np.where(closed, left[at], y + b_bytes)
     late_open = np.where(closed, opened[at], np.where(o == _NONE, b_first, o))
-    out = pd.DataFrame(
-        {
-            "from_bytes": np.concatenate([early[last], a["from_bytes"].to_numpy(dtype=np.int64)]),
-            "left_bytes": np.concatenate([left[last], late_left]),
-            "left_open": np.concatenate([opened[last], late_open]),
-        }
-    )
-    same = (out[["left_bytes", "left_open"]] == out[["left_bytes", "left_open"]].shift()).all(axis=1)
-    out = out[~same]
-    return out.assign(
-        topic=a["topic"].iloc[0],
-        partition=a["partition"].iloc[0],
-        chunk=a["chunk"].iloc[0],
-        chunk_bytes=a_bytes + b_bytes,
-        chunk_first=int(a["chunk_first"].iloc[0]),
-    )
+    from_bytes = np.concatenate([early[last], a_bounds])
+    left_bytes = np.concatenate([left[last], late_left])
+    left_open = np.concatenate([opened[last], late_open])
+    new = np.append(True, (left_bytes[1:] != left_bytes[:-1]) | (left_open[1:] != left_open[:-1]))
+    return from_bytes[new], left_bytes[new], left_open[new], a_bytes + b_bytes, a_first
 
 
 def _combine(steps: pd.DataFrame) -> pd.DataFrame:
-    """The tables of one group as one table, numbered by the group."""
-    tables = [t for _, t in steps.sort_values(["chunk", "from_bytes"]).groupby("chunk", sort=True)]
-    whole = tables[0]
-    for table in tables[1:]:
-        whole = _compose(whole, table)
-    return whole.assign(chunk=int(steps["chunk"].iloc[0]) // FAN)[[f.name for f in _STEPS]]
+    """The tables of each group as one table, numbered by the group."""
+    groups: list[tuple[int, tuple]] = []
+    for chunk, table in _tables(steps.sort_values(["chunk", "from_bytes"])):
+        number = chunk // FAN
+        if groups and groups[-1][0] == number:
+            groups[-1] = number, _compose(groups[-1][1], table)
+        else:
+            groups.append((number, table))
+    return _frame(steps, groups)
 
 
 def _thread(steps: pd.DataFrame) -> pd.DataFrame:
-    """What each table of a group inherits, from what the group does."""
-    carried, first = int(steps["open_bytes"].iloc[0]), int(steps["open_first"].iloc[0])
-    rows = []
-    for chunk, table in steps.sort_values(["chunk", "from_bytes"]).groupby("chunk", sort=True):
-        rows.append((table["topic"].iloc[0], table["partition"].iloc[0], chunk, carried, first))
-        bounds = table["from_bytes"].tolist()
-        i = bisect.bisect_right(bounds, carried) - 1
+    """What each table of a group inherits, from what the group does; one group if none is named."""
+    steps = steps.sort_values(["chunk", "from_bytes"])
+    group = steps["group"].to_numpy() if "group" in steps else np.zeros(len(steps))
+    open_bytes, open_first = steps["open_bytes"].to_numpy(), steps["open_first"].to_numpy()
+    rows, at = [], 0
+    for chunk, (bounds, left, opened, size, begin) in _tables(steps):
+        if at == 0 or group[at] != group[at - 1]:
+            carried, first = int(open_bytes[at]), int(open_first[at])
+        rows.append((chunk, carried, first))
+        at += len(bounds)
+        i = int(np.searchsorted(bounds, carried, side="right")) - 1
         if i >= 0:
-            carried, first = int(table["left_bytes"].iloc[i]), int(table["left_open"].iloc[i])
+            carried, first = int(left[i]), int(opened[i])
         else:
-            carried += int(table["chunk_bytes"].iloc[0])
-            first = int(table["chunk_first"].iloc[0]) if first == _NONE else first
-    return pd.DataFrame(rows, columns=[f.name for f in _ENTRY])
+            carried += size
+            first = begin if first == _NONE else first
+    out = pd.DataFrame(rows, columns=["chunk", "open_bytes", "open_first"])
+    out["topic"] = steps["topic"].iloc[0]
+    out["partition"] = steps["partition"].iloc[0]
+    return out[[f.name for f in _ENTRY]]
+
 
+def _together(width: int) -> int:
+    """How many neighbours of ``width`` batch numbers one call takes: ``CHUNK`` batch numbers, at least one."""
+    return max(CHUNK // width, 1)
 
-def _entries(steps: DataFrame) -> DataFrame:
-    """Open bytes and first offset that every chunk inherits."""
-    levels = [staged(steps, "roll-steps")]
+
+def _entries(steps: DataFrame, chunk: int) -> DataFrame:
+    """Open bytes and first offset that every chunk of ``chunk`` batch numbers inherits."""
+    levels, widths = [staged(steps, "roll-steps")], [chunk * FAN]
     group = F.expr(f"chunk div {FAN}")
+
+    def call(width: int) -> Column:
+        return F.expr(f"chunk div {FAN * _together(width)}")
+
     top = levels[0].agg(F.max("chunk")).first()[0] or 0
     while top >= FAN:
-        combined = levels[-1].groupBy(*TP, group.alias("group")).applyInPandas(_combine, schema=_STEPS)
+        combined = levels[-1].groupBy(*TP, call(widths[-1])).applyInPandas(_combine, schema=_STEPS)
         levels.append(staged(combined, "roll-steps"))
+        widths.append(widths[-1] * FAN)
         top //= FAN
     start = {"open_bytes": F.lit(0).cast("bigint"), "open_first": F.lit(_NONE).cast("bigint")}
     entries = None
-    for level in reversed(levels):
+    for level, width in zip(reversed(levels), reversed(widths)):
         grouped = level.withColumn("group", group)
         if entries is None:
             known = grouped.withColumns(start)
         else:
             known = grouped.join(entries.withColumnRenamed("chunk", "group"), [*TP, "group"])
-        entries = known.groupBy(*TP, "group").applyInPandas(_thread, schema=_ENTRY)
+        entries = known.groupBy(*TP, call(width)).applyInPandas(_thread, schema=_ENTRY)
     return entries
 
 
-def _cut(pdf: pd.DataFrame, min_size: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("batch_no")
-    offsets = pdf["first_offset"].to_numpy()
-    ends = pdf["bytes"].to_numpy().cumsum()
+def _segments(
+    offsets: np.ndarray, sizes: np.ndarray, carried: int, first: int, min_size: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Segment of every batch of one chunk and whether the batch closes it."""
+    ends = sizes.cumsum()
     n = len(ends)
     segment = np.empty(n, dtype=np.int64)
     closes = np.zeros(n, dtype=bool)
-    carried, first = int(pdf["open_bytes"].iloc[0]), int(pdf["open_first"].iloc[0])
     i, before = 0, -carried
     while i < n:
         first = int(offsets[i]) if first == _NONE else first
@@ -189,9 +233,21 @@ def _cut(pdf: pd.DataFrame, min_size: int) -> pd.DataFrame:
             before = int(ends[j])
         first = _NONE
         i = j + 1
+    return segment, closes
+
+
+def _cut(pdf: pd.DataFrame, min_size: int) -> pd.DataFrame:
+    """Neighbouring chunks of one partition, each cut from what it inherits."""
+    pdf = pdf.sort_values("batch_no")
+    chunk, offsets, sizes, open_bytes, open_first = (
+        pdf[c].to_numpy() for c in ("chunk", "first_offset", "bytes", "open_bytes", "open_first")
+    )
+    cuts = [
+        _segments(offsets[a:b], sizes[a:b], int(open_bytes[a]), int(open_first[a]), min_size)
+        for a, b in _runs(chunk)
+    ]
     out = pdf.drop(columns=["open_bytes", "open_first", "chunk"])
-    out["segment"] = segment
-    out["closes"] = closes
+    out["segment"], out["closes"] = (np.concatenate(parts) for parts in zip(*cuts))
     return out
 
 
@@ -200,23 +256,25 @@ def roll_segments(batches: DataFrame, min_size: int, chunk: int = CHUNK) -> Data
 
     ``batches`` has topic, partition, batch_no, rows, bytes, first_offset and
     last_offset, one row per poll batch, with ``batch_no`` rising along the log.
-    ``chunk`` is the span of batch numbers handled together.  Adds ``segment`` (first
+    ``chunk`` is the span of batch numbers that has one table.  Adds ``segment`` (first
     offset of the segment) and ``closes`` (this batch closes it).
     """
     if min_size < 1:
         raise ValueError("min_size must be at least 1")
     names = ["topic", "partition", "batch_no", "rows", "bytes", "first_offset", "last_offset"]
-    cut = batches.select(*names).withColumn("chunk", F.expr(f"batch_no div {int(chunk)}"))
-    steps = cut.groupBy(*TP, "chunk").applyInPandas(
+    numbered = batches.select(*names).withColumn("chunk", F.expr(f"batch_no div {int(chunk)}"))
+    cut = numbered.where(F.col("chunk").isNotNull())
+    call = F.expr(f"chunk div {_together(int(chunk))}")
+    steps = cut.groupBy(*TP, call).applyInPandas(
         lambda pdf: _chunk_steps(pdf, min_size), schema=_STEPS
     )
-    entries = _entries(steps)
+    entries = _entries(steps, int(chunk))
     schema = T.StructType(
         [batches.schema[n] for n in names]
         + [T.StructField("segment", T.LongType()), T.StructField("closes", T.BooleanType())]
     )
     return (
         cut.join(entries, [*TP, "chunk"])
-        .groupBy(*TP, "chunk")
+        .groupBy(*TP, call)
         .applyInPandas(lambda pdf: _cut(pdf, min_size)[[f.name for f in schema]], schema=schema)
     )

@@ -88,6 +88,61 @@ def test_roll_on_spark(spark, chunk, fan, monkeypatch):
     assert got == sorted(expected)
 
 
+@settings(max_examples=100, deadline=None)
+@given(
+    sizes=st.lists(st.integers(0, 40), min_size=1, max_size=60),
+    min_size=st.integers(1, 60),
+    chunk=st.integers(1, 15),
+)
+def test_one_call_takes_many_chunks(sizes, min_size, chunk):
+    """All chunks, groups and threads of a partition in a call each."""
+    firsts = [i * 10 for i in range(len(sizes))]
+    batches = pd.DataFrame(
+        {"topic": "t", "partition": 0, "batch_no": range(len(sizes)), "rows": 1, "bytes": sizes,
+         "first_offset": firsts, "last_offset": firsts}
+    )
+    batches["chunk"] = batches["batch_no"] // chunk
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(rolling, "FAN", 3)
+        levels = [_chunk_steps(batches.sample(frac=1, random_state=1), min_size)]
+        while levels[-1]["chunk"].max() > 0:
+            levels.append(rolling._combine(levels[-1].sample(frac=1, random_state=1)))
+    entries = _thread(levels.pop().assign(open_bytes=0, open_first=-1))
+    for level in reversed(levels):
+        above = entries.rename(columns={"chunk": "group"})
+        entries = _thread(level.assign(group=level["chunk"] // 3).merge(above, on=["topic", "partition", "group"]))
+    cut = _cut(batches.merge(entries, on=["topic", "partition", "chunk"]), min_size)
+    got = [(int(s), bool(c)) for s, c in zip(cut["segment"], cut["closes"])]
+    assert got == fold(sizes, firsts, min_size)
+
+
+def test_calls_follow_the_batches_not_the_chunk(spark, monkeypatch):
+    """500 chunks of 4 batches a partition: as they fit in one call, every step makes one."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(function):
+        def call(pdf, *rest):
+            calls.add(1)
+            return function(pdf, *rest)
+
+        return call
+
+    for function in (_chunk_steps, rolling._combine, _thread, _cut):
+        monkeypatch.setattr(rolling, function.__name__, counted(function))
+    n, rng = 2_000, random.Random(5)
+    data, expected = [], []
+    for partition in range(2):
+        sizes = [rng.choice([0, 1, 5, 20, 90]) for _ in range(n)]
+        firsts = [i * 4 for i in range(n)]
+        data += [("t", partition, i, 4, b, f, f + 3) for i, (b, f) in enumerate(zip(sizes, firsts))]
+        expected += [(partition, i, *x) for i, x in enumerate(fold(sizes, firsts, 600))]
+    schema = "topic string, partition int, batch_no bigint, rows bigint, bytes bigint, first_offset bigint, last_offset bigint"
+    rolled = roll_segments(spark.createDataFrame(data, schema).repartition(7), 600, 4)
+    got = sorted(tuple(r) for r in rolled.select("partition", "batch_no", "segment", "closes").collect())
+    assert got == sorted(expected)
+    assert 0 < calls.value <= 2 * 7  # steps, two levels up, three down, cut
+
+
 def test_tables_stay_as_small_as_a_segment():
     """A partition of many equal small batches: no group grows with it."""
     n, per_segment = 20_000, 500
